@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from textloom.llm.packing import op6_best_fit_packing
+from textloom.llm.sharding import op9_sampled_splitter_shards
 from textloom.llm.simhash import op1_simhash_near_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_sampled_splitter_shards": op9_sampled_splitter_shards,
 }
 
 ORACLES: dict[str, str] = {}
