@@ -5,9 +5,11 @@ from __future__ import annotations
 from textloom.llm.packing import op6_best_fit_packing
 from textloom.llm.sharding import op9_sampled_splitter_shards
 from textloom.llm.simhash import op1_simhash_near_dedup
+from textloom.llm.substrings import op5_fixed_block_substring_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op5_fixed_block_substring_dedup": op5_fixed_block_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_sampled_splitter_shards": op9_sampled_splitter_shards,
 }
