@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from textloom.llm.decontaminate import op7_fm_index_decontamination
 from textloom.llm.packing import op6_best_fit_packing
+from textloom.llm.pseudonyms import op2_feistel_pseudonyms
 from textloom.llm.quality_rules import op8_mcd_quality_rules
 from textloom.llm.sharding import op9_sampled_splitter_shards
 from textloom.llm.simhash import op1_simhash_near_dedup
@@ -11,6 +12,7 @@ from textloom.llm.substrings import op5_fixed_block_substring_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
     "op5_fixed_block_substring_dedup": op5_fixed_block_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_fm_index_decontamination": op7_fm_index_decontamination,
