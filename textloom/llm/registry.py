@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from textloom.llm.decontaminate import op7_fm_index_decontamination
+from textloom.llm.licenses import op4_diagonal_license_scan
+from textloom.llm.main_text import op3_tree_main_text
 from textloom.llm.packing import op6_best_fit_packing
 from textloom.llm.pseudonyms import op2_feistel_pseudonyms
 from textloom.llm.quality_rules import op8_mcd_quality_rules
@@ -13,6 +15,8 @@ from textloom.llm.substrings import op5_fixed_block_substring_dedup
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
+    "op3_tree_main_text": op3_tree_main_text,
+    "op4_diagonal_license_scan": op4_diagonal_license_scan,
     "op5_fixed_block_substring_dedup": op5_fixed_block_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_fm_index_decontamination": op7_fm_index_decontamination,
