@@ -1 +1,5 @@
-from textloom.llm.pipeline import ORACLE_SQL, STAGES, run  # noqa: F401
+"""The corpus pipeline over ``documents``; its stages are in textloom.llm.pipeline."""
+
+from textloom.llm.pipeline import ORACLE_SQL, STAGES, run
+
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

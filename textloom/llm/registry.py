@@ -7,6 +7,7 @@ from textloom.llm.licenses import op4_diagonal_license_scan
 from textloom.llm.main_text import op3_tree_main_text
 from textloom.llm.packing import op6_best_fit_packing
 from textloom.llm.pseudonyms import op2_feistel_pseudonyms
+from textloom.llm.quality_classifier import op10_factorisation_machine_quality
 from textloom.llm.quality_rules import op8_mcd_quality_rules
 from textloom.llm.sharding import op9_sampled_splitter_shards
 from textloom.llm.simhash import op1_simhash_near_dedup
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_fm_index_decontamination": op7_fm_index_decontamination,
     "op8_mcd_quality_rules": op8_mcd_quality_rules,
     "op9_sampled_splitter_shards": op9_sampled_splitter_shards,
+    "op10_factorisation_machine_quality": op10_factorisation_machine_quality,
 }
 
 ORACLES: dict[str, str] = {}
