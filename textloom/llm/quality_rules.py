@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize, table
+from textloom.llm.common import materialize, small, table
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -143,10 +143,12 @@ def _estimate(rows: DataFrame, keys: tuple[str, ...], s: QualitySettings) -> Dat
     p = len(names)
 
     def joined(params: DataFrame) -> DataFrame:
-        return rows.join(params, list(keys)) if keys else rows.crossJoin(F.broadcast(params))  # params: one row
+        # a row for each group: broadcast within the bound, so that the rows of a large group stay where they are
+        return rows.join(small(params, groups), list(keys)) if keys else rows.crossJoin(F.broadcast(params))
 
     medians = rows.groupBy(*keys).agg(F.count("*").alias("group_rows"), *[F.percentile_approx(n, 0.5, 2000).alias(f"m_{i}") for i, n in enumerate(names)])
     medians = materialize(medians.filter(F.col("group_rows") >= (s.min_rows if keys else 1)))
+    groups = medians.count()
     spread = joined(medians).groupBy(*keys).agg(
         F.first("group_rows").alias("group_rows"), *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(p)],
         *[F.percentile_approx(F.abs(F.col(n) - F.col(f"m_{i}")), 0.5, 2000).alias(f"d_{i}") for i, n in enumerate(names)],
@@ -161,7 +163,7 @@ def _estimate(rows: DataFrame, keys: tuple[str, ...], s: QualitySettings) -> Dat
         params = materialize(params)
         near = joined(params).withColumn("d", _distance(names)).select(*keys, "group_rows", *names, "d")
         limit = materialize(near.groupBy(*keys).agg(F.percentile_approx("d", s.core, 2000).alias("limit")))
-        core = (near.join(limit, list(keys)) if keys else near.crossJoin(F.broadcast(limit))).filter("d <= limit")
+        core = (near.join(small(limit, groups), list(keys)) if keys else near.crossJoin(F.broadcast(limit))).filter("d <= limit")
         moments = core.groupBy(*keys).agg(
             F.first("group_rows").alias("group_rows"), *[F.avg(n).alias(f"m_{i}") for i, n in enumerate(names)],
             *[F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)],
@@ -189,7 +191,7 @@ def judge_quality(docs: DataFrame, settings: QualitySettings = QualitySettings()
         est = _estimate(rows, keys, s)
         own = [c for c in est.columns if c not in keys]
         renamed = est.select(*keys, F.struct(*own).alias(f"e{n}"))
-        judged = judged.join(renamed, list(keys), "left") if keys else judged.join(F.broadcast(renamed), F.lit(True), "left")
+        judged = judged.join(small(renamed, est.count()), list(keys), "left") if keys else judged.join(F.broadcast(renamed), F.lit(True), "left")
     judged = judged.withColumn("e", F.coalesce("e0", "e1", "e2")).select(*rows.columns, "e.*")
     judged = judged.withColumn("distance", _distance(names))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= F.lit(cutoff))
