@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from importlib import import_module
+
+from textloom.plans.base import ORACLES, QUERIES
+
+for _plan in ("text", "glossary", "translation", "layout"):
+    import_module(f"textloom.plans.{_plan}")
+
+__all__ = ["ORACLES", "QUERIES"]
