@@ -79,7 +79,7 @@ def _(spark, d):
     return y.page_components(v.boxes(spark, d), near)
 
 
-@query("g07_reading_order", "SELECT page, idx, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN y + h <= 80 THEN 0 WHEN y >= 720 THEN 2 ELSE 1 END, x // 200, y, x, h, w, idx) AS place FROM v_boxes", "v_boxes")
+@query("g07_reading_order", "SELECT page, idx, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN y + h <= 80 THEN 0 WHEN y >= 720 THEN 2 ELSE 1 END, floor(x / 200), y, x, h, w, idx) AS place FROM v_boxes", "v_boxes")
 def _(spark, d):
     r = y.region(F.col("y"), F.col("h"))
     rank = F.when(r == "HEADER", 0).when(r == "FOOTER", 2).otherwise(1)
@@ -233,10 +233,10 @@ def _(spark, d):
     return hit.groupBy(F.col("p.page").alias("page")).agg(F.array_join(text, ",").alias("overlaps"))
 
 
-@query("g31_source_resolution", "SELECT seg_id, CASE WHEN seg_id % 7 = 0 THEN upper(left(text, 20)) ELSE left(text, 20) END AS source_text, revision + (seg_id % 7 = 0)::INT AS revision, CASE WHEN seg_id % 7 <> 0 THEN status END AS status FROM v_seg_state", "v_seg_state")
+@query("g31_source_resolution", "SELECT seg_id, CASE WHEN seg_id % 7 = 0 THEN 'resolved ' || left(text, 20) ELSE left(text, 20) END AS source_text, revision + (seg_id % 7 = 0)::INT AS revision, CASE WHEN seg_id % 7 <> 0 THEN status END AS status FROM v_seg_state", "v_seg_state")
 def _(spark, d):
     s = v.segment_state(spark, d)
-    fix = s.filter("seg_id % 7 = 0").select("seg_id", F.upper(F.substring("text", 1, 20)).alias("resolved"))
+    fix = s.filter("seg_id % 7 = 0").select("seg_id", F.concat(F.lit("resolved "), F.substring("text", 1, 20)).alias("resolved"))
     j = s.join(fix, "seg_id", "left")
     changed = F.col("resolved").isNotNull()
     return j.select("seg_id", F.coalesce("resolved", F.substring("text", 1, 20)).alias("source_text"), (F.col("revision") + changed.cast("int")).alias("revision"), F.when(~changed, F.col("status")).alias("status"))
