@@ -139,6 +139,8 @@ FEATURES = ("words", "links", "before_words", "before_links", "after_words", "af
 
 def features(blocks: list[Block]) -> list[tuple[float, ...]]:
     """For each block its word count and link density, its neighbours', and its element marks (0 or 1)."""
+    if not blocks:
+        return []
     own = [(float(b.words), b.linked / b.words if b.words else 0.0) for b in blocks]
     edge = [(0.0, 0.0)]
     rows = []
