@@ -21,7 +21,8 @@ TECHNICAL = (
 
 
 def find_terms(segments: DataFrame, terms: DataFrame, case_sensitive: bool = True, whole_word: bool = True) -> DataFrame:
-    """(seg_id, term_id, start, end): every occurrence of terms (term_id, source_term) that begins at a word.
+    """(seg_id, term_id, start, end): every occurrence of terms (term_id, source_term) that begins at a word and, with
+    ``whole_word``, ends at one.
 
     Segments' words meet terms by their first word, an equi-join on a skewed but pre-filtered key; the whole term is then
     compared at its place. Terms without a word never match; null texts have no words.
@@ -31,6 +32,9 @@ def find_terms(segments: DataFrame, terms: DataFrame, case_sensitive: bool = Tru
     t = t.withColumn("skip", F.instr("term", F.col("lead")) - 1)
     s = segments.select("seg_id", fold(F.col("text")).alias("text"))
     words = s.select("seg_id", "text", F.inline(find_spans(F.col("text"), WORD))).withColumnRenamed("value", "lead")
+    if not whole_word:  # a term may end inside a word, so words and terms meet by up to three first letters
+        words = words.withColumn("lead", F.explode(F.array_distinct(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col("lead"), F.lit(1), n)))))
+        t = t.withColumn("lead", F.substring("lead", 1, 3))
     start, n = F.col("start") - F.col("skip"), F.length("term")
     found = words.join(t, "lead").filter((start >= 0) & (F.substring(F.col("text"), start + 1, n) == F.col("term")))
     if whole_word:

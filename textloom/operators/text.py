@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions.spans import find_spans
 
@@ -52,7 +53,7 @@ def term_key(text: Column) -> Column:
     return F.replace(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), F.lit("ß"), F.lit("ss"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def exact_term_key(text: pd.Series) -> pd.Series:
     """Compatibility form, one space, full case folding: what Spark has no function for."""
     import unicodedata
