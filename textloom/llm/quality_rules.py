@@ -101,7 +101,7 @@ def with_statistics(docs: DataFrame, settings: QualitySettings = QualitySettings
     )
 
 
-_LEVELS = (("g_lang", "g_source"), ("g_lang",), ())
+_LEVELS = (("g_lang", "g_source"), ("g_lang",), ("g_all",))
 
 
 def _distance(names: list[str]) -> Column:
@@ -144,10 +144,10 @@ def _estimate(rows: DataFrame, keys: tuple[str, ...], s: QualitySettings) -> Dat
 
     def joined(params: DataFrame) -> DataFrame:
         # a row for each group: broadcast within the bound, so that the rows of a large group stay where they are
-        return rows.join(small(params, groups), list(keys)) if keys else rows.crossJoin(F.broadcast(params))
+        return rows.join(small(params, groups), list(keys))
 
     medians = rows.groupBy(*keys).agg(F.count("*").alias("group_rows"), *[F.percentile_approx(n, 0.5, 2000).alias(f"m_{i}") for i, n in enumerate(names)])
-    medians = materialize(medians.filter(F.col("group_rows") >= (s.min_rows if keys else 1)))
+    medians = materialize(medians.filter(F.col("group_rows") >= (1 if keys == _LEVELS[-1] else s.min_rows)))
     groups = medians.count()
     spread = joined(medians).groupBy(*keys).agg(
         F.first("group_rows").alias("group_rows"), *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(p)],
@@ -163,7 +163,7 @@ def _estimate(rows: DataFrame, keys: tuple[str, ...], s: QualitySettings) -> Dat
         params = materialize(params)
         near = joined(params).withColumn("d", _distance(names)).select(*keys, "group_rows", *names, "d")
         limit = materialize(near.groupBy(*keys).agg(F.percentile_approx("d", s.core, 2000).alias("limit")))
-        core = (near.join(small(limit, groups), list(keys)) if keys else near.crossJoin(F.broadcast(limit))).filter("d <= limit")
+        core = near.join(small(limit, groups), list(keys)).filter("d <= limit")
         moments = core.groupBy(*keys).agg(
             F.first("group_rows").alias("group_rows"), *[F.avg(n).alias(f"m_{i}") for i, n in enumerate(names)],
             *[F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)],
@@ -183,7 +183,7 @@ def judge_quality(docs: DataFrame, settings: QualitySettings = QualitySettings()
     names = [n for n, _ in s.floors]
     rows = with_statistics(docs, s)
     rows = rows.withColumns({"g_lang": F.concat(F.lit("="), F.coalesce("lang", F.lit(""))), "g_source": F.concat(F.lit("="), F.coalesce("source", F.lit("")))})
-    rows = rows.withColumns({"g_lang": F.when(F.col("lang").isNull(), "").otherwise(F.col("g_lang")), "g_source": F.when(F.col("source").isNull(), "").otherwise(F.col("g_source"))})
+    rows = rows.withColumns({"g_lang": F.when(F.col("lang").isNull(), "").otherwise(F.col("g_lang")), "g_source": F.when(F.col("source").isNull(), "").otherwise(F.col("g_source")), "g_all": F.lit("all")})
     rows = materialize(rows.drop("lang", "source"))
     cutoff = chi2_quantile(1 - s.tail, len(names))
     judged = rows
@@ -191,7 +191,7 @@ def judge_quality(docs: DataFrame, settings: QualitySettings = QualitySettings()
         est = _estimate(rows, keys, s)
         own = [c for c in est.columns if c not in keys]
         renamed = est.select(*keys, F.struct(*own).alias(f"e{n}"))
-        judged = judged.join(small(renamed, est.count()), list(keys), "left") if keys else judged.join(F.broadcast(renamed), F.lit(True), "left")
+        judged = judged.join(small(renamed, est.count()), list(keys), "left")
     judged = judged.withColumn("e", F.coalesce("e0", "e1", "e2")).select(*rows.columns, "e.*")
     judged = judged.withColumn("distance", _distance(names))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= F.lit(cutoff))
