@@ -167,3 +167,20 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     q.stop()
     key = lambda r: (r.job_id, str(r.started), r.beats)
     assert sorted(map(key, spark.table("s").collect())) == sorted(map(key, jobs.sessions(e).collect()))
+
+
+def test_sinks_and_table_function(spark, tmp_path):
+    from textloom.functions import udtf
+    from textloom.sources import sinks
+
+    df = spark.createDataFrame([("p", 1, "a"), ("p", 2, "b")], "project_id string, version int, term string")
+    sinks.write_snapshot(df, str(tmp_path / "s"))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        sinks.write_snapshot(df, str(tmp_path / "s"))
+    sinks.append_revisions(df, str(tmp_path / "r"))
+    sinks.append_revisions(df, str(tmp_path / "r"))
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 4
+    sinks.write_report(df, str(tmp_path / "j"))
+    assert len(list((tmp_path / "j").glob("part-*.json"))) == 1
+    udtf.register(spark)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM find_spans('a1b22', '[0-9]+')").collect()] == [(1, 2, "1"), (3, 5, "22")]

@@ -220,10 +220,10 @@ def _(spark, d):
     return occurrences(spark, d, False).join(live, "seg_id", "left_anti").groupBy("term_id").agg(F.count("*").alias("n"))
 
 
-@query("t29_search", r"SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%a\_%' ESCAPE '\' OR lower(p_name) LIKE '%t%1%'")
+@query("t29_search", r"SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%a\_%' ESCAPE '\' OR lower(p_name) LIKE '%e%'")
 def _(spark, d):
     name = F.lower("p_name")
-    return read(spark, d, "part").filter(name.like("%a\\_%") | name.like("%t%1%")).select("p_partkey", "p_name")
+    return read(spark, d, "part").filter(name.like("%a\\_%") | name.like("%e%")).select("p_partkey", "p_name")
 
 
 @query("t31_occurrence_counts", "SELECT p.p_partkey, count(l.l_partkey) AS n FROM part p LEFT JOIN lineitem l ON l.l_partkey = p.p_partkey GROUP BY 1")
