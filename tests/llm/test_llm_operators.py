@@ -200,6 +200,15 @@ def test_quality_rules(spark):
     assert all(got[i].kept for i in range(150) if not got[i].base_failed) and not got[1000].kept and not got[1001].kept
 
 
+def test_quality_rules_reject_copies_that_hold_a_third_of_a_group(spark):
+    rng = random.Random(5)
+    clean = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(60, 300))) for _ in range(160)]
+    rows = [*enumerate(clean), *[(1000 + i, " ".join(f"w{k}###" for k in range(100))) for i in range(80)]]
+    got = {r.doc_id: r for r in quality_rules.judge_quality(frame(spark, rows)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if r.kept} == set(range(160))
+
+
 def test_chi_square():
     assert abs(quality_rules.chi2_quantile(0.95, 6) - 12.5916) < 1e-3 and abs(quality_rules._chi2_cdf(quality_rules.chi2_quantile(0.75, 4), 4) - 0.75) < 1e-9
 

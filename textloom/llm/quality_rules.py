@@ -2,8 +2,8 @@
 
 Every document has a vector of transformed statistics. Per language and source, concentration steps look for the
 subset of ``core`` of the documents whose covariance has the least determinant: start from medians and median absolute
-deviations, then repeatedly estimate mean and covariance on the rows of smallest distance. A document goes if its
-Mahalanobis distance from its group's estimate is over the cutoff. All of it is DataFrame expressions.
+deviations, then estimate mean and covariance on the rows of smallest distance until the determinant falls no more. A
+document goes if its Mahalanobis distance from its group's estimate is over the cutoff. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ SYMBOLS = "#*$%&|<>"
 class QualitySettings:
     min_words: int = 50
     max_repeat_percent: int = 50
-    #: Share of a group's rows that its estimate is made on.
-    core: float = 0.75
-    steps: int = 3
+    #: Share of a group's rows that its estimate is made on; junk of up to the other rows can't move it.
+    core: float = 0.5
+    #: A group's steps end when the logarithm of its determinant falls by no more than this; no group takes over ``max_steps``.
+    settled: float = 1e-4
+    max_steps: int = 100
     #: A group of fewer rows takes the estimate of its language, and a language of fewer that of all rows.
     min_rows: int = 100
     #: Chance that a clean document of a normal group goes.
@@ -137,17 +139,20 @@ def _with_inverse(moments: DataFrame, names: list[str], factor: float, floors: d
     return d.select(*keep, *[f"w_{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
-def _estimate(rows: DataFrame, keys: tuple[str, ...], s: QualitySettings) -> DataFrame:
-    """(keys, group_rows, m_*, w_*): the estimate of each group of at least ``min_rows`` rows."""
+def _estimate(rows: DataFrame, s: QualitySettings) -> DataFrame:
+    """(level, g_lang, g_source, group_rows, m_*, w_*): the estimate of each group of at least ``min_rows`` rows, of all levels."""
     names, floors = [n for n, _ in s.floors], dict(s.floors)
     p = len(names)
+    keys = ["level", "g_lang", "g_source"]
+    at = [F.struct(F.lit(n).alias("level"), *[(F.col(k) if k in level else F.lit("")).alias(k) for k in keys[1:]]) for n, level in enumerate(_LEVELS)]
+    rows = rows.select(F.explode(F.array(*at)).alias("at"), *names).select("at.*", *names)
 
     def joined(params: DataFrame) -> DataFrame:
         # a row for each group: broadcast within the bound, so that the rows of a large group stay where they are
-        return rows.join(small(params, groups), list(keys))
+        return rows.join(small(params, groups), keys)
 
     medians = rows.groupBy(*keys).agg(F.count("*").alias("group_rows"), *[F.percentile_approx(n, 0.5, 2000).alias(f"m_{i}") for i, n in enumerate(names)])
-    medians = materialize(medians.filter(F.col("group_rows") >= (1 if keys == _LEVELS[-1] else s.min_rows)))
+    medians = materialize(medians.filter((F.col("group_rows") >= s.min_rows) | (F.col("level") == len(_LEVELS) - 1)))
     groups = medians.count()
     spread = joined(medians).groupBy(*keys).agg(
         F.first("group_rows").alias("group_rows"), *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(p)],
@@ -156,20 +161,28 @@ def _estimate(rows: DataFrame, keys: tuple[str, ...], s: QualitySettings) -> Dat
     params = spread.select(
         *keys, "group_rows", *[f"m_{i}" for i in range(p)],
         *[(1 / F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(floors[names[i]])) if i == j else F.lit(0.0)).alias(f"w_{i}_{j}") for i in range(p) for j in range(i + 1)],
+        # the start isn't the estimate of a core, so nothing is settled by the first step
+        F.lit(float("inf")).alias("log_det"), F.lit(False).alias("done"),
     )
     quantile = chi2_quantile(s.core, p)
     factor = s.core / _chi2_cdf(quantile, p + 2)  # makes the core's covariance that of a whole normal group
-    for _ in range(s.steps):
-        params = materialize(params)
-        near = joined(params).withColumn("d", _distance(names)).select(*keys, "group_rows", *names, "d")
-        limit = materialize(near.groupBy(*keys).agg(F.percentile_approx("d", s.core, 2000).alias("limit")))
-        core = near.join(small(limit, groups), list(keys)).filter("d <= limit")
+    params = materialize(params)
+    for _ in range(s.max_steps):
+        moving = params.filter(~F.col("done"))
+        near = joined(moving.drop("done")).withColumn("d", _distance(names)).select(*keys, "group_rows", "log_det", *names, "d")
+        limit = near.groupBy(*keys).agg(F.percentile_approx("d", s.core, 2000).alias("limit"))
+        core = near.join(small(limit, groups), keys).filter("d <= limit")
         moments = core.groupBy(*keys).agg(
-            F.first("group_rows").alias("group_rows"), *[F.avg(n).alias(f"m_{i}") for i, n in enumerate(names)],
+            F.first("group_rows").alias("group_rows"), F.first("log_det").alias("log_det_before"), *[F.avg(n).alias(f"m_{i}") for i, n in enumerate(names)],
             *[F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)],
         )
-        params = _with_inverse(moments, names, factor, floors)
-    return materialize(params)
+        log_det = -2 * sum((F.log(f"w_{i}_{i}") for i in range(p)), F.lit(0.0))
+        stepped = _with_inverse(moments, names, factor, floors).withColumn("log_det", log_det)
+        stepped = stepped.withColumn("done", F.col("log_det_before") - F.col("log_det") <= s.settled).drop("log_det_before")
+        params = materialize(stepped.unionByName(params.filter("done")))
+        if not params.filter(~F.col("done")).head(1):
+            break
+    return params.drop("log_det", "done")
 
 
 def judge_quality(docs: DataFrame, settings: QualitySettings = QualitySettings()) -> DataFrame:
@@ -187,9 +200,10 @@ def judge_quality(docs: DataFrame, settings: QualitySettings = QualitySettings()
     rows = materialize(rows.drop("lang", "source"))
     cutoff = chi2_quantile(1 - s.tail, len(names))
     judged = rows
+    estimates = _estimate(rows, s)
     for n, keys in enumerate(_LEVELS):
-        est = _estimate(rows, keys, s)
-        own = [c for c in est.columns if c not in keys]
+        est = estimates.filter(F.col("level") == n).withColumn("g_all", F.lit("all"))
+        own = [c for c in est.columns if c not in ("level", "g_lang", "g_source", "g_all")]
         renamed = est.select(*keys, F.struct(*own).alias(f"e{n}"))
         judged = judged.join(small(renamed, est.count()), list(keys), "left")
     judged = judged.withColumn("e", F.coalesce("e0", "e1", "e2")).select(*rows.columns, "e.*")
