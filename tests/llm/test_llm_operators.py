@@ -227,6 +227,23 @@ def test_pseudonyms(spark):
     assert (got[6].text, got[7].text, got[9].text) == (None, "", "plain 12 text") and got[6].pii == {}
 
 
+def test_pseudonyms_of_numbers_in_a_row_and_of_more_dates(spark):
+    card, spaced, other = "4845168114407329", "4845 1681 1440 7329", "4111-1111-1111-1111"
+    texts = [
+        f"{card} 123", f"12 {card}", f"{spaced} 09/27", f"123456 {spaced}", f"7 {spaced} {other} 5", f"{card} 123-45-6789", f"{card} 10.0.0.1", f"{spaced} 5th",
+        "2024-01-02T10:00:05Z", "1/2/2024 and 2024-1-2, 3.4.2024", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16", "12 " * 20000, f"{card}", f"{spaced}",
+    ]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(frame(spark, list(enumerate(texts)))).collect()}
+    new, wide = got[12].text, got[13].text
+    assert new != card and wide.replace(" ", "") == new
+    assert [got[i].text for i in (0, 1, 2, 3, 7)] == [f"{new} 123", f"12 {new}", f"{wide} 09/27", f"123456 {wide}", f"{wide} 5th"]
+    assert re.fullmatch(rf"7 {wide} \d{{4}}-\d{{4}}-\d{{4}}-\d{{4}} 5", got[4].text) and "4111-1111" not in got[4].text and got[4].pii == {"card": 2}
+    assert got[5].pii == {"card": 1, "ssn": 1} and got[5].text.startswith(new + " ") and got[6].pii == {"card": 1, "ip": 1}
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT10:00:05Z", got[8].text) and got[8].text[:10] != "2024-01-02" and got[9].pii == {"date": 3}
+    assert got[9].text.split()[2][:-1] == "{}-{}-{}".format(*(got[9].text.split()[0].split("/")[k] for k in (2, 0, 1)))
+    assert got[10].text == texts[10] and got[11].text == texts[11]
+
+
 def test_pseudonyms_permute_a_whole_format(spark):
     days = [(datetime.date(1990, 1, 1) + datetime.timedelta(i)).isoformat() for i in range(800)]
     d = spark.createDataFrame([(x,) for x in days], "m string").withColumn("k", pseudonyms.kind_of(F.col("m")))

@@ -30,14 +30,19 @@ _PATTERNS = (
     r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     r"(?<![\p{L}\p{N}])[0-9A-Fa-f]{32,128}(?![\p{L}\p{N}])",
     r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)(?!\p{L})",
-    r"(?<![\p{L}\p{N}/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\p{L}\p{N}/-])",
+    r"(?<![\p{L}\p{N}/.-])\d{4}-\d{1,2}-\d{1,2}(?:(?![\p{L}\p{N}/-])|(?=[Tt]\d{2}))",
+    r"(?<![\p{L}\p{N}/.-])(?:\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\p{L}\p{N}/-])",
     r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\p{L}\p{N}])",
     r"(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?![\p{L}\p{N}])",
     r"(?<![\p{L}\p{N}-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\p{N}-])",
-    r"(?<![\p{L}\p{N}.-])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
 )
-_ANY = "|".join(f"(?:{p})" for p in _PATTERNS)
+# numbers in a row that hold 13 digits or more, up to the next match of another kind; ``_pieces`` finds the cards in them
+_NUMBER = r"\d++(?![\p{L}\p{N}])"
+_RUN = rf"(?<![\p{{L}}\p{{N}}.-])(?=\d(?:[ -]?\d){{12}}){_NUMBER}(?:(?:-| (?!{'|'.join(_PATTERNS)})){_NUMBER})*+"
+_ANY = "|".join(f"(?:{p})" for p in (*_PATTERNS, _RUN))
+# The usual groupings of card numbers.
+_GROUPINGS = ((4, r"^\d{4}([ -])\d{4}\1\d{4}\1\d{4}$"), (3, r"^\d{4}([ -])\d{6}\1\d{4,5}$"), (5, r"^\d{4}([ -])\d{4}\1\d{4}\1\d{4}\1\d{3}$"))
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -61,15 +66,15 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
 
 
-_DATE = r"^(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})$"
+_DATE = r"^(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})$"
 
 
 def _as_date(m: Column) -> Column:
     """The date, null if it isn't one; with slashes month first where that is possible."""
     return (
-        F.when(m.contains("-"), F.try_to_timestamp(m, F.lit("yyyy-MM-dd")))
-        .when(m.contains("."), F.try_to_timestamp(m, F.lit("dd.MM.yyyy")))
-        .otherwise(F.coalesce(F.try_to_timestamp(m, F.lit("MM/dd/yyyy")), F.try_to_timestamp(m, F.lit("dd/MM/yyyy"))))
+        F.when(m.contains("-"), F.try_to_timestamp(m, F.lit("yyyy-M-d")))
+        .when(m.contains("."), F.try_to_timestamp(m, F.lit("d.M.yyyy")))
+        .otherwise(F.coalesce(F.try_to_timestamp(m, F.lit("M/d/yyyy")), F.try_to_timestamp(m, F.lit("d/M/yyyy"))))
         .cast("date")
     )
 
@@ -89,10 +94,62 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike(_DATE), F.when((days >= _FIRST_DAY) & (days < _FIRST_DAY + 146097), F.lit("date")))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(ssn, F.lit("ssn")))
         .when(m.rlike(r"^\+|\(|^\d{3}([.-])\d{3}\1\d{4}$"), F.when(F.length(_digits(m)).between(7, 15), F.lit("phone")))
-        .when(_luhn_sum(_digits(m)) % 10 == 0, F.lit("card"))
+        .when(F.length(_digits(m)).between(13, 19) & (_luhn_sum(_digits(m)) % 10 == 0), F.lit("card"))
     )
 
 
+def _pieces(m: Column) -> Column:
+    """The pieces, struct(m, kind), that make up the matched string: several only where numbers in a row hold cards.
+
+    Unbroken numbers and the usual groupings go first; of what is left, the whole run, then from the left the longest
+    groups of three digits or more each.
+    """
+    piece = lambda x, kind: F.struct(x.alias("m"), kind.alias("kind"))
+    whole = F.array(piece(m, kind_of(m)))
+
+    def cards(t: Column) -> Column:
+        """Over the numbers of ``m`` (at even places) and the separators between them."""
+        n = ((F.size(t) + 1) / 2).cast("int")
+        part = lambda i, k: F.array_join(F.slice(t, 2 * i + 1, 2 * k - 1), "")
+        valid = lambda x: F.length(_digits(x)).between(13, 19) & (_luhn_sum(_digits(x)) % 10 == 0)
+
+        def usual(i: Column) -> Column:
+            grouped = [((i + k <= n) & part(i, F.lit(k)).rlike(form) & valid(part(i, F.lit(k))), k) for k, form in _GROUPINGS]
+            out = F.when(valid(part(i, F.lit(1))), 1)
+            for test, k in grouped:
+                out = out.when(test, k)
+            return out.otherwise(0)
+
+        def scan(first: Column) -> Column:
+            def longest(i: Column) -> Column:
+                """How many numbers from ``i`` on make a card of unusual grouping; null for none."""
+                fits = lambda k: (
+                    ~F.exists(F.slice(first, i + 1, k), lambda x: x > 0) & ((k == n) | ~part(i, k).rlike(r"(?<!\d)\d{1,2}(?!\d)")) & valid(part(i, k))
+                )
+                return F.get(F.filter(F.sequence(F.least(n - i, F.lit(19)), F.lit(1), F.lit(-1)), fits), F.lit(0))
+
+            def step(state: Column, i: Column) -> Column:
+                k = F.when(F.get(first, i) > 0, F.get(first, i)).otherwise(F.coalesce(longest(i), F.lit(0)))
+                here = lambda k: F.struct(
+                    (i + F.greatest(k, F.lit(1))).alias("next"),
+                    F.concat(
+                        state["out"],
+                        F.when(i > 0, F.array(piece(F.get(t, 2 * i - 1), none))).otherwise(F.array().cast(kind)),
+                        F.array(piece(part(i, F.greatest(k, F.lit(1))), F.when(k > 0, F.lit("card")))),
+                    ).alias("out"),
+                )
+                return F.when(i < state["next"], state).otherwise(_let(k, here))
+
+            start = F.struct(F.lit(0).alias("next"), F.array().cast(kind).alias("out"))
+            return F.aggregate(F.sequence(F.lit(0), n - 1), start, step)["out"]
+
+        return _let(F.transform(F.sequence(F.lit(0), n - 1), usual), scan)
+
+    none, kind = F.lit(None).cast("string"), "array<struct<m:string,kind:string>>"
+    row = m.rlike(r"^\d[\d -]*$") & m.rlike("[ -]") & ~m.rlike(_DATE) & ~m.rlike(r"^\d{3}-(?:\d{2}|\d{3})-\d{4}$")
+    return F.when(row, _let(F.regexp_extract_all(m, F.lit(r"\d+|[ -]"), F.lit(0)), cards)).otherwise(whole)
+
+
 def _keyed_hex(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("\u0001", F.lit(key), *[p.cast("string") for p in parts]), 256)
 
@@ -164,9 +221,11 @@ def pseudonym(m: Column, kind: Column, s: PseudonymSettings) -> Column:
     def date(day: Column) -> Column:
         p = _feistel(F.lit("date"), F.floor(day / 773), F.lit(189).cast("long"), day % 773, F.lit(773).cast("long"), s)
         new = lambda x: F.date_from_unix_date((x["l"] * 773 + x["r"] + _FIRST_DAY).cast("int"))
-        month_first = F.try_to_timestamp(m, F.lit("MM/dd/yyyy")).isNotNull()
-        return _let(p, lambda x: F.when(m.contains("-"), F.date_format(new(x), "yyyy-MM-dd")).when(m.contains("."), F.date_format(new(x), "dd.MM.yyyy"))
-                    .when(month_first, F.date_format(new(x), "MM/dd/yyyy")).otherwise(F.date_format(new(x), "dd/MM/yyyy")))
+        month_first = F.try_to_timestamp(m, F.lit("M/d/yyyy")).isNotNull()
+        padded = ~m.rlike(r"(?<!\d)\d(?!\d)")
+        shown = lambda x, form: F.when(padded, F.date_format(new(x), form)).otherwise(F.date_format(new(x), form.replace("MM", "M").replace("dd", "d")))
+        return _let(p, lambda x: F.when(m.contains("-"), shown(x, "yyyy-MM-dd")).when(m.contains("."), shown(x, "dd.MM.yyyy"))
+                    .when(month_first, shown(x, "MM/dd/yyyy")).otherwise(shown(x, "dd/MM/yyyy")))
 
     letters = lambda x, n: F.translate(F.substring(x, 1, n), "0123456789", "ghijklmnop")
     low = F.lower(m)
@@ -194,15 +253,16 @@ def pseudonymise(docs: DataFrame, settings: PseudonymSettings = PseudonymSetting
     text = F.coalesce(F.col("text"), F.lit(""))
     matches = F.when(text.rlike("[0-9@]|[A-Fa-f]{32}"), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     d = docs.drop("pii").withColumn("__found", matches)
-    d = d.withColumn("__found", F.transform("__found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
-    new = F.transform("__found", lambda x: pseudonym(x["m"], x["kind"], settings))
-    d = d.withColumn("__new", F.when(F.exists("__found", lambda x: x["kind"].isNotNull()), new))
+    d = d.withColumn("__found", F.transform("__found", _pieces))
+    new = F.transform("__found", lambda p: F.array_join(F.transform(p, lambda x: pseudonym(x["m"], x["kind"], settings)), ""))
+    d = d.withColumn("__all", F.flatten("__found"))
+    d = d.withColumn("__new", F.when(F.exists("__all", lambda x: x["kind"].isNotNull()), new))
     gaps = F.split("text", _ANY, -1)
     put = F.array_join(F.zip_with(gaps, F.concat("__new", F.array(F.lit(""))), lambda g, n: F.concat(g, n)), "")
-    count = lambda k: F.size(F.filter("__found", lambda x: x["kind"] == k))
+    count = lambda k: F.size(F.filter("__all", lambda x: x["kind"] == k))
     counts = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*map(count, KINDS))), lambda _, n: n > 0)
     d = d.withColumns({"text": F.when(F.col("__new").isNotNull(), put).otherwise(F.col("text")), "pii": counts})
-    return d.drop("__found", "__new")
+    return d.drop("__found", "__all", "__new")
 
 
 def without_personal_data(docs: DataFrame, settings: PseudonymSettings = PseudonymSettings()) -> DataFrame:
