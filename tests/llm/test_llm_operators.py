@@ -278,6 +278,22 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="single no-sidebar">{}</body>', '<html class="comments-open"><body class="widget">{}</body></html>', '<div id="page" class="header-fixed">{}</div>',
+        '<article class="post has-comments">{}</article>', '<form id="aspnetForm">{}</form>', '<main class="search">{}</main>', '<div class="sidebar-left"><article>{}</article></div>',
+        '<div class="modal-open"><article class="share-on post">{}</article></div>', '<dialog open>{}</dialog>', '<article class="widget">{}</article>',
+    ],
+)
+def test_main_text_in_marked_wrappers(page):
+    tree = main_text.grow_tree(main_text.labelled_rows())
+    body = [" ".join(f"word{i}" for i in range(n)) for n in (70, 55, 90)]
+    around = '<nav><a href=x>Home</a> <a href=y>News</a></nav>', '<div class="comments"><article class="comment"><p>A reader says a lot of things here</p></article></div><footer>Imprint 2020</footer>'
+    whole = page.format(around[0] + "".join(f"<p>{t}</p>" for t in body) + around[1])
+    assert main_text.main_text(whole, tree).split("\n") == body
+
+
 def test_licenses(spark):
     rows = [(1, "x Released under the MIT License. y mit-license"), (2, "Licensed under the Apache License, Version 2.0"), (3, None), (4, ""), (5, "gnu General public license"), (6, "a text Licensed under CC BY-NC 4.0. and more"), (7, "permitted license"), (6, "a text Licensed under CC BY-NC 4.0. and more")]
     base, spans = licenses.scan_licenses(frame(spark, rows))

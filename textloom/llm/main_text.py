@@ -1,8 +1,9 @@
 """Main text of web pages: flat blocks classified by a decision tree on shallow text features.
 
 A page becomes a flat list of text blocks, cut at block-level tags. Each block has its word count and link density,
-those of its two neighbours, and whether it lies in an element named for boilerplate or for an article. A decision
-tree grown on the labelled blocks below says which blocks are main text.
+those of its two neighbours, and whether it lies in an element named for boilerplate or for an article. A name counts
+only on a part of the page, not on what holds its article or nearly all of its words. A decision tree grown on the
+labelled blocks below says which blocks are main text.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ _BOILER_NAMES = frozenset(
     "reply replies respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget complementary contentinfo".split()
 )
 _BOILER_TAGS = frozenset("nav aside footer form menu dialog".split())
+# Elements whose marks never count, and boilerplate tags that may yet wrap a page.
+_PAGE_TAGS = frozenset("html body main".split())
+_WRAPPING_TAGS = frozenset("form dialog".split())
+#: Share of a page's words from which on an element wraps the page.
+PAGE_WIDE = 0.9
 _ARTICLE_TAGS = frozenset("article main".split())
 _ARTICLE_NAMES = frozenset("article post entry story content main".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -55,15 +61,45 @@ class Block:
     heading: bool
 
 
-def _marks(tag: str) -> set[str]:
-    found = " ".join(x for m in _MARKS.findall(tag) for x in m)
-    return {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found).lower()) if w}
+@dataclass(eq=False)
+class _Element:
+    tag: str
+    named: bool  # for boilerplate, by its marks or as a form or dialog
+    fixed: bool  # boilerplate wherever it is
+    article: bool
+    within: list[_Element]
+    words: int = 0
+    wraps: bool = False
+
+
+def _marks(tag: str) -> tuple[set[str], set[str]]:
+    """Whole names and leading words of the class, id and role of a start tag, and all words of them."""
+    names = [n for m in _MARKS.findall(tag) for x in m for n in x.split()]
+    parts = [[w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", n).lower()) if w] for n in names]
+    return {p[0] for p in parts if p} | {n.lower() for n in names}, {w for p in parts for w in p}
+
+
+def _settle(elements: list[_Element], total: int) -> None:
+    """Say which elements wrap the page or its article, so that their names don't count.
+
+    The article is the longest one that isn't itself named for boilerplate or holds half of the page; so is the main.
+    """
+    for tag in _ARTICLE_TAGS:
+        standing = [e for e in elements if e.tag == tag and (not e.named or 2 * e.words >= total)]
+        if standing:
+            longest = max(standing, key=lambda e: e.words)
+            for e in (longest, *longest.within):
+                e.wraps = True
+    for e in elements:
+        e.wraps = e.wraps or e.tag in _PAGE_TAGS or e.words >= PAGE_WIDE * total
 
 
 def flat_blocks(page: str) -> list[Block]:
     """The text blocks of ``page`` in order; scripts, styles, comments and the like aren't text."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article
+    stack: list[_Element] = []
+    elements: list[_Element] = []
+    holders: list[list[_Element]] = []
     text: list[str] = []
     linked = 0
     at, links, silent_until = 0, 0, ""
@@ -73,9 +109,11 @@ def flat_blocks(page: str) -> list[Block]:
         own = _SPACE.sub(" ", "".join(text)).strip()
         text.clear()
         if own:
-            boiler = any(b for _, b, _ in stack)
-            inside = any(a for _, _, a in stack)
-            blocks.append(Block(own, len(_WORD.findall(own)), linked, boiler, inside, any(n in _HEADINGS for n, _, _ in stack)))
+            n = len(_WORD.findall(own))
+            for e in stack:
+                e.words += n
+            holders.append(stack.copy())
+            blocks.append(Block(own, n, linked, False, any(e.article for e in stack), any(e.tag in _HEADINGS for e in stack)))
         linked = 0
 
     def say(raw: str) -> None:
@@ -104,8 +142,8 @@ def flat_blocks(page: str) -> list[Block]:
                 links = max(0, links - 1)
             elif tag in _BLOCK:
                 flush()
-                if any(n == tag for n, _, _ in stack):
-                    while stack.pop()[0] != tag:
+                if any(e.tag == tag for e in stack):
+                    while stack.pop().tag != tag:
                         pass
             continue
         if tag in _RAW or tag in _SILENT and tag != "head":
@@ -121,16 +159,23 @@ def flat_blocks(page: str) -> list[Block]:
         elif tag in _BLOCK:
             flush()
             if tag in ("p", *_HEADINGS):  # these don't nest in a paragraph
-                while stack and stack[-1][0] == "p":
+                while stack and stack[-1].tag == "p":
                     stack.pop()
             links = 0
-            marks = _marks(token)
-            inside = any(a for _, _, a in stack)
-            boiler = tag in _BOILER_TAGS or bool(marks & _BOILER_NAMES) or (tag == "header" and not inside)
+            leading, words = _marks(token)
+            inside = any(e.article for e in stack)
+            # a post's article stays one whatever else it is named for
+            named = tag in _WRAPPING_TAGS or bool(leading & _BOILER_NAMES) and not (tag == "article" and leading & _ARTICLE_NAMES)
+            fixed = tag in _BOILER_TAGS - _WRAPPING_TAGS or (tag == "header" and not inside)
             if tag not in _VOID and not token.endswith("/>"):
-                stack.append((tag, boiler, tag in _ARTICLE_TAGS or bool(marks & _ARTICLE_NAMES)))
+                article = tag in _ARTICLE_TAGS or tag not in _PAGE_TAGS and bool(words & _ARTICLE_NAMES)
+                stack.append(_Element(tag, named, fixed, article, stack.copy()))
+                elements.append(stack[-1])
     say(page[at:])
     flush()
+    _settle(elements, sum(b.words for b in blocks))
+    for b, within in zip(blocks, holders, strict=True):
+        b.boiler = any(e.fixed or e.named and not e.wraps for e in within)
     return blocks
 
 
@@ -158,6 +203,7 @@ LABELLED = (
     "6 0 body 0|2 2 body 0|5 5 body 0|3 3 body 0|38 0 body 1|90 2 body 1|44 0 body 1|14 12 body 0|7 7 body 0|5 5 body 0|35 4 side 0|60 0 side 0",
     "2 2 body 0|3 3 body 0|70 0 body 1|12 0 body 1|85 1 body 1|5 0 body 1|66 0 body 1|24 2 body 1|58 0 body 1|4 4 body 0|3 3 body 0",
     "4 4 nav 0|10 0 body 1|52 0 body 1|7 0 body 1|61 3 body 1|18 0 body 1|90 0 body 1|9 9 nav 0|6 0 foot 0|12 2 foot 0",
+    "3 3 nav 0|5 0 body 0|10 0 body 1|78 1 body 1|49 0 body 1|88 2 body 1|6 6 body 0|4 0 foot 0",
     "12 0 form 0|4 0 form 0|40 2 ad 0|9 0 head 1|2 0 art 1|2 0 art 1|200 9 art 1|5 0 art 1|120 1 side 0|17 0 comment 0|80 0 comment 0|110 20 foot 0",
 )
 
