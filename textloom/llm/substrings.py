@@ -6,9 +6,10 @@ block of a smaller doc_id, and a block that is met by a larger one, are anchors;
 compared in full, which extends the anchors to the maximal exact repeats. Anchors can be more than the true repeats
 but never fewer, and whole-window keys of 128 bits decide.
 
-Window keys travel as packed columns, one row for a task's batch and bucket, so that a shuffled key takes a few bytes.
-What a batch can decide by itself it doesn't send: of equal keys in one batch only the smallest indexed document and
-the largest one go on, however common the passage is.
+Documents whose words are all those of a smaller document are settled first: they lose everything, and their first copy
+stands for them everywhere else. Window keys travel as packed columns, one row for a task's batch and bucket, so that a
+shuffled key takes a few bytes. What a batch can decide by itself it doesn't send: of equal keys in one batch only the
+smallest indexed document and the largest one go on, however common the passage is.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ from textloom.llm.common import materialize, partitions_for, small, table
 class RepeatSettings:
     #: Words in a window; a block has half as many.
     window: int = 50
-    #: Keys that one bucket holds, about.
+    #: Keys that one bucket, and the task that decides it, holds, about.
     keys_per_bucket: int = 1_000_000
     #: Words that a task turns into keys at a time.
-    words_per_batch: int = 4_000_000
+    words_per_batch: int = 1_000_000
 
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -51,11 +52,19 @@ def rolling_keys(words: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
     n = len(words)
     if n < size:
         return np.zeros(0, np.uint64)
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base, np.uint64))))
-    back = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, inverse, np.uint64))))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * power)))
-    return _mix((sums[size:] - sums[:-size]) * back[: n - size + 1])
+    sums = np.empty(n + 1, np.uint64)
+    sums[0] = 0
+    np.multiply(words, _powers(base, n), out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
+    keys = sums[size:] - sums[:-size]
+    keys *= _powers(np.uint64(pow(int(base), -1, 1 << 64)), len(keys))
+    return _mix(keys)
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, out=out)
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,28 +82,36 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Entries:
-    """Keys with the document and word that each starts at; indexed ones are references for others."""
+    """Keys with the document and word that each starts at; indexed ones are references for others.
+
+    ``more`` holds another 64 bits of each key, or None where one hash tells keys apart well enough.
+    """
 
     key: np.ndarray
-    more: np.ndarray
+    more: np.ndarray | None
     doc: np.ndarray
     pos: np.ndarray
     indexed: np.ndarray
 
     def take(self, which: np.ndarray) -> Entries:
-        return Entries(self.key[which], self.more[which], self.doc[which], self.pos[which], self.indexed[which])
+        more = None if self.more is None else self.more[which]
+        return Entries(self.key[which], more, self.doc[which], self.pos[which], self.indexed[which])
 
 
 def decide(e: Entries, both_ways: bool) -> tuple[np.ndarray, np.ndarray]:
     """Masks over ``e``: entries whose key an indexed entry of a smaller document has (and, ``both_ways``, indexed
     entries whose key a larger document has); and entries that others elsewhere still need to see."""
-    order = np.lexsort((e.more, e.key))
-    key, more, doc, indexed = e.key[order], e.more[order], e.doc[order], e.indexed[order]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (more[1:] != more[:-1]))) if len(key) else np.zeros(0, bool)
-    starts = np.flatnonzero(new)
-    if not len(starts):
+    if not len(e.key):
         return np.zeros(0, bool), np.zeros(0, bool)
-    group = np.cumsum(new) - 1
+    order = np.argsort(e.key, kind="stable") if e.more is None else np.lexsort((e.more, e.key))
+    new = np.ones(len(order), bool)
+    for x in (e.key, e.more):
+        if x is not None:
+            own = x[order]
+            new[1:] = own[1:] != own[:-1] if x is e.key else new[1:] | (own[1:] != own[:-1])
+    doc, indexed = e.doc[order], e.indexed[order]
+    starts = np.flatnonzero(new)
+    group = np.cumsum(new, dtype=np.int32) - 1
     far = np.iinfo(np.int64).max
     lowest = np.minimum.reduceat(np.where(indexed, doc, far), starts)[group]
     highest = np.maximum.reduceat(doc, starts)[group]
@@ -109,67 +126,82 @@ def decide(e: Entries, both_ways: bool) -> tuple[np.ndarray, np.ndarray]:
     return out_hit, out_needed
 
 
-_PACKED = "bucket int, decided boolean, keys binary, more binary, docs binary, counts binary, pos binary"
-
-
-def _planes(x: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of each number, all first bytes first: equal high bytes lie together."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, :width].T).tobytes()
-
-
-def _unplanes(b: bytes, width: int, kind: str) -> np.ndarray:
-    n = len(b) // width
-    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
-    out[:, :width] = np.frombuffer(b, np.uint8).reshape(width, n).T
-    return out.reshape(-1).view(kind)
-
-
-def _pack(e: Entries, bucket: int, decided: bool, exact: bool) -> tuple:
-    change = np.flatnonzero(np.concatenate(([True], e.doc[1:] != e.doc[:-1])))
-    counts = np.diff(np.append(change, len(e.doc))).astype("<u4")
-    return (
-        bucket, decided,
-        b"" if decided else _planes(e.key.astype("<u8"), 8 if exact else 5),
-        _planes(e.more.astype("<u8"), 8) if exact and not decided else b"",
-        e.doc[change].astype("<i8").tobytes(), _planes(counts, 4), _planes(e.pos.astype("<u4"), 4),
-    )
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
-    names = [x.split()[0] for x in _PACKED.split(", ")]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+#: Columns of packed entries, each with the bytes it takes of a number; what is mostly zero has columns of its own, which
+#: shuffles compress to almost nothing. ``docs`` and counts have an entry for each run of one document.
+_WIDTHS = {"keys": 8, "more": 8, "docs": 8, "counts": 1, "counts_high": 3, "pos": 2, "pos_high": 2}
+_PACKED = "bucket int, decided boolean, " + ", ".join(f"{c} binary" for c in _WIDTHS)
+#: Bytes of a key where its bucket tells the others.
+_SHORT = 5
+
+
+def _binaries(x: np.ndarray | None, first: int, width: int, edges: np.ndarray) -> pa.Array:
+    """Bytes ``first`` to ``first + width`` of each number, as one binary value for each span between ``edges``."""
+    if x is None:
+        return pa.array([b""] * (len(edges) - 1), pa.binary())
+    cut = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize)[:, first : first + width])
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * width).astype(np.int32)), pa.py_buffer(cut)])
+
+
+def _numbers(column: pa.Array, width: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all values of a binary column, from their low bytes, and how many each value has."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False) // width
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    out = np.zeros((len(raw) // width, np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = raw.reshape(-1, width)
+    return out.reshape(-1).view(kind), sizes
+
+
+def _pack(e: Entries, bucket: np.ndarray, decided: bool) -> pa.RecordBatch:
+    """``e``, ordered by ``bucket``, as one row for each bucket."""
+    edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+    own = bucket[edges[:-1]]
+    new_run = np.append(True, (e.doc[1:] != e.doc[:-1]) | (bucket[1:] != bucket[:-1]))
+    runs = np.flatnonzero(new_run)
+    counts = np.diff(np.append(runs, len(bucket))).astype("<u4")
+    run_edges = np.searchsorted(runs, edges)
+    pos, key = e.pos.astype("<u4"), None if decided else e.key
+    width = _SHORT if e.more is None else 8
+    columns = [
+        pa.array(own.astype(np.int32)), pa.array(np.full(len(own), decided)), _binaries(key, 0, width, edges), _binaries(None if decided else e.more, 0, 8, edges),
+        _binaries(e.doc[runs], 0, 8, run_edges), _binaries(counts, 0, 1, run_edges), _binaries(counts, 1, 3, run_edges), _binaries(pos, 0, 2, edges), _binaries(pos, 2, 2, edges),
+    ]
+    return pa.record_batch(columns, names=["bucket", "decided", *_WIDTHS])
+
+
+def _unpack(batch: pa.RecordBatch, short: bool, block: int) -> Entries:
+    """The entries of rows that are alike in ``decided``; without keys where that is true."""
+    column = {n: batch.column(n) for n in _WIDTHS}
+    low, n_keys = _numbers(column["pos"], 2, "<u4")
+    high, _ = _numbers(column["pos_high"], 2, "<u4")
+    counts, _ = _numbers(column["counts"], 1, "<u4")
+    more_counts, _ = _numbers(column["counts_high"], 3, "<u4")
+    docs, _ = _numbers(column["docs"], 8, "<i8")
+    pos, doc = low | (high << np.uint32(16)), np.repeat(docs, counts | (more_counts << np.uint32(8)))
+    if len(batch) and batch.column("decided")[0].as_py():
+        return Entries(np.zeros(0, np.uint64), None, doc, pos, np.zeros(0, bool))
+    if not short:
+        return Entries(_numbers(column["keys"], 8, "<u8")[0], _numbers(column["more"], 8, "<u8")[0], doc, pos, np.ones(len(pos), bool))
+    key, _ = _numbers(column["keys"], _SHORT, "<u8")
+    key |= np.repeat(batch.column("bucket").to_numpy().astype(np.uint64), n_keys) << np.uint64(8 * _SHORT)
+    return Entries(key, None, doc, pos, pos % block == 0)
 
 
 def _send(e: Entries, buckets: int, both_ways: bool) -> Iterator[pa.RecordBatch]:
     """What a batch has decided, and the rest packed by bucket."""
-    exact = not both_ways
     hit, needed = decide(e, both_ways)
-    rows = []
     if hit.any():
-        rows.append(_pack(e.take(hit), int(e.doc[hit][0] % buckets), True, exact))
+        done = e.take(hit)
+        yield _pack(done, np.full(len(done.doc), int(done.doc[0] % buckets), np.int32), True)
     rest = e.take(needed)
-    bucket = ((rest.key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    order = np.argsort(bucket.astype(np.int32), kind="stable")
-    rest, bucket = rest.take(order), bucket[order].astype(np.int64)
-    edges = np.searchsorted(bucket, np.arange(buckets + 1)) if buckets < len(bucket) else None
-    if edges is None:
-        found = np.unique(bucket)
-        spans = [(b, *np.searchsorted(bucket, [b, b + 1])) for b in found]
-    else:
-        spans = [(b, edges[b], edges[b + 1]) for b in range(buckets) if edges[b + 1] > edges[b]]
-    for b, i, j in spans:
-        rows.append(_pack(rest.take(np.arange(i, j)), int(b), False, exact))
-        if len(rows) >= 256:
-            yield _rows(rows)
-            rows = []
-    if rows:
-        yield _rows(rows)
+    if len(rest.key):
+        bucket = (((rest.key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        yield _pack(rest.take(order), bucket[order], False)
 
 
 def _hits(packed: DataFrame, tasks: int, both_ways: bool, block: int) -> DataFrame:
     """(doc_id, pos) decided by batches or, bucket by bucket, among batches."""
-    exact = not both_ways
 
     def out(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch([pa.array(doc), pa.array(pos.astype(np.int32))], names=["doc_id", "pos"])
@@ -177,24 +209,16 @@ def _hits(packed: DataFrame, tasks: int, both_ways: bool, block: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[Entries] = []
         for batch in batches:
-            for r in batch.to_pylist():
-                counts = _unplanes(r["counts"], 4, "<u4")
-                doc = np.repeat(np.frombuffer(r["docs"], "<i8"), counts)
-                pos = _unplanes(r["pos"], 4, "<u4")
-                if r["decided"]:
-                    yield out(doc, pos)
-                    continue
-                if exact:
-                    key, more = _unplanes(r["keys"], 8, "<u8"), _unplanes(r["more"], 8, "<u8")
-                else:
-                    key = _unplanes(r["keys"], 5, "<u8") | np.uint64(r["bucket"] << 40)
-                    more = np.zeros(0, np.uint64)
-                kept.append(Entries(key, more, doc, pos, pos % block == 0 if both_ways else np.ones(len(pos), bool)))
+            decided = batch.column("decided")
+            done = batch.filter(decided)
+            if len(done):
+                e = _unpack(done, both_ways, block)
+                yield out(e.doc, e.pos)
+            kept.append(_unpack(batch.filter(pc.invert(decided)), both_ways, block))
         if kept:
-            e = Entries(*(np.concatenate([getattr(k, f) for k in kept]) for f in ("key", "more", "doc", "pos", "indexed")))
+            join = lambda f: np.concatenate([getattr(k, f) for k in kept])
+            e = Entries(join("key"), None if both_ways else join("more"), join("doc"), join("pos"), join("indexed"))
             kept.clear()
-            if not exact:
-                e.more = np.zeros(len(e.key), np.uint8)
             hit, _ = decide(e, both_ways)
             yield out(e.doc[hit], e.pos[hit])
 
@@ -221,12 +245,13 @@ def _anchor_keys(docs: DataFrame, buckets: int, s: RepeatSettings) -> DataFrame:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             key = rolling_keys(a, block, _BASES[0])
             sizes = np.diff(starts)
-            pos = np.arange(len(a)) - np.repeat(starts[:-1], sizes)
-            ok = ((pos + block <= np.repeat(sizes, sizes)) & np.repeat(sizes >= s.window, sizes))[: len(key)]
-            doc = np.repeat(ids, sizes)[: len(key)][ok]
-            pos = pos[: len(key)][ok]
-            if len(pos):
-                yield from _send(Entries(key[ok], np.zeros(len(pos), np.uint8), doc, pos, pos % block == 0), buckets, True)
+            pos = (np.arange(len(a)) - np.repeat(starts[:-1], sizes)).astype(np.uint32)
+            ok = np.flatnonzero((pos + block <= np.repeat(sizes, sizes)) & np.repeat(sizes >= s.window, sizes))
+            del a
+            if len(ok):
+                doc = np.repeat(ids, sizes)[ok]
+                pos = pos[ok]
+                yield from _send(Entries(key[ok], None, doc, pos, pos % block == 0), buckets, True)
 
     return docs.select("doc_id", "text").mapInArrow(run, _PACKED)
 
@@ -238,24 +263,24 @@ def _window_keys(marked: DataFrame, buckets: int, s: RepeatSettings) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, "text", 6 * s.words_per_batch):
             a, b, starts = word_hashes(batch.column("text"))
-            keys = rolling_keys(a, s.window, _BASES[0]), rolling_keys(b, s.window, _BASES[1])
             which, docs, pos = [], [], []
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):
                 n = int(starts[i + 1] - starts[i])
-                near = np.zeros(n + 1, np.int64)
+                near = np.zeros(n + 1, np.int32)
                 at = np.asarray(batch.column("blocks")[i].values, np.int64)
                 np.add.at(near, np.maximum(0, at + block - s.window), 1)
                 np.add.at(near, np.minimum(n, at + 1), -1)
                 own = np.flatnonzero(np.cumsum(near)[: max(0, n - s.window + 1)] > 0)
                 which.append(own + starts[i])
                 docs.append(np.full(len(own), doc, np.int64))
-                pos.append(own)
+                pos.append(own.astype(np.uint32))
             if which and sum(map(len, which)):
                 at = np.concatenate(which)
-                yield from _send(
-                    Entries(keys[0][at], keys[1][at], np.concatenate(docs), np.concatenate(pos), np.ones(len(at), bool)),
-                    buckets, False,
-                )
+                key = rolling_keys(a, s.window, _BASES[0])[at]
+                del a
+                more = rolling_keys(b, s.window, _BASES[1])[at]
+                del b
+                yield from _send(Entries(key, more, np.concatenate(docs), np.concatenate(pos), np.ones(len(at), bool)), buckets, False)
 
     return marked.mapInArrow(run, _PACKED)
 
@@ -287,29 +312,31 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 def repeated_passages(docs: DataFrame, settings: RepeatSettings = RepeatSettings()) -> tuple[DataFrame, DataFrame]:
     """What each row of ``docs`` (doc_id, text) keeps, as two tables.
 
-    The first has every row: doc_id, n_words, all_sha256 (of its words) and copy, true if nothing is kept because the
-    whole text is a copy. The second has, of other documents, those that lose words: doc_id, cut (words lost), kept
-    (the UTF-8 bytes left) and cut_sha256.
+    The first has every row: doc_id, n_words, all_sha256 (of its words) and copy, true if nothing is kept because all its
+    words are those of a smaller document. The second has, of other documents, those that lose words: doc_id, cut (words
+    lost), kept (the UTF-8 bytes left) and cut_sha256.
 
     A word goes if a window of ``window`` words covers it whose words also start in a document of smaller doc_id.
-    Texts of fewer words stay whole; null and blank texts have no words. Rows of one doc_id must have one text; such
-    repeated rows all get the same result. Whole copies are told by the text itself and never compared by window.
+    Texts of fewer words stay whole; null and blank texts have no words. A row without doc_id is no document of smaller
+    or larger id, so it stays whole and takes nothing from others. Rows of one doc_id must have one text; such repeated
+    rows all get the same result. Whole copies are told by the SHA-256 of their words, windows by 128 bits.
     """
     spark, s = docs.sparkSession, settings
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     words = F.filter(F.split("text", WORD_BREAK), lambda w: w != "")
-    base = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("whole"), F.size(words).cast("long").alias("n_words"),
-                       F.sha2(F.array_join(words, " ").cast("binary"), 256).alias("all_sha256"))
-    base = materialize(base)
-    n_words = base.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    firsts = materialize(base.groupBy("whole").agg(F.min("doc_id").alias("first_id")))
-    state = materialize(base.join(firsts, "whole").withColumn("copy", (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= s.window)).drop("whole", "first_id"))
-
+    base = materialize(docs.select("doc_id", F.size(words).cast("long").alias("n_words"), F.sha2(F.array_join(words, " ").cast("binary"), 256).alias("all_sha256")))
+    firsts = materialize(base.filter(F.col("n_words") >= s.window).groupBy("all_sha256").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")))
+    firsts = firsts.filter("rows > 1").drop("rows")
+    copy = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
+    state = materialize(base.join(firsts, "all_sha256", "left").select(*base.columns, copy.alias("copy")))
+
+    copies = materialize(state.filter("copy").select("doc_id").distinct())
+    single = docs.filter("doc_id IS NOT NULL").join(small(copies, copies.count()), "doc_id", "left_anti")
+    n_words = state.filter("NOT copy").agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     buckets = max(8, -(-n_words // s.keys_per_bucket))
-    tasks = partitions_for(spark, n_words, 2 * s.keys_per_bucket)
-    anchors = _hits(_anchor_keys(docs, buckets, s), tasks, True, s.window // 2)
-    copies = state.filter("copy").select("doc_id").distinct()
-    anchors = materialize(anchors.join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("blocks")))
+    tasks = partitions_for(spark, n_words, s.keys_per_bucket)
+    anchors = _hits(_anchor_keys(single, buckets, s), tasks, True, s.window // 2)
+    anchors = materialize(anchors.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("blocks")))
     n_marked = anchors.count()
     texts = docs.join(small(anchors.select("doc_id"), n_marked), "doc_id", "left_semi")
     marked = materialize(texts.join(anchors, "doc_id").dropDuplicates(["doc_id"]))
