@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest side, in rows, that an operator broadcasts; a side of more rows is joined by shuffle.
-BROADCAST_ROWS = 100_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder for intermediate tables; a temporary one only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+from textloom.sources.scratch import discard, materialize, new_path, shared_dir
 
+__all__ = ["BROADCAST_ROWS", "ascii_lower", "discard", "materialize", "new_path", "partitions_for", "row_keys", "same_row", "shared_dir", "small", "table"]
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Largest side, in rows, that an operator broadcasts; a side of more rows is joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -46,3 +30,12 @@ def ascii_lower(text: Column) -> Column:
 def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
     """So many partitions that each has about ``per_partition`` rows, and at least the session's number."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
+
+
+def row_keys(*cols: str) -> list[Column]:
+    """Columns __id and __row that tell rows apart by doc_id, null included, and by a hash of ``cols``: rows that agree
+    in them are the same to an operator that reads nothing else, so a verdict joins back to just those."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__id"), F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols], *[F.col(c).isNull() for c in cols]).alias("__row")]
+
+
+same_row = ["__id", "__row"]

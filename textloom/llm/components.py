@@ -1,37 +1,7 @@
-"""Connected components of an edge table by repeated contraction."""
+"""Connected components of an edge table, for the operators of this subpackage."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from textloom.operators.graph import connected_components
 
-from textloom.llm.common import materialize
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, label) for every node of ``edges`` (columns a, b: long); label is the component's smallest node.
-
-    Each round maps every node to its smallest neighbour, renames the edges by that map and drops loops
-    and repeats. Nodes with a smaller neighbour vanish, so the edge table shrinks geometrically; a hub
-    costs one row for each of its edges. Self-loops are allowed; an empty table gives an empty result.
-    """
-    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = materialize(
-        edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
-    )
-    edges = edges.filter("a <> b")
-    while not edges.isEmpty():
-        # b's smallest neighbour may be a; a keeps its own name unless it is the larger end of another edge
-        step = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))
-        step = materialize(step)
-        labels = materialize(
-            labels.join(step.withColumnRenamed("node", "label"), "label", "left").select(
-                "node", F.coalesce("to", "label").alias("label")
-            )
-        )
-        ends = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a", "left").join(
-            step.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b"
-        )
-        ends = ends.select(F.coalesce("ta", "a").alias("x"), F.col("tb").alias("y")).filter("x <> y")
-        edges = materialize(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return labels
+__all__ = ["connected_components"]

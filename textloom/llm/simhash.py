@@ -6,7 +6,8 @@ bits are split into parts, each part i gets its own radius t_i with sum(t_i) = m
 (-1 leaves a part out), and every linked pair agrees to within t_i bits in at least one part. Bits
 that correlate go into the same part, and the radii come from dynamic programming over estimated
 candidate counts. Every fingerprint is filed under its own value of each part and under all values
-within the part's radius; rows that share a key are verified on all 64 bits.
+within the part's radius; rows that share a key are verified on all 64 bits. A key that very many fingerprints share is
+searched the same way again on the bits that it leaves open.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize, partitions_for, small, table
+from textloom.llm.common import materialize, partitions_for, row_keys, same_row, small, table
 from textloom.llm.components import connected_components
 
 
@@ -34,8 +35,10 @@ class SimHashSettings:
     max_bits: int = 4
     #: Fingerprints, at most, that the driver takes to plan parts and radii; the result doesn't depend on them.
     plan_sample: int = 4000
-    #: A part value filed under by more fingerprints than this is searched by midpoints instead of in one task.
+    #: A key with more fingerprints than this isn't searched in one task: they are filed anew by parts of the bits left
+    #: open, so often, and what is still as dense then is searched by midpoints.
     hot_value: int = 2048
+    refinements: int = 2
     #: Rows of a key table that one task holds at a time (16 bytes each).
     rows_per_task: int = 1_500_000
 
@@ -62,18 +65,19 @@ def fingerprint_text(text: str | None, k: int, seed: int) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view("<i8")[0])
 
 
-def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, settings: SimHashSettings) -> DataFrame:
-    """(doc_id, fp) for each row of ``docs``; null and empty texts have fingerprint 0."""
+def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, settings: SimHashSettings, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns ``keep`` for each row of ``docs``; null and empty texts have fingerprint 0."""
     k, seed = settings.shingle_words, settings.seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             fps = [fingerprint_text(texts[i].as_py(), k, seed) for i in range(len(texts))]
-            yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *keep])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    kind = lambda c: docs.schema[c].dataType.simpleString()
+    schema = ", ".join([f"doc_id {kind(id_col)}", "fp bigint", *[f"{c} {kind(c)}" for c in keep]])
+    return docs.select(id_col, text_col, *keep).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -158,40 +162,57 @@ def plan_parts(sample: np.ndarray, total: int, max_bits: int) -> list[Part]:
     return best[1]
 
 
-def _part_value(fp: Column, bits: tuple[int, ...]) -> Column:
-    terms = [F.shiftleft(F.shiftrightunsigned(fp, b).bitwiseAND(F.lit(1).cast("long")), i) for i, b in enumerate(bits)]
-    return reduce(lambda x, y: x.bitwiseOR(y), terms)
+def _mixed(key: np.ndarray, part: int, value: np.ndarray) -> np.ndarray:
+    """One number for a key so far, a part and its value; a chance collision only makes two groups one, which is verified."""
+    x = (key ^ (value * np.uint64(0x9E3779B97F4A7C15))) + np.uint64(part + 1) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(32))
 
 
-def _own_keys(fps: DataFrame, parts: list[Part]) -> DataFrame:
-    pieces = [F.struct(F.lit(i).alias("part"), _part_value(F.col("fp"), p.bits).alias("value")) for i, p in enumerate(parts)]
-    return fps.select("fp", F.inline(F.array(*pieces)))
+_KEYS = "key bigint, used bigint, fp bigint"
+
+
+def _key_rows(key: np.ndarray, used: int, fp: np.ndarray) -> pa.RecordBatch:
+    signed = used - (1 << 64) if used >> 63 else used
+    return pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.full(len(key), signed)), pa.array(fp.view(np.int64))], names=["key", "used", "fp"])
+
+
+def _bit_mask(bits: tuple[int, ...] | list[int]) -> int:
+    return sum(1 << b for b in bits)
 
 
 def _keys(fps: DataFrame, parts: list[Part]) -> DataFrame:
-    """(part, value, fp): every fingerprint under all values within the radius of each part."""
+    """(key, used, fp): every fingerprint under all values within the radius of each part; used has the part's bits."""
     masks = [np.array(p.masks, np.uint64) for p in parts]
     bits = [p.bits for p in parts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            all_fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             step = max(1, 200_000 // max(1, sum(map(len, masks))))
             for i in range(0, len(all_fps), step):
-                fps = all_fps[i : i + step]
-                u = fps.view(np.uint64)
+                u = all_fps[i : i + step]
                 for n, (b, m) in enumerate(zip(bits, masks, strict=True)):
                     values = (_extract(u, b)[:, None] ^ m[None, :]).ravel()
-                    yield pa.record_batch(
-                        [
-                            pa.array(np.full(len(values), n, np.int32)),
-                            pa.array(values.view(np.int64)),
-                            pa.array(np.repeat(fps, len(m))),
-                        ],
-                        names=["part", "value", "fp"],
-                    )
+                    yield _key_rows(_mixed(np.zeros(1, np.uint64), n, values), _bit_mask(b), np.repeat(u, len(m)))
+
+    return fps.mapInArrow(run, _KEYS)
+
+
+def _refiled(rows: DataFrame, order: list[int], max_bits: int) -> DataFrame:
+    """Rows of shared keys filed anew: the bits that a key leaves open, in ``order``, are cut into one part more than
+    bits may differ, so that every linked pair of a key agrees in a part of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, used, fp = (c.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in batch.columns)
+            for mask in np.unique(used).tolist():
+                own = np.flatnonzero(used == np.uint64(mask))
+                left = [b for b in order if not mask >> b & 1]
+                for n, bits in enumerate(np.array_split(left, max_bits + 1)):
+                    yield _key_rows(_mixed(key[own], n, _extract(fp[own], bits.tolist())), mask | _bit_mask(bits.tolist()), fp[own])
 
-    return fps.mapInArrow(run, "part int, value bigint, fp bigint")
+    return rows.mapInArrow(run, _KEYS)
 
 
 def link_group(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -210,7 +231,7 @@ def link_group(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
 
 
 def _links(keys: DataFrame, tasks: int, max_bits: int) -> DataFrame:
-    """(a, b): links found among rows that share part and value; at most about one a row of a large group."""
+    """(a, b): links found among rows (key, fp) that share a key; at most about one a row of a large group."""
 
     def signed(x: np.ndarray) -> pa.Array:
         return pa.array(x.astype(np.uint64).view(np.int64))
@@ -219,13 +240,12 @@ def _links(keys: DataFrame, tasks: int, max_bits: int) -> DataFrame:
         cols = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
         if not cols:
             return
-        part, value, fp = (np.concatenate([c[i] for c in cols]) for i in range(3))
+        key, fp = (np.concatenate([c[i] for c in cols]) for i in range(2))
         cols.clear()
         fp = fp.astype(np.int64).view(np.uint64)
-        order = np.lexsort((value, part))
-        part, value, fp = part[order], value[order], fp[order]
-        new = np.concatenate(([True], (part[1:] != part[:-1]) | (value[1:] != value[:-1])))
-        starts = np.flatnonzero(new)
+        order = np.argsort(key, kind="stable")
+        key, fp = key[order], fp[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         sizes = np.diff(np.append(starts, len(fp)))
         row_size = np.repeat(sizes, sizes)
         group = np.repeat(np.arange(len(starts)), sizes)
@@ -242,7 +262,7 @@ def _links(keys: DataFrame, tasks: int, max_bits: int) -> DataFrame:
                 pairs = np.array(links, np.uint64)
                 yield pa.record_batch([signed(pairs[:, 0].copy()), signed(pairs[:, 1].copy())], names=["a", "b"])
 
-    return keys.repartition(tasks, "part", "value").mapInArrow(run, "a bigint, b bigint")
+    return keys.select("key", "fp").repartition(tasks, "key").mapInArrow(run, "a bigint, b bigint")
 
 
 def _midpoint_links(fps: DataFrame, max_bits: int) -> DataFrame:
@@ -261,49 +281,68 @@ def _midpoint_links(fps: DataFrame, max_bits: int) -> DataFrame:
     return links
 
 
+def _all_links(fps: DataFrame, parts: list[Part], s: SimHashSettings) -> DataFrame:
+    """(a, b): links that join all fingerprints ``fps`` within ``max_bits`` of each other."""
+    spark, found = fps.sparkSession, []
+    order = [b for p in parts for b in p.bits]
+    order += [b for b in range(64) if b not in order]
+    keys = _keys(fps, parts)
+    for level in range(s.refinements + 1):
+        keys = materialize(keys)
+        counts = keys.groupBy("key").count()
+        hot = materialize(counts.filter(F.col("count") > s.hot_value).select("key"))
+        n_hot, n_keys = hot.count(), keys.count()
+        single = keys.join(small(hot, n_hot), "key", "left_anti") if n_hot else keys
+        found.append(_links(single, partitions_for(spark, n_keys, s.rows_per_task), s.max_bits))
+        if not n_hot:
+            break
+        shared = keys.join(small(hot, n_hot), "key", "left_semi").select("key", "used", "fp")
+        if level < s.refinements:
+            keys = _refiled(shared, order, s.max_bits)
+        else:
+            found.append(_midpoint_links(shared.select("fp").distinct(), s.max_bits))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, s: SimHashSettings, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, label, component_id) and ``keep`` of each row; label is the smallest fingerprint of the component."""
+    rows = materialize(with_fingerprints(docs, id_col, text_col, s, keep))
+    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    total = fps.count()
+    fps = fps.withColumns({"label": F.col("fp"), "component_id": F.col("first_id")})
+    if total > 1:
+        share = min(1.0, 2 * s.plan_sample / total)
+        sample = fps.select("fp").sample(share, seed=1).limit(s.plan_sample).toPandas()["fp"].to_numpy()
+        parts = plan_parts(sample if len(sample) > 1 else np.array([0, 1]), total, s.max_bits)
+        labels = connected_components(_all_links(fps.select("fp"), parts, s)).select(F.col("node").alias("fp"), F.col("label").alias("found"))
+        fps = fps.select("fp", "first_id").join(labels, "fp", "left").select("fp", "first_id", F.coalesce("found", "fp").alias("label"))
+        fps = materialize(fps)
+        fps = fps.join(fps.groupBy("label").agg(F.min("first_id").alias("component_id")), "label")
+    fps = materialize(fps.select("fp", "label", "component_id"))
+    return rows.join(fps, "fp")
+
+
 def near_duplicate_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: SimHashSettings = SimHashSettings()
 ) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``.
 
-    component_id is the smallest id that links reach, the row's own included. Null, empty and blank texts have
-    fingerprint 0 and link like any other; repeated rows share a fingerprint; an empty table gives no rows.
-    Columns of ``docs`` other than the two named aren't read. Fingerprints are taken once per distinct value from
-    here on, so copies are never paired with each other.
+    component_id is the smallest id that links reach, the row's own included; null ids are passed over, and a component
+    of nothing else has none. Null, empty and blank texts have fingerprint 0 and link like any other; repeated rows
+    share a fingerprint; an empty table gives no rows. Columns of ``docs`` other than the two named aren't read.
+    Fingerprints are taken once per distinct value from here on, so copies are never paired with each other.
     """
-    spark = docs.sparkSession
-    rows = materialize(with_fingerprints(docs, id_col, text_col, settings))
-    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    total = fps.count()
-    if total > 1:
-        share = min(1.0, 2 * settings.plan_sample / total)
-        sample = fps.select("fp").sample(share, seed=1).limit(settings.plan_sample).toPandas()["fp"].to_numpy()
-        parts = plan_parts(sample if len(sample) > 1 else np.array([0, 1]), total, settings.max_bits)
-        own = _own_keys(fps.select("fp"), parts)
-        hot = materialize(own.groupBy("part", "value").count().filter(F.col("count") > settings.hot_value).select("part", "value"))
-        keys = _keys(fps.select("fp"), parts)
-        n_hot, links = hot.count(), None
-        if n_hot:
-            keys = materialize(keys)
-            hot = small(hot, n_hot)
-            links = _midpoint_links(keys.join(hot, ["part", "value"], "left_semi").select("fp").distinct(), settings.max_bits)
-            keys = keys.join(hot, ["part", "value"], "left_anti")
-        n_keys = total * sum(len(p.masks) for p in parts)
-        found = _links(keys.select("part", "value", "fp"), partitions_for(spark, n_keys, settings.rows_per_task), settings.max_bits)
-        labels = connected_components(found if links is None else found.unionByName(links))
-        fps = fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        label_ids = fps.groupBy("label").agg(F.min("first_id").alias("component_id"))
-        fps = fps.join(label_ids, "label")
-    else:
-        fps = fps.withColumn("component_id", F.col("first_id"))
-    fps = materialize(fps.select("fp", "component_id"))
-    return rows.join(fps, "fp").select("doc_id", "fp", "component_id")
+    return _labelled(docs, id_col, text_col, settings).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, settings: SimHashSettings = SimHashSettings()) -> DataFrame:
-    """``docs`` (with unique doc_id) with only the row of smallest doc_id of each near-duplicate component."""
-    keep = near_duplicate_components(docs, settings=settings).filter("doc_id = component_id").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi")
+    """``docs`` with one row of each near-duplicate component: that of the smallest doc_id, ids before null, and of
+    several rows with that id the one whose text has the smallest hash; of repeated rows one stays."""
+    keyed = docs.withColumns(dict(zip(same_row, row_keys("text"), strict=True)))
+    rows = _labelled(keyed, "doc_id", "text", settings, tuple(same_row))
+    best = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), *same_row)).alias("best"))
+    # rows meet their verdict by a shuffle, and repeated ones are then side by side
+    return keyed.join(best.select("best.*").select(*same_row), same_row, "left_semi").dropDuplicates(same_row).select(docs.columns)
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
