@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize, small, table
+from textloom.llm.common import materialize, row_keys, same_row, small, table
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -61,15 +61,16 @@ def chi2_quantile(p: float, k: int) -> float:
     return hi
 
 
-def with_statistics(docs: DataFrame, settings: QualitySettings = QualitySettings()) -> DataFrame:
-    """(doc_id, lang, source, base columns, statistics) of each row of ``docs``; null text has no words."""
+def with_statistics(docs: DataFrame, settings: QualitySettings = QualitySettings(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang, source, base columns, statistics) and ``keep`` of each row of ``docs``; null text has no words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("doc_id", "lang", "source", text.alias("text"))
+    own = ("doc_id", "lang", "source", *keep)
+    d = docs.select(*own, text.alias("text"))
     d = d.withColumn("words", F.filter(F.split("text", WORD_BREAK), lambda w: w != ""))
     d = d.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.select(
-        "doc_id", "lang", "source", "hashes", F.size("words").cast("long").alias("n_words"),
+        *own, "hashes", F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace("text", r"\P{Lu}+", "")).cast("long").alias("n_capitals"),
@@ -87,13 +88,13 @@ def with_statistics(docs: DataFrame, settings: QualitySettings = QualitySettings
         lambda s, x: F.struct(x.alias("last"), (s["n"] + F.least(F.lit(3), x - s["last"])).alias("n")),
     )["n"]
     d = d.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_capitals", F.size("lines").alias("n_lines"),
+        *own, "n_words", "word_chars", "n_symbols", "n_capitals", F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), covered.alias("n_repeat_words"),
     )
     w = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     failed = (F.col("n_words") < settings.min_words) | (100 * F.col("n_repeat_words") > settings.max_repeat_percent * F.col("n_words"))
     return d.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        *own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         F.log1p(F.col("n_words").cast("double")).alias("length"),
         F.log((F.col("word_chars") + 1) / (w + 1)).alias("word_length"),
         F.sqrt(F.col("n_symbols") / w).alias("symbols"),
@@ -185,8 +186,9 @@ def _estimate(rows: DataFrame, s: QualitySettings) -> DataFrame:
     return params.drop("log_det", "done")
 
 
-def judge_quality(docs: DataFrame, settings: QualitySettings = QualitySettings()) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept) of each row.
+def judge_quality(docs: DataFrame, settings: QualitySettings = QualitySettings(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept) and the columns
+    ``keep`` of each row.
 
     Null language or source is a group of its own; null and blank texts have no words and fail the base rule. Small
     groups take the estimate of their language, small languages that of all rows. Repeated rows are judged alike;
@@ -194,7 +196,7 @@ def judge_quality(docs: DataFrame, settings: QualitySettings = QualitySettings()
     """
     s = settings
     names = [n for n, _ in s.floors]
-    rows = with_statistics(docs, s)
+    rows = with_statistics(docs, s, keep)
     rows = rows.withColumns({"g_lang": F.concat(F.lit("="), F.coalesce("lang", F.lit(""))), "g_source": F.concat(F.lit("="), F.coalesce("source", F.lit("")))})
     rows = rows.withColumns({"g_lang": F.when(F.col("lang").isNull(), "").otherwise(F.col("g_lang")), "g_source": F.when(F.col("source").isNull(), "").otherwise(F.col("g_source")), "g_all": F.lit("all")})
     rows = materialize(rows.drop("lang", "source"))
@@ -209,12 +211,14 @@ def judge_quality(docs: DataFrame, settings: QualitySettings = QualitySettings()
     judged = judged.withColumn("e", F.coalesce("e0", "e1", "e2")).select(*rows.columns, "e.*")
     judged = judged.withColumn("distance", _distance(names))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= F.lit(cutoff))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"), *keep)
 
 
 def keep_good(docs: DataFrame, settings: QualitySettings = QualitySettings()) -> DataFrame:
-    """The rows of ``docs`` (unique doc_id) that the rules keep."""
-    return docs.join(judge_quality(docs, settings).filter("kept").select("doc_id"), "doc_id", "left_semi")
+    """The rows of ``docs`` that the rules keep, whatever their doc_id, null and repeated ones too."""
+    keyed = docs.withColumns(dict(zip(same_row, row_keys("text", "lang", "source"), strict=True)))
+    good = judge_quality(keyed, settings, tuple(same_row)).filter("kept").select(*same_row)
+    return keyed.join(good, same_row, "left_semi").select(docs.columns)
 
 
 def op8_mcd_quality_rules(spark, sf_dir: str) -> DataFrame:
