@@ -8,16 +8,19 @@ be inside an occurrence, so they only separate runs; runs shorter than the short
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textloom.llm.common import table
+from textloom.llm.common import materialize, row_keys, same_row, table
 from textloom.llm.substrings import _slices
 
 
@@ -27,9 +30,11 @@ class DecontaminationSettings:
     window: int = 10
     #: Every so many text positions one is kept in the index.
     position_sample: int = 8
-    #: Bytes of text in a shard, and of benchmark text whose phrases are searched at a time.
+    #: Bytes of text in a shard, and of benchmark text whose phrases one pass over the documents searches, about.
     shard_bytes: int = 16_000_000
-    item_block_bytes: int = 32_000_000
+    item_block_bytes: int = 8_000_000
+    #: Phrases that a task searches at a time.
+    phrases_at_once: int = 100_000
 
 
 _END, _BREAK, _FIRST = 0, 1, 2
@@ -152,32 +157,52 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """Phrases of a block of items: their words, as symbols, and the items that have each."""
+    """Distinct phrases of a block of items: word numbers of the items one after another, where in them each phrase starts
+    and how long it is, and the items that have each (those of phrase i are ``having[edges[i]:edges[i + 1]]``)."""
 
     vocabulary: pa.Array
-    symbols: np.ndarray
+    words: np.ndarray
+    starts: np.ndarray
     lengths: np.ndarray
-    items: list[tuple[str, ...]]
+    edges: np.ndarray
+    having: np.ndarray
+    names: list[str | None]
 
     @classmethod
-    def of(cls, items: list[tuple[str, str]], window: int) -> Phrases | None:
-        words, firsts, _, _ = split_words(pa.array([t for _, t in items], pa.large_string()))
-        coded = words.dictionary_encode()
-        ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + _FIRST
-        having: dict[tuple[int, ...], set[str]] = {}
-        for n, (item, _) in enumerate(items):
-            own = tuple(ids[firsts[n] : firsts[n + 1]].tolist())
-            for i in range(max(1, len(own) - window + 1) if own else 0):
-                having.setdefault(own[i : i + window], set()).add(item)
-        if not having:
+    def of(cls, items: pa.Array, texts: pa.Array, window: int) -> Phrases | None:
+        """None if no item has a word. Items of one name count as one."""
+        found, firsts, _, _ = split_words(texts)
+        coded = found.dictionary_encode()
+        words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32) + _FIRST
+        sizes = np.diff(firsts)
+        many = np.where(sizes > 0, np.maximum(1, sizes - window + 1), 0)
+        if not many.sum():
             return None
-        width = max(map(len, having))
-        symbols = np.array([(_BREAK,) * (width - len(p)) + p for p in having], np.int64)
-        lengths = np.array([len(p) for p in having])
-        return cls(coded.dictionary, symbols, lengths, [tuple(sorted(x)) for x in having.values()])
-
-
-def find_phrases(texts: pa.Array, phrases: Phrases, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+        item = np.repeat(np.arange(len(sizes)), many)
+        starts = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + firsts[:-1][item]
+        lengths = np.minimum(window, sizes[item])
+        named = items.dictionary_encode()
+        name = named.indices.fill_null(len(named.dictionary)).to_numpy(zero_copy_only=False)[item]
+        _, first, same = np.unique(cls.padded(words, starts, lengths, window), axis=0, return_index=True, return_inverse=True)
+        pairs = np.unique(np.stack((same.ravel(), name)), axis=1)
+        edges = np.searchsorted(pairs[0], np.arange(len(first) + 1))
+        return cls(coded.dictionary, words, starts[first], lengths[first], edges, pairs[1].astype(np.int32), [*named.dictionary.to_pylist(), None])
+
+    @staticmethod
+    def padded(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
+        """Phrases as rows of ``width`` symbols, shorter ones filled up on the left."""
+        at = starts[:, None] + lengths[:, None] - np.arange(width, 0, -1)
+        return np.where(at >= starts[:, None], words[np.maximum(at, 0)], np.int32(_BREAK))
+
+    def blocks(self, at_once: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of the first, symbols, lengths) of so many phrases at a time."""
+        width = int(self.lengths.max())
+        for i in range(0, len(self.starts), at_once):
+            own = slice(i, i + at_once)
+            yield i, self.padded(self.words, self.starts[own], self.lengths[own], width).astype(np.int64), self.lengths[own]
+
+
+def find_phrases(texts: pa.Array, phrases: Phrases, s: DecontaminationSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
     """Occurrences in a shard: (first word in the shard, phrase), each text's first word, and words' byte bounds."""
     words, firsts, starts, ends = split_words(texts)
     at = pc.fill_null(pc.index_in(words, phrases.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -199,50 +224,57 @@ def find_phrases(texts: pa.Array, phrases: Phrases, sample: int) -> tuple[np.nda
     symbols[-1] = _END
     word_at = np.full(len(symbols), -1, np.int64)
     word_at[place] = kept
-    index = FMIndex(symbols, sample)
-    lo, hi = index.search(phrases.symbols, phrases.lengths)
-    found = np.flatnonzero(hi > lo)
-    many = (hi - lo)[found]
-    which = np.repeat(found, many)
-    rows = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo[found], many)
-    return word_at[index.locate(rows)], which, firsts, (starts, ends)
-
-
-_FOUND = "n_words bigint, spans array<struct<first:bigint,end:bigint,from_byte:bigint,to_byte:bigint>>, items array<string>"
-
-
-def contamination(docs: DataFrame, items: DataFrame, settings: DecontaminationSettings = DecontaminationSettings()) -> DataFrame:
-    """(doc_id, n_words, spans, items) of each row of ``docs`` (doc_id, text), for ``items`` (item_id, text).
-
-    spans are the merged word ranges [first, end) that phrases cover, with their byte ranges in the UTF-8 text; items
-    are the ids, as strings, of items with a phrase in the text, sorted. Null and blank texts have no words and no
-    spans; items without words have no phrase; repeated rows count each for itself; other columns aren't read.
-    """
-    spark, s = docs.sparkSession, settings
-    items = items.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    index = FMIndex(symbols, s.position_sample)
+    places, which = [none], [none]
+    for first, block, lengths in phrases.blocks(s.phrases_at_once):
+        lo, hi = index.search(block, lengths)
+        found = np.flatnonzero(hi > lo)
+        many = (hi - lo)[found]
+        rows = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo[found], many)
+        places.append(word_at[index.locate(rows)])
+        which.append(np.repeat(found + first, many))
+    return np.concatenate(places), np.concatenate(which), firsts, (starts, ends)
+
+
+_SPAN = T.StructType([T.StructField(n, T.LongType()) for n in ("first", "end", "from_byte", "to_byte")])
+_FOUND = T.StructType([
+    T.StructField("__n_words", T.LongType()), T.StructField("__spans", T.ArrayType(_SPAN)), T.StructField("__items", T.ArrayType(T.StringType())),
+])
+
+
+def _phrase_blocks(items: DataFrame, s: DecontaminationSettings) -> Iterator[bytes]:
+    """Phrases of each block of ``items`` (item, text), pickled: made by a task each, taken by the driver one at a time."""
     n_bytes = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = -(-n_bytes // s.item_block_bytes) or 1
-    out = docs.select("doc_id", "text", F.array().cast("array<bigint>").alias("cover"), F.array().cast("array<string>").alias("items"))
+
+    def made(key: tuple, block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        item, text = (block.column(c).combine_chunks() for c in ("item", "text"))
+        return pa.table({"block": [key[0].as_py()], "data": [pickle.dumps(Phrases.of(item, text, s.window))]}, schema=pa.schema([("block", pa.int32()), ("data", pa.binary())]))
+
+    # an item's hash and length deal it, so that repeated names with other texts may part
+    cut = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).cast("int"))
+    made_blocks = materialize(cut.groupBy("block").applyInArrow(made, "block int, data binary"))
     for b in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else items
-        phrases = Phrases.of([(r["item"], r["text"]) for r in block.collect()], s.window)  # bounded by item_block_bytes
-        out = _search_block(out, spark.sparkContext.broadcast(phrases), s, last=b == blocks - 1)
-    return out
+        row = made_blocks.filter(F.col("block") == b).select("data").head()
+        if row:
+            yield bytes(row["data"])
 
 
-def _search_block(docs: DataFrame, shared, s: DecontaminationSettings, last: bool) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, " + (_FOUND if last else "text string, cover array<bigint>, items array<string>")
+def _searched(docs: DataFrame, phrases: bytes | None, s: DecontaminationSettings) -> DataFrame:
+    """``docs`` (with text) with __n_words, and __spans and __items of the given phrases."""
+    shared = docs.sparkSession.sparkContext.broadcast(phrases)
+    span = pa.struct([(n, pa.int64()) for n in ("first", "end", "from_byte", "to_byte")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = shared.value
+        phrases = pickle.loads(shared.value) if shared.value else None
         for batch in _slices(batches, "text", s.shard_bytes):
-            texts = batch.column("text")
+            texts, none = batch.column("text"), np.zeros(0, np.int64)
             if phrases is None:
                 _, firsts, starts, ends = split_words(texts)
-                first = which = np.zeros(0, np.int64)
+                first = which = none
             else:
-                first, which, firsts, (starts, ends) = find_phrases(texts, phrases, s.position_sample)
+                first, which, firsts, (starts, ends) = find_phrases(texts, phrases, s)
             cover = np.zeros(len(starts) + 1, np.int64)
             if len(first):
                 np.add.at(cover, first, 1)
@@ -251,51 +283,88 @@ def _search_block(docs: DataFrame, shared, s: DecontaminationSettings, last: boo
             doc_of = np.searchsorted(firsts, first, side="right") - 1
             having: dict[int, set[str]] = {}
             for d, p in np.unique(np.stack((doc_of, which)), axis=1).T.tolist() if len(first) else ():
-                having.setdefault(d, set()).update(phrases.items[p])
-            spans, covers, found = [], [], []
-            for i, (before, items) in enumerate(zip(batch.column("cover"), batch.column("items"), strict=True)):
-                a, z = int(firsts[i]), int(firsts[i + 1])
-                own = cover[a:z]
-                if len(before):
-                    own = own.copy()
-                    own[np.asarray(before.values)] = True
-                found.append(sorted(having.get(i, set()) | set(items.as_py())))
-                if last and not own.any():
-                    spans.append([])
-                elif last:
-                    edges = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0])))).reshape(-1, 2)
-                    spans.append([{"first": x, "end": y, "from_byte": starts[a + x], "to_byte": ends[a + y - 1]} for x, y in edges.tolist()])
-                else:
-                    covers.append(np.flatnonzero(own))
-            items = pa.array(found, pa.list_(pa.string()))
-            if last:
-                span = pa.struct([(n, pa.int64()) for n in ("first", "end", "from_byte", "to_byte")])
-                cols = [batch.column("doc_id"), pa.array(np.diff(firsts)), pa.array(spans, pa.list_(span)), items]
-                yield pa.record_batch(cols, names=["doc_id", "n_words", "spans", "items"])
-            else:
-                cols = [batch.column("doc_id"), texts, pa.array(covers, pa.list_(pa.int64())), items]
-                yield pa.record_batch(cols, names=["doc_id", "text", "cover", "items"])
+                having.setdefault(d, set()).update(phrases.names[i] for i in phrases.having[phrases.edges[p] : phrases.edges[p + 1]])
+            spans, found = [], []
+            for i in range(len(batch)):
+                a, own = int(firsts[i]), cover[firsts[i] : firsts[i + 1]]
+                found.append(sorted(having.get(i, set()) - {None}))
+                edges = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0])))).reshape(-1, 2) if own.any() else none.reshape(0, 2)
+                spans.append([{"first": x, "end": y, "from_byte": starts[a + x], "to_byte": ends[a + y - 1]} for x, y in edges.tolist()])
+            new = [pa.array(np.diff(firsts)), pa.array(spans, pa.list_(span)), pa.array(found, pa.list_(pa.string()))]
+            yield pa.record_batch([*batch.columns, *new], names=[*batch.schema.names, *_FOUND.names])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *_FOUND.fields]))
 
-    return docs.mapInArrow(run, schema)
+
+def _merged(spans: Column) -> Column:
+    """Spans by place, with those that touch made one."""
+
+    def step(out: Column, x: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        both = F.struct(last["first"].alias("first"), F.greatest(last["end"], x["end"]).alias("end"), last["from_byte"].alias("from_byte"), F.greatest(last["to_byte"], x["to_byte"]).alias("to_byte"))
+        return F.when(last["end"] >= x["first"], F.concat(F.slice(out, 1, F.size(out) - 1), F.array(both))).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(T.ArrayType(_SPAN)), step)
+
+
+def _with_findings(docs: DataFrame, items: DataFrame, s: DecontaminationSettings) -> DataFrame:
+    """``docs`` (doc_id, text, and more) with __n_words, __spans and __items.
+
+    One block of phrases takes one narrow pass over the documents. Further blocks take further passes, of which only
+    rows with findings are kept; these are put together by row and joined to the documents once.
+    """
+    items = items.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    blocks = list(_passes(docs, items, s))
+    if len(blocks) == 1:
+        return blocks[0]
+    keyed = docs.withColumns(dict(zip(same_row, row_keys("text"), strict=True)))
+    each = [b.withColumns(dict(zip(same_row, row_keys("text"), strict=True))).filter(F.size("__spans") > 0).select(*same_row, *_FOUND.names).dropDuplicates(same_row) for b in blocks]
+    found = reduce(DataFrame.unionByName, each).groupBy(*same_row).agg(F.flatten(F.collect_list("__spans")).alias("__spans"), F.flatten(F.collect_list("__items")).alias("__items"))
+    found = materialize(found.select(*same_row, _merged(F.col("__spans")).alias("__spans"), F.array_sort(F.array_distinct("__items")).alias("__items")))
+    counted = _searched(keyed, None, s).drop("__spans", "__items").join(found, same_row, "left")
+    empty = {c: F.coalesce(F.col(c), F.array().cast(_FOUND[c].dataType)) for c in ("__spans", "__items")}
+    return counted.withColumns(empty).select(*docs.columns, *_FOUND.names)
+
+
+def _passes(docs: DataFrame, items: DataFrame, s: DecontaminationSettings) -> Iterator[DataFrame]:
+    some = False
+    for block in _phrase_blocks(items, s):
+        some = True
+        yield _searched(docs, block, s)
+    if not some:
+        yield _searched(docs, None, s)
+
+
+def contamination(docs: DataFrame, items: DataFrame, settings: DecontaminationSettings = DecontaminationSettings()) -> DataFrame:
+    """(doc_id, n_words, spans, items) of each row of ``docs`` (doc_id, text), for ``items`` (item_id, text).
+
+    spans are the merged word ranges [first, end) that phrases cover, with their byte ranges in the UTF-8 text; items
+    are the ids, as strings, of items with a phrase in the text, sorted. Null and blank texts have no words and no
+    spans; items without words have no phrase; an item without id covers words but can't be listed; repeated rows count
+    each for itself; other columns aren't read.
+    """
+    found = _with_findings(docs.select("doc_id", "text"), items, settings)
+    return found.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__spans").alias("spans"), F.col("__items").alias("items"))
 
 
 def remove_contamination(docs: DataFrame, items: DataFrame, settings: DecontaminationSettings = DecontaminationSettings()) -> DataFrame:
-    """``docs`` (unique doc_id) with the text of every covered span taken out; n_chars, if there, follows the text.
+    """``docs`` with the text of every covered span taken out; n_chars, if there, follows the text.
 
-    A text is cut from the first byte of a span's first word to the last byte of its last; the rest stays as it is.
+    A text is cut from the first byte of a span's first word to the last byte of its last; the rest stays as it is. Rows
+    with null or repeated doc_id are cut each by its own spans.
     """
-    spans = contamination(docs, items, settings).filter(F.size("spans") > 0).select("doc_id", "spans")
-    raw = F.encode("text", "UTF-8")
-    n = F.size("spans")
+    out = _with_findings(docs, items, settings)
+    raw, spans = F.encode("text", "UTF-8"), F.col("__spans")
+    n = F.size(spans)
     gap = lambda i: F.substring(  # noqa: E731  what stands before span i, or after the last one
         raw,
-        F.when(i == 0, F.lit(1)).otherwise(F.get("spans", i - 1)["to_byte"] + 1).cast("int"),
-        (F.when(i == n, F.octet_length("text")).otherwise(F.get("spans", i)["from_byte"]) - F.when(i == 0, F.lit(0)).otherwise(F.get("spans", i - 1)["to_byte"])).cast("int"),
+        F.when(i == 0, F.lit(1)).otherwise(F.get(spans, i - 1)["to_byte"] + 1).cast("int"),
+        (F.when(i == n, F.octet_length("text")).otherwise(F.get(spans, i)["from_byte"]) - F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["to_byte"])).cast("int"),
     )
     rest = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.decode(gap(i), "UTF-8")), "")
-    out = docs.join(spans, "doc_id", "left").withColumn("text", F.when(F.col("spans").isNotNull(), rest).otherwise(F.col("text")))
+    out = out.withColumn("text", F.when(n > 0, rest).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(n > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 
