@@ -1,20 +1,24 @@
 """Sharding by sampled splitters: shards of nearly equal bytes, equal texts side by side.
 
-Records are ordered by (hash of the text, doc_id). A size-weighted sample of these keys gives the splitters of many
-more ranges than shards; records are range-partitioned by them, the exact bytes of every range are summed, and a
-range that is still overfull is subdivided at keys of its own sample. Each record's place in the byte order is then
-its range's start plus a running sum inside the range, and the place decides the shard.
+Records are ordered by (hash of the text, hash of the record). A size-weighted sample of these keys gives the splitters
+of many more ranges than shards; records are range-partitioned by them, the exact bytes of every range are summed, and a
+range that is still overfull is subdivided at keys of its own sample. A group of equal texts that is a good part of a
+shard has ranges of its own: it goes whole to the emptiest shard, and only one that has no room there is split. The
+other ranges, in order, fill what room is left. The driver plans ranges and such groups, whose number follows from the
+number of shards; whatever grows with the rows (cells of a range, running sums) stays on the executors.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from collections import defaultdict
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize, partitions_for, table
+from textloom.llm.common import materialize, small, table
 
 
 @dataclass(frozen=True)
@@ -22,146 +26,196 @@ class ShardSettings:
     shards: int = 24
     #: Bytes counted for each record besides its text's.
     record_bytes: int = 8
-    #: Ranges for each shard, at least; larger inputs get one for about every ``rows_per_range`` rows.
+    #: Ranges for each shard, and sampled keys for each range: what the driver plans with, whatever the number of rows.
     ranges_per_shard: int = 8
-    rows_per_range: int = 100_000
-    #: Sampled keys for each range.
     samples_per_range: int = 40
     #: A range of more than so many times the mean bytes is subdivided.
     overfull: float = 2.0
-    #: Equal texts stay in one shard up to this share of a shard's bytes; beyond it they are split.
-    whole_group: float = 0.01
+    #: Rows of a cell, about: a range's running sum is taken cell by cell.
+    rows_per_cell: int = 100_000
+    #: A group of equal texts of more than this share of a shard's bytes is placed by the plan.
+    planned_group: float = 0.01
 
 
 Key = tuple[int, int]
+_LOWEST = -(1 << 63)
 
 
-def _weighted_sample(keyed: DataFrame, rows: int, total: int, wanted: int) -> list[Key]:
+def _weighted_sample(keyed: DataFrame, total: int, wanted: int) -> list[Key]:
     """Keys drawn with a chance in proportion to size, about ``wanted``; a record of many shares counts many times."""
     share = F.col("size") * F.lit(wanted / max(1, total))
     # a hash of the key stands for the draw, so that a repeated task draws the same
-    draw = F.pmod(F.xxhash64("h", "doc_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64("h", "d", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = (F.floor(share) + (draw < share - F.floor(share)).cast("int")).cast("int")
-    drawn = keyed.select("h", "doc_id", times.alias("n")).filter("n > 0").limit(4 * wanted)
-    return sorted((r["h"], r["doc_id"]) for r in drawn.collect() for _ in range(min(r["n"], wanted)))
-
-
-def splitters(sample: list[Key], ranges: int) -> list[Key]:
-    """Quantile keys. A hash that is a quantile once starts at its first doc_id, so that its texts stay together;
-    one that is a quantile more often is heavy and is split by doc_id."""
-    if not sample:
-        return []
-    at = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)})
-    times: dict[int, int] = {}
-    for h, _ in at:
-        times[h] = times.get(h, 0) + 1
-    lowest = -(1 << 63)
-    return sorted({(h, lowest) for h in times} | {(h, d) for h, d in at if times[h] > 1})
-
-
-def _range_of(bounds: list[Key]) -> Column:
-    """The number of the range that (h, doc_id) is in, by a search in ``bounds``, whose number is planned."""
-    hs = [h for h, _ in bounds]
-    first_of: dict[int, int] = {}
-    for i, h in enumerate(hs):
-        first_of.setdefault(h, i)
-    heavy = [h for h in first_of if hs.count(h) > 1] if len(set(hs)) < len(hs) else []
+    drawn = keyed.select("h", "d", times.alias("n")).filter("n > 0")
+    return sorted((r["h"], r["d"]) for r in drawn.collect() for _ in range(min(r["n"], wanted)))
 
+
+def splitters(sample: list[Key], ranges: int, groups: set[int]) -> list[Key]:
+    """Quantile keys. Within a hash of ``groups`` they are record keys, and it begins and ends at one; any other hash
+    that is a quantile starts a range with its first record, so that its texts stay together."""
+    at = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if sample else []
+    own = {(h, d if h in groups else _LOWEST) for h, d in at}
+    return sorted(own | {(h, _LOWEST) for h in groups} | {(h + 1, _LOWEST) for h in groups if h + 1 < 1 << 63})
+
+
+def range_of(h: np.ndarray, d: np.ndarray, bounds: list[Key]) -> np.ndarray:
+    """The number of the range of each key: how many of ``bounds`` aren't above it."""
+    hs, ds = (np.array([b[i] for b in bounds], np.int64) for i in range(2))
+    out = np.searchsorted(hs, h, side="right")
+    first = np.searchsorted(hs, h, side="left")
+    inside = np.flatnonzero(out - first > 1)  # hashes at which more than one range begins
+    for x in np.unique(h[inside]):
+        own = inside[h[inside] == x]
+        a, z = int(first[own[0]]), int(out[own[0]])
+        out[own] = a + np.searchsorted(ds[a:z], d[own], side="right")
+    return out
+
+
+def _range_column(bounds: list[Key]) -> Column:
     @F.pandas_udf("int")
-    def find(h, d):
-        import numpy as np
+    def find(h: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series(range_of(h.to_numpy(), d.to_numpy(), bounds).astype("int32"))
+
+    return find("h", "d")
+
+
+Segment = tuple[int, float, float, int]  # range, first and last byte in it, shard
+
 
-        out = np.searchsorted(np.array(hs, np.int64), h.to_numpy(), side="right")
-        for x in heavy:
-            own = np.flatnonzero(h.to_numpy() == x)
-            ids = [k[1] for k in bounds if k[0] == x]
-            out[own] = first_of[x] + np.searchsorted(np.array(ids, np.int64), d.to_numpy()[own], side="right")
-        return __import__("pandas").Series(out.astype("int32"))
+def _level(loads: list[float], more: float) -> float:
+    """The height that shards reach if ``more`` bytes fill the emptiest ones up."""
+    for n, load in enumerate(sorted(loads), 1):
+        height = (more + sum(sorted(loads)[:n])) / n
+        if n == len(loads) or height <= sorted(loads)[n]:
+            return height
+    return more
 
-    return find("h", "doc_id")
+
+def plan_shards(sizes: list[int], records: list[int], group_of: list[int | None], shards: int) -> list[Segment]:
+    """Which bytes of each range go to which shard, for ranges' ``sizes``, ``records`` and the group, if any, of each.
+
+    Groups go whole to the emptiest shard, the largest first; one with no room there is cut over the emptiest shards,
+    unless it is a single record. The other ranges fill the shards' room in order.
+    """
+    loads, left = [0.0] * shards, float(sum(sizes))
+    out: list[Segment] = []
+
+    def cut(ranges: list[int], order: list[int], room: list[float]) -> None:
+        order = [s for s in order if room[s] > 0] or order[:1]
+        for r in ranges:
+            at = 0.0
+            while len(order) > 1 and sizes[r] - at > room[order[0]]:
+                s = order.pop(0)
+                out.append((r, at, at + room[s], s))
+                at, loads[s] = at + room[s], loads[s] + room[s]
+            s = order[0]
+            out.append((r, at, float("inf"), s))
+            room[s] -= sizes[r] - at
+            loads[s] += sizes[r] - at
+
+    groups: dict[int, list[int]] = defaultdict(list)
+    for r, g in enumerate(group_of):
+        if g is not None:
+            groups[g].append(r)
+    for ranges in sorted(groups.values(), key=lambda x: (-sum(sizes[r] for r in x), x)):
+        total, height = sum(sizes[r] for r in ranges), _level(loads, left)
+        order = sorted(range(shards), key=lambda s: (loads[s], s))
+        whole = loads[order[0]] + total <= height or sum(records[r] for r in ranges) == 1
+        cut(ranges, order[:1] if whole else order, [height - x for x in loads])
+        left -= total
+    cut([r for r, g in enumerate(group_of) if g is None], list(range(shards)), [_level(loads, left) - x for x in loads])
+    return out
 
 
 def shard_by_bytes(docs: DataFrame, settings: ShardSettings = ShardSettings()) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of each record of ``docs`` (doc_id, text).
 
     size is the text's UTF-8 bytes (null: none) plus ``record_bytes``. Shards' bytes differ by at most about one record
-    or one whole group of equal texts at each end. slot counts a shard's records from 0. Rows with equal doc_id and
-    text are ordered arbitrarily among themselves; other columns aren't read; an empty table gives no rows.
+    or one small group of equal texts at each end. Equal texts, null as empty, are in one shard unless their group has
+    room in none. slot counts a shard's records from 0. Rows with null or repeated doc_id are records like others;
+    other columns aren't read; an empty table gives no rows.
     """
     spark, s = docs.sparkSession, settings
-    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    text = F.coalesce("text", F.lit(""))
     keyed = materialize(
         docs.select(
             F.col("doc_id").cast("long"),
-            (F.octet_length(F.coalesce("text", F.lit(""))) + s.record_bytes).cast("long").alias("size"),
-            F.crc32(raw).cast("long").alias("text_crc32"),
-            F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"),
+            (F.octet_length(text) + s.record_bytes).cast("long").alias("size"),
+            F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
+            F.xxhash64(text).alias("h"),
+            # tells repeated rows apart, so that they too can be split
+            F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("d"),
         )
     )
-    rows, total = keyed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    ranges = max(s.shards * s.ranges_per_shard, -(-rows // s.rows_per_range))
-    bounds = splitters(_weighted_sample(keyed, rows, total, ranges * s.samples_per_range), ranges)
-
-    def measured(bounds: list[Key]) -> tuple[DataFrame, dict[int, int]]:
-        ranged = keyed.withColumn("range", _range_of(bounds))
-        return ranged, {r["range"]: r["size"] for r in ranged.groupBy("range").agg(F.sum("size").alias("size")).collect()}
+    total = keyed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # at most shards / planned_group rows, a number set by the plan
+    large = keyed.groupBy("h").agg(F.sum("size").alias("size")).filter(F.col("size") > s.planned_group * total / s.shards)
+    groups = {r["h"] for r in large.select("h").collect()}
+    ranges = s.shards * s.ranges_per_shard
+    bounds = splitters(_weighted_sample(keyed, total, ranges * s.samples_per_range), ranges, groups)
+
+    def measured(bounds: list[Key]) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+        ranged = keyed.withColumn("range", _range_column(bounds))
+        found = ranged.groupBy("range").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+        return ranged, {r["range"]: (r["size"], r["n"]) for r in found}
 
     ranged, sizes = measured(bounds)
     mean = total / ranges
-    over = [r for r, n in sizes.items() if n > s.overfull * mean]
+    over = [r for r, (n, _) in sizes.items() if n > s.overfull * mean]
     if over:
-        more = ranged.filter(F.col("range").isin(over)).select("h", "doc_id", "size")
-        n = sum(sizes[r] for r in over)
+        n = sum(sizes[r][0] for r in over)
         wanted = -(-2 * n // max(1, int(mean)))
-        extra = splitters(_weighted_sample(more, rows, n, wanted * s.samples_per_range), wanted)
-        bounds = sorted({*bounds, *extra})
+        more = _weighted_sample(ranged.filter(F.col("range").isin(over)), n, wanted * s.samples_per_range)
+        bounds = sorted({*bounds, *splitters(more, wanted, groups)})
         ranged, sizes = measured(bounds)
 
-    starts, at = [], 0
-    for r in range(len(bounds) + 1):
-        starts.append((r, at))
-        at += sizes.get(r, 0)
+    group_of = [None, *[h if h in groups else None for h, _ in bounds]]
+    n_bytes, n_rows = ([sizes.get(r, (0, 0))[i] for r in range(len(group_of))] for i in range(2))
+    plan = plan_shards(n_bytes, n_rows, group_of, s.shards)
+    edges = [(_LOWEST, _LOWEST), *bounds, ((1 << 63) - 1, _LOWEST)]
+    cuts = []
+    for r, g in enumerate(group_of):
+        (h, d), (next_h, next_d) = edges[r], edges[r + 1]
+        lo, hi = (h, next_h) if g is None else (d, next_d if next_h == h else (1 << 63) - 1)
+        cuts.append((r, g is not None, float(lo), max(1.0, float(hi) - float(lo)), max(1, -(-n_rows[r] // s.rows_per_cell))))
     # as many rows as there are ranges, a number set by the plan
-    range_start = F.broadcast(spark.createDataFrame(starts, "range int, range_start bigint"))
-    shard_bytes = max(1.0, total / s.shards)
-    in_range = Window.partitionBy("range").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    group = Window.partitionBy("range", "h")
-    placed = (
-        ranged.repartition(partitions_for(spark, rows, 4 * s.rows_per_range), "range")
-        .withColumn("upto", F.sum("size").over(in_range))
-        .withColumn("group_bytes", F.sum("size").over(group))
+    cuts_df = F.broadcast(spark.createDataFrame(cuts, "range int, by_record boolean, lo double, width double, cells int"))
+    plan_df = F.broadcast(spark.createDataFrame(plan, "at_range int, first double, last double, shard int"))
+
+    place = F.when(F.col("by_record"), F.col("d")).otherwise(F.col("h")).cast("double") - F.col("lo")
+    cell = F.greatest(F.lit(0), F.least(F.col("cells") - 1, F.floor(place / F.col("width") * F.col("cells")).cast("int")))
+    celled = ranged.join(cuts_df, "range").withColumn("cell", cell).drop("lo", "width", "cells")
+    cells = materialize(celled.groupBy("range", "cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
+    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("range").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = cells.select("range", "cell", before.alias("cell_start"))
+    in_cell = Window.partitionBy("range", "cell").orderBy("h", "d")
+    group = Window.partitionBy("range", "cell", "h")
+    summed = (
+        celled.join(small(starts, cells.count()), ["range", "cell"])
+        .withColumn("upto", F.col("cell_start") + F.sum("size").over(in_cell.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("group_upto", F.max("upto").over(group))
-        .join(range_start, "range")
+        .withColumn("group_bytes", F.sum("size").over(group))
     )
-    whole = F.col("group_bytes") <= F.lit(s.whole_group * shard_bytes)
-    middle = F.when(whole, F.col("group_upto") - F.col("group_bytes") / 2).otherwise(F.col("upto") - F.col("size") / 2)
-    shard = F.least(F.lit(s.shards - 1), F.floor((F.col("range_start") + middle) / F.lit(shard_bytes))).cast("int")
-    placed = materialize(placed.select("doc_id", "size", "text_crc32", "h", "range", shard.alias("shard")))
-    counts = {(r["shard"], r["range"]): r["count"] for r in placed.groupBy("shard", "range").count().collect()}
-    base, seen = [], dict.fromkeys(range(s.shards), 0)
-    for (sh, r), n in sorted(counts.items()):
-        base.append((sh, r, seen[sh]))
-        seen[sh] += n
-    # a range lies in few shards, so these rows too are set by the plan
-    bases = F.broadcast(spark.createDataFrame(base, "shard int, range int, base bigint"))
-    within = Window.partitionBy("shard", "range").orderBy("h", "doc_id")
-    return placed.withColumn("n", F.row_number().over(within) - 1).join(bases, ["shard", "range"]).select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("n")).cast("long").alias("slot")
-    )
+    middle = F.when(F.col("by_record"), F.col("upto") - F.col("size") / 2).otherwise(F.col("group_upto") - F.col("group_bytes") / 2)
+    on = (F.col("range") == F.col("at_range")) & (F.col("middle") >= F.col("first")) & (F.col("middle") < F.col("last"))
+    placed = summed.withColumn("middle", middle).join(plan_df, on).select("doc_id", "size", "text_crc32", "h", "d", "range", "cell", "shard")
+    placed = materialize(placed)
+    counts = materialize(placed.groupBy("shard", "range", "cell").agg(F.count("*").alias("n")))
+    earlier = Window.partitionBy("shard").orderBy("range", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("shard", "range", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("shard", "range", "cell").orderBy("h", "d")
+    out = placed.join(small(bases, counts.count()), ["shard", "range", "cell"]).withColumn("n", F.row_number().over(within) - 1)
+    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("n")).cast("long").alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, settings: ShardSettings = ShardSettings()) -> None:
     """Write ``docs`` (unique doc_id) under ``path``, a folder for each shard, rows in slot order within a file."""
     where = shard_by_bytes(docs, settings).select("doc_id", "shard", "slot")
-    files = docs.join(where, "doc_id").repartition("shard", F.floor(F.col("slot") / settings.rows_per_range))
+    files = docs.join(where, "doc_id").repartition("shard", F.floor(F.col("slot") / settings.rows_per_cell))
     files.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
-def locate(key: Key, bounds: list[Key]) -> int:
-    """The range of one key; what the query computes for all of them."""
-    return bisect_right(bounds, key)
-
-
 def op9_sampled_splitter_shards(spark, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
