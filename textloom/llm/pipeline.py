@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from textloom.llm.common import materialize, table
 from textloom.llm.decontaminate import remove_contamination
 from textloom.llm.packing import pack_documents
-from textloom.llm.pseudonyms import without_personal_data
+from textloom.llm.pseudonyms import session_settings, without_personal_data
 from textloom.llm.quality_rules import keep_good
 from textloom.llm.simhash import drop_near_duplicates
 
@@ -29,7 +29,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pseudonymise_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gets pseudonyms."""
-    return without_personal_data(docs)
+    return without_personal_data(docs, session_settings(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

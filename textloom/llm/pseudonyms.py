@@ -4,15 +4,16 @@ Card and social-security numbers, phone numbers, IPv4 addresses and dates that p
 their own format: the free digits form two halves, each round adds a keyed hash of one half to the other, modulo that
 half's size, and check digits are computed anew. Equal values get equal pseudonyms in all documents, and different
 values of one format get different ones. E-mail addresses and secret tokens have no number format; their characters
-come from a keyed hash of the value. All of it is DataFrame expressions; the key is a parameter.
+come from a keyed hash of the value. All of it is DataFrame expressions; the key is a parameter without default.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import table
@@ -20,10 +21,24 @@ from textloom.llm.common import table
 
 @dataclass(frozen=True)
 class PseudonymSettings:
-    key: str = "change me"
+    key: str
     rounds: int = 8
 
 
+#: The session setting with the key; its name makes Spark hide it in listings.
+KEY_SETTING = "spark.textloom.pseudonyms.secret"
+
+
+def session_settings(spark: SparkSession) -> PseudonymSettings:
+    """Settings with the session's key. Where none is set a random one is, so that pseudonyms agree within the session
+    and can't be undone by whoever reads this code; set one to link values across sessions."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return PseudonymSettings(key)
+
+
 KINDS = ("email", "secret", "ip", "date", "ssn", "phone", "card")
 
 _PATTERNS = (
@@ -79,6 +94,8 @@ def _as_date(m: Column) -> Column:
     )
 
 
+# Country codes of telephone numbers; those of three digits are all others.
+_COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _FIRST_DAY = -62091  # 1800-01-01 in days since 1970; 400 years from there are 189 * 773 days
 
 
@@ -199,7 +216,8 @@ def pseudonym(m: Column, kind: Column, s: PseudonymSettings) -> Column:
         return _let(body, lambda x: F.concat(x, ((10 - _luhn_sum(F.concat(x, F.lit("0"))) % 10) % 10).cast("string")))
 
     def phone(d: Column) -> Column:  # a country code stays
-        cut = F.greatest(F.length(d) - 10, F.lit(0))
+        code = F.regexp_extract(F.regexp_replace(m, r"[^0-9+]", ""), _COUNTRY, 0)
+        cut = F.greatest(F.length(code) - 1, F.lit(0))
         return F.concat(F.substring(d, F.lit(1), cut), _permuted("phone", F.substring(d, cut + 1, F.lit(15)), s))
 
     def ssn(d: Column) -> Column:
@@ -219,13 +237,27 @@ def pseudonym(m: Column, kind: Column, s: PseudonymSettings) -> Column:
     )
 
     def date(day: Column) -> Column:
-        p = _feistel(F.lit("date"), F.floor(day / 773), F.lit(189).cast("long"), day % 773, F.lit(773).cast("long"), s)
-        new = lambda x: F.date_from_unix_date((x["l"] * 773 + x["r"] + _FIRST_DAY).cast("int"))
-        month_first = F.try_to_timestamp(m, F.lit("M/d/yyyy")).isNotNull()
+        halves = lambda n: (F.floor(n / 773).cast("long"), (n % 773).cast("long"))
+
+        def other(n: Column) -> Column:
+            p = _feistel(F.lit("date"), halves(n)[0], F.lit(189).cast("long"), halves(n)[1], F.lit(773).cast("long"), s)
+            return _let(p, lambda x: x["l"] * 773 + x["r"])
+
+        as_date = lambda n: F.date_from_unix_date((n + _FIRST_DAY).cast("int"))
+        slashes, month_first = m.contains("/"), F.try_to_timestamp(m, F.lit("M/d/yyyy")).isNotNull()
+
+        # with slashes, a day over 12 goes to a day over 12 if it comes first: the walk along the permutation to the next
+        # such day is a permutation of those days, and three in five days are
+        def walk(n: Column, _: Column) -> Column:
+            open_ = slashes & ~month_first & (F.dayofmonth(as_date(n)) <= 12)
+            return F.when(open_, other(n)).otherwise(n)
+
         padded = ~m.rlike(r"(?<!\d)\d(?!\d)")
-        shown = lambda x, form: F.when(padded, F.date_format(new(x), form)).otherwise(F.date_format(new(x), form.replace("MM", "M").replace("dd", "d")))
-        return _let(p, lambda x: F.when(m.contains("-"), shown(x, "yyyy-MM-dd")).when(m.contains("."), shown(x, "dd.MM.yyyy"))
-                    .when(month_first, shown(x, "MM/dd/yyyy")).otherwise(shown(x, "dd/MM/yyyy")))
+        shown = lambda n, form: F.date_format(as_date(n), form)
+        both = lambda n, form: F.when(padded, shown(n, form)).otherwise(shown(n, form.replace("MM", "M").replace("dd", "d")))
+        new = F.aggregate(F.sequence(F.lit(1), F.lit(64)), other(day), walk)
+        return _let(new, lambda n: F.when(m.contains("-"), both(n, "yyyy-MM-dd")).when(m.contains("."), both(n, "dd.MM.yyyy"))
+                    .when(month_first, both(n, "MM/dd/yyyy")).otherwise(both(n, "dd/MM/yyyy")))
 
     letters = lambda x, n: F.translate(F.substring(x, 1, n), "0123456789", "ghijklmnop")
     low = F.lower(m)
@@ -244,7 +276,7 @@ def pseudonym(m: Column, kind: Column, s: PseudonymSettings) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, settings: PseudonymSettings = PseudonymSettings()) -> DataFrame:
+def pseudonymise(docs: DataFrame, settings: PseudonymSettings) -> DataFrame:
     """``docs`` with pseudonyms in text, and a column ``pii``: map of kind to how many were replaced.
 
     Null text stays null with an empty map, as does a text without matches; the rest of a text is untouched. A column
@@ -265,7 +297,7 @@ def pseudonymise(docs: DataFrame, settings: PseudonymSettings = PseudonymSetting
     return d.drop("__found", "__all", "__new")
 
 
-def without_personal_data(docs: DataFrame, settings: PseudonymSettings = PseudonymSettings()) -> DataFrame:
+def without_personal_data(docs: DataFrame, settings: PseudonymSettings) -> DataFrame:
     """``docs`` with pseudonyms in text; n_chars, if there, follows the text."""
     out = pseudonymise(docs, settings)
     if "n_chars" in docs.columns:
@@ -274,5 +306,5 @@ def without_personal_data(docs: DataFrame, settings: PseudonymSettings = Pseudon
 
 
 def op2_feistel_pseudonyms(spark, sf_dir: str) -> DataFrame:
-    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), session_settings(spark))
     return out.select("doc_id", "text", *[F.coalesce(F.try_element_at("pii", F.lit(k)), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS])
