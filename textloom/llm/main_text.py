@@ -3,13 +3,18 @@
 A page becomes a flat list of text blocks, cut at block-level tags. Each block has its word count and link density,
 those of its two neighbours, and whether it lies in an element named for boilerplate or for an article. A name counts
 only on a part of the page, not on what holds its article or nearly all of its words. A decision tree grown on the
-labelled blocks below says which blocks are main text.
+labelled blocks below says which blocks are main text. The table has every page with and without its names, so that
+the tree learns to tell blocks by their words and neighbours where a page names nothing.
+
+Parsing is one walk over the tags: what a block lies in is told by counts handed down from parent to child, so time
+follows the length of the page however deep it is nested.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,8 +48,9 @@ _ARTICLE_TAGS = frozenset("article main".split())
 _ARTICLE_NAMES = frozenset("article post entry story content main".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|</?[A-Za-z][^<>]*>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|</?[A-Za-z][^<>]*+>", re.S)
 _ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW | _SILENT}
+_UNFINISHED = re.compile(r"<[A-Za-z/!?]")
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[^\W_]+")
@@ -67,90 +73,109 @@ class _Element:
     named: bool  # for boilerplate, by its marks or as a form or dialog
     fixed: bool  # boilerplate wherever it is
     article: bool
-    within: list[_Element]
+    parent: _Element | None
     words: int = 0
     wraps: bool = False
+    boiler: bool = False  # by itself or by what it is in
+    inside: bool = False  # of an article
+    heading: bool = False
 
 
 def _marks(tag: str) -> tuple[set[str], set[str]]:
     """Whole names and leading words of the class, id and role of a start tag, and all words of them."""
+    if "=" not in tag:
+        return set(), set()
     names = [n for m in _MARKS.findall(tag) for x in m for n in x.split()]
     parts = [[w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", n).lower()) if w] for n in names]
     return {p[0] for p in parts if p} | {n.lower() for n in names}, {w for p in parts for w in p}
 
 
-def _settle(elements: list[_Element], total: int) -> None:
-    """Say which elements wrap the page or its article, so that their names don't count.
+def _settle(elements: list[_Element]) -> None:
+    """Say which elements wrap the page or its article, so that their names don't count, and which are boilerplate.
 
     The article is the longest one that isn't itself named for boilerplate or holds half of the page; so is the main.
+    ``elements`` are in page order, the root first, with their own words.
     """
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.words += e.words
+    total = elements[0].words
     for tag in _ARTICLE_TAGS:
         standing = [e for e in elements if e.tag == tag and (not e.named or 2 * e.words >= total)]
-        if standing:
-            longest = max(standing, key=lambda e: e.words)
-            for e in (longest, *longest.within):
-                e.wraps = True
+        e = max(standing, key=lambda e: e.words, default=None)
+        while e:
+            e.wraps, e = True, e.parent
     for e in elements:
         e.wraps = e.wraps or e.tag in _PAGE_TAGS or e.words >= PAGE_WIDE * total
+        e.boiler = e.fixed or e.named and not e.wraps or bool(e.parent and e.parent.boiler)
 
 
 def flat_blocks(page: str) -> list[Block]:
-    """The text blocks of ``page`` in order; scripts, styles, comments and the like aren't text."""
-    blocks: list[Block] = []
-    stack: list[_Element] = []
-    elements: list[_Element] = []
-    holders: list[list[_Element]] = []
+    """The text blocks of ``page`` in order; scripts, styles, comments and the like aren't text.
+
+    An element of such contents without an end tag takes the rest of the page; so does an unfinished comment. An
+    unfinished tag at the end is no text.
+    """
+    root = _Element("", False, False, False, None)
+    elements, stack, open_tags = [root], [root], Counter[str]()
+    blocks: list[tuple[Block, _Element]] = []
     text: list[str] = []
-    linked = 0
-    at, links, silent_until = 0, 0, ""
+    linked = links = at = 0
+    size = page.rfind(">") + 1
+    tail = _UNFINISHED.search(page, size)
+    length = tail.start() if tail else len(page)
 
     def flush() -> None:
         nonlocal linked
         own = _SPACE.sub(" ", "".join(text)).strip()
         text.clear()
         if own:
-            n = len(_WORD.findall(own))
-            for e in stack:
-                e.words += n
-            holders.append(stack.copy())
-            blocks.append(Block(own, n, linked, False, any(e.article for e in stack), any(e.tag in _HEADINGS for e in stack)))
+            n, e = len(_WORD.findall(own)), stack[-1]
+            e.words += n
+            blocks.append((Block(own, n, linked, False, e.inside, e.heading), e))
         linked = 0
 
     def say(raw: str) -> None:
         nonlocal linked
-        if raw and not silent_until:
+        if raw:
             plain = html.unescape(raw)
             text.append(plain)
             if links:
                 linked += len(_WORD.findall(plain))
 
-    for m in _TOKEN.finditer(page):
+    def leave() -> str:
+        tag = stack.pop().tag
+        open_tags[tag] -= 1
+        return tag
+
+    while m := _TOKEN.search(page, at, size):
         token = m.group()
         name = _NAME.match(token)
         tag = name.group(1).lower() if name else ""
-        if silent_until:
-            if token.startswith("</") and tag == silent_until:
-                silent_until = ""
-                at = m.end()
-            continue
         say(page[at : m.start()])
         at = m.end()
         if not tag:
+            if token.startswith("<!--") and not token.endswith("-->"):
+                at = length
+                break
             continue
         if token.startswith("</"):
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in _BLOCK:
                 flush()
-                if any(e.tag == tag for e in stack):
-                    while stack.pop().tag != tag:
+                if open_tags[tag]:
+                    while leave() != tag:
                         pass
             continue
         if tag in _RAW or tag in _SILENT and tag != "head":
             if tag in _BLOCK:
                 flush()
-            if not token.endswith("/>") and _ENDS[tag].search(page, m.end()):
-                silent_until = tag
+            if not token.endswith("/>"):
+                end = _ENDS[tag].search(page, at)
+                at = end.end() if end else length
+                if not end:
+                    break
             continue
         if tag == "br":
             text.append(" ")
@@ -159,51 +184,64 @@ def flat_blocks(page: str) -> list[Block]:
         elif tag in _BLOCK:
             flush()
             if tag in ("p", *_HEADINGS):  # these don't nest in a paragraph
-                while stack and stack[-1].tag == "p":
-                    stack.pop()
+                while stack[-1].tag == "p":
+                    leave()
             links = 0
+            parent = stack[-1]
             leading, words = _marks(token)
-            inside = any(e.article for e in stack)
             # a post's article stays one whatever else it is named for
             named = tag in _WRAPPING_TAGS or bool(leading & _BOILER_NAMES) and not (tag == "article" and leading & _ARTICLE_NAMES)
-            fixed = tag in _BOILER_TAGS - _WRAPPING_TAGS or (tag == "header" and not inside)
+            fixed = tag in _BOILER_TAGS - _WRAPPING_TAGS or (tag == "header" and not parent.inside)
             if tag not in _VOID and not token.endswith("/>"):
                 article = tag in _ARTICLE_TAGS or tag not in _PAGE_TAGS and bool(words & _ARTICLE_NAMES)
-                stack.append(_Element(tag, named, fixed, article, stack.copy()))
-                elements.append(stack[-1])
-    say(page[at:])
+                e = _Element(tag, named, fixed, article, parent, inside=article or parent.inside, heading=tag in _HEADINGS or parent.heading)
+                stack.append(e)
+                elements.append(e)
+                open_tags[tag] += 1
+    say(page[at:length])
     flush()
-    _settle(elements, sum(b.words for b in blocks))
-    for b, within in zip(blocks, holders, strict=True):
-        b.boiler = any(e.fixed or e.named and not e.wraps for e in within)
-    return blocks
+    _settle(elements)
+    for b, e in blocks:
+        b.boiler = e.boiler
+    return [b for b, _ in blocks]
 
 
 FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "boiler", "article", "heading")
 
 
 def features(blocks: list[Block]) -> list[tuple[float, ...]]:
-    """For each block its word count and link density, its neighbours', and its element marks (0 or 1)."""
+    """For each block its word count and link density, its neighbours', and its element marks: boiler and heading are 0
+    or 1; article is 1 in one, -1 outside of a page's articles and 0 where a page has none."""
     if not blocks:
         return []
     own = [(float(b.words), b.linked / b.words if b.words else 0.0) for b in blocks]
-    edge = [(0.0, 0.0)]
+    edge, none = [(0.0, 0.0)], -1.0 if any(b.article and not b.boiler for b in blocks) else 0.0
     rows = []
     for b, x, y, z in zip(blocks, own, edge + own[:-1], own[1:] + edge, strict=True):
-        rows.append((*x, *y, *z, float(b.boiler), float(b.article and not b.boiler), float(b.heading and not b.boiler)))
+        rows.append((*x, *y, *z, float(b.boiler), 1.0 if b.article and not b.boiler else none, float(b.heading and not b.boiler)))
     return rows
 
 
-# The labelled table: blocks of hand-made pages in order, as "words linked element label", where element is
-# nav, ad, side, form, foot, note or comment (boilerplate), art (in an article), head (a heading in one), or body.
+# The labelled table: blocks of pages in order, as "words linked element label", where element is nav, ad, side, form,
+# foot, note or comment (boilerplate), art (in an article) or head (a heading in one).
 LABELLED = (
     "5 5 nav 0|4 4 nav 0|6 6 nav 0|9 0 ad 0|8 0 head 1|62 2 art 1|3 0 art 1|48 0 art 1|1 0 art 1|95 4 art 1|20 1 foot 0|7 2 foot 0",
     "1 1 nav 0|1 1 nav 0|2 2 nav 0|30 0 note 0|11 0 head 1|18 0 art 1|140 0 art 1|6 0 head 1|75 5 art 1|4 1 art 1|22 0 comment 0|45 0 comment 0|5 3 foot 0",
-    "3 3 body 0|2 2 body 0|4 4 body 0|12 0 body 1|80 3 body 1|55 0 body 1|64 1 body 1|8 8 body 0|6 6 body 0|9 1 body 0|4 0 foot 0",
-    "6 0 body 0|2 2 body 0|5 5 body 0|3 3 body 0|38 0 body 1|90 2 body 1|44 0 body 1|14 12 body 0|7 7 body 0|5 5 body 0|35 4 side 0|60 0 side 0",
-    "2 2 body 0|3 3 body 0|70 0 body 1|12 0 body 1|85 1 body 1|5 0 body 1|66 0 body 1|24 2 body 1|58 0 body 1|4 4 body 0|3 3 body 0",
-    "4 4 nav 0|10 0 body 1|52 0 body 1|7 0 body 1|61 3 body 1|18 0 body 1|90 0 body 1|9 9 nav 0|6 0 foot 0|12 2 foot 0",
-    "3 3 nav 0|5 0 body 0|10 0 body 1|78 1 body 1|49 0 body 1|88 2 body 1|6 6 body 0|4 0 foot 0",
+    "3 3 nav 0|2 2 nav 0|4 4 nav 0|12 0 head 1|80 3 art 1|55 0 art 1|64 1 art 1|8 8 side 0|6 6 side 0|9 1 side 0|4 0 foot 0",
+    "6 0 ad 0|2 2 nav 0|5 5 nav 0|3 3 nav 0|38 0 art 1|90 2 art 1|44 0 art 1|14 12 side 0|7 7 side 0|5 5 side 0|35 4 side 0|60 0 side 0",
+    "2 2 nav 0|3 3 nav 0|70 0 art 1|12 0 head 1|85 1 art 1|5 0 art 1|66 0 art 1|24 2 art 1|58 0 art 1|4 4 foot 0|3 3 foot 0",
+    "4 4 nav 0|10 0 head 1|52 0 art 1|7 0 head 1|61 3 art 1|18 0 art 1|90 0 art 1|9 9 nav 0|6 0 foot 0|12 2 foot 0",
+    "1 1 nav 0|1 1 nav 0|1 1 nav 0|8 0 ad 0|9 0 head 1|22 0 art 1|31 0 art 1|4 0 art 1|88 0 art 1|2 0 art 1|17 0 art 1|26 0 art 1|8 1 foot 0",
+    "1 1 nav 0|1 1 nav 0|9 0 head 1|40 0 art 1|6 0 art 1|75 0 art 1|90 0 art 1|5 5 foot 0|6 0 foot 0",
+    "1 1 nav 0|7 0 head 1|60 0 art 1|3 0 art 1|33 0 art 1|5 5 foot 0|5 2 foot 0",
+    "2 2 nav 0|1 1 nav 0|6 0 ad 0|12 0 head 1|28 0 art 1|1 0 art 1|52 0 art 1|4 4 foot 0|7 0 foot 0",
+    "2 2 nav 0|1 1 nav 0|5 0 ad 0|10 0 head 1|120 0 art 1|9 0 art 1|14 0 art 1|70 0 art 1|3 0 art 1|40 0 art 1|11 2 foot 0|2 2 foot 0",
+    "1 1 nav 0|1 1 nav 0|7 0 ad 0|6 0 head 1|3 0 art 1|12 9 art 1|1 1 art 1|14 0 art 1|2 0 art 1|10 8 art 1|5 5 art 1|33 0 art 1|9 1 foot 0",
+    "70 0 ad 0|30 0 note 0|1 0 head 1|4 4 art 1|8 0 art 1|3 2 art 1|1 0 art 1|6 6 art 1|64 0 side 0|55 1 side 0|16 0 foot 0",
+    "1 0 nav 0|60 0 form 0|2 0 head 1|1 0 art 1|2 2 art 1|4 0 art 1|9 0 art 1|7 7 art 1|48 0 comment 0|90 0 comment 0|75 0 comment 0|2 0 comment 0",
+    "9 0 ad 0|1 0 head 1|2 0 art 1|3 0 art 1|1 0 art 1|5 0 art 1|4 0 art 1|2 0 art 1|9 0 art 1|7 0 art 1|1 0 art 1|12 0 art 1|1 0 art 1|6 0 art 1|1 0 art 1|13 0 art 1|3 0 foot 0",
+    "1 1 nav 0|5 0 head 1|1 0 art 1|14 0 art 1|4 0 art 1|1 0 art 1|8 0 art 1|14 0 art 1|10 0 art 1|11 0 art 1|2 0 art 1|1 0 art 1|4 1 art 1|3 3 art 1|12 0 foot 0",
+    "4 4 nav 0|14 0 head 1|2 0 art 1|1 0 art 1|4 0 art 1|3 0 art 1|12 0 art 1|2 0 art 1|13 2 art 1|6 0 art 1|1 1 art 1|3 0 art 1|6 0 art 1|1 0 art 1|4 0 comment 0|3 0 foot 0",
     "12 0 form 0|4 0 form 0|40 2 ad 0|9 0 head 1|2 0 art 1|2 0 art 1|200 9 art 1|5 0 art 1|120 1 side 0|17 0 comment 0|80 0 comment 0|110 20 foot 0",
 )
 
@@ -211,15 +249,28 @@ Tree = tuple  # (share of main text,) or (feature, threshold, tree at or below,
 
 
 def labelled_rows(pages: tuple[str, ...] = LABELLED) -> list[tuple[tuple[float, ...], int]]:
+    """(features, label) of every block of ``pages``, of each page with all its marks, with boilerplate alone marked, with
+    its article alone marked, and without any marks.
+
+    Without marks only what words and links can tell is kept: no long texts of comments, sidebars and footers, as
+    nothing but their names says that they aren't the article, and no page of short lines only.
+    """
     rows = []
     for page in pages:
-        cells = [c.split() for c in page.split("|")]
-        blocks = [Block("", int(w), int(k), e not in ("art", "head", "body"), e in ("art", "head"), e == "head") for w, k, e, _ in cells]
-        rows += [(f, int(c[3])) for f, c in zip(features(blocks), cells, strict=True)]
+        cells = [(int(w), int(k), e, int(y)) for w, k, e, y in (c.split() for c in page.split("|"))]
+        plain = [c for c in cells if c[3] or c[0] <= LONG or 3 * c[1] >= c[0]]
+        bare = plain if any(c[0] > LONG and c[3] for c in cells) else []
+        for own, boiler, article in ((cells, True, True), (cells, True, False), (plain, False, True), (bare, False, False)):
+            blocks = [Block("", w, k, boiler and e not in ("art", "head"), article and e in ("art", "head"), article and e == "head") for w, k, e, _ in own]
+            rows += [(f, c[3]) for f, c in zip(features(blocks), own, strict=True)]
     return rows
 
 
-def grow_tree(rows: list[tuple[tuple[float, ...], int]], depth: int = 6, least: int = 2) -> Tree:
+#: Words from which on a block with few links is taken for main text where a page names nothing.
+LONG = 15
+
+
+def grow_tree(rows: list[tuple[tuple[float, ...], int]], depth: int = 9, least: int = 1) -> Tree:
     """A binary tree by Gini impurity; ties go to the first feature and the lowest threshold."""
     ones = sum(y for _, y in rows)
     share = ones / len(rows)
