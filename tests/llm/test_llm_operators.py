@@ -16,6 +16,7 @@ from textloom.llm import components, decontaminate, licenses, main_text, packing
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+KEY = pseudonyms.PseudonymSettings("a key of the tests")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket string, label string"
 
 
@@ -47,7 +48,7 @@ def words(text):
 
 def test_fingerprints_and_components(spark):
     rows = corpus() + [(0, None)]  # a repeated row
-    for settings in (simhash.SimHashSettings(), simhash.SimHashSettings(hot_value=1), simhash.SimHashSettings(max_bits=3, hot_value=1)):
+    for settings in (simhash.SimHashSettings(), simhash.SimHashSettings(hot_value=3), simhash.SimHashSettings(hot_value=1, refinements=0), simhash.SimHashSettings(max_bits=3, hot_value=2, refinements=1)):
         got = simhash.near_duplicate_components(frame(spark, rows), settings=settings).collect()
         fps = {}
         for i, t in rows:
@@ -73,6 +74,41 @@ def test_components_of_a_path_and_a_star(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[k] == 100 for k in range(100, 160)) and got[200] == 200
 
 
+def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch):
+    from textloom.operators import graph
+
+    rounds = []
+    monkeypatch.setattr(graph, "_large_star", lambda e, f=graph._large_star: rounds.append(1) or f(e))
+    edges = spark.range(10_000).selectExpr("id AS a", "id + 1 AS b")
+    got = components.connected_components(edges)
+    assert got.filter("label <> 0").count() == 0 and got.count() == 10_001 and len(rounds) <= 20
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(None, 1), (2, None)]
+    label = list(range(300))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in edges[:170]:
+        a, b = sorted((root(a), root(b)))
+        label[b] = a
+    got = {r.node: r.label for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for e in edges[:170] for x in e}
+
+
+def test_one_document_of_a_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(4, text), (3, text), (3, text), (None, text), (None, "other words"), (None, "other words"), (9, None), (8, ""), (None, "a b c d e f g h")]
+    left = simhash.drop_near_duplicates(frame(spark, rows))
+    assert left.columns == frame(spark, rows).columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(3, text), (None, "other words"), (8, ""), (None, "a b c d e f g h")], key=str)
+
+
 def test_pigeonhole_parts_miss_no_pair():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 200, dtype=np.int64)
@@ -88,6 +124,8 @@ def test_pigeonhole_parts_miss_no_pair():
 
 def test_repeated_passages(spark):
     rows = corpus() + [(5, corpus()[5][1])]
+    alone = substrings.repeated_passages(frame(spark, [(None, rows[-2][1]), (1, rows[-2][1]), (None, rows[-2][1])]))
+    assert not [r for r in alone[0].collect() if r.copy] and alone[1].count() == 0
     for settings in (substrings.RepeatSettings(), substrings.RepeatSettings(keys_per_bucket=50, words_per_batch=100)):
         state, cut = substrings.repeated_passages(frame(spark, rows), settings)
         got = {(r.doc_id, r.n_words, r.n_words if r.copy else r.cut or 0, "" if r.copy else r.kept.decode() if r.kept is not None else None) for r in state.join(cut, "doc_id", "left").collect()}
@@ -146,7 +184,7 @@ def test_packing_plans_are_sound_and_near_the_optimum(seed):
 
 def test_decontamination(spark):
     docs = corpus()
-    items = [(1, docs[5][1]), (2, " ".join(docs[8][1].split()[:15])), (3, "one"), (4, None), (5, "!!"), (1, docs[9][1]), (60, "Two, WORDS")]
+    items = [(None, docs[12][1]), (None, docs[5][1]), (1, docs[5][1]), (2, " ".join(docs[8][1].split()[:15])), (3, "one"), (4, None), (5, "!!"), (1, docs[9][1]), (60, "Two, WORDS")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     phrases: dict[tuple, set] = {}
     for i, t in items:
@@ -160,7 +198,7 @@ def test_decontamination(spark):
         for n in {len(p) for p in phrases}:
             for k in range(len(w) - n + 1):
                 if (p := tuple(w[k : k + n])) in phrases:
-                    found |= phrases[p]
+                    found |= phrases[p] - {"None"}
                     hit[k : k + n] = [True] * n
         want[i] = (len(w), sum(hit), sorted(found))
     for settings in (decontaminate.DecontaminationSettings(), decontaminate.DecontaminationSettings(position_sample=3, shard_bytes=500, item_block_bytes=300)):
@@ -168,9 +206,24 @@ def test_decontamination(spark):
         assert {r.doc_id: (r.n_words, sum(s.end - s.first for s in r.spans), list(r["items"])) for r in got} == want
     clean = decontaminate.remove_contamination(frame(spark, docs), bench)
     by_id = {r.doc_id: r for r in clean.collect()}
+    odd = frame(spark, [(None, docs[5][1]), (None, "clean"), (7, docs[5][1]), (7, docs[5][1]), (7, "clean"), (8, None)])
+    for settings in (decontaminate.DecontaminationSettings(), decontaminate.DecontaminationSettings(item_block_bytes=300)):
+        cut = decontaminate.remove_contamination(odd, bench, settings)
+        assert cut.columns == odd.columns
+        assert sorted(((r.doc_id, (r.text or "-").strip()) for r in cut.collect()), key=str) == sorted([(None, ""), (None, "clean"), (7, ""), (7, ""), (7, "clean"), (8, "-")], key=str)
     assert all(by_id[i].text == t for i, t in docs if want[i][1] == 0) and all(len(ALNUM.findall(by_id[i].text)) == want[i][0] - want[i][1] for i, _ in docs if want[i][1])
 
 
+def test_phrases_of_many_items_take_bounded_memory():
+    import pickle
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(4000)) for _ in range(60)]
+    size = sum(map(len, texts))
+    made = decontaminate.Phrases.of(pa.array([str(i) for i in range(60)]), pa.array(texts), 10)
+    assert len(made.starts) == 60 * 3991 and len(pickle.dumps(made)) < 6 * size
+
+
 def test_suffix_order_and_index():
     rng = np.random.default_rng(2)
     for size in (1, 2, 50, 300):
@@ -215,7 +268,7 @@ def test_chi_square():
 
 def test_pseudonyms(spark):
     texts = ["mail bob.x@ex.com!", "4111 1111 1111 1111 and 4111111111111112", "10.0.0.1 and 999.1.1.1", "2024-02-29, 2023-02-29, 31/12/1999", "123-45-6789 000-11-2222", "call +1 (017) 555-7713", None, "", "10.0.0.1 again", "plain 12 text"]
-    got = {r.doc_id: r for r in pseudonyms.pseudonymise(frame(spark, list(enumerate(texts)))).collect()}
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(frame(spark, list(enumerate(texts))), KEY).collect()}
     assert "bob" not in got[0].text and got[0].pii == {"email": 1}
     card = re.match(r"(\d{4} \d{4} \d{4} \d{4}) and 4111111111111112$", got[1].text).group(1).replace(" ", "")
     luhn = [int(c) for c in card][::-1]
@@ -233,7 +286,7 @@ def test_pseudonyms_of_numbers_in_a_row_and_of_more_dates(spark):
         f"{card} 123", f"12 {card}", f"{spaced} 09/27", f"123456 {spaced}", f"7 {spaced} {other} 5", f"{card} 123-45-6789", f"{card} 10.0.0.1", f"{spaced} 5th",
         "2024-01-02T10:00:05Z", "1/2/2024 and 2024-1-2, 3.4.2024", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16", "12 " * 20000, f"{card}", f"{spaced}",
     ]
-    got = {r.doc_id: r for r in pseudonyms.pseudonymise(frame(spark, list(enumerate(texts)))).collect()}
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(frame(spark, list(enumerate(texts))), KEY).collect()}
     new, wide = got[12].text, got[13].text
     assert new != card and wide.replace(" ", "") == new
     assert [got[i].text for i in (0, 1, 2, 3, 7)] == [f"{new} 123", f"12 {new}", f"{wide} 09/27", f"123456 {wide}", f"{wide} 5th"]
@@ -247,11 +300,75 @@ def test_pseudonyms_of_numbers_in_a_row_and_of_more_dates(spark):
 def test_pseudonyms_permute_a_whole_format(spark):
     days = [(datetime.date(1990, 1, 1) + datetime.timedelta(i)).isoformat() for i in range(800)]
     d = spark.createDataFrame([(x,) for x in days], "m string").withColumn("k", pseudonyms.kind_of(F.col("m")))
-    new = [r.p for r in d.select(pseudonyms.pseudonym(F.col("m"), F.col("k"), pseudonyms.PseudonymSettings()).alias("p")).collect()]
+    new = [r.p for r in d.select(pseudonyms.pseudonym(F.col("m"), F.col("k"), KEY).alias("p")).collect()]
     other = [r.p for r in d.select(pseudonyms.pseudonym(F.col("m"), F.col("k"), pseudonyms.PseudonymSettings(key="b")).alias("p")).collect()]
     assert len(set(new)) == 800 and all(map(datetime.date.fromisoformat, new)) and new != other
 
 
+def made(spark, values, settings=KEY):
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, m string").withColumn("k", pseudonyms.kind_of(F.col("m")))
+    return [(r.k, r.p) for r in d.select("i", "k", pseudonyms.pseudonym(F.col("m"), F.col("k"), settings).alias("p")).orderBy("i").collect()]
+
+
+def test_pseudonyms_of_each_kind_are_permutations(spark):
+    day = lambda i: datetime.date(1990, 1, 1) + datetime.timedelta(i)
+    slashes = [f"{day(i):%m/%d/%Y}" for i in range(300)] + [f"{day(i):%d/%m/%Y}" for i in range(300) if day(i).day > 12]
+    kinds = {
+        "date": slashes + [f"{day(i):%d.%m.%Y}" for i in range(300)], "ip": [f"10.{i % 7}.{i % 251}.{i // 7}" for i in range(300)], "ssn": [f"{1 + i:03d}-45-{6789 - i}" for i in range(300)],
+        "phone": [f"+33 1 23 45 {i // 10:02d} {i % 10}9" for i in range(300)] + [f"+1 (212) 555-{i:04d}" for i in range(300)] + [f"212-555-{i:04d}" for i in range(300)],
+    }
+    for kind, values in kinds.items():
+        got = made(spark, values)
+        assert {k for k, _ in got} == {kind} and len({p for _, p in got}) == len(set(values))
+        assert [re.sub(r"\d", "0", p) for _, p in got] == [re.sub(r"\d", "0", v) for v in values] or kind == "ip"
+    assert all(datetime.datetime.strptime(p, "%d/%m/%Y").day > 12 for (_, p), v in zip(made(spark, slashes), slashes) if int(v[:2]) > 12)
+    assert made(spark, ["01/01/1878"]) != made(spark, ["24/01/1873"])
+
+
+def test_pseudonyms_keep_country_codes(spark):
+    numbers = ["+33 1 23 45 67 89", "+49 30 1234567", "+1 212 555 7713", "+353 1 234 5678", "+7 495 123 45 67"]
+    got = [p for _, p in made(spark, numbers)]
+    assert [p.split()[0] for p in got] == [n.split()[0] for n in numbers] and all(p != n for p, n in zip(got, numbers))
+
+
+def test_sharding_of_groups(spark):
+    rng = random.Random(2)
+    group = lambda n, size, i: [(10_000 * i + k, f"group {i} " * size) for k in range(n)]
+    rows = [(i, " ".join(str(rng.random()) for _ in range(rng.randint(1, 40)))) for i in range(600)] + group(40, 20, 1) + group(60, 30, 2) + group(30, 9, 3)
+    d = frame(spark, rows)
+    got = sharding.shard_by_bytes(d, sharding.ShardSettings(shards=8, rows_per_cell=20)).collect()
+    text = dict(rows)
+    where, size = {}, Counter()
+    for r in got:
+        where.setdefault(text[r.doc_id], set()).add(r.shard)
+        size[r.shard] += r.size
+    assert all(len(x) == 1 for x in where.values()) and max(size.values()) - min(size.values()) <= 0.1 * sum(size.values()) / 8
+    for s in size:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    # a group of a third of all bytes has no shard with room and is split; so are rows that repeat one record
+    third = rows + [(77_777, "one record " * 40)] * 400
+    got = sharding.shard_by_bytes(frame(spark, third), sharding.ShardSettings(shards=8, rows_per_cell=20)).collect()
+    size = Counter()
+    for r in got:
+        size[r.shard] += r.size
+    assert len(got) == len(third) and set(size) == set(range(8)) and max(size.values()) - min(size.values()) <= 0.1 * sum(size.values()) / 8
+    for s in size:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_ranges_and_overfull_ones(spark):
+    bounds = [(-5, -(1 << 63)), (3, -(1 << 63)), (3, 10), (3, 90), (4, -(1 << 63))]
+    h, d = np.array([-9, -5, 2, 3, 3, 3, 3, 4, 9]), np.array([0, 0, 0, -4, 10, 11, 95, 0, 0])
+    assert sharding.range_of(h, d, bounds).tolist() == [0, 1, 1, 2, 3, 3, 4, 5, 5]
+    rows = corpus(n=300)
+    few = sharding.ShardSettings(shards=4, ranges_per_shard=30, samples_per_range=1, overfull=1.1)
+    got = sharding.shard_by_bytes(frame(spark, rows), few).collect()
+    size = Counter()
+    for r in got:
+        size[r.shard] += r.size
+    assert len(got) == len(rows) and max(size.values()) - min(size.values()) <= 2.2 * max(r.size for r in got)
+
+
 def test_sharding(spark):
     rows = corpus(n=400) + [(9000 + i, "same text of a large group " * 3) for i in range(300)] + [(9000, "same text of a large group " * 3)]
     got = sharding.shard_by_bytes(frame(spark, rows)).collect()
@@ -294,6 +411,44 @@ def test_main_text_in_marked_wrappers(page):
     assert main_text.main_text(whole, tree).split("\n") == body
 
 
+def test_main_text_takes_time_in_proportion():
+    import time
+
+    tree = main_text.grow_tree(main_text.labelled_rows())
+    for page in ("<div>" * 100_000 + "x", "<div>x" * 30_000, "<select>x" * 100_000, "</div>" * 100_000, '<a "' * 100_000, "<p>" * 100_000):
+        began = time.process_time()
+        main_text.main_text(page, tree)
+        assert time.process_time() - began < 3
+
+
+def test_main_text_of_unclosed_scripts_and_comments():
+    texts = lambda page: [b.text for b in main_text.flat_blocks(page)]
+    assert texts("<p>a b</p><script>var x = 1; leak()") == ["a b"] and texts("<p>a b</p><!-- leak <p>c</p>") == ["a b"]
+    assert texts("<p>a</p><script>if (a < b) { x = '<p>'; }</script><p>b</p>") == ["a", "b"] and texts("a <b>b</b> c <a href='x") == ["a b c"]
+
+
+def test_main_text_without_names_goes_by_words_and_neighbours():
+    tree = main_text.grow_tree(main_text.labelled_rows())
+    words = lambda n, c: " ".join(f"{c}{i}" for i in range(n))
+    menu = "".join(f'<div><a href="/{i}">item{i}</a></div>' for i in range(6))
+    article = [words(8, "h"), words(40, "a"), words(6, "b"), words(75, "c"), words(90, "d")]
+    page = f"<div>{menu}</div>" + "".join(f"<div>{t}</div>" for t in article) + f'<div><a href="/x">{words(5, "z")}</a></div><div>{words(6, "y")}</div>'
+    assert main_text.main_text(page, tree).split("\n")[: len(article)] == article and "item" not in main_text.main_text(page, tree)
+    rows = main_text.features(main_text.flat_blocks(page))
+    turned = [(*x[:2], *y[2:6], *x[6:]) for x, y in zip(rows, rows[3:] + rows[:3])]
+    assert [main_text.score(tree, x) >= 0.5 for x in turned] != [main_text.score(tree, x) >= 0.5 for x in rows]
+
+
+def test_main_text_of_the_supplied_pages_without_class_names(spark):
+    import pyarrow.parquet as pq
+
+    tree = main_text.grow_tree(main_text.labelled_rows())
+    for row in pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist():
+        article = re.search("<article>.*</article>", row["html"], re.S).group()
+        want = "\n".join(b.text for b in main_text.flat_blocks(article))
+        assert main_text.main_text(row["html"], tree) == want == main_text.main_text(re.sub(r' class="[^"]*"', "", row["html"]), tree)
+
+
 def test_licenses(spark):
     rows = [(1, "x Released under the MIT License. y mit-license"), (2, "Licensed under the Apache License, Version 2.0"), (3, None), (4, ""), (5, "gnu General public license"), (6, "a text Licensed under CC BY-NC 4.0. and more"), (7, "permitted license"), (6, "a text Licensed under CC BY-NC 4.0. and more")]
     base, spans = licenses.scan_licenses(frame(spark, rows))
@@ -334,7 +489,7 @@ def test_empty_tables(spark):
     model = quality_classifier.train(docs, labels)
     for df in (
         simhash.near_duplicate_components(docs), substrings.repeated_passages(docs)[0], packing.pack_documents(docs), decontaminate.contamination(docs, items), quality_rules.judge_quality(docs),
-        pseudonyms.pseudonymise(docs), sharding.shard_by_bytes(docs), main_text.extract_main_text(pages), licenses.scan_licenses(docs)[0], quality_classifier.score_quality(docs, model),
+        pseudonyms.pseudonymise(docs, KEY), sharding.shard_by_bytes(docs), main_text.extract_main_text(pages), licenses.scan_licenses(docs)[0], quality_classifier.score_quality(docs, model),
     ):
         assert df.count() == 0
     one = frame(spark, [(1, "no items to find")])
