@@ -8,6 +8,7 @@ multiplicities, and each piece then finds its place by its rank among the pieces
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import materialize, table
 
+
 @dataclass(frozen=True)
 class PackSettings:
     tokenizer_path: str
@@ -44,7 +46,7 @@ class TextEncoder:
     The vocabulary is that of the tokenizers file; its ids are the ranks of its merges, so tiktoken gives the same
     ids, faster. A space before other text starts a new token whatever precedes it, so a text may be cut before its
     spaces and the cuts encoded on their own, unless white space stands before a space or at the end: such texts
-    are encoded whole. Strings of special tokens are ordinary text.
+    are encoded whole. So are texts with one of the file's added tokens, which has its own id wherever it stands.
     """
 
     _shared: dict[str, TextEncoder] = {}
@@ -52,7 +54,12 @@ class TextEncoder:
     def __init__(self, path: str, room: int) -> None:
         import tiktoken
 
-        model = json.loads(Path(path).read_text())["model"]
+        file = json.loads(Path(path).read_text())
+        model, added = file["model"], file.get("added_tokens") or []
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+            raise ValueError("added tokens that take more or less than their own text aren't supported")
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        self.cut_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if added else None
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -72,12 +79,15 @@ class TextEncoder:
         return cls._shared[path]
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+        parts = self.cut_added.split(text) if self.cut_added else [text]
+        return b"".join(self.added[x] if i % 2 else np.array(self.encoding.encode_ordinary(x), "<u4").tobytes() for i, x in enumerate(parts))
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """For each text, its ids as little-endian unsigned 32-bit numbers; null is as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, r"[\pZ\t-\r\x{85}] |[\pZ\t-\r\x{85}]\z").to_numpy(zero_copy_only=False)
+        for token in self.added:
+            odd = odd | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         cuts = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         offsets = cuts.offsets.to_numpy()
         coded = cuts.flatten().dictionary_encode()
