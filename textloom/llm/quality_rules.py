@@ -1,9 +1,9 @@
 """Quality rules: fixed base rules and robust multivariate outliers by minimum covariance determinant.
 
 Every document has a vector of transformed statistics. Per language and source, concentration steps look for the
-subset of ``core`` of the documents whose covariance has the least determinant: start from medians and median absolute
-deviations, then estimate mean and covariance on the rows of smallest distance until the determinant falls no more. A
-document goes if its Mahalanobis distance from its group's estimate is over the cutoff. All of it is DataFrame expressions.
+subset of ``core`` of the documents whose covariance has the least determinant: from each of two starts, medians with
+median absolute deviations and the mean and covariance of all rows, estimate mean and covariance on the rows of smallest
+distance until the determinant falls no more; the start that ends at the lesser determinant is taken. A document goes if its Mahalanobis distance from its group's estimate is over the cutoff. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -141,7 +141,8 @@ def _with_inverse(moments: DataFrame, names: list[str], factor: float, floors: d
 
 
 def _estimate(rows: DataFrame, s: QualitySettings) -> DataFrame:
-    """(level, g_lang, g_source, group_rows, m_*, w_*): the estimate of each group of at least ``min_rows`` rows, of all levels."""
+    """(level, g_lang, g_source, group_rows, m_*, w_*, log_det): the estimate of each group of at least ``min_rows`` rows,
+    of all levels; log_det is the logarithm of the least determinant found."""
     names, floors = [n for n, _ in s.floors], dict(s.floors)
     p = len(names)
     keys = ["level", "g_lang", "g_source"]
@@ -150,7 +151,7 @@ def _estimate(rows: DataFrame, s: QualitySettings) -> DataFrame:
 
     def joined(params: DataFrame) -> DataFrame:
         # a row for each group: broadcast within the bound, so that the rows of a large group stay where they are
-        return rows.join(small(params, groups), keys)
+        return rows.join(small(params, 2 * groups), keys)
 
     medians = rows.groupBy(*keys).agg(F.count("*").alias("group_rows"), *[F.percentile_approx(n, 0.5, 2000).alias(f"m_{i}") for i, n in enumerate(names)])
     medians = materialize(medians.filter((F.col("group_rows") >= s.min_rows) | (F.col("level") == len(_LEVELS) - 1)))
@@ -159,31 +160,39 @@ def _estimate(rows: DataFrame, s: QualitySettings) -> DataFrame:
         F.first("group_rows").alias("group_rows"), *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(p)],
         *[F.percentile_approx(F.abs(F.col(n) - F.col(f"m_{i}")), 0.5, 2000).alias(f"d_{i}") for i, n in enumerate(names)],
     )
-    params = spread.select(
-        *keys, "group_rows", *[f"m_{i}" for i in range(p)],
+    robust = spread.select(
+        *keys, F.lit(0).alias("start"), "group_rows", *[f"m_{i}" for i in range(p)],
         *[(1 / F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(floors[names[i]])) if i == j else F.lit(0.0)).alias(f"w_{i}_{j}") for i in range(p) for j in range(i + 1)],
-        # the start isn't the estimate of a core, so nothing is settled by the first step
-        F.lit(float("inf")).alias("log_det"), F.lit(False).alias("done"),
     )
+
+    def moments_of(df: DataFrame, by: list[str], *more: Column) -> DataFrame:
+        return df.groupBy(*by).agg(
+            F.first("group_rows").alias("group_rows"), *more, *[F.avg(n).alias(f"m_{i}") for i, n in enumerate(names)],
+            *[F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)],
+        )
+
+    whole = _with_inverse(moments_of(joined(medians.select(*keys, "group_rows")), keys), names, 1.0, floors).withColumn("start", F.lit(1))
+    # a start isn't the estimate of a core, so nothing is settled by the first step
+    params = robust.unionByName(whole).withColumns({"log_det": F.lit(float("inf")), "done": F.lit(False)})
+    started = [*keys, "start"]
     quantile = chi2_quantile(s.core, p)
     factor = s.core / _chi2_cdf(quantile, p + 2)  # makes the core's covariance that of a whole normal group
     params = materialize(params)
     for _ in range(s.max_steps):
         moving = params.filter(~F.col("done"))
-        near = joined(moving.drop("done")).withColumn("d", _distance(names)).select(*keys, "group_rows", "log_det", *names, "d")
-        limit = near.groupBy(*keys).agg(F.percentile_approx("d", s.core, 2000).alias("limit"))
-        core = near.join(small(limit, groups), keys).filter("d <= limit")
-        moments = core.groupBy(*keys).agg(
-            F.first("group_rows").alias("group_rows"), F.first("log_det").alias("log_det_before"), *[F.avg(n).alias(f"m_{i}") for i, n in enumerate(names)],
-            *[F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)],
-        )
+        near = joined(moving.drop("done")).withColumn("d", _distance(names)).select(*started, "group_rows", "log_det", *names, "d")
+        limit = near.groupBy(*started).agg(F.percentile_approx("d", s.core, 2000).alias("limit"))
+        core = near.join(small(limit, 2 * groups), started).filter("d <= limit")
+        moments = moments_of(core, started, F.first("log_det").alias("log_det_before"))
         log_det = -2 * sum((F.log(f"w_{i}_{i}") for i in range(p)), F.lit(0.0))
         stepped = _with_inverse(moments, names, factor, floors).withColumn("log_det", log_det)
         stepped = stepped.withColumn("done", F.col("log_det_before") - F.col("log_det") <= s.settled).drop("log_det_before")
         params = materialize(stepped.unionByName(params.filter("done")))
         if not params.filter(~F.col("done")).head(1):
             break
-    return params.drop("log_det", "done")
+    own = [c for c in params.columns if c not in (*started, "done")]
+    best = params.groupBy(*keys).agg(F.min_by(F.struct(*own), F.struct("log_det", "start")).alias("best"))
+    return best.select(*keys, "best.*")
 
 
 def judge_quality(docs: DataFrame, settings: QualitySettings = QualitySettings(), keep: tuple[str, ...] = ()) -> DataFrame:
@@ -205,7 +214,7 @@ def judge_quality(docs: DataFrame, settings: QualitySettings = QualitySettings()
     estimates = _estimate(rows, s)
     for n, keys in enumerate(_LEVELS):
         est = estimates.filter(F.col("level") == n).withColumn("g_all", F.lit("all"))
-        own = [c for c in est.columns if c not in ("level", "g_lang", "g_source", "g_all")]
+        own = [c for c in est.columns if c not in ("level", "g_lang", "g_source", "g_all", "log_det")]
         renamed = est.select(*keys, F.struct(*own).alias(f"e{n}"))
         judged = judged.join(small(renamed, est.count()), list(keys), "left")
     judged = judged.withColumn("e", F.coalesce("e0", "e1", "e2")).select(*rows.columns, "e.*")
