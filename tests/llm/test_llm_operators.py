@@ -148,8 +148,7 @@ def test_packing_round_trip(spark):
 
     settings = packing.default_settings()
     tok = Tokenizer.from_file(settings.tokenizer_path)
-    tok.encode_special_tokens = True
-    rows = corpus() + [(500, "  odd  spaces \n\n x "), (501, "a<|endoftext|> b"), (502, "x\x1c y　 z"), (503, "tab\t.")]
+    rows = corpus() + [(500, "  odd  spaces \n\n x "), (501, "a<|endoftext|> b"), (504, "a<|endoftext|>b  <|endoftext|>"), (505, "<|endoftext|"), (502, "x\x1c y　 z"), (503, "tab\t.")]
     got = packing.pack_documents(frame(spark, rows), settings).collect()
     want, places = {}, {}
     for i, t in rows:
@@ -262,6 +261,36 @@ def test_quality_rules_reject_copies_that_hold_a_third_of_a_group(spark):
     assert {i for i, r in got.items() if r.kept} == set(range(160))
 
 
+def test_least_determinant_against_many_starts(spark):
+    rng = np.random.default_rng(3)
+    s = quality_rules.QualitySettings(min_rows=10)
+    names, floors = [n for n, _ in s.floors], np.array([f for _, f in s.floors])
+    groups = {}
+    for g in range(3):
+        x = rng.normal(size=(120, len(names))) @ rng.normal(size=(len(names), len(names))) * floors
+        x[: 20 * g] += 30 * floors
+        groups[f"s{g}"] = x
+    rows = [(*map(float, r), "en", g, "all") for g, x in groups.items() for r in x]
+    est = quality_rules._estimate(spark.createDataFrame(rows, [*names, "g_lang", "g_source", "g_all"]), s)
+    got = {r.g_source: r.log_det for r in est.filter("level = 0").collect()}
+    quantile = quality_rules.chi2_quantile(s.core, len(names))
+    factor = s.core / quality_rules._chi2_cdf(quantile, len(names) + 2)
+
+    def steps(x, own):
+        last = np.inf
+        while True:
+            m, c = x[own].mean(0), np.cov(x[own].T, bias=True) * factor + np.diag(floors**2)
+            det = np.linalg.slogdet(c)[1]
+            if last - det < 1e-9:
+                return det
+            last, d = det, np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            own = np.argsort(d)[: len(x) // 2]
+
+    for g, x in groups.items():
+        best = min(steps(x, rng.choice(len(x), 60, replace=False)) for _ in range(60))
+        assert got[g] <= best + 0.3
+
+
 def test_chi_square():
     assert abs(quality_rules.chi2_quantile(0.95, 6) - 12.5916) < 1e-3 and abs(quality_rules._chi2_cdf(quality_rules.chi2_quantile(0.75, 4), 4) - 0.75) < 1e-9
 
@@ -458,6 +487,21 @@ def test_licenses(spark):
     assert {(1, "mit"), (2, "apache"), (6, "cc-by-nc")} <= found and not {d for d, _ in found} & {3, 4, 7}
 
 
+def test_license_spans_with_inserted_dropped_and_repeated_words(spark):
+    body = next(t for label, t in licenses.TEMPLATES if label == "isc" and "WARRANTIES" in t).split()
+    lead = [f"lead{i}" for i in range(7)]
+    cut = [w for i, w in enumerate(body) if i % 40 != 20]
+    more = [x for i, w in enumerate(body) for x in ([w, "extra"] if i % 40 == 20 else [w])]
+    chain = "permission to use and copy " * 400
+    rows = [(1, " ".join(lead + body + lead)), (2, " ".join(lead + cut + lead)), (3, " ".join(lead + more + lead)), (4, chain), (5, " ".join(body[:40])), (6, " ".join(lead + body + lead + body))]
+    found = [(r.doc_id, r.first, r.end) for r in licenses.scan_licenses(frame(spark, rows))[1].collect() if r.label == "isc" and r.end - r.first > 30]
+    words = lambda t: len(ALNUM.findall(t.translate(LOWER)))
+    n = words(" ".join(body))
+    assert (1, 7, 7 + n) in found and {d for d, _, _ in found} == {1, 2, 3, 6}
+    assert sorted((a, z) for d, a, z in found if d == 6) == [(7, 7 + n), (14 + n, 14 + 2 * n)]
+    assert all(abs((z - a) - n) <= 12 for _, a, z in found)
+
+
 def test_factorisation_machine():
     rng = np.random.default_rng(0)
     m = quality_classifier.FactorisationMachine(0.3, rng.normal(size=30), rng.normal(size=(30, 4)))
