@@ -2,35 +2,82 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EMPTY = "array<struct<start:int,end:int,value:string>>"
+#: Folds over long arrays go by chunks of so many, so that what they append to stays short.
+CHUNK = 64
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def chunks(array: Column) -> Column:
+    """``array`` cut into arrays of ``CHUNK``; none for an empty one."""
+    last = F.floor((F.size(array) - 1) / CHUNK).cast("int")
+    return F.when(F.size(array) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(array, i * CHUNK + 1, CHUNK))).otherwise(F.array())
+
+
+def running_before(values: Column, join: Callable[[Column, Column], Column], zero: int) -> Column:
+    """For an array of ints what ``join`` makes of ``zero`` and all those before each, in time that grows with little more
+    than the array's length."""
+    first = F.lit(zero)
+
+    def walk(array: Column) -> Column:
+        step = lambda acc, n: F.struct(join(acc["at"], n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(array, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
+
+    whole = lambda c: F.aggregate(c, first, join)
+    cut = lambda c: F.flatten(F.zip_with(c, walk(F.transform(c, whole)), lambda part, at: F.transform(walk(part), lambda n: join(at, n))))
+    return let(chunks(values), cut)
 
 
 def find_spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of all matches, offsets in code points from 0. Null text gives an empty array."""
     text = F.coalesce(text, F.lit(""))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.concat(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array(F.lit(None).cast("string"))).alias("m"))
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
-        end = start + F.coalesce(F.length(p["m"]), F.lit(0))
-        span = F.array(F.struct(start.alias("start"), end.alias("end"), p["m"].alias("value")))
-        return F.struct(end.alias("at"), F.when(p["m"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], span)).alias("spans"))
+    def placed(found: Column) -> Column:
+        n = F.size(found)
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), n)
+        before = running_before(F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m)), lambda a, n: a + n, 0)
+        starts = F.zip_with(before, gaps, lambda at, g: at + F.length(g))
+        return F.zip_with(starts, found, lambda at, m: F.struct(at.alias("start"), (at + F.length(m)).alias("end"), m.alias("value")))
+
+    spans = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+    return F.when(text.rlike(pattern), spans.cast(EMPTY)).otherwise(F.array().cast(EMPTY))
+
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(EMPTY).alias("spans"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step)["spans"]).otherwise(F.array().cast(EMPTY))
+def overlap_groups(spans: Column) -> Column:
+    """``spans`` (structs with int start and end) cut into groups, by place, such that none overlaps one of another group."""
+
+    def cut(placed: Column) -> Column:
+        reach = running_before(F.transform(placed, lambda y: y["end"]), lambda a, n: F.greatest(a, n), -1)
+        apart = F.zip_with(placed, reach, lambda y, end: y["start"] >= end)
+        firsts = F.filter(F.transform(apart, lambda new, i: F.when(new, i)), lambda i: i.isNotNull())
+        ends = F.concat(F.slice(firsts, F.lit(2), F.greatest(F.size(firsts) - 1, F.lit(0))), F.array(F.size(placed)))
+        return F.zip_with(firsts, ends, lambda i, j: F.transform(F.slice(placed, i + 1, j - i), lambda y: y["x"]))
+
+    placed = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x.alias("x"))))
+    return F.when(F.size(spans) > 0, let(placed, cut)).otherwise(F.array())
 
 
 def greedy_disjoint(spans: Column, kind: str) -> Column:
-    """Of ``spans`` (of type ``kind``, with start and end), in array order, each that overlaps none taken before."""
+    """Of ``spans`` (of type ``kind``, with start and end), in the order of their structs, each that overlaps none taken before.
+
+    A choice depends only on spans of its own group of overlaps, which is small in running text.
+    """
 
     def step(taken: Column, x: Column) -> Column:
         clash = F.exists(taken, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
         return F.when(clash, taken).otherwise(F.concat(taken, F.array(x)))
 
-    return F.aggregate(spans, F.array().cast(kind), step)
+    choose = lambda group: F.when(F.size(group) == 1, group).otherwise(F.aggregate(F.array_sort(group), F.array().cast(kind), step))
+    return F.flatten(F.transform(overlap_groups(spans), choose)).cast(kind)
 
 
 def replace_spans(text: Column, spans: Column, put) -> Column:
@@ -43,4 +90,4 @@ def replace_spans(text: Column, spans: Column, put) -> Column:
         gap = F.substring(text, begin + 1, end - begin)
         return F.concat(gap, F.when(i < n, put(F.get(spans, i), i)).otherwise(F.lit("")))
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), n), piece), "")
+    return F.when(n == 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), n), piece), ""))

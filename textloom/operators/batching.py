@@ -66,6 +66,23 @@ def run_model(requests: DataFrame, load: Callable[[], Callable[[list[str]], list
     return requests.select("pair_id", "source").mapInPandas(run, "pair_id long, target string")
 
 
+@dataclass(frozen=True)
+class Provider:
+    """A model by name: whether it answers, and how a task loads it."""
+
+    name: str
+    healthy: Callable[[], bool]
+    load: Callable[[], Callable[[list[str]], list[str]]]
+
+
+def run_first_healthy(requests: DataFrame, providers: list[Provider]) -> DataFrame:
+    """(pair_id, target, provider) by the first of ``providers`` that is healthy; an error if none is."""
+    chosen = next((p for p in providers if p.healthy()), None)
+    if chosen is None:
+        raise RuntimeError("no provider is healthy: " + ", ".join(p.name for p in providers))
+    return run_model(requests, chosen.load).withColumn("provider", F.lit(chosen.name))
+
+
 def final_status(total: Column, good: Column, warned: Column) -> Column:
     return F.when(good == 0, "FAILED").when(good < total, "PARTIALLY_COMPLETED").when(warned > 0, "COMPLETED_WITH_WARNINGS").otherwise("COMPLETED")
 
@@ -80,3 +97,19 @@ def retry_level(attempts: Column) -> Column:
         upto += times
         out = F.when(attempts < upto, name) if out is None else out.when(attempts < upto, name)
     return out.otherwise("MANUAL_REVIEW")
+
+
+_RESPONSE = "segments array<struct<id:bigint,text:string>>, _bad string"
+
+
+def response_code(raw: Column, known: Column) -> Column:
+    """OK, or what is wrong with a raw response {"segments": [{"id", "text"}, ...]} to a batch of ``known`` ids: a Markdown
+    wrapper, no JSON, another shape, a repeated, unknown or missing id, or a blank text, in this order."""
+    j = F.from_json(raw, _RESPONSE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    ids, tidy = F.transform(j["segments"], lambda x: x["id"]), F.trim(F.regexp_replace(raw, r"\A\s+|\s+\z", ""))
+    shapeless = j["segments"].isNull() | F.exists(j["segments"], lambda x: x["id"].isNull() | x["text"].isNull())
+    return (
+        F.when(tidy.startswith("```") | tidy.endswith("```"), "MARKDOWN_WRAPPER").when(j["_bad"].isNotNull() | j.isNull(), "INVALID_JSON").when(shapeless, "SCHEMA_MISMATCH")
+        .when(F.size(F.array_distinct(ids)) < F.size(ids), "DUPLICATE_SEGMENT").when(F.size(F.array_except(ids, known)) > 0, "UNKNOWN_SEGMENT_ID")
+        .when(F.size(F.array_except(known, ids)) > 0, "MISSING_SEGMENT").when(F.exists(j["segments"], lambda x: F.trim(x["text"]) == ""), "EMPTY_TRANSLATION").otherwise("OK")
+    )

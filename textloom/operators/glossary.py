@@ -14,39 +14,70 @@ from textloom.operators.text import term_key
 WORD = r"[\p{L}\p{N}_]+"
 # Words that neither begin nor end a mined phrase.
 COMMON_WORDS = ("a", "an", "and", "atau", "dalam", "dan", "dari", "di", "for", "from", "in", "is", "itu", "ke", "of", "on", "or", "pada", "the", "to", "untuk", "yang")
+# Snake case, camel case of either kind, dotted names and acronyms, each perhaps with empty brackets.
 TECHNICAL = (
     r"(?U)(?<![\w])(?:[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+|[a-z]+(?:[A-Z][A-Za-z0-9]*)+|[A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+"
     r"|[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+|[A-Z]{2,}[A-Z0-9]*)(?:\(\))?(?![\w])"
 )
+#: Characters of terms, all together, up to which they are broadcast; more are joined by shuffle.
+BROADCAST_CHARS = 8_000_000
 
 
 def find_terms(segments: DataFrame, terms: DataFrame, case_sensitive: bool = True, whole_word: bool = True) -> DataFrame:
-    """(seg_id, term_id, start, end): every occurrence of terms (term_id, source_term) that begins at a word and, with
-    ``whole_word``, ends at one.
+    """(seg_id, term_id, start, end): every occurrence of terms (term_id, source_term), overlapping ones too, anywhere or,
+    with ``whole_word``, where it begins with a word and ends with one.
 
-    Segments' words meet terms by their first word, an equi-join on a skewed but pre-filtered key; the whole term is then
-    compared at its place. Terms without a word never match; null texts have no words.
+    Segments' words meet terms by their first word, and each carries as much of the text as the longest term could need,
+    in which the whole term is then compared. Terms are counted and broadcast within a bound. Terms without a word never
+    match; null texts have no words; repeated terms count once.
     """
     fold = (lambda c: c) if case_sensitive else F.lower
-    t = terms.select("term_id", fold(F.col("source_term")).alias("term")).withColumn("lead", F.regexp_extract("term", WORD, 0)).filter("lead <> ''")
+    t = terms.select("term_id", fold(F.col("source_term")).alias("term")).distinct()
+    if not whole_word:
+        return _find_anywhere(segments.select("seg_id", fold(F.col("text")).alias("text")), t)
+    t = t.withColumn("lead", F.regexp_extract("term", WORD, 0)).filter("lead <> ''")
     t = t.withColumn("skip", F.instr("term", F.col("lead")) - 1)
+    size = t.agg(F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars"), F.coalesce(F.max(F.length("term")), F.lit(0)).alias("longest"), F.coalesce(F.max("skip"), F.lit(0)).alias("skip")).first()
     s = segments.select("seg_id", fold(F.col("text")).alias("text"))
-    words = s.select("seg_id", "text", F.inline(find_spans(F.col("text"), WORD))).withColumnRenamed("value", "lead")
-    if not whole_word:  # a term may end inside a word, so words and terms meet by up to three first letters
-        words = words.withColumn("lead", F.explode(F.array_distinct(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col("lead"), F.lit(1), n)))))
-        t = t.withColumn("lead", F.substring("lead", 1, 3))
-    start, n = F.col("start") - F.col("skip"), F.length("term")
-    found = words.join(t, "lead").filter((start >= 0) & (F.substring(F.col("text"), start + 1, n) == F.col("term")))
-    if whole_word:
-        is_word = lambda c: c.rlike(r"\A[\p{L}\p{N}_]")
-        found = found.filter(~is_word(F.substring(F.col("text"), start + n + 1, F.lit(1))) & ((start == 0) | ~is_word(F.substring(F.col("text"), F.greatest(start, F.lit(1)), F.lit(1)))))
-    return found.select("seg_id", "term_id", start.cast("long").alias("start"), (start + n).cast("long").alias("end")).distinct()
+    begin = lambda w: F.greatest(w["start"] - size["skip"] - 1, F.lit(0))
+    around = lambda w: F.struct(w["start"].alias("start"), w["value"].alias("lead"), begin(w).alias("from"), F.substring(F.col("text"), begin(w) + 1, F.lit(size["skip"] + size["longest"] + 2)).alias("near"))
+    words = s.select("seg_id", F.inline(F.transform(find_spans(F.col("text"), WORD), around)))
+    at, n = F.col("start") - F.col("skip") - F.col("from"), F.length("term")
+    found = words.join(F.broadcast(t) if size["chars"] <= BROADCAST_CHARS else t, "lead").filter((at >= 0) & (F.substring(F.col("near"), at + 1, n) == F.col("term")))
+    is_word = lambda c: c.rlike(r"\A[\p{L}\p{N}_]")
+    found = found.filter(~is_word(F.substring(F.col("near"), at + n + 1, F.lit(1))) & ((at == 0) | ~is_word(F.substring(F.col("near"), F.greatest(at, F.lit(1)), F.lit(1)))))
+    start = F.col("start") - F.col("skip")
+    return found.select("seg_id", "term_id", start.cast("long").alias("start"), (start + n).cast("long").alias("end"))
+
+
+def _find_anywhere(segments: DataFrame, terms: DataFrame, reach: int = 24) -> DataFrame:
+    """Occurrences of ``terms`` (term_id, term) at any place of ``segments`` (seg_id, text): places meet terms by as many
+    first letters as the shortest has, up to 6, and are compared over ``reach`` letters; the few longer ones in full."""
+    t = terms.filter("term <> ''")
+    size = t.agg(F.coalesce(F.min(F.length("term")), F.lit(1)).alias("shortest"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars")).first()
+    k = min(size["shortest"], 6)
+    t = t.withColumn("lead", F.substring("term", 1, k))
+    letters = segments.select("seg_id", F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)).alias("c"))
+    near = lambda i, m: F.array_join(F.slice("c", i + 1, m), "")
+    places = F.transform(F.sequence(F.lit(0), F.size("c") - k), lambda i: F.struct(i.alias("start"), near(i, k).alias("lead"), near(i, reach).alias("near")))
+    places = letters.filter(F.size("c") >= k).select("seg_id", F.inline(places))
+    found = places.join(F.broadcast(t) if size["chars"] <= BROADCAST_CHARS else t, "lead").filter(F.col("near").startswith(F.substring("term", 1, reach)))
+    short = found.filter(F.length("term") <= reach)
+    long = found.filter(F.length("term") > reach).select("seg_id", "start", "term_id", "term").join(segments, "seg_id")
+    long = long.filter(F.substring(F.col("text"), F.col("start") + 1, F.length("term")) == F.col("term"))
+    own = ["seg_id", "term_id", F.col("start").cast("long").alias("start"), (F.col("start") + F.length("term")).cast("long").alias("end")]
+    return short.select(own).unionByName(long.select(own))
+
+
+def candidates(*found: DataFrame) -> DataFrame:
+    """Matches (seg_id, term_id, start, end) of several kinds of matching, each occurrence once."""
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def resolve_overlaps(found: DataFrame, by: str = "seg_id") -> DataFrame:
     """Of matches (by, term_id, start, end) the longest, then the earliest, then the smallest term, none overlapping."""
     kind = "array<struct<n:bigint,start:bigint,term_id:bigint,end:bigint>>"
-    spans = F.array_sort(F.collect_set(F.struct((F.col("start") - F.col("end")).alias("n"), "start", "term_id", "end")))
+    spans = F.collect_set(F.struct((F.col("start") - F.col("end")).alias("n"), "start", "term_id", "end"))
     taken = found.groupBy(by).agg(spans.alias("spans")).select(by, F.inline(greedy_disjoint(F.col("spans"), kind)))
     return taken.select(by, "term_id", "start", "end")
 
@@ -60,23 +91,59 @@ def scope_winners(candidates: DataFrame, key: str) -> DataFrame:
     ).select(key, F.when(F.col("n_behaviours") == 1, F.col("first_rule")).alias("rule_id"), (F.col("n_behaviours") > 1).alias("ambiguous"))
 
 
+def winners_by_reference(segments: DataFrame, rules: DataFrame, references: dict[str, tuple[Column, Column]], key: str) -> DataFrame:
+    """(``key``, rule_id, ambiguous) of each of ``segments`` that a rule applies to: scope_winners without all pairs.
+
+    ``references`` names for each scope the column of rules and the column of segments that must be equal. A scope has one
+    rank, so the best rules of every reference are found first, a row each, and segments meet only those.
+    """
+    best = None
+    for scope, (theirs, _) in references.items():
+        own = rules.filter(F.col("scope") == scope).withColumn("at", theirs)
+        won = scope_winners(own, "at").join(own.groupBy("at").agg(F.max("scope_rank").alias("rank")), "at")
+        won = won.select(F.lit(scope).alias("scope"), F.col("at").cast("string").alias("at"), "rank", "rule_id", "ambiguous")
+        best = won if best is None else best.unionByName(won)
+    at = F.array(*[F.struct(F.lit(scope).alias("scope"), ours.cast("string").alias("at")) for scope, (_, ours) in references.items()])
+    met = segments.select(key, F.inline(at)).join(best, ["scope", "at"])
+    top = met.groupBy(key).agg(F.max_by(F.struct("rule_id", "ambiguous"), "rank").alias("w"))
+    return top.select(key, "w.rule_id", "w.ambiguous")
+
+
+def conditions_overlap(a: Column, b: Column) -> Column:
+    """True unless the two maps disagree on a key that both have."""
+    return F.forall(F.array_intersect(F.map_keys(a), F.map_keys(b)), lambda k: F.try_element_at(a, k) == F.try_element_at(b, k))
+
+
+#: Scopes whose rules may leave out what they refer to and then hold for all of it.
+OPEN_SCOPES = ("DOMAIN", "USER")
+
+
 def conflicts(rules: DataFrame) -> DataFrame:
-    """(rule_a, rule_b, kind, winner): pairs of active rules of one term that behave differently.
+    """(rule_a, rule_b, kind, winner): pairs of active rules of one term that behave differently where both apply.
 
-    Ties that a rule of the same scope and higher priority dominates are left out. Pairs of a term come from a join on
-    it; a term has a handful of rules.
+    Rules (term, rule_id, rule_type, target, scope, scope_rank, scope_reference_id, priority, conditions, active) of one
+    scope apply together if their references agree or an open scope leaves one out, and if their conditions disagree on
+    no key. The kind is SCOPE if scope, reference or priority differ, else CONTEXT, RULE or TARGET. Scope rank and
+    priority decide the winner; equals have none, and are no conflict if a rule of the same scope, reference and
+    conditions has a higher priority. Pairs of a term come from a join on it; a term has a handful of rules.
     """
-    r = rules.filter("active")
+    r = rules.filter("active").withColumn("held", F.array_sort(F.map_entries("conditions")))
     a, b = r.alias("a"), r.alias("b")
-    differ = (F.col("a.rule_type") != F.col("b.rule_type")) | ~F.col("a.target").eqNullSafe(F.col("b.target"))
-    pairs = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.rule_id") < F.col("b.rule_id")) & differ)
-    kind = F.when(F.col("a.scope") != F.col("b.scope"), "SCOPE").when(F.col("a.rule_type") != F.col("b.rule_type"), "RULE").otherwise("TARGET")
+    same = lambda c: F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    differ = ~same("rule_type") | ~same("target")
+    open_ = F.col("a.scope").isin(*OPEN_SCOPES) & (F.col("a.scope_reference_id").isNull() | F.col("b.scope_reference_id").isNull())
+    together = (~same("scope") | same("scope_reference_id") | open_) & conditions_overlap(F.col("a.conditions"), F.col("b.conditions"))
+    pairs = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.rule_id") < F.col("b.rule_id")) & differ & together)
+    kind = F.when(~same("scope") | ~same("scope_reference_id") | ~same("priority"), "SCOPE").when(~same("held"), "CONTEXT").when(~same("rule_type"), "RULE").otherwise("TARGET")
     pa, pb = F.struct("a.scope_rank", "a.priority"), F.struct("b.scope_rank", "b.priority")
     winner = F.when(pa > pb, F.col("a.rule_id")).when(pb > pa, F.col("b.rule_id"))
-    out = pairs.select(F.col("a.term").alias("term"), F.col("a.scope_rank").alias("scope_rank"), F.col("a.priority").alias("priority"), F.col("a.rule_id").alias("rule_a"), F.col("b.rule_id").alias("rule_b"), kind.alias("kind"), winner.alias("winner"))
-    high = r.groupBy(F.col("term"), F.col("scope_rank")).agg(F.max("priority").alias("best"))
-    out = out.join(high, ["term", "scope_rank"], "left")
-    return out.filter(F.col("winner").isNotNull() | ~(F.coalesce("best", F.lit(-1)) > F.col("priority"))).select("rule_a", "rule_b", "kind", "winner")
+    alike = same("scope") & same("scope_reference_id") & same("held")
+    place = ("term", "scope", "scope_reference_id", "held")
+    out = pairs.select(*[F.col(f"a.{c}").alias(c) for c in (*place, "priority")], F.col("a.rule_id").alias("rule_a"), F.col("b.rule_id").alias("rule_b"), kind.alias("kind"), winner.alias("winner"), alike.alias("alike")).alias("o")
+    best = r.groupBy(*place).agg(F.max("priority").alias("best")).alias("h")
+    out = out.join(best, reduce(lambda x, y: x & y, [F.col(f"o.{c}").eqNullSafe(F.col(f"h.{c}")) for c in place]), "left")
+    shadowed = F.col("o.winner").isNull() & F.col("o.alike") & (F.col("h.best") > F.col("o.priority"))
+    return out.filter(~F.coalesce(shadowed, F.lit(False))).select("o.rule_a", "o.rule_b", "o.kind", "o.winner")
 
 
 @dataclass(frozen=True)
@@ -87,8 +154,11 @@ class MiningSettings:
     common: tuple[str, ...] = COMMON_WORDS
 
 
-def phrase_candidates(segments: DataFrame, s: MiningSettings = MiningSettings()) -> DataFrame:
-    """(seg_id, start, end, value): runs of words with nothing but spaces and hyphens between, no common word at either end."""
+def phrase_candidates(segments: DataFrame, s: MiningSettings = MiningSettings(), common: DataFrame | None = None) -> DataFrame:
+    """(seg_id, start, end, value): runs of words with nothing but spaces and hyphens between, no common word at either end.
+
+    Common words are those of the settings or, where given, those of the table ``common`` (word).
+    """
     word = r"[\p{L}\p{N}_]+(?:['’][\p{L}\p{N}_]+)*"
     t = segments.select("seg_id", "text", find_spans(F.col("text"), word).alias("w"))
     last = F.size("w") - 1
@@ -101,10 +171,15 @@ def phrase_candidates(segments: DataFrame, s: MiningSettings = MiningSettings())
 
         runs = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), last - (n - 1)), run)).otherwise(F.array())
         shape = word + r"(?:[\s-]+" + word + rf"){{{n - 1}}}"
-        return F.filter(runs, lambda r: r["value"].rlike(rf"\A{shape}\z") & ~r["a"].isin(*s.common) & ~r["z"].isin(*s.common))
+        fits = lambda r: r["value"].rlike(rf"\A{shape}\z")
+        return F.filter(runs, fits if common is not None else lambda r: fits(r) & ~r["a"].isin(*s.common) & ~r["z"].isin(*s.common))
 
     kind = "array<struct<start:int,end:int,value:string,a:string,z:string>>"
-    return t.select("seg_id", F.inline(F.concat(*[at(n).cast(kind) for n in range(s.min_words, s.max_words + 1)]))).select("seg_id", "start", "end", "value")
+    found = t.select("seg_id", F.inline(F.concat(*[at(n).cast(kind) for n in range(s.min_words, s.max_words + 1)])))
+    if common is not None:
+        for end in ("a", "z"):
+            found = found.join(common.select(F.col("word").alias(end)), end, "left_anti")
+    return found.select("seg_id", "start", "end", "value")
 
 
 def technical_candidates(segments: DataFrame) -> DataFrame:
@@ -148,3 +223,12 @@ def changed_rules(old: DataFrame, new: DataFrame, key: str, cols: tuple[str, ...
     fields = F.array_compact(F.array(*[F.when(~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")), F.lit(c)) for c in cols]))
     change = F.when(F.col("o").isNull(), "ADD").when(F.col("n").isNull(), "REMOVE").when(F.size(fields) == 0, "NONE").when(F.size(fields) > 1, "EDIT").otherwise(F.upper(F.get(fields, F.lit(0))))
     return both.select(key, change.alias("change"), F.array_join(F.when(F.col("o").isNull() | F.col("n").isNull(), F.array().cast("array<string>")).otherwise(fields), ",").alias("changed"))
+
+
+def snapshot_checksums(rules: DataFrame, scope: str, line: Column, buckets: int = 1024) -> DataFrame:
+    """(scope, checksum, n_rules, next_version) of ``rules`` (rule_id, term_id, priority): a digest of the digests of each
+    bucket of terms, so that no task holds a whole scope."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rule_id", line.alias("x")))), lambda s: s["x"]), "\u0001")
+    parts = rules.groupBy(scope, (F.col("term_id") % buckets).alias("bucket")).agg(F.sha2(lines, 256).alias("h"), F.count("*").alias("n"), F.max("priority").alias("p"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda s: s["h"]), "")
+    return parts.groupBy(scope).agg(F.sha2(whole, 256).alias("checksum"), F.sum("n").alias("n_rules"), (F.max("p") + 1).alias("next_version"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.spans import find_spans, greedy_disjoint, replace_spans
+from textloom.functions.spans import find_spans, greedy_disjoint, let, replace_spans
 
 # The patterns and the precedence of the kinds.
 PATTERNS = (
@@ -25,7 +25,10 @@ PATTERNS = (
 )
 KINDS = ("CODE", "URL", "EMAIL", "ENDPOINT", "FILE_PATH", "CITATION", "TERM", "ACRONYM")
 SPAN = "array<struct<n:int,start:int,rank:int,end:int,kind:string,value:string>>"
-TOKEN = r"__([A-Z]+)_([A-Z_]+)_(\d{3,})_([0-9A-F]{2})__"
+MARK = "TLM"
+TOKEN = rf"__{MARK}_(?:{'|'.join(KINDS)})_[0-9]{{4,}}_[0-9A-F]{{2}}__"
+#: What looks like a token, whole or not.
+_LIKE = rf"__{MARK}[A-Za-z0-9_]*"
 
 
 def trim_end(kind: Column, value: Column) -> Column:
@@ -61,49 +64,98 @@ def protected_spans(text: Column, extra: Column | None = None) -> Column:
 
 def resolved_spans(spans: Column) -> Column:
     """The longest spans first, then the earliest, then by kind; none overlaps another; by place."""
-    chosen = greedy_disjoint(F.array_sort(F.array_distinct(spans)), SPAN)
-    return F.array_sort(chosen, lambda a, b: a["start"] - b["start"])
+    chosen = F.transform(greedy_disjoint(F.array_distinct(spans), SPAN), lambda s: F.struct(s["start"].alias("at"), s.alias("s")))
+    return F.transform(F.array_sort(chosen), lambda x: x["s"])
 
 
-def inventory(docs: DataFrame, key: str, extra: Column | None = None) -> DataFrame:
-    """(key, kind, start, end, value) of each protected item of ``docs`` (key, text)."""
-    return docs.select(key, F.inline(resolved_spans(protected_spans(F.col("text"), extra)))).select(key, "kind", "start", "end", "value")
+def inventory(docs: DataFrame, *keep: str, extra: Column | None = None) -> DataFrame:
+    """(``keep``, kind, start, end, value) of each protected item of ``docs`` (text, and the columns ``keep``)."""
+    return docs.select(*keep, F.inline(resolved_spans(protected_spans(F.col("text"), extra)))).select(*keep, "kind", "start", "end", "value")
 
 
-def placeholder(kind: Column, number: Column, value: Column, mark: str = "TLM") -> Column:
-    """A token with the item's kind, number and a two-digit checksum of both and the value."""
-    raw = F.concat(F.encode(kind, "UTF-8"), F.unhex(F.lit("00")), F.encode(number.cast("string"), "UTF-8"), F.unhex(F.lit("00")), F.encode(value, "UTF-8"))
-    return F.concat(F.lit(f"__{mark}_"), kind, F.lit("_"), F.lpad(number.cast("string"), 3, "0"), F.lit("_"), F.upper(F.substring(F.sha2(raw, 256), 1, 2)), F.lit("__"))
+def _checksum(kind: Column, number: Column, value: Column) -> Column:
+    """The first byte of a digest of kind, number and value."""
+    zero = F.unhex(F.lit("00"))
+    raw = F.concat(F.encode(kind, "UTF-8"), zero, F.encode(number.cast("string"), "UTF-8"), zero, F.encode(value, "UTF-8"))
+    return F.conv(F.substring(F.sha2(raw, 256), 1, 2), 16, 10).cast("int")
 
 
-def mask(docs: DataFrame) -> DataFrame:
+def _token(kind: Column, number: Column, checksum: Column) -> Column:
+    return F.concat(F.lit(f"__{MARK}_"), kind, F.lit("_"), F.format_string("%04d", number), F.lit("_"), F.format_string("%02X", checksum), F.lit("__"))
+
+
+def placeholder(kind: Column, number: Column, value: Column) -> Column:
+    """A token with the item's kind, its number in four digits or more, and a two-digit checksum of both and the value."""
+    return _token(kind, number, _checksum(kind, number, value))
+
+
+def numbered_placeholders(spans: Column, text: Column) -> Column:
+    """A token for each of ``spans``, numbered from 1. Tokens that ``text`` has by nature are passed over: by the next
+    free checksum, and where a number has none by the next number."""
+
+    def passing_over(taken: Column) -> Column:
+        def first_free(s: Column, number: Column) -> Column:
+            seed = _checksum(s["kind"], number, s["value"])
+            tries = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: _token(s["kind"], number, (seed + k) % 256))
+            return F.get(F.filter(tries, lambda t: ~F.array_contains(taken, t)), F.lit(0))
+
+        def step(acc: Column, s: Column) -> Column:
+            numbers = F.sequence(acc["next"], acc["next"] + F.floor(F.size(taken) / 256).cast("int"))
+            free = F.filter(F.transform(numbers, lambda n: F.struct(n.alias("n"), first_free(s, n).alias("token"))), lambda x: x["token"].isNotNull())
+            return let(F.get(free, F.lit(0)), lambda x: F.struct((x["n"] + 1).alias("next"), F.concat(acc["out"], F.array(x["token"])).alias("out")))
+
+        return F.aggregate(spans, F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("out")), step)["out"]
+
+    plain = F.transform(spans, lambda s, i: placeholder(s["kind"], i + 1, s["value"]))
+    taken = F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
+    return F.when(text.contains(f"__{MARK}_"), let(taken, passing_over)).otherwise(plain)
+
+
+def mask(docs: DataFrame, extra: Column | None = None) -> DataFrame:
     """``docs`` (with text) with ``masked`` and ``items`` (placeholder, value): items are numbered from 1 by place."""
-    d = docs.withColumn("spans", resolved_spans(protected_spans(F.col("text"))))
-    items = F.transform("spans", lambda s, i: F.struct(placeholder(s["kind"], i + 1, s["value"]).alias("placeholder"), s["value"].alias("value")))
-    d = d.withColumn("items", items)
+    d = docs.withColumn("spans", resolved_spans(protected_spans(F.col("text"), extra)))
+    tokens = numbered_placeholders(F.col("spans"), F.coalesce("text", F.lit("")))
+    d = d.withColumn("items", F.zip_with(tokens, "spans", lambda t, s: F.struct(t.alias("placeholder"), s["value"].alias("value"))))
     return d.withColumn("masked", replace_spans(F.col("text"), F.col("spans"), lambda s, i: F.get("items", i)["placeholder"])).drop("spans")
 
 
 def restore(masked: Column, items: Column) -> Column:
-    """``masked`` with each placeholder replaced by its value."""
-    gaps, found = F.split(masked, TOKEN, -1), F.regexp_extract_all(masked, F.lit(TOKEN), F.lit(0))
-    values = F.map_from_arrays(F.transform(items, lambda x: x["placeholder"]), F.transform(items, lambda x: x["value"]))
-    put = F.transform(found, lambda p: F.coalesce(F.try_element_at(values, p), p))
-    return F.array_join(F.zip_with(gaps, F.concat(put, F.array(F.lit(""))), lambda g, v: F.concat(g, v)), "")
-
+    """``masked`` with each placeholder replaced by its value; other tokens stay."""
+
+    def put(found: Column) -> Column:
+        in_order = found == F.transform(items, lambda x: x["placeholder"])
+        one = lambda p: F.coalesce(F.get(F.filter(items, lambda x: x["placeholder"] == p), F.lit(0))["value"], p)
+        values = F.when(in_order, F.transform(items, lambda x: x["value"])).otherwise(F.transform(found, one))
+        return F.array_join(F.zip_with(F.split(masked, TOKEN, -1), F.concat(values, F.array(F.lit(""))), lambda g, v: F.concat(g, v)), "")
+
+    return let(F.regexp_extract_all(masked, F.lit(TOKEN), F.lit(0)), put)
+
+
+def audit(text: Column, items: Column, natural: Column | None = None) -> Column:
+    """Codes of what is wrong with the placeholders of ``text``, sorted: MISSING, DUPLICATED, ALTERED (a number of the
+    items with another kind or checksum), UNKNOWN, MALFORMED, REORDERED. Tokens in the array ``natural`` aren't judged."""
+    number = lambda p: F.regexp_extract(p, rf"__{MARK}_[A-Z_]+_0*([0-9]+)_", 1)
+
+    def codes(seen: Column, expected: Column) -> Column:
+        count = lambda p: F.size(F.filter(seen, lambda s: s == p))
+        numbers = F.transform(expected, number)
+        strange = F.filter(seen, lambda s: ~F.array_contains(expected, s))
+        cut = F.filter(F.regexp_extract_all(text, F.lit(_LIKE), F.lit(0)), lambda x: ~x.rlike(rf"^{TOKEN}"))
+        known = F.filter(seen, lambda s: F.array_contains(expected, s))
+        meant = lambda x: F.array_contains(numbers, number(x))
+        found = F.array(
+            F.when(F.exists(expected, lambda p: count(p) == 0), F.lit("MISSING")), F.when(F.exists(expected, lambda p: count(p) > 1), F.lit("DUPLICATED")),
+            F.when(F.exists(strange, meant) | F.exists(cut, lambda x: (number(x) != "") & meant(x)), F.lit("ALTERED")),
+            F.when(F.exists(strange, lambda s: ~meant(s)), F.lit("UNKNOWN")), F.when(F.size(cut) > 0, F.lit("MALFORMED")),
+            F.when((F.size(known) == F.size(expected)) & (F.array_sort(known) == F.array_sort(expected)) & (known != expected), F.lit("REORDERED")),
+        )
+        clean = (seen == expected) & (F.size(F.regexp_extract_all(text, F.lit(_LIKE), F.lit(0))) == F.size(seen))
+        return F.when(clean, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_compact(found)))
 
-def audit(text: Column, items: Column) -> Column:
-    """Codes of what is wrong with the placeholders of ``text``: MISSING, DUPLICATED, UNKNOWN, REORDERED, MALFORMED."""
-    expected = F.transform(items, lambda x: x["placeholder"])
     seen = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    count = lambda p: F.size(F.filter(seen, lambda s: s == p))
-    loose = F.size(F.regexp_extract_all(text, F.lit("__[A-Z]+_"), F.lit(0))) > F.size(seen)
-    known = F.filter(seen, lambda s: F.array_contains(expected, s))
-    return F.array_compact(F.array(
-        F.when(F.exists(expected, lambda p: count(p) == 0), F.lit("MISSING")), F.when(F.exists(expected, lambda p: count(p) > 1), F.lit("DUPLICATED")),
-        F.when(F.exists(seen, lambda s: ~F.array_contains(expected, s)), F.lit("UNKNOWN")), F.when(loose, F.lit("MALFORMED")),
-        F.when((F.array_sort(known) == F.array_sort(expected)) & (known != expected), F.lit("REORDERED")),
-    ))
+    if natural is not None:
+        seen = F.filter(seen, lambda s: ~F.array_contains(natural, s))
+    return let(seen, lambda s: let(F.transform(items, lambda x: x["placeholder"]), lambda e: codes(s, e)))
 
 
 def protected_only(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators import text as t
-from textloom.operators.protect import TOKEN
+from textloom.operators.protect import PATTERNS, TOKEN
 
 # Words that mark a language, and words of negation.
 MARKERS = {
@@ -21,8 +21,11 @@ DATE = r"(?U)(?<![\w])\d{1,4}[-/]\d{1,2}[-/]\d{1,4}(?![\w])"
 DECADE = r"(?iU)(?<!\w)(\d{3}0)(?:['’]?s|-?an)(?!\w)"
 NUMBER = r"(?iU)(?<![\w])(?:(?:USD|IDR|EUR|GBP|JPY|Rp|[$€£¥])\s*)?[+-]?(?:\d{1,3}(?:[.,]\d{3})+|\d+)(?:[.,]\d+)?(?:\s*%)?(?![\w])"
 _MONEY = r"(?i)^(?:USD|IDR|EUR|GBP|JPY|Rp|[$€£¥])"
-URL = r"(?i)(?:https?://|www\.)[^\s<>\"']+"
-CITATIONS = (r"\[(?:\d{1,4})(?:\s*[-,;]\s*\d{1,4})*\]", r"(?i)\b(?:fig(?:ure)?|table|eq(?:uation)?)\.?\s+\d+(?:\.\d+)*\b")
+LABELLED = r"(?i)\b(?:fig(?:ure)?|table|eq(?:uation)?)\.?\s+\d+(?:\.\d+)*\b"
+
+URL = next(x for k, x in PATTERNS if k == "URL")
+CITATIONS = (*[x for k, x in PATTERNS if k == "CITATION"], LABELLED)
+CODE = tuple(x for k, x in PATTERNS if k in ("CODE", "ENDPOINT", "FILE_PATH"))
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -54,19 +57,25 @@ def citation_inventory(text: Column) -> Column:
     return F.array_sort(F.concat(*[_all(t.mask_placeholders(text), p) for p in CITATIONS]))
 
 
+def code_inventory(text: Column) -> Column:
+    return F.array_sort(F.concat(*[_all(t.mask_placeholders(text), p) for p in CODE]))
+
+
 def marker_score(words: Column, language: str) -> Column:
     return F.size(F.array_intersect(words, F.array(*map(F.lit, MARKERS[language]))))
 
 
 def wrong_language(target: Column, expected: str, other: str) -> Column:
-    w = t.words(target)
-    good, bad = marker_score(w, expected), marker_score(w, other)
+    return _wrong_words(t.words(target), expected, other)
+
+
+def _wrong_words(words: Column, expected: str, other: str) -> Column:
+    good, bad = marker_score(words, expected), marker_score(words, other)
     return (bad >= 2) & (bad >= good + 2)
 
 
 def untranslated(source: Column, target: Column, source_language: str) -> Column:
-    both = F.array_intersect(t.words(source), t.words(target))
-    return marker_score(both, source_language) > 0
+    return marker_score(F.array_intersect(t.words(source), t.words(target)), source_language) > 0
 
 
 def length_ratio(source: Column, target: Column) -> Column:
@@ -79,19 +88,30 @@ def suspicious_length(source: Column, target: Column, low: float = 0.5, high: fl
 
 
 def negated(text: Column) -> Column:
-    return F.arrays_overlap(t.words(text), F.array(*map(F.lit, NEGATIONS)))
+    return _negated_words(t.words(text))
+
+
+def _negated_words(words: Column) -> Column:
+    return F.arrays_overlap(words, F.array(*map(F.lit, NEGATIONS)))
 
 
 def issues(pairs: DataFrame, expected: str = "id", other: str = "en") -> DataFrame:
-    """(pair_id, code, severity): all checks of ``pairs`` (pair_id, source, target) in one scan; null texts are empty."""
-    s, g = F.coalesce("source", F.lit("")), F.coalesce("target", F.lit(""))
-    tokens = lambda c: F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
+    """(pair_id, code, severity): all checks of ``pairs`` (pair_id, source, target) in one scan; null texts are empty.
+
+    Each text's words are taken once. A target equal to its source has all that the source has, so of such a pair only
+    what looks at the target's words is checked.
+    """
+    d = pairs.select("pair_id", F.coalesce("source", F.lit("")).alias("s"), F.coalesce("target", F.lit("")).alias("g"))
+    d = d.withColumns({"same": F.col("s") == F.col("g"), "sw": t.words(F.col("s"))})
+    d = d.withColumn("gw", F.when(F.col("same"), F.col("sw")).otherwise(t.words(F.col("g"))))
+    s, g, sw, gw = (F.col(c) for c in ("s", "g", "sw", "gw"))
+    tokens = lambda c: _all(c, TOKEN)
+    differ = lambda inventory: F.when(F.col("same"), F.lit(False)).otherwise(inventory(s) != inventory(g))
     checks = (
-        ("PLACEHOLDER_MISMATCH", "CRITICAL", tokens(s) != tokens(g)), ("NUMBER_MISMATCH", "CRITICAL", number_inventory(s) != number_inventory(g)),
-        ("URL_MISMATCH", "CRITICAL", url_inventory(s) != url_inventory(g)), ("CITATION_MISMATCH", "CRITICAL", citation_inventory(s) != citation_inventory(g)),
-        ("EMPTY_TRANSLATION", "CRITICAL", ~g.rlike(r"\S")), ("TARGET_LANGUAGE_MISMATCH", "WARNING", wrong_language(g, expected, other)),
-        ("UNTRANSLATED_SOURCE_FRAGMENT", "WARNING", untranslated(s, g, other)), ("SUSPICIOUS_LENGTH", "WARNING", suspicious_length(s, g)),
-        ("NEGATION_MISMATCH", "WARNING", negated(s) != negated(g)),
+        ("PLACEHOLDER_MISMATCH", "CRITICAL", differ(tokens)), ("NUMBER_MISMATCH", "CRITICAL", differ(number_inventory)), ("URL_MISMATCH", "CRITICAL", differ(url_inventory)),
+        ("CODE_MISMATCH", "CRITICAL", differ(code_inventory)), ("CITATION_MISMATCH", "CRITICAL", differ(citation_inventory)), ("EMPTY_TRANSLATION", "CRITICAL", ~g.rlike(r"\S")),
+        ("TARGET_LANGUAGE_MISMATCH", "WARNING", _wrong_words(gw, expected, other)), ("UNTRANSLATED_SOURCE_FRAGMENT", "WARNING", marker_score(F.array_intersect(sw, gw), other) > 0),
+        ("SUSPICIOUS_LENGTH", "WARNING", F.when(F.col("same"), F.lit(False)).otherwise(suspicious_length(s, g))), ("NEGATION_MISMATCH", "WARNING", _negated_words(sw) != _negated_words(gw)),
     )
     found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(code).alias("code"), F.lit(sev).alias("severity"))) for code, sev, c in checks]))
-    return pairs.select("pair_id", F.inline(found))
+    return d.select("pair_id", F.inline(found))

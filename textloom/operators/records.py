@@ -36,6 +36,14 @@ def compare_catalogues(a: DataFrame, b: DataFrame, key: str, value: str) -> Data
     return x.join(y, key, "full").select(key, outcome.alias("outcome"))
 
 
+def catalogue(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n, h) of each table: its rows and the sum of their hashes, which no order or cut into files changes."""
+    from functools import reduce
+
+    one = lambda name, df: df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)")), F.lit(0)).cast("string").alias("h")).select(F.lit(name).alias("name"), "n", "h")
+    return reduce(DataFrame.unionByName, [one(k, df) for k, df in tables.items()])
+
+
 def missing_references(child: DataFrame, column: str, parent: DataFrame, parent_key: str, rule: str) -> DataFrame:
     """(rule, value, n): values of ``child`` that ``parent`` lacks."""
     lost = child.select(F.col(column).alias("value")).join(parent.select(F.col(parent_key).alias("value")), "value", "left_anti")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +13,7 @@ from textloom.functions.spans import find_spans
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 #: What begins a list item.
 LIST_MARK = r"(?:[-*•]\s+|\d+[.)]\s+|[A-Za-z][.)]\s+)"
-PLACEHOLDER = r"__[A-Z]+_[A-Z_]+_\d{3,}_[0-9A-F]{2}__"
+PLACEHOLDER = r"__[A-Z]+_[A-Z_]+_\d{4,}_[0-9A-F]{2}__"
 
 
 def normalize_lines(text: Column) -> Column:
@@ -145,15 +143,3 @@ def percent(part: Column, whole: Column) -> Column:
     """A share bounded to 0 to 1, as text with one decimal; a share of nothing is 0."""
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(whole == 0, F.lit(0.0)).otherwise(part / whole)))
     return F.format_string("%.1f%%", share * 100)
-
-
-def apply_exact_keys(docs: DataFrame) -> DataFrame:
-    """``docs`` with the exact key of text, in Arrow batches."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import unicodedata
-
-        for f in frames:
-            yield f.assign(key=[None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold() for t in f["text"]])[["doc_id", "key"]]
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, key string")

@@ -41,23 +41,31 @@ def _(spark, d):
     return v.segments(spark, d).select("seg_id", F.lower(F.trim("text")).alias("k")).join(b, "k").select("seg_id", "item_id")
 
 
-@query("t04_substring_against_whole_word")
+@query("t04_substring_against_whole_word", f"""SELECT l.term_id, l.n_anywhere, coalesce(w.n, 0) AS n_whole FROM (SELECT g.term_id, count(*) AS n_anywhere FROM v_segments s JOIN v_glossary g ON contains(s.text, g.source_term)
+    GROUP BY 1) l LEFT JOIN (SELECT term_id, count(DISTINCT seg_id) AS n FROM ({_occ("")}) o GROUP BY 1) w ON w.term_id = l.term_id""", "v_segments", "v_glossary")
 def _(spark, d):
     s, t = v.segments(spark, d), v.glossary(spark, d)
-    loose = g.find_terms(s, t, whole_word=False)
-    whole = g.find_terms(s, t).withColumn("whole", F.lit(1))
-    both = loose.join(whole, ["seg_id", "term_id", "start", "end"], "left")
-    return both.groupBy("term_id").agg(F.count("*").alias("n_places"), F.coalesce(F.sum("whole"), F.lit(0)).alias("n_whole"))
+    count = lambda whole, name: g.find_terms(s, t, whole_word=whole).groupBy("term_id").agg(F.count_distinct("seg_id").alias(name))
+    return count(False, "n_anywhere").join(count(True, "n_whole"), "term_id", "left").na.fill(0)
 
 
-_GREEDY = """, r AS (SELECT seg_id, term_id, s, e, row_number() OVER (PARTITION BY seg_id ORDER BY e - s DESC, s, term_id) AS rn FROM occ),
-    walk AS (SELECT seg_id, 0::BIGINT AS rn, []::STRUCT(s BIGINT, e BIGINT, t BIGINT)[] AS taken FROM (SELECT DISTINCT seg_id FROM occ) z
+@query("t05_candidates", f"""SELECT seg_id, term_id, s AS "start", e AS "end", row_number() OVER (PARTITION BY seg_id ORDER BY s, e, term_id) AS place FROM ({_occ("")} UNION {_occ("lower")}) o""", "v_segments", "v_glossary")
+def _(spark, d):
+    found = g.candidates(occurrences(spark, d), occurrences(spark, d, False))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("seg_id").orderBy("start", "end", "term_id")).cast("long"))
+
+
+# segments without overlaps keep all matches; the others are walked
+_GREEDY = """, clash AS (SELECT DISTINCT a.seg_id FROM (SELECT seg_id, s, max(e) OVER (PARTITION BY seg_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM occ) a WHERE s < reach),
+    r AS (SELECT seg_id, term_id, s, e, row_number() OVER (PARTITION BY seg_id ORDER BY e - s DESC, s, term_id) AS rn FROM occ WHERE seg_id IN (SELECT seg_id FROM clash)),
+    walk AS (SELECT seg_id, 0::BIGINT AS rn, []::STRUCT(s BIGINT, e BIGINT, t BIGINT)[] AS taken FROM clash z
       UNION ALL SELECT w.seg_id, r.rn, CASE WHEN len(list_filter(w.taken, lambda x: x.s < r.e AND r.s < x.e)) > 0 THEN w.taken ELSE list_append(w.taken, {'s': r.s, 'e': r.e, 't': r.term_id}) END
       FROM walk w JOIN r ON r.seg_id = w.seg_id AND r.rn = w.rn + 1),
     kept AS (SELECT seg_id, unnest(arg_max(taken, rn)) AS x FROM walk GROUP BY seg_id)"""
 
 
-@query("t06_resolved_matches", f'WITH RECURSIVE occ AS ({_occ("lower")}){_GREEDY} SELECT seg_id, x.t AS term_id, x.s AS "start", x.e AS "end" FROM kept', "v_segments", "v_glossary")
+@query("t06_resolved_matches", f"""WITH RECURSIVE occ AS ({_occ("lower")}){_GREEDY} SELECT seg_id, x.t AS term_id, x.s AS "start", x.e AS "end" FROM kept
+    UNION ALL SELECT seg_id, term_id, s, e FROM occ WHERE seg_id NOT IN (SELECT seg_id FROM clash)""", "v_segments", "v_glossary")
 def _(spark, d):
     return g.resolve_overlaps(occurrences(spark, d, False))
 
@@ -66,30 +74,31 @@ _APPLY = """SELECT s.seg_id, r.rule_id, r.scope_rank, r.priority, r.rule_type, r
     (r.scope = 'DOCUMENT' AND r.term_id % 100 = s.doc_id % 100) OR (r.scope = 'DOMAIN' AND 'src' || (r.term_id % 20)::VARCHAR = s.source) OR (r.scope = 'PROJECT' AND ['en', 'de', 'fr', 'es'][r.term_id % 4 + 1] = s.lang)"""
 
 
-def _applying(spark, d):
-    s, r = v.segments(spark, d), v.rules(spark, d)
-    own = ["seg_id", "rule_id", "scope_rank", "priority", "rule_type", "target", "term"]
-    parts = {
+def _references():
+    """For each scope what a rule and a segment must agree in."""
+    return {
         "DOCUMENT": (F.col("term_id") % 100, F.col("doc_id") % 100),
         "DOMAIN": (F.concat(F.lit("src"), (F.col("term_id") % 20).cast("string")), F.col("source")),
         "PROJECT": (v.pick(("en", "de", "fr", "es"), F.col("term_id") % 4), F.col("lang")),
     }
-    out = None
-    for scope, (theirs, ours) in parts.items():
-        one = s.withColumn("at", ours).join(r.filter(F.col("scope") == scope).withColumn("at", theirs), "at").select(own)
-        out = one if out is None else out.unionByName(one)
-    return out
 
 
 @query("t07_scope_applicability", f"SELECT scope_rank, priority, count(*) AS n, count(DISTINCT seg_id) AS n_segments FROM ({_APPLY}) a GROUP BY ALL", "v_segments", "v_rules")
 def _(spark, d):
-    return _applying(spark, d).groupBy("scope_rank", "priority").agg(F.count("*").alias("n"), F.count_distinct("seg_id").alias("n_segments"))
+    # rules and segments of a reference are counted first: a rule and a segment apply if their references are equal
+    out = None
+    for scope, (theirs, ours) in _references().items():
+        r = v.rules(spark, d).filter(F.col("scope") == scope).groupBy(theirs.alias("at"), "scope_rank", "priority").agg(F.count("*").alias("n_rules"))
+        s = v.segments(spark, d).groupBy(ours.alias("at")).agg(F.count("*").alias("n_segs"))
+        one = r.join(s, "at").groupBy("scope_rank", "priority").agg(F.sum(F.col("n_rules") * F.col("n_segs")).alias("n"), F.sum("n_segs").alias("n_segments"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("t08_scope_winner", f"""SELECT seg_id, CASE WHEN n = 1 THEN first_rule END AS rule_id, n > 1 AS ambiguous FROM (SELECT seg_id, count(DISTINCT rule_type || '/' || coalesce(target, '')) AS n, min(rule_id) AS first_rule
     FROM (SELECT *, rank() OVER (PARTITION BY seg_id ORDER BY scope_rank DESC, priority DESC) AS place FROM ({_APPLY}) a) b WHERE place = 1 GROUP BY seg_id) c""", "v_segments", "v_rules")
 def _(spark, d):
-    return g.scope_winners(_applying(spark, d), "seg_id")
+    return g.winners_by_reference(v.segments(spark, d), v.rules(spark, d), _references(), "seg_id")
 
 
 @query("t09_candidate_set_checks", "SELECT term, rule_type, count(*) AS n_rules FROM v_rules GROUP BY ALL HAVING count(*) > 1", "v_rules")
@@ -97,10 +106,15 @@ def _(spark, d):
     return v.rules(spark, d).groupBy("term", "rule_type").agg(F.count("*").alias("n_rules")).filter("n_rules > 1")
 
 
-_CONFLICTS = """SELECT a.rule_id AS rule_a, b.rule_id AS rule_b, CASE WHEN a.scope <> b.scope THEN 'SCOPE' WHEN a.rule_type <> b.rule_type THEN 'RULE' ELSE 'TARGET' END AS kind,
+_HELD = "c.scope = a.scope AND c.scope_reference_id IS NOT DISTINCT FROM a.scope_reference_id AND c.document_type IS NOT DISTINCT FROM a.document_type AND c.register IS NOT DISTINCT FROM a.register"
+_CONFLICTS = f"""SELECT a.rule_id AS rule_a, b.rule_id AS rule_b,
+    CASE WHEN a.scope <> b.scope OR a.scope_reference_id IS DISTINCT FROM b.scope_reference_id OR a.priority <> b.priority THEN 'SCOPE' WHEN a.document_type IS DISTINCT FROM b.document_type OR a.register IS DISTINCT FROM b.register THEN 'CONTEXT'
+      WHEN a.rule_type <> b.rule_type THEN 'RULE' ELSE 'TARGET' END AS kind,
     CASE WHEN (a.scope_rank, a.priority) > (b.scope_rank, b.priority) THEN a.rule_id WHEN (b.scope_rank, b.priority) > (a.scope_rank, a.priority) THEN b.rule_id END AS winner
     FROM v_rules a JOIN v_rules b ON a.term = b.term AND a.rule_id < b.rule_id AND (a.rule_type <> b.rule_type OR a.target IS DISTINCT FROM b.target) WHERE a.active AND b.active
-    AND ((a.scope_rank, a.priority) <> (b.scope_rank, b.priority) OR NOT EXISTS (SELECT 1 FROM v_rules c WHERE c.active AND c.term = a.term AND c.scope_rank = a.scope_rank AND c.priority > a.priority))"""
+    AND (a.scope <> b.scope OR a.scope_reference_id IS NOT DISTINCT FROM b.scope_reference_id OR (a.scope IN ('DOMAIN', 'USER') AND (a.scope_reference_id IS NULL OR b.scope_reference_id IS NULL)))
+    AND coalesce(a.document_type = b.document_type, true) AND coalesce(a.register = b.register, true)
+    AND NOT ((a.scope_rank, a.priority) = (b.scope_rank, b.priority) AND {_HELD.replace("c.", "b.")} AND EXISTS (SELECT 1 FROM v_rules c WHERE c.active AND c.term = a.term AND c.priority > a.priority AND {_HELD}))"""
 
 
 @query("t10_conflicts", _CONFLICTS, "v_rules")
@@ -119,33 +133,83 @@ def _(spark, d):
     return c.groupBy("scope").agg(F.bool_or(F.col("winner").isNull()).alias("blocked"))
 
 
-@query("t15_phrase_candidates")
+_COMMON = "('" + "', '".join(g.COMMON_WORDS) + "')"
+_TERM_WORD = r"[\pL\pN_]+(?:[''’][\pL\pN_]+)*"
+
+
+def _words(pattern: str) -> str:
+    """SQL for the words of each segment with the gap before each, and their places."""
+    return f"""SELECT seg_id, i, w[i] AS w, g[i] AS gap, sum(length(g[i]) + length(w[i])) OVER (PARTITION BY seg_id ORDER BY i) AS e FROM (SELECT seg_id, regexp_extract_all(text, '{pattern}') AS w,
+      string_split_regex(text, '{pattern}') AS g FROM v_segments) x, unnest(range(1, len(w) + 1)) u(i)"""
+
+
+def _runs(n: int) -> str:
+    return f"""SELECT seg_id, e - length(w) AS s, {f"lead(e, {n - 1}) OVER o"} AS e, w || {" || ".join(f"lead(gap, {k}) OVER o || lead(w, {k}) OVER o" for k in range(1, n))} AS value, lower(w) AS a, lower(lead(w, {n - 1}) OVER o) AS z,
+      {" AND ".join(f"regexp_full_match(lead(gap, {k}) OVER o, '[\\s-]+')" for k in range(1, n))} AS ok FROM tw WINDOW o AS (PARTITION BY seg_id ORDER BY i)"""
+
+
+_RUNS = " UNION ALL ".join(map(_runs, (2, 3, 4)))
+_PHRASES = f"""WITH tw AS ({_words(_TERM_WORD)}) SELECT seg_id, s, e, value FROM ({_RUNS}) r WHERE ok AND a NOT IN {_COMMON} AND z NOT IN {_COMMON}"""
+# marks between words stand twice, so that two matches may share one; [W] is a character of a word
+_W_ANY = r"\pL\pM\pN\p{Pc}"
+_TECH = rf"""SELECT seg_id, replace(replace(replace(x, '..', '.'), '((', '('), '))', ')') AS value FROM (SELECT seg_id, unnest(regexp_extract_all(regexp_replace(text, '([^{_W_ANY}])', '\1\1', 'g'), '(?:^|[^{_W_ANY}])((?:[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+|[a-z]+(?:[A-Z][A-Za-z0-9]*)+
+    |[A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+|[A-Za-z_][A-Za-z0-9_]*(?:\.\.[A-Za-z_][A-Za-z0-9_]*)+|[A-Z]{{2,}}[A-Z0-9]*)(?:\(\(\)\))?)(?:[^{_W_ANY}]|$)', 1)) AS x FROM v_segments) q""".replace("\n    |", "|")
+_ENTITIES = rf"""WITH ew AS ({_words(r"[\pL\pN_]+")}), et AS (SELECT *, e - length(w) AS s, regexp_full_match(w, '\p{{Lu}}\p{{Ll}}*') AS title FROM ew),
+    ei AS (SELECT *, sum(CASE WHEN title AND before AND regexp_full_match(gap, '[\s-]+') THEN 0 ELSE 1 END) OVER (PARTITION BY seg_id ORDER BY i) AS run FROM (SELECT *, lag(title) OVER (PARTITION BY seg_id ORDER BY i) AS before FROM et) t),
+    en AS (SELECT *, count(*) OVER (PARTITION BY seg_id, run) AS n, row_number() OVER (PARTITION BY seg_id, run ORDER BY i) AS k, sum((lower(w) NOT IN {_COMMON})::INT) OVER (PARTITION BY seg_id, run ORDER BY i) AS real FROM ei WHERE title),
+    ek AS (SELECT *, row_number() OVER (PARTITION BY seg_id, run ORDER BY i) AS left_k FROM en WHERE n >= 2 AND (real > 0 OR k > n - 2))
+    SELECT seg_id, min(s) AS s, max(e) AS e, string_agg(CASE WHEN left_k = 1 THEN w ELSE gap || w END, '' ORDER BY i) AS value FROM ek GROUP BY seg_id, run"""
+
+
+@query("t15_phrase_candidates", f'SELECT seg_id, s::INT AS "start", e::INT AS "end", value FROM ({_PHRASES}) p', "v_segments")
 def _(spark, d):
     return g.phrase_candidates(v.segments(spark, d))
 
 
-@query("t16_technical_candidates", r"SELECT seg_id, count(*) AS n FROM (SELECT seg_id, unnest(regexp_extract_all(text, '[\pL\pN_]+')) AS w FROM v_segments) q WHERE regexp_full_match(w, '[A-Z]{2,}[A-Z0-9]*') GROUP BY seg_id", "v_segments")
+@query("t16_technical_candidates", f"SELECT seg_id, value, count(*) AS n FROM ({_TECH}) t GROUP BY ALL", "v_segments")
 def _(spark, d):
-    found = g.technical_candidates(v.segments(spark, d)).filter(F.col("value").rlike(r"\A[A-Z]{2,}[A-Z0-9]*\z"))
-    return found.groupBy("seg_id").agg(F.count("*").alias("n"))
+    return g.technical_candidates(v.segments(spark, d)).groupBy("seg_id", "value").agg(F.count("*").alias("n"))
 
 
-@query("t17_entity_candidates")
+@query("t17_entity_candidates", f'SELECT seg_id, s::INT AS "start", e::INT AS "end", value FROM ({_ENTITIES}) p', "v_segments")
 def _(spark, d):
     return g.entity_candidates(v.segments(spark, d))
 
 
-@query("t18_ranked_candidates")
-def _(spark, d):
+_KEY = r"replace(lower(trim(regexp_replace(value, '\s+', ' ', 'g'))), 'ß', 'ss')"
+# technical identifiers are single words and the others aren't, so only phrases and entities can be one occurrence
+_RANKED = rf"""SELECT term, n, kind, value AS variant, round_even(least(0.99, CASE kind WHEN 'TECHNICAL_IDENTIFIER' THEN 0.85 WHEN 'NAMED_ENTITY' THEN 0.75 ELSE 0.55 END + least(0.12, (n - 2) * 0.03) + least(0.04, greatest(0, len(string_split_regex(value, '\s+')) - 1) * 0.02)), 3) AS confidence
+    FROM (SELECT term, sum(n)::BIGINT AS n, ['TECHNICAL_IDENTIFIER', 'NAMED_ENTITY', 'REPEATED_PHRASE'][min(place)] AS kind, arg_min(value, (-n, value)) AS value FROM (SELECT term, value, count(*) AS n, min(place) AS place FROM (
+      SELECT {_KEY} AS term, value, 1 AS place FROM ({_TECH}) t UNION ALL SELECT {_KEY}, value, place FROM (SELECT seg_id, s, e, value, min(place) AS place FROM (SELECT *, 2 AS place FROM ({_ENTITIES}) e UNION ALL SELECT *, 3 FROM ({_PHRASES}) p) b GROUP BY seg_id, s, e, value) c) u
+      WHERE term NOT IN {_COMMON} GROUP BY term, value) x GROUP BY term) y WHERE n >= 2"""
+
+
+def _ranked(spark, d):
     s = v.segments(spark, d)
     return g.rank_candidates({"TECHNICAL_IDENTIFIER": g.technical_candidates(s), "NAMED_ENTITY": g.entity_candidates(s), "REPEATED_PHRASE": g.phrase_candidates(s)})
 
 
-@query("t19_top_candidates", r"""SELECT term, n, round(0.85 + least(0.12, (n - 2) * 0.03), 3) AS confidence FROM (SELECT lower(w) AS term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\pL\pN_]+')) AS w FROM v_segments) q
-    WHERE regexp_full_match(w, '[A-Z]{2,}[A-Z0-9]*') GROUP BY 1 HAVING count(*) >= 2) r WHERE term NOT IN ('a', 'an', 'and', 'atau', 'dalam', 'dan', 'dari', 'di', 'for', 'from', 'in', 'is', 'itu', 'ke', 'of', 'on', 'or', 'pada', 'the', 'to', 'untuk', 'yang') ORDER BY n DESC, term LIMIT 50""", "v_segments")
+@query("t18_ranked_candidates", _RANKED, "v_segments")
 def _(spark, d):
-    found = g.technical_candidates(v.segments(spark, d)).filter(F.col("value").rlike(r"\A[A-Z]{2,}[A-Z0-9]*\z"))
-    return g.rank_candidates({"TECHNICAL_IDENTIFIER": found}).select("term", "n", "confidence").orderBy(F.desc("n"), "term").limit(50)
+    return _ranked(spark, d)
+
+
+@query("t19_top_candidates", f"SELECT term, kind, n, confidence FROM ({_RANKED}) r ORDER BY n DESC, term LIMIT 50", "v_segments")
+def _(spark, d):
+    return _ranked(spark, d).select("term", "kind", "n", "confidence").orderBy(F.desc("n"), "term").limit(50)
+
+
+# words found in a quarter of the documents of a language are common in it
+_STOP = "SELECT DISTINCT w AS word FROM (SELECT lang, lower(w) AS w, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS w FROM v_segments) x GROUP BY ALL) y JOIN (SELECT lang, count(DISTINCT doc_id) AS m FROM v_segments GROUP BY 1) z USING (lang) WHERE 4 * n >= m"
+
+
+@query("u04_phrases_by_stop_words", f"WITH tw AS ({_words(_TERM_WORD)}), stop AS ({_STOP}) SELECT lower(value) AS phrase, count(*) AS n FROM ({_runs(2)}) r WHERE ok AND a NOT IN (SELECT word FROM stop) AND z NOT IN (SELECT word FROM stop) GROUP BY 1 HAVING count(*) > 1", "v_segments")
+def _(spark, d):
+    s = v.segments(spark, d)
+    words = s.select("doc_id", "lang", F.explode(F.split("text", " ")).alias("w")).groupBy("lang", F.lower("w").alias("word")).agg(F.count_distinct("doc_id").alias("n"))
+    stop = words.join(s.groupBy("lang").agg(F.count_distinct("doc_id").alias("m")), "lang").filter("4 * n >= m").select("word").distinct()
+    found = g.phrase_candidates(s, g.MiningSettings(max_words=2), stop)
+    return found.groupBy(F.lower("value").alias("phrase")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
 @query("t20_latest_revision", "SELECT r.rule_id, m.latest FROM v_rules r LEFT JOIN (SELECT l_orderkey, max(idx) AS latest FROM v_line GROUP BY 1) m ON m.l_orderkey = r.term_id WHERE r.active", "v_rules", "v_line")
@@ -166,23 +230,25 @@ def _(spark, d):
     return v.rules(spark, d).select("rule_id", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query("t23_snapshot_versions", """SELECT scope, sha256(string_agg(rule_id::VARCHAR || ':' || rule_type || ':' || coalesce(target, ''), chr(1) ORDER BY rule_id)) AS checksum, count(*) AS n_rules, coalesce(max(priority), 0) + 1 AS next_version FROM v_rules WHERE active GROUP BY scope""", "v_rules")
+_LINE = "rule_id::VARCHAR || ':' || rule_type || ':' || coalesce(target, '')"
+
+
+@query("t23_snapshot_versions", f"""SELECT scope, sha256(string_agg(h, '' ORDER BY bucket)) AS checksum, sum(n)::BIGINT AS n_rules, max(p) + 1 AS next_version FROM (SELECT scope, term_id % 1024 AS bucket,
+    sha256(string_agg({_LINE}, chr(1) ORDER BY rule_id)) AS h, count(*) AS n, coalesce(max(priority), 0) AS p FROM v_rules WHERE active GROUP BY ALL) q GROUP BY scope""", "v_rules")
 def _(spark, d):
-    one = F.struct("rule_id", F.concat(F.col("rule_id").cast("string"), F.lit(":"), "rule_type", F.lit(":"), F.coalesce("target", F.lit(""))).alias("x"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["x"]), "\u0001")
-    return v.rules(spark, d).filter("active").groupBy("scope").agg(F.sha2(text, 256).alias("checksum"), F.count("*").alias("n_rules"), (F.max("priority") + 1).alias("next_version"))
+    return g.snapshot_checksums(v.rules(spark, d).filter("active"), "scope", F.concat_ws(":", "rule_id", "rule_type", F.coalesce("target", F.lit(""))))
 
 
 @query("t24_glossary_impact", f"""SELECT g.term_id, count(DISTINCT o.seg_id) AS affected, count(DISTINCT CASE WHEN st.status NOT IN ('APPROVED', 'LOCKED') THEN o.seg_id END) AS unreviewed,
     count(DISTINCT CASE WHEN st.status = 'APPROVED' THEN o.seg_id END) AS approved, count(DISTINCT CASE WHEN st.status = 'LOCKED' THEN o.seg_id END) AS locked
-    FROM v_glossary g LEFT JOIN ({_occ('lower')}) o ON o.term_id = g.term_id LEFT JOIN v_seg_state st ON st.seg_id = o.seg_id WHERE g.term_id % 3 <> 0 GROUP BY g.term_id""", "v_segments", "v_glossary", "v_seg_state")
+    FROM v_glossary g LEFT JOIN ({_occ('lower')}) o ON o.term_id = g.term_id LEFT JOIN v_seg_state st ON st.seg_id = o.seg_id GROUP BY g.term_id""", "v_segments", "v_glossary", "v_seg_state")
 def _(spark, d):
     hit = occurrences(spark, d, False).select("term_id", "seg_id").distinct().join(v.segment_state(spark, d).select("seg_id", "status"), "seg_id")
     n = lambda c: F.count(F.when(c, 1))
     counts = hit.groupBy("term_id").agg(
         F.count("*").alias("affected"), n(~F.col("status").isin("APPROVED", "LOCKED")).alias("unreviewed"), n(F.col("status") == "APPROVED").alias("approved"), n(F.col("status") == "LOCKED").alias("locked"),
     )
-    return v.glossary(spark, d).filter("term_id % 3 <> 0").select("term_id").join(counts, "term_id", "left").na.fill(0)
+    return v.glossary(spark, d).select("term_id").join(counts, "term_id", "left").na.fill(0)
 
 
 _V2 = "SELECT rule_id, CASE WHEN rule_id % 9 = 0 THEN 'KEEP_SOURCE' ELSE rule_type END AS rule_type, target, CASE WHEN rule_id % 6 = 0 THEN priority + 1 ELSE priority END AS priority, CASE WHEN term_id % 2 = 0 THEN 'SYSTEM' ELSE scope END AS scope, CASE WHEN term_id % 2 = 0 THEN 0 ELSE scope_rank END AS scope_rank FROM v_rules WHERE rule_id % 13 <> 0"

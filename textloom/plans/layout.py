@@ -11,10 +11,20 @@ from textloom.sources import views as v
 from textloom.sources.tables import read
 
 
-@query("g01_sentences", r"""SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(line, '([.!?])\s+([A-Z])', '\1' || chr(4) || '\2', 'g'), chr(4))) AS s FROM (SELECT doc_id, text AS line FROM v_segments WHERE lang = 'en' AND regexp_full_match(text, '[A-Za-z ,.]*') AND NOT regexp_matches(text, '(?i)(^|[^a-z])(no|[a-z])[.]|[.][.]')) x) y WHERE trim(s) <> '' GROUP BY 1""", "v_segments")
+# Chr(1) holds a full stop that ends nothing: in a number, after an abbreviation or a letter, before another one. What a
+# look-around would leave is taken twice, for neighbours that share a character.
+_ABBREVIATION = "(^|[^\\pL.])((?i:" + "|".join(a.replace(".", "[.]") for a in y.ABBREVIATIONS) + ")|\\pL)\\."
+_HELD = "text"
+for _pattern, _put in [("(\\d)\\.(\\d)", "'\\1' || chr(1) || '\\2'")] * 2 + [(_ABBREVIATION, "'\\1\\2' || chr(1)")] * 2 + [("\\.([.\\x01])", "chr(1) || '\\1'")] * 4:
+    _HELD = f"regexp_replace({_HELD}, '{_pattern}', {_put}, 'g')"
+_CLOSE = "\"'')\\]}”’"
+_CUT = f"regexp_replace({_HELD}, '([.!?][{_CLOSE}]*)([\\s{_CLOSE}]*)([\\p{{Lu}}\\d\"''(\\[]|$)', '\\1' || chr(4) || '\\2\\3', 'g')"
+
+
+@query("g01_sentences", f"SELECT doc_id, count(*) AS n, sum(length(s))::BIGINT AS n_chars FROM (SELECT doc_id, regexp_replace(unnest(string_split({_CUT}, chr(4))), '^\\s+|\\s+$', '', 'g') AS s FROM v_segments) q WHERE s <> '' GROUP BY doc_id", "v_segments")
 def _(spark, d):
-    s = v.segments(spark, d).filter((F.col("lang") == "en") & F.col("text").rlike(r"\A[A-Za-z ,.]*\z") & ~F.col("text").rlike(r"(?i)(^|[^a-z])(no|[a-z])[.]|[.][.]"))
-    return s.select("doc_id", F.size(y.split_sentences(F.col("text"))).cast("long").alias("k")).groupBy("doc_id").agg(F.sum("k").alias("n"))
+    s = v.segments(spark, d).select("doc_id", F.explode(y.split_sentences(F.col("text"))).alias("s"))
+    return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("n_chars"))
 
 
 @query("g01_sentences_exact")
@@ -79,12 +89,23 @@ def _(spark, d):
     return y.page_components(v.boxes(spark, d), near)
 
 
-@query("g07_reading_order", "SELECT page, idx, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN y + h <= 80 THEN 0 WHEN y >= 720 THEN 2 ELSE 1 END, floor(x / 200), y, x, h, w, idx) AS place FROM v_boxes", "v_boxes")
+# boxes of a page, every fourth as wide as its columns together, the others narrower
+_WIDE = "SELECT page, idx, x, y, h, CASE WHEN idx % 4 = 0 THEN 450 ELSE w / 3 END AS w FROM v_boxes WHERE h > 0"
+_READING = f"""WITH RECURSIVE g7 AS (SELECT *, CASE WHEN y + h <= 80 THEN 0 WHEN y >= 720 THEN 2 ELSE 1 END AS rank, w >= 390 AS spans FROM ({_WIDE}) b), cb AS (SELECT * FROM g7 WHERE rank = 1 AND NOT spans),
+    {_COMPONENTS.format(near=_NEAR).replace("v_boxes", "cb").removeprefix("WITH RECURSIVE ").replace(") SELECT page, a AS idx", "), node AS (SELECT page, a AS idx")}),
+    part AS (SELECT c.page, n.component, min(c.y) AS top, max(c.y + c.h) AS bottom, min(c.x) AS x FROM cb c JOIN node n ON n.page = c.page AND n.idx = c.idx GROUP BY ALL),
+    turn AS (SELECT page, sum(b) OVER (PARTITION BY page ORDER BY at0, b ROWS UNBOUNDED PRECEDING) AS o FROM (SELECT page, top AS at0, 1 AS b FROM part UNION ALL SELECT page, bottom, -1 FROM part) e),
+    shape AS (SELECT page, count(*) AS n, min(top) AS first_top, max(bottom) AS last_bottom, max(top) AS low_top, min(bottom) AS high_bottom, min(bottom - top) AS least_span, arg_min(component, (x, component)) AS first_one FROM part GROUP BY page),
+    kind AS (SELECT s.*, (SELECT max(o) FROM turn t WHERE t.page = s.page) AS most, (SELECT count(*) FROM g7 w WHERE w.page = s.page AND w.rank = 1 AND w.spans AND w.y + w.h > s.first_top AND w.y < s.last_bottom) AS internal FROM shape s),
+    mode AS (SELECT *, CASE WHEN n > 2 AND most > 2 THEN 'TOO_MANY_COLUMNS' WHEN n <> 2 OR NOT (high_bottom - low_top > 0 AND least_span > 0 AND (high_bottom - low_top) / least_span >= 0.2) THEN 'GEOMETRY' WHEN internal > 0 THEN 'INTERNAL_SPANNING_BLOCK' ELSE 'COLUMNS' END AS mode FROM kind)
+    SELECT g.page, g.idx, row_number() OVER (PARTITION BY g.page ORDER BY g.rank, CASE WHEN g.rank <> 1 OR m.mode IS DISTINCT FROM 'COLUMNS' THEN 0 WHEN g.spans AND g.y + g.h <= m.first_top THEN 0 WHEN g.spans THEN 3 WHEN n.component = m.first_one THEN 1 ELSE 2 END, g.y, g.x, g.h, g.w, g.idx) AS place,
+      CASE WHEN m.mode IN ('TOO_MANY_COLUMNS', 'INTERNAL_SPANNING_BLOCK') THEN m.mode END AS warning FROM g7 g LEFT JOIN mode m ON m.page = g.page LEFT JOIN node n ON n.page = g.page AND n.idx = g.idx"""
+
+
+@query("g07_reading_order", _READING, "v_boxes")
 def _(spark, d):
-    r = y.region(F.col("y"), F.col("h"))
-    rank = F.when(r == "HEADER", 0).when(r == "FOOTER", 2).otherwise(1)
-    w = Window.partitionBy("page").orderBy(rank, F.floor(F.col("x") / 200), "y", "x", "h", "w", "idx")
-    return v.boxes(spark, d).select("page", "idx", F.row_number().over(w).cast("long").alias("place"))
+    b = v.boxes(spark, d).filter("h > 0").withColumn("w", F.when(F.col("idx") % 4 == 0, 450.0).otherwise(F.col("w") / 3))
+    return y.reading_order(b)
 
 
 @query("g08_concurrent_boxes", """SELECT page, max(o)::BIGINT AS most FROM (SELECT page, sum(b) OVER (PARTITION BY page ORDER BY at0, b ROWS UNBOUNDED PRECEDING) AS o FROM (SELECT page, x AS at0, 1 AS b FROM v_boxes UNION ALL SELECT page, x + w, -1 FROM v_boxes) e) q GROUP BY page""", "v_boxes")
@@ -233,13 +254,13 @@ def _(spark, d):
     return hit.groupBy(F.col("p.page").alias("page")).agg(F.array_join(text, ",").alias("overlaps"))
 
 
-@query("g31_source_resolution", "SELECT seg_id, CASE WHEN seg_id % 7 = 0 THEN 'resolved ' || left(text, 20) ELSE left(text, 20) END AS source_text, revision + (seg_id % 7 = 0)::INT AS revision, CASE WHEN seg_id % 7 <> 0 THEN status END AS status FROM v_seg_state", "v_seg_state")
+@query("g31_source_resolution", "SELECT seg_id, CASE WHEN seg_id % 7 = 0 THEN 'resolved ' || text ELSE text END AS source_text, revision + (seg_id % 7 = 0)::INT AS revision, CASE WHEN seg_id % 7 <> 0 THEN status END AS status FROM v_seg_state", "v_seg_state")
 def _(spark, d):
     s = v.segment_state(spark, d)
-    fix = s.filter("seg_id % 7 = 0").select("seg_id", F.concat(F.lit("resolved "), F.substring("text", 1, 20)).alias("resolved"))
+    fix = s.filter("seg_id % 7 = 0").select("seg_id", F.concat(F.lit("resolved "), "text").alias("resolved"))
     j = s.join(fix, "seg_id", "left")
     changed = F.col("resolved").isNotNull()
-    return j.select("seg_id", F.coalesce("resolved", F.substring("text", 1, 20)).alias("source_text"), (F.col("revision") + changed.cast("int")).alias("revision"), F.when(~changed, F.col("status")).alias("status"))
+    return j.select("seg_id", F.coalesce("resolved", "text").alias("source_text"), (F.col("revision") + changed.cast("int")).alias("revision"), F.when(~changed, F.col("status")).alias("status"))
 
 
 _COLL = f"""SELECT page, a, b, kind, round(share, 6) AS share, CASE WHEN kind = 'TEXT_TEXT' THEN CASE WHEN share >= 0.25 THEN 'CRITICAL' ELSE 'HIGH' END WHEN share >= 0.5 THEN 'HIGH' WHEN share >= 0.1 THEN 'MEDIUM' ELSE 'LOW' END AS severity

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom.operators import batching as b
 from textloom.operators import glossary as g
 from textloom.operators import layout as y
 from textloom.operators import protect as p
@@ -11,47 +12,51 @@ from textloom.operators import qa
 from textloom.operators import records as r
 from textloom.operators import text as t
 from textloom.plans.base import query
-from textloom.plans.glossary import _CONFLICTS
+from textloom.plans.glossary import _CONFLICTS, _GREEDY, _HELD
 from textloom.plans.layout import _COMPONENTS
+from textloom.plans.translation import _PACK, _TOKEN_SQL, _coded, _masked, _numbers
+from textloom.sources import sinks
 from textloom.sources import views as v
+from textloom.sources.scratch import materialize, new_path
 from textloom.sources.tables import read
 
-_TOKEN = "__TLM_CODE_001_AB__"
-
-
 def _tokens(text):
     return F.regexp_extract_all(text, F.lit(p.TOKEN), F.lit(0))
 
 
-@query("q02_placeholder_mismatch", "SELECT pair_id FROM v_pairs WHERE pair_id % 5 = 0", "v_pairs")
+def _masked_pairs(spark, d):
+    """Pairs with both texts masked, each numbered for itself."""
+    side = lambda c: p.mask(v.pairs(spark, d).select("pair_id", F.coalesce(c, F.lit("")).alias("text"))).select("pair_id", F.col("masked").alias(c))
+    return side("source").join(side("target"), "pair_id")
+
+
+@query("q02_placeholder_mismatch", f"SELECT a.pair_id FROM ({_masked('v_pairs', 'pair_id', 'source')}) a JOIN ({_masked('v_pairs', 'pair_id', 'target')}) b USING (pair_id) WHERE a.items <> b.items", "v_pairs")
 def _(spark, d):
-    source = F.concat("source", F.lit(f" {_TOKEN}"))
-    target = F.when(F.col("pair_id") % 5 == 0, F.col("target")).otherwise(F.concat("target", F.lit(f" {_TOKEN}")))
-    return v.pairs(spark, d).filter(_tokens(source) != _tokens(target)).select("pair_id")
+    return _masked_pairs(spark, d).filter(_tokens(F.col("source")) != _tokens(F.col("target"))).select("pair_id")
 
 
-@query("m03_placeholder_multiset", "SELECT item_id, item_id % 3 <> 0 AS equal FROM benchmark")
+@query("m03_placeholder_multiset", f"""WITH m AS ({_masked('documents', 'doc_id')}) SELECT doc_id, list_sort(items) = list_sort(regexp_extract_all(array_to_string(list_reverse(string_split(masked, chr(10))), chr(10)), '{_TOKEN_SQL}')) AS turned, list_sort(items) = list_sort(regexp_extract_all(string_split(masked, chr(10))[1], '{_TOKEN_SQL}')) AS first_line FROM m""")
 def _(spark, d):
-    twice = F.concat("text", F.lit(f" {_TOKEN} {_TOKEN}"))
-    other = F.concat("text", F.lit(f" {_TOKEN} "), F.when(F.col("item_id") % 3 == 0, "").otherwise(_TOKEN))
-    return read(spark, d, "benchmark").select("item_id", (F.array_sort(_tokens(twice)) == F.array_sort(_tokens(other))).alias("equal"))
+    # lines turned round keep all placeholders; a first line alone keeps its own
+    m = p.mask(read(spark, d, "documents").select("doc_id", "text"))
+    lines = F.split("masked", "\n")
+    same = lambda text: F.array_sort(_tokens(F.col("masked"))) == F.array_sort(_tokens(text))
+    return m.select("doc_id", same(F.array_join(F.reverse(lines), "\n")).alias("turned"), same(F.get(lines, F.lit(0))).alias("first_line"))
 
 
-@query("q05_code_mismatch")
+@query("q05_code_mismatch", f"SELECT pair_id FROM v_pairs WHERE {_coded('source')} <> {_coded('target')}", "v_pairs")
 def _(spark, d):
-    kinds = [x for k, x in p.PATTERNS if k in ("CODE", "ENDPOINT", "FILE_PATH")]
-    code = lambda c: F.array_sort(F.concat(*[F.regexp_extract_all(t.mask_placeholders(c), F.lit(k), F.lit(0)) for k in kinds]))
-    return v.pairs(spark, d).filter(code(F.col("source")) != code(F.col("target"))).select("pair_id")
+    return v.pairs(spark, d).filter(qa.code_inventory(F.col("source")) != qa.code_inventory(F.col("target"))).select("pair_id")
 
 
-@query("q06_citation_mismatch", "SELECT pair_id FROM v_pairs WHERE pair_id % 4 = 0", "v_pairs")
+@query("q06_citation_mismatch", "SELECT pair_id FROM v_pairs WHERE len(string_split(source, ' ')) % 10 <> len(string_split(target, ' ')) % 10", "v_pairs")
 def _(spark, d):
-    source = F.concat("source", F.lit(" [12]"))
-    target = F.concat("target", F.when(F.col("pair_id") % 4 == 0, F.lit(" [13]")).otherwise(F.lit(" [12]")))
-    return v.pairs(spark, d).filter(qa.citation_inventory(source) != qa.citation_inventory(target)).select("pair_id")
+    # each text cites by its number of words
+    cited = lambda c: F.concat(F.col(c), F.lit(" ["), (F.size(F.split(c, " ")) % 10).cast("string"), F.lit("]"))
+    return v.pairs(spark, d).filter(qa.citation_inventory(cited("source")) != qa.citation_inventory(cited("target"))).select("pair_id")
 
 
-@query("q15_literal_safe")
+@query("q15_literal_safe", f"SELECT pair_id FROM v_pairs WHERE {_numbers('source')} = {_numbers('target')}", "v_pairs")
 def _(spark, d):
     n = lambda c: qa.number_inventory(t.mask_placeholders(F.col(c)))
     return v.pairs(spark, d).filter(n("source") == n("target")).select("pair_id")
@@ -87,11 +92,20 @@ def _(spark, d):
     return s.select("doc_id", F.concat_ws(",", F.when(F.col("n") < 3, "FEW_SEGMENTS"), F.when(F.col("bad"), "UNRESOLVED_SOURCE")).alias("blockers"))
 
 
-@query("k05_file_integrity")
+_FILES = ("nation", "orders", "part", "region", "supplier")
+
+
+@query("k05_file_integrity", """SELECT coalesce(a.name, b.name) AS name, a.n AS n_stored, b.n AS n_found, CASE WHEN b.n IS NULL THEN 'MISSING' WHEN a.n IS NULL THEN 'EXTRA' WHEN a.n = b.n THEN 'SAME' ELSE 'CHANGED' END AS outcome
+    FROM (SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'region', count(*) FROM region) a
+    FULL JOIN (SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'supplier', count(*) FROM supplier) b ON b.name = a.name""")
 def _(spark, d):
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(d)
-    now = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("h"))
-    return r.compare_catalogues(now, now.filter("name <> 'part.parquet'"), "name", "h")
+    # a catalogue is written, then a table goes, one loses rows and one is new
+    stored = materialize(r.catalogue({x: read(spark, d, x) for x in _FILES[:4]}))
+    left = {x: read(spark, d, x) for x in _FILES if x != "part"}
+    left["orders"] = left["orders"].filter("o_orderstatus <> 'P'")
+    now = r.catalogue(left)
+    n = stored.select("name", F.col("n").alias("n_stored")).join(now.select("name", F.col("n").alias("n_found")), "name", "full")
+    return r.compare_catalogues(stored, now, "name", "h").join(n, "name")
 
 
 @query("t12_conflict_status", f"SELECT CASE WHEN winner IS NULL THEN 'UNRESOLVED' ELSE 'AUTO_RESOLVED' END AS status, count(*) AS n FROM ({_CONFLICTS}) c GROUP BY 1", "v_rules")
@@ -99,11 +113,12 @@ def _(spark, d):
     return g.conflicts(v.rules(spark, d)).groupBy(F.when(F.col("winner").isNull(), "UNRESOLVED").otherwise("AUTO_RESOLVED").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("t13_dominated_rules", "SELECT a.rule_id FROM v_rules a WHERE a.active AND EXISTS (SELECT 1 FROM v_rules b WHERE b.active AND b.term = a.term AND b.priority > a.priority)", "v_rules")
+@query("t13_dominated_rules", f"SELECT a.rule_id FROM v_rules a WHERE a.active AND EXISTS (SELECT 1 FROM v_rules c WHERE c.active AND c.term = a.term AND c.priority > a.priority AND {_HELD})", "v_rules")
 def _(spark, d):
-    a = v.rules(spark, d).filter("active")
-    best = a.groupBy("term").agg(F.max("priority").alias("best"))
-    return a.join(best, "term").filter("best > priority").select("rule_id")
+    a = v.rules(spark, d).filter("active").withColumn("held", F.array_sort(F.map_entries("conditions")))
+    place = ["term", "scope", "scope_reference_id", "held"]
+    best = a.groupBy(*place).agg(F.max("priority").alias("best"), F.collect_list(F.struct("rule_id", "priority")).alias("r"))
+    return best.select("best", F.inline("r")).filter("best > priority").select("rule_id")
 
 
 @query("t30_term_search", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%e%' ORDER BY p_name, p_partkey LIMIT 100")
@@ -121,3 +136,71 @@ def _(spark, d):
     shared = y.overlap_1d(c("p", "y"), c("p", "h"), c("q", "y"), c("q", "h"))
     centres = F.abs(c("p", "y") + c("p", "h") / 2 - c("q", "y") - c("q", "h") / 2)
     return y.page_components(v.boxes(spark, d), (c("p", "h") > 0) & (c("q", "h") > 0) & ((shared >= 0.35 * low) | (centres <= 0.5 * low)))
+
+
+@query("a04_snapshot", "SELECT scope, 1 AS version, count(*) AS n, min(rule_id) AS first_rule FROM v_rules WHERE active GROUP BY scope", "v_rules")
+def _(spark, d):
+    path = new_path(spark)
+    rules = v.rules(spark, d).filter("active").select("scope", F.lit(1).alias("version"), "rule_id", "rule_type", "target", "priority")
+    sinks.write_snapshot(rules, path, "scope", "version")
+    return spark.read.parquet(path).groupBy("scope", "version").agg(F.count("*").alias("n"), F.min("rule_id").alias("first_rule"))
+
+
+@query("a06_quality_report", "SELECT severity, status, count(*) AS n FROM v_warn GROUP BY ALL", "v_warn")
+def _(spark, d):
+    path = new_path(spark)
+    sinks.write_report(v.warnings(spark, d).groupBy("severity", "status").agg(F.count("*").alias("n")), path)
+    return spark.read.schema("severity string, status string, n bigint").json(path)
+
+
+@query("a08_revision_log", "SELECT l_orderkey AS entity, count(*) AS revisions, max(idx) AS latest FROM v_line GROUP BY 1", "v_line")
+def _(spark, d):
+    path = new_path(spark)
+    rows = v.lines(spark, d).select(F.col("l_orderkey").alias("entity"), F.col("idx").alias("revision"), F.concat_ws(":", "l_partkey", "l_quantity").alias("payload"))
+    for first in (True, False):  # first revisions, then all later ones
+        sinks.append_revisions(rows.filter((F.col("revision") == 1) == first), path)
+    return spark.read.parquet(path).groupBy("entity").agg(F.count("*").alias("revisions"), F.max("revision").alias("latest"))
+
+
+def _batches(limit: int, most: int, tokens: str) -> str:
+    return _PACK.replace("((strlen(text) + 3) // 4)::BIGINT", tokens).replace("300", str(limit)).replace("w.n >= 20", f"w.n >= {most}") + " SELECT doc_id, seg_id, batch FROM w"
+
+
+@query("u01_batches_by_words", _batches(300, 20, "len(string_split(text, ' '))::BIGINT"), "v_segments")
+def _(spark, d):
+    s = v.segments(spark, d).select("doc_id", "seg_order", "seg_id", "text")
+    words = lambda text: F.size(F.split(text, " ")).cast("long")
+    return b.greedy_batches(s, ["doc_id"], ["seg_order"], b.BatchLimits(20, 300), words).select("doc_id", "seg_id", "batch")
+
+
+@query("u03_batches_under_other_limits", _batches(120, 5, "((strlen(text) + 3) // 4)::BIGINT"), "v_segments")
+def _(spark, d):
+    s = v.segments(spark, d).select("doc_id", "seg_order", "seg_id", "text")
+    return b.greedy_batches(s, ["doc_id"], ["seg_order"], b.BatchLimits(5, 120)).select("doc_id", "seg_id", "batch")
+
+
+@query("u02_first_healthy_provider", "SELECT seg_id AS pair_id, 'swap' AS provider, sha256(replace(text, 'e', 'E')) AS target_sha256 FROM v_segments", "v_segments")
+def _(spark, d):
+    providers = [b.Provider("down", lambda: False, lambda: list), b.Provider("swap", lambda: True, lambda: lambda texts: [x.replace("e", "E") for x in texts])]
+    s = v.segments(spark, d).select(F.col("seg_id").alias("pair_id"), F.col("text").alias("source"))
+    return b.run_first_healthy(s, providers).select("pair_id", "provider", F.sha2("target", 256).alias("target_sha256"))
+
+
+_SPANS_SQL = "occ AS (SELECT DISTINCT l_suppkey AS seg_id, l_partkey % 997 AS term_id, (l_partkey * 7 % 400)::BIGINT AS s, (l_partkey * 7 % 400 + 1 + l_linenumber)::BIGINT AS e FROM lineitem)"
+
+
+@query("u05_longest_wins", f"""WITH RECURSIVE {_SPANS_SQL}{_GREEDY} SELECT seg_id AS supplier, x.t AS id, x.s AS "start", x.e AS "end" FROM kept UNION ALL SELECT seg_id, term_id, s, e FROM occ WHERE seg_id NOT IN (SELECT seg_id FROM clash)""")
+def _(spark, d):
+    at = F.col("l_partkey") * 7 % 400
+    spans = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("supplier"), (F.col("l_partkey") % 997).alias("term_id"), at.alias("start"), (at + 1 + F.col("l_linenumber")).cast("long").alias("end"))
+    return g.resolve_overlaps(spans, "supplier").withColumnRenamed("term_id", "id")
+
+
+@query("u06_spans_as_rows", r"""SELECT doc_id, e - length(w) AS "first", e AS "end", w AS value FROM (SELECT doc_id, w[i] AS w, sum(length(g[i]) + length(w[i])) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS e FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS w,
+    string_split_regex(text, '[0-9]+') AS g FROM documents) x, unnest(range(1, len(w) + 1)) u(i)) y""")
+def _(spark, d):
+    from textloom.functions import udtf
+
+    udtf.register(spark)
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    return spark.sql("SELECT doc_id, CAST(s.first AS BIGINT) AS first, CAST(s.end AS BIGINT) AS end, s.value FROM {docs}, LATERAL find_spans(text, '[0-9]+') s", docs=docs)

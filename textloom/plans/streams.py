@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from textloom.operators import qa
 from textloom.plans.base import query
-from textloom.sources import views as v
+from textloom.plans.translation import _ISSUES
+from textloom.sources.scratch import new_path
 from textloom.sources.tables import read
 from textloom.streaming import jobs
 
@@ -28,6 +29,21 @@ def _(spark, d):
     return jobs.hourly_progress(read(spark, d, "events"))
 
 
-@query("x04_incremental_checks")
+@query("x05_open_sessions", """SELECT job_id, max(ts) AS last_beat, max(ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) AS stale FROM (SELECT user_id AS job_id, ts FROM events) e GROUP BY 1""")
 def _(spark, d):
-    return qa.issues(v.pairs(spark, d).filter("pair_id < 0"))
+    return jobs.last_beats(read(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts"))
+
+
+_TALK = _ISSUES.replace("FROM v_pairs", "FROM (SELECT * FROM v_pairs WHERE pair_id < 0)")
+
+
+@query("x04_incremental_checks", _TALK, "v_pairs")
+def _(spark, d):
+    # turns arrive as a stream; each batch of answered turns is checked and its rows are kept under the batch's number
+    turns = spark.readStream.schema(read(spark, d, "conversations").schema).parquet(f"{d}/conversations.parquet")
+    user = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("source"))
+    answer = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
+    answered = user.join(answer, ["conv_id", "turn"]).select((-(F.col("conv_id") * 1000 + F.col("turn")) - 1).alias("pair_id"), "source", "target")
+    path = new_path(spark)
+    jobs.each_batch(answered, qa.issues, path, new_path(spark)).awaitTermination()
+    return spark.read.schema("pair_id bigint, code string, severity string, batch int").parquet(path).drop("batch")

@@ -73,25 +73,40 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return talk.unionByName(s.select(F.col("seg_id").alias("pair_id"), F.col("text").alias("source"), target.alias("target"), "lang"))
 
 
+#: How often a word must be found to be a term.
+TERM_COUNT = 20
+
+
 def glossary(spark: SparkSession, d: str) -> DataFrame:
-    tokens = F.split("text", " ")
-    bench = read(spark, d, "benchmark").select(F.col("item_id").alias("term_id"), F.array_join(F.slice(tokens, 1, 3), " ").alias("source_term"))
+    """Terms: every line of the benchmark's items, and every lower-case word of four letters or more found often enough."""
+    line = F.posexplode(F.split("text", "\n")).alias("pos", "source_term")
+    bench = read(spark, d, "benchmark").select("item_id", line).filter("trim(source_term) <> ''").select((F.col("item_id") * 1000 + F.col("pos")).alias("term_id"), "source_term")
     words = read(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("w")).filter(F.col("w").rlike(r"\A[a-z]{4,}\z"))
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(100)
-    rank = F.row_number().over(Window.orderBy(F.desc("count"), "w"))  # of the 100 rows above
-    return bench.unionByName(top.select((F.lit(1000000) + rank).cast("long").alias("term_id"), F.col("w").alias("source_term")))
+    often = words.groupBy("w").count().filter(F.col("count") >= TERM_COUNT)
+    number = F.conv(F.substring(F.md5("w"), 1, 12), 16, 10).cast("long")
+    return bench.unionByName(often.select((F.lit(1_000_000_000) + number).alias("term_id"), F.col("w").alias("source_term")))
 
 
 def rules(spark: SparkSession, d: str) -> DataFrame:
+    """Four rules a term, in pairs of one scope; every other term's rules have one priority."""
     g = glossary(spark, d)
     r = g.select("term_id", "source_term", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("k"))
-    n = (F.col("term_id") * 7 + F.col("k")) % 8
+    t, k = F.col("term_id"), F.col("k")
+    half = F.floor(k / 2).cast("long")
+    n = (t * 7 + half) % 8
+    some = (t + k) % 3
+    reference = F.when((n == 0) | (n.isin(1, 2) & (some == 0)), F.lit(None)).otherwise(F.concat(F.lit("r"), ((t + half) % 2).cast("string")))
+    conditions = F.map_filter(
+        F.create_map(
+            F.lit("document_type"), F.when(some != 0, pick(("legal", "technical"), (F.floor(t / 2) + half) % 2)),
+            F.lit("register"), F.when(t % 5 == 0, pick(("formal", "plain"), k % 2)),
+        ), lambda _, v: v.isNotNull(),
+    )
     return r.select(
-        (F.col("term_id") * 4 + F.col("k")).alias("rule_id"), "term_id", F.lower("source_term").alias("term"), n.cast("long").alias("scope_rank"),
-        pick(SCOPES, n).alias("scope"), ((F.col("term_id") + F.col("k")) % 3).alias("priority"),
-        pick(("PREFERRED", "KEEP_SOURCE", "FORBIDDEN"), (F.col("term_id") + F.col("k")) % 3).alias("rule_type"),
-        F.when((F.col("term_id") + F.col("k")) % 3 == 0, F.concat(F.lit("t"), (F.col("term_id") % 5 + F.col("k") % 2).cast("string"))).alias("target"),
-        ((F.col("term_id") + F.col("k")) % 7 != 0).alias("active"),
+        (t * 4 + k).alias("rule_id"), "term_id", F.lower("source_term").alias("term"), n.cast("long").alias("scope_rank"), pick(SCOPES, n).alias("scope"),
+        reference.alias("scope_reference_id"),
+        ((t + k * (t % 2)) % 3).alias("priority"), pick(("PREFERRED", "KEEP_SOURCE", "FORBIDDEN"), some).alias("rule_type"),
+        F.when(some == 0, F.concat(F.lit("t"), (t % 5 + k % 2).cast("string"))).alias("target"), conditions.alias("conditions"), ((t + k) % 7 != 0).alias("active"),
     )
 
 
@@ -115,12 +130,15 @@ SQL = {
         FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'
         UNION ALL SELECT seg_id, text, CASE seg_id % 11 WHEN 1 THEN regexp_replace(text, '[0-9]', '', 'g') WHEN 2 THEN regexp_replace(text, '^[^ ]* ', '')
         WHEN 3 THEN '  ' WHEN 4 THEN text || ' ' || text || ' ' || text ELSE text END, lang FROM v_segments""",
-    "v_glossary": """SELECT item_id AS term_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS source_term FROM benchmark
-        UNION ALL SELECT 1000000 + row_number() OVER (ORDER BY n DESC, w), w FROM (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) q
-        WHERE regexp_full_match(w, '[a-z]{4,}') GROUP BY w ORDER BY n DESC, w LIMIT 100) z""",
-    "v_rules": f"""SELECT term_id * 4 + k AS rule_id, term_id, lower(source_term) AS term, (term_id * 7 + k) % 8 AS scope_rank, {pick_sql(SCOPES, '(term_id * 7 + k) % 8')} AS scope,
-        (term_id + k) % 3 AS priority, {pick_sql(("PREFERRED", "KEEP_SOURCE", "FORBIDDEN"), '(term_id + k) % 3')} AS rule_type,
-        CASE WHEN (term_id + k) % 3 = 0 THEN 't' || (term_id % 5 + k % 2)::VARCHAR END AS target, (term_id + k) % 7 <> 0 AS active FROM v_glossary, unnest(range(0, 4)) t(k)""",
+    "v_glossary": f"""SELECT item_id * 1000 + i - 1 AS term_id, s[i] AS source_term FROM (SELECT item_id, string_split(text, chr(10)) AS s FROM benchmark) x, unnest(range(1, len(s) + 1)) t(i) WHERE trim(s[i]) <> ''
+        UNION ALL SELECT 1000000000 + ('0x' || left(md5(w), 12))::BIGINT, w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) q
+        WHERE regexp_full_match(w, '[a-z]{{4,}}') GROUP BY w HAVING count(*) >= {TERM_COUNT}""",
+    "v_rules": f"""SELECT term_id * 4 + k AS rule_id, term_id, lower(source_term) AS term, n AS scope_rank, {pick_sql(SCOPES, 'n')} AS scope,
+        CASE WHEN n <> 0 AND NOT (n IN (1, 2) AND third = 0) THEN 'r' || ((term_id + k // 2) % 2)::VARCHAR END AS scope_reference_id,
+        (term_id + k * (term_id % 2)) % 3 AS priority, {pick_sql(("PREFERRED", "KEEP_SOURCE", "FORBIDDEN"), 'third')} AS rule_type,
+        CASE WHEN third = 0 THEN 't' || (term_id % 5 + k % 2)::VARCHAR END AS target,
+        CASE WHEN third <> 0 THEN {pick_sql(("legal", "technical"), '(term_id // 2 + k // 2) % 2')} END AS document_type, CASE WHEN term_id % 5 = 0 THEN {pick_sql(("formal", "plain"), 'k % 2')} END AS register,
+        (term_id + k) % 7 <> 0 AS active FROM (SELECT *, (term_id * 7 + k // 2) % 8 AS n, (term_id + k) % 3 AS third FROM v_glossary, unnest(range(0, 4)) t(k)) q""",
     "v_jobs": """SELECT event_id, user_id AS job_id, CASE event_type WHEN 'click' THEN 'RUNNING' WHEN 'view' THEN 'RUNNING' WHEN 'signup' THEN 'QUEUED'
         WHEN 'purchase' THEN 'COMPLETED' ELSE 'FAILED' END AS status, ts AS heartbeat_at, props AS payload FROM events""",
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def sessions(beats: DataFrame, gap: str = "5 minutes", late: str = "30 days") -> DataFrame:
@@ -16,6 +18,34 @@ def sessions(beats: DataFrame, gap: str = "5 minutes", late: str = "30 days") ->
     return g.select("job_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "beats")
 
 
+def last_beats(beats: DataFrame) -> DataFrame:
+    """(job_id, last_beat, stale) of each job in a table of heartbeats: stale if five minutes or more went by since."""
+    last = beats.groupBy("job_id").agg(F.max("ts").alias("last_beat"))
+    now = F.broadcast(beats.agg(F.max("ts").alias("now")))  # one row
+    return last.join(now, F.col("last_beat") <= F.col("now")).select("job_id", "last_beat", (F.col("last_beat") + F.expr("INTERVAL 5 MINUTES") <= F.col("now")).alias("stale"))
+
+
+def open_sessions(beats: DataFrame, gap_minutes: int = 5, late: str = "10 minutes") -> DataFrame:
+    """(job_id, last_beat, stale) from a stream of heartbeats (job_id, ts): a row with stale false whenever a job beats
+    while its session is open, and one with stale true when event time passes its last beat by the gap (a timer)."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame({"job_id": [key[0]], "last_beat": [pd.Timestamp(last, unit="us")], "stale": [True]})
+            return
+        last = max(int(f["ts"].max().value // 1000) for f in frames)
+        last = max(last, state.get[0]) if state.exists else last
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + gap_minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"job_id": [key[0]], "last_beat": [pd.Timestamp(last, unit="us")], "stale": [False]})
+
+    return beats.withWatermark("ts", late).groupBy("job_id").applyInPandasWithState(
+        step, "job_id long, last_beat timestamp, stale boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def first_of_key(events: DataFrame, key: str, late: str = "30 days") -> DataFrame:
     """``events`` (with ts) with one row for each key within the watermark."""
     if events.isStreaming:
