@@ -34,22 +34,23 @@ def running_before(values: Column, join: Callable[[Column, Column], Column], zer
 
     whole = lambda c: F.aggregate(c, first, join)
     cut = lambda c: F.flatten(F.zip_with(c, walk(F.transform(c, whole)), lambda part, at: F.transform(walk(part), lambda n: join(at, n))))
-    return let(chunks(values), cut)
+    return let(values, lambda v: let(chunks(v), cut))
 
 
 def find_spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of all matches, offsets in code points from 0. Null text gives an empty array."""
     text = F.coalesce(text, F.lit(""))
 
-    def placed(found: Column) -> Column:
-        n = F.size(found)
-        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), n)
+    def placed(found: Column, gaps: Column) -> Column:
         before = running_before(F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m)), lambda a, n: a + n, 0)
         starts = F.zip_with(before, gaps, lambda at, g: at + F.length(g))
         return F.zip_with(starts, found, lambda at, m: F.struct(at.alias("start"), (at + F.length(m)).alias("end"), m.alias("value")))
 
-    spans = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
-    return F.when(text.rlike(pattern), spans.cast(EMPTY)).otherwise(F.array().cast(EMPTY))
+    def spans(whole: Column) -> Column:
+        gaps = lambda found: F.slice(F.split(whole, pattern, -1), F.lit(1), F.size(found))
+        return let(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)), lambda found: let(gaps(found), lambda g: placed(found, g)))
+
+    return F.when(text.rlike(pattern), spans(text).cast(EMPTY)).otherwise(F.array().cast(EMPTY))
 
 
 def overlap_groups(spans: Column) -> Column:
@@ -63,7 +64,7 @@ def overlap_groups(spans: Column) -> Column:
         return F.zip_with(firsts, ends, lambda i, j: F.transform(F.slice(placed, i + 1, j - i), lambda y: y["x"]))
 
     placed = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x.alias("x"))))
-    return F.when(F.size(spans) > 0, let(placed, cut)).otherwise(F.array())
+    return let(placed, lambda p: F.when(F.size(p) > 0, cut(p)).otherwise(F.array()))
 
 
 def greedy_disjoint(spans: Column, kind: str) -> Column:

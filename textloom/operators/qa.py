@@ -58,7 +58,9 @@ def citation_inventory(text: Column) -> Column:
 
 
 def code_inventory(text: Column) -> Column:
-    return F.array_sort(F.concat(*[_all(t.mask_placeholders(text), p) for p in CODE]))
+    """Code, endpoints and paths of ``text`` besides what is part of an address."""
+    m = F.regexp_replace(t.mask_placeholders(text), URL, " ")
+    return F.array_sort(F.concat(*[_all(m, p) for p in CODE]))
 
 
 def marker_score(words: Column, language: str) -> Column:

@@ -40,7 +40,7 @@ _TALK = _ISSUES.replace("FROM v_pairs", "FROM (SELECT * FROM v_pairs WHERE pair_
 @query("x04_incremental_checks", _TALK, "v_pairs")
 def _(spark, d):
     # turns arrive as a stream; each batch of answered turns is checked and its rows are kept under the batch's number
-    turns = spark.readStream.schema(read(spark, d, "conversations").schema).parquet(f"{d}/conversations.parquet")
+    turns = spark.readStream.schema(read(spark, d, "conversations").schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
     user = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("source"))
     answer = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
     answered = user.join(answer, ["conv_id", "turn"]).select((-(F.col("conv_id") * 1000 + F.col("turn")) - 1).alias("pair_id"), "source", "target")

@@ -378,7 +378,8 @@ def _cited(text: str) -> str:
 
 
 def _coded(text: str) -> str:
-    return _sorted_lists(text, [x for k in ("CODE", "ENDPOINT", "FILE_PATH") for x in _OTHERS[k]], f"regexp_extract_all({_double(text)}, '{_NAMES}', 1)")
+    bare = f"regexp_replace({text}, '{_OTHERS['URL'][0]}', ' ', 'g')"
+    return _sorted_lists(bare, [x for k in ("CODE", "ENDPOINT", "FILE_PATH") for x in _OTHERS[k]], f"regexp_extract_all({_double(bare)}, '{_NAMES}', 1)")
 
 
 _CHARS = r"length(regexp_replace({}, '\s+', '', 'g'))"
