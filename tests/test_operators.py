@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from textloom.functions.spans import find_spans, greedy_disjoint, replace_spans
 from textloom.operators import batching, glossary, layout, protect, qa, records
 from textloom.operators import text as t
+from textloom.streaming import jobs
 
 
 def one(spark, value, f, kind="string"):
@@ -88,6 +89,64 @@ def test_mask_restore_and_audit(spark):
     assert swapped == ["REORDERED"]
 
 
+def test_many_items_in_one_text(spark):
+    text = " ".join(f"AB{i}" for i in range(12_000))
+    m = protect.mask(spark.createDataFrame([(text,)], "text string"))
+    r = m.select("masked", protect.restore(F.col("masked"), F.col("items")).alias("back"), F.get("items", F.lit(11_999))["placeholder"].alias("last"), F.size(F.array_distinct(F.transform("items", lambda x: x["placeholder"]))).alias("n"), protect.audit(F.col("masked"), F.col("items")).alias("codes")).first()
+    assert r.back == text and r.n == 12_000 and "_ACRONYM_12000_" in r.last and r.codes == []
+
+
+def test_placeholders_avoid_tokens_of_the_text(spark):
+    mask = lambda text: protect.mask(spark.createDataFrame([(text,)], "text string")).select("masked", "items", protect.restore(F.col("masked"), F.col("items")).alias("back")).first()
+    plain = mask("use API here")["items"][0]["placeholder"]
+    near = mask(f"use API here, not {plain}")
+    kind = [x["placeholder"] for x in near["items"] if x["value"] == "API"][0]
+    assert kind != plain and kind[:-4] == plain[:-4] and near["back"] == f"use API here, not {plain}"
+    taken = " ".join(f"__TLM_ACRONYM_0001_{k:02X}__" for k in range(256))
+    full = mask(f"API {taken}")
+    assert [x["placeholder"] for x in full["items"] if x["value"] == "API"][0].startswith("__TLM_ACRONYM_0002_") and full["back"] == f"API {taken}"
+
+
+def test_audit_codes(spark):
+    m = protect.mask(spark.createDataFrame([("call API and SDK",)], "text string"))
+    a, b = (F.get("items", F.lit(i))["placeholder"] for i in (0, 1))
+    texts = {"ALTERED": F.concat(F.substring(a, 1, 20), F.lit("_0A__ "), b), "UNKNOWN": F.concat(a, b, F.lit("__TLM_CODE_0077_00__")), "MALFORMED": F.concat(a, b, F.lit(" __TLM_CODE"))}
+    got = m.select(*[protect.audit(x, F.col("items")).alias(k) for k, x in texts.items()]).first()
+    assert all(k in got[k] for k in texts) and "MISSING" in got["ALTERED"] and got["UNKNOWN"] == ["UNKNOWN"] and got["MALFORMED"] == ["MALFORMED"]
+
+
+RULE = "term string, rule_id long, rule_type string, target string, scope string, scope_rank int, scope_reference_id string, priority int, conditions map<string,string>, active boolean"
+
+
+@pytest.mark.parametrize(
+    "a,b,want",
+    [
+        ({}, {"target": "u"}, ("TARGET", None)), ({}, {"rule_type": "KEEP_SOURCE", "target": None}, ("RULE", None)), ({}, {"scope": "DOCUMENT", "scope_rank": 4, "target": "u"}, ("SCOPE", 2)),
+        ({}, {"priority": 3, "target": "u"}, ("SCOPE", 2)), ({"conditions": {"k": "x"}}, {"conditions": {"k": "x", "l": "y"}, "target": "u"}, ("CONTEXT", None)),
+        ({"conditions": {"k": "x"}}, {"conditions": {"k": "z"}, "target": "u"}, None), ({"scope_reference_id": "p"}, {"scope_reference_id": "q", "target": "u"}, None), ({}, {}, None), ({}, {"active": False, "target": "u"}, None),
+        ({"scope": "DOMAIN", "scope_reference_id": None}, {"scope": "DOMAIN", "scope_reference_id": "q", "target": "u"}, ("SCOPE", None)),
+    ],
+)
+def test_conflicts(spark, a, b, want):
+    base = {"term": "t", "rule_type": "PREFERRED", "target": "v", "scope": "PROJECT", "scope_rank": 3, "scope_reference_id": "p", "priority": 1, "conditions": {}, "active": True}
+    rows = [base | a | {"rule_id": 1}, base | b | {"rule_id": 2}]
+    got = [(r.kind, r.winner) for r in glossary.conflicts(spark.createDataFrame(rows, RULE)).collect()]
+    assert got == ([want] if want else [])
+
+
+def test_open_sessions_as_a_stream(spark, tmp_path):
+    import datetime
+
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    for i, rows in enumerate([[(1, at(0)), (2, at(1)), (1, at(3))], [(2, at(4))], [(3, at(40))], [(3, at(41))]]):
+        spark.createDataFrame(rows, "job_id long, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    beats = spark.readStream.schema("job_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = jobs.open_sessions(beats).writeStream.format("memory").queryName("open_sessions").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = {(r.job_id, r.last_beat.minute, r.stale) for r in spark.table("open_sessions").collect()}
+    assert {(1, 3, True), (2, 4, True), (3, 41, False)} <= rows and not any(j == 3 and stale for j, _, stale in rows)
+
+
 def test_batches_hold_their_limits(spark):
     rows = [(1, i, "x" * n) for i, n in enumerate([40, 40, 4000, 40, 40, 40])]
     got = batching.greedy_batches(spark.createDataFrame(rows, "doc long, o int, text string"), ["doc"], ["o"], batching.BatchLimits(2, 100))

@@ -149,7 +149,7 @@ def audit(text: Column, items: Column, natural: Column | None = None) -> Column:
             F.when(F.exists(strange, lambda s: ~meant(s)), F.lit("UNKNOWN")), F.when(F.size(cut) > 0, F.lit("MALFORMED")),
             F.when((F.size(known) == F.size(expected)) & (F.array_sort(known) == F.array_sort(expected)) & (known != expected), F.lit("REORDERED")),
         )
-        clean = (seen == expected) & (F.size(F.regexp_extract_all(text, F.lit(_LIKE), F.lit(0))) == F.size(seen))
+        clean = (seen == expected) & ~F.regexp_replace(text, TOKEN, "").contains(f"__{MARK}")
         return F.when(clean, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_compact(found)))
 
     seen = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
