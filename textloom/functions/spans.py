@@ -8,8 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EMPTY = "array<struct<start:int,end:int,value:string>>"
-#: Folds over long arrays go by chunks of so many, so that what they append to stays short.
-CHUNK = 64
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -17,24 +15,19 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def chunks(array: Column) -> Column:
-    """``array`` cut into arrays of ``CHUNK``; none for an empty one."""
-    last = F.floor((F.size(array) - 1) / CHUNK).cast("int")
-    return F.when(F.size(array) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(array, i * CHUNK + 1, CHUNK))).otherwise(F.array())
+def running_before(values: Column, join: Callable[[Column, Column], Column], zero: int) -> Column:
+    """For an array of ints what ``join`` (associative, ``zero`` changing nothing) makes of ``zero`` and all those before each.
 
+    Each pass joins every value with the one 1, 2, 4, ... places before it, so the time is the length times its logarithm.
+    """
 
-def running_before(values: Column, join: Callable[[Column, Column], Column], zero: int) -> Column:
-    """For an array of ints what ``join`` makes of ``zero`` and all those before each, in time that grows with little more
-    than the array's length."""
-    first = F.lit(zero)
+    moved = lambda v, n: F.slice(F.concat(F.array_repeat(F.lit(zero), n), v), F.lit(1), F.size(v))
+    distances = F.array(*[F.lit(1 << k) for k in range(31)])
 
-    def walk(array: Column) -> Column:
-        step = lambda acc, n: F.struct(join(acc["at"], n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-        return F.aggregate(array, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
+    def scan(v: Column) -> Column:
+        return F.aggregate(F.filter(distances, lambda n: n < F.size(v)), v, lambda w, n: F.zip_with(moved(w, n), w, join))
 
-    whole = lambda c: F.aggregate(c, first, join)
-    cut = lambda c: F.flatten(F.zip_with(c, walk(F.transform(c, whole)), lambda part, at: F.transform(walk(part), lambda n: join(at, n))))
-    return let(values, lambda v: let(chunks(v), cut))
+    return let(let(values, scan), lambda v: moved(v, F.lit(1)))
 
 
 def find_spans(text: Column, pattern: str) -> Column:

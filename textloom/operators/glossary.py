@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.spans import find_spans, greedy_disjoint
+from textloom.functions.spans import find_spans, greedy_disjoint, let
 from textloom.operators.text import term_key
 
 WORD = r"[\p{L}\p{N}_]+"
@@ -27,27 +27,42 @@ def find_terms(segments: DataFrame, terms: DataFrame, case_sensitive: bool = Tru
     """(seg_id, term_id, start, end): every occurrence of terms (term_id, source_term), overlapping ones too, anywhere or,
     with ``whole_word``, where it begins with a word and ends with one.
 
-    Segments' words meet terms by their first word, and each carries as much of the text as the longest term could need,
-    in which the whole term is then compared. Terms are counted and broadcast within a bound. Terms without a word never
-    match; null texts have no words; repeated terms count once.
+    Segments' words meet terms by their first word, or first two where a term has as many, and third words are compared as
+    well; only what then isn't a single word is compared with the text. Terms are counted and broadcast within a bound:
+    texts stay where they are. Beyond it words and terms are shuffled, and texts meet only what was found. Terms without a
+    word never match; null texts have no words; repeated terms count once.
     """
     fold = (lambda c: c) if case_sensitive else F.lower
     t = terms.select("term_id", fold(F.col("source_term")).alias("term")).distinct()
-    if not whole_word:
-        return _find_anywhere(segments.select("seg_id", fold(F.col("text")).alias("text")), t)
-    t = t.withColumn("lead", F.regexp_extract("term", WORD, 0)).filter("lead <> ''")
-    t = t.withColumn("skip", F.instr("term", F.col("lead")) - 1)
-    size = t.agg(F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars"), F.coalesce(F.max(F.length("term")), F.lit(0)).alias("longest"), F.coalesce(F.max("skip"), F.lit(0)).alias("skip")).first()
     s = segments.select("seg_id", fold(F.col("text")).alias("text"))
-    begin = lambda w: F.greatest(w["start"] - size["skip"] - 1, F.lit(0))
-    around = lambda w: F.struct(w["start"].alias("start"), w["value"].alias("lead"), begin(w).alias("from"), F.substring(F.col("text"), begin(w) + 1, F.lit(size["skip"] + size["longest"] + 2)).alias("near"))
-    words = s.select("seg_id", F.inline(F.transform(find_spans(F.col("text"), WORD), around)))
-    at, n = F.col("start") - F.col("skip") - F.col("from"), F.length("term")
-    found = words.join(F.broadcast(t) if size["chars"] <= BROADCAST_CHARS else t, "lead").filter((at >= 0) & (F.substring(F.col("near"), at + 1, n) == F.col("term")))
+    if not whole_word:
+        return _find_anywhere(s, t)
+    word = lambda i: F.get("w", F.lit(i))
+    t = t.withColumn("w", F.slice(F.regexp_extract_all("term", F.lit(WORD), F.lit(0)), 1, 3)).filter(F.size("w") > 0)
+    t = t.select(
+        "term_id", "term", F.when(F.size("w") > 1, _pair(word(0), word(1))).otherwise(word(0)).alias("key"), word(2).alias("t_third"),
+        (F.instr("term", word(0)) - 1).alias("skip"), (F.col("term") == word(0)).alias("single"),
+    )
+    small = t.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0] <= BROADCAST_CHARS
+    follow = lambda w: F.transform(w, lambda x, i: F.struct(x["start"].alias("start"), x["value"].alias("first"), F.get(w, i + 1)["value"].alias("second"), F.get(w, i + 2)["value"].alias("third")))
+    # the words are a column of their own, so that the steps after it are compiled and carry texts by reference; without
+    # "outer" the optimizer would find all words twice, first to see whether there is one
+    words = s.select("seg_id", "text", let(find_spans(F.col("text"), WORD), follow).alias("words"))
+    words = words.select("seg_id", *(["text"] if small else []), F.inline_outer("words"))
+    words = words.withColumn("key", F.explode(F.array("first", _pair(F.col("first"), F.col("second"))))).drop("first", "second")
+    found = words.join(F.broadcast(t) if small else t, "key").filter(F.col("t_third").isNull() | (F.col("t_third") == F.col("third")))
+    if not small:
+        found = found.join(s, "seg_id")
+    at, n = F.col("start") - F.col("skip"), F.length("term")
     is_word = lambda c: c.rlike(r"\A[\p{L}\p{N}_]")
-    found = found.filter(~is_word(F.substring(F.col("near"), at + n + 1, F.lit(1))) & ((at == 0) | ~is_word(F.substring(F.col("near"), F.greatest(at, F.lit(1)), F.lit(1)))))
-    start = F.col("start") - F.col("skip")
-    return found.select("seg_id", "term_id", start.cast("long").alias("start"), (start + n).cast("long").alias("end"))
+    same = (at >= 0) & (F.substring(F.col("text"), at + 1, n) == F.col("term")) & ~is_word(F.substring(F.col("text"), at + n + 1, F.lit(1)))
+    found = found.filter(F.col("single") | (same & ((at <= 0) | ~is_word(F.substring(F.col("text"), F.greatest(at, F.lit(1)), F.lit(1))))))
+    return found.select("seg_id", "term_id", at.cast("long").alias("start"), (at + n).cast("long").alias("end"))
+
+
+def _pair(first: Column, second: Column) -> Column:
+    """A key of two words; null without a second one."""
+    return F.concat(first, F.lit(" "), second)
 
 
 def _find_anywhere(segments: DataFrame, terms: DataFrame, reach: int = 24) -> DataFrame:
