@@ -1,5 +1,6 @@
 """Literal cases of the operators."""
 
+import re
 import unicodedata
 import uuid
 
@@ -22,6 +23,29 @@ def test_find_spans_counts_code_points(spark):
     assert one(spark, None, lambda x: find_spans(x, "a")) == [] and one(spark, "", lambda x: find_spans(x, "a")) == []
 
 
+def test_find_spans_of_long_texts_against_a_loop(spark):
+    text = " ".join("ab𝒳"[: 1 + i % 3] + "." * (i % 4) for i in range(1000))
+    want = [(m.start(), m.end(), m.group()) for m in re.finditer(r"\w+", text)]
+    assert [tuple(x) for x in one(spark, text, lambda x: find_spans(x, r"[\p{L}\p{N}_]+"))] == want
+
+
+def test_find_terms_of_several_words_and_marks(spark):
+    texts = {1: "Open source code, open source. (Open) source codes", 2: None, 3: "", 4: "open"}
+    terms = {1: "open", 2: "open source", 3: "open source code", 4: "(open)", 5: "source.", 6: "...", 7: "code, open"}
+    s = spark.createDataFrame(list(texts.items()), "seg_id long, text string")
+    g = spark.createDataFrame(list(terms.items()), "term_id long, source_term string")
+    want = set()
+    for seg, text in texts.items():
+        low = (text or "").lower()
+        for term_id, term in terms.items():
+            for i in range(len(low)):
+                before, after = low[i - 1 : i], low[i + len(term) : i + len(term) + 1]
+                if term != "..." and low.startswith(term, i) and not before.isalnum() and not after.isalnum():
+                    want.add((seg, term_id, i, i + len(term)))
+    got = [tuple(r) for r in glossary.find_terms(s, g, case_sensitive=False).select("seg_id", "term_id", "start", "end").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_replace_spans(spark):
     got = one(spark, "one two two", lambda x: replace_spans(x, find_spans(x, "two"), lambda s, i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))))
     assert got == "one <0> <1>"
