@@ -30,9 +30,9 @@ NO_RANK = np.iinfo(np.int32).max
 class BpeSettings:
     tokenizer_path: str
     #: Distinct words whose ids a Python worker keeps; beyond it the table starts anew.
-    known_words: int = 400_000
+    known_words: int = 150_000
     #: Words that are looked up and gathered in one step.
-    words_per_block: int = 500_000
+    words_per_block: int = 200_000
 
 
 def default_settings() -> BpeSettings:
@@ -70,16 +70,23 @@ def _word_pattern(letters: set[str], numbers: set[str]) -> regex.Pattern:
     return regex.compile(WORDS.replace(r"[^\s{LN}]", rf"[^\s{l}{n}]").replace("{L}", l).replace("{N}", n), regex.V1)
 
 
-class Bpe:
-    """Vocabulary, merges and known words of a tokenizers file with a byte-level BPE model."""
+class Tokens:
+    """The bytes of each id of a tokenizers file with a byte-level BPE model: all that decoding needs."""
 
-    _shared: dict[BpeSettings, Bpe] = {}
+    _shared: dict[tuple, Tokens] = {}
 
     def __init__(self, settings: BpeSettings) -> None:
-        from tokenizers import Tokenizer
+        file = json.loads(Path(settings.tokenizer_path).read_text(encoding="utf-8"))
+        self._read(settings, file)
 
-        text = Path(settings.tokenizer_path).read_text(encoding="utf-8")
-        file = json.loads(text)
+    @classmethod
+    def get(cls, settings: BpeSettings):
+        """One of each kind for each worker process, kept over tasks."""
+        if (cls, settings) not in cls._shared:
+            cls._shared[cls, settings] = cls(settings)
+        return cls._shared[cls, settings]
+
+    def _read(self, settings: BpeSettings, file: dict) -> None:
         model, before, after = file["model"], file["pre_tokenizer"] or {}, file["decoder"] or {}
         plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
         if not (model.get("type", "BPE") == "BPE" and plain and file["normalizer"] is None and before.get("type") == after.get("type") == "ByteLevel" and not before["add_prefix_space"] and before["use_regex"]):
@@ -89,7 +96,6 @@ class Bpe:
             raise ValueError("added tokens that take more or less than their own text aren't supported")
         self.settings = settings
         self.added = {t["content"]: t["id"] for t in added if t["content"]}
-        self.cut_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         byte_of = _byte_letters()
         as_bytes = lambda t: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode()
         ids = model["vocab"]
@@ -100,8 +106,29 @@ class Bpe:
             lengths[i] = len(b)
         self.token_length, self.token_start = lengths, np.concatenate(([0], np.cumsum(lengths)[:-1]))
         self.token_bytes = np.frombuffer(b"".join(spelled.get(i, b"") for i in range(self.size)), np.uint8)
-        letters = {b: c for c, b in byte_of.items()}
-        self.byte_id = np.array([ids[letters[b]] for b in range(256)], np.int32)
+        self.letter_ids = [ids[c] for c, _ in sorted(byte_of.items(), key=lambda x: x[1])]
+
+    def decode(self, packed: list[bytes | None]) -> list[str]:
+        """The texts that ids stand for; bytes that aren't UTF-8 become U+FFFD, ids not in the vocabulary nothing."""
+        ids = np.frombuffer(b"".join(x or b"" for x in packed), "<u4").astype(np.int64)
+        ids[ids > self.size] = self.size
+        data = gather(self.token_bytes, self.token_start[ids], self.token_length[ids]).tobytes()
+        ends = np.cumsum(np.concatenate(([0], self.token_length[ids])))[np.cumsum([len(x or b"") // 4 for x in packed], dtype=np.int64)].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends], ends)]
+
+
+class Bpe(Tokens):
+    """Merges and known words besides: what encoding needs."""
+
+    def __init__(self, settings: BpeSettings) -> None:
+        from tokenizers import Tokenizer
+
+        text = Path(settings.tokenizer_path).read_text(encoding="utf-8")
+        file = json.loads(text)
+        self._read(settings, file)
+        model, ids = file["model"], file["model"]["vocab"]
+        self.cut_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.byte_id = np.array(self.letter_ids, np.int32)
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         left, right, made = (np.array([ids[t] for t in side], np.int64) for side in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs]))
         keys = left * self.size + right
@@ -116,13 +143,6 @@ class Bpe:
         self.odd, self.words, self.odd_words = newer[0] | newer[1], _word_pattern(set(), set()), _word_pattern(*newer)
         self._forget()
 
-    @classmethod
-    def get(cls, settings: BpeSettings) -> Bpe:
-        """One for each worker process, kept over tasks."""
-        if settings not in cls._shared:
-            cls._shared[settings] = cls(settings)
-        return cls._shared[settings]
-
     def _forget(self) -> None:
         self.known: dict[str, int] = {token: i for i, token in enumerate(self.added)}
         self.flat, self.start, self.length = np.array(list(self.added.values()), np.uint32), np.arange(len(self.added)), np.ones(len(self.added), np.int64)
@@ -235,14 +255,6 @@ class Bpe:
             ids[places(begin[words], count[words])] = own
         return ids, count
 
-    def decode(self, packed: list[bytes | None]) -> list[str]:
-        """The texts that ids stand for; bytes that aren't UTF-8 become U+FFFD, ids not in the vocabulary nothing."""
-        ids = np.frombuffer(b"".join(x or b"" for x in packed), "<u4").astype(np.int64)
-        ids[ids > self.size] = self.size
-        data = gather(self.token_bytes, self.token_start[ids], self.token_length[ids]).tobytes()
-        ends = np.cumsum(np.concatenate(([0], self.token_length[ids])))[np.cumsum([len(x or b"") // 4 for x in packed], dtype=np.int64)].tolist()
-        return [data[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends], ends)]
-
 
 def places(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... (length[0] numbers), then those from start[1] on, and so forth."""
@@ -298,7 +310,7 @@ def decode(coded: DataFrame, settings: BpeSettings | None = None) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe.get(s)
+        tokens = Tokens.get(s)
         for batch in batches:
             # so many rows at once that their bytes stay within what is handed on
             lengths = batch.column(1).to_pylist()
@@ -309,7 +321,7 @@ def decode(coded: DataFrame, settings: BpeSettings | None = None) -> DataFrame:
                     size += len(lengths[end] or b"")
                     end += 1
                 ids = lengths[begin:end]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(ids, pa.binary()), pa.array(bpe.decode(ids), pa.string())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(ids, pa.binary()), pa.array(tokens.decode(ids), pa.string())], schema=schema)
                 begin = end
 
     return coded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, ids binary, text string")

@@ -16,6 +16,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ class CollocationSettings:
     #: A phrase is dropped if a longer one that holds it has so many percent of its occurrences.
     covered_percent: int = 50
     per_language: int = 2000
+    #: Parts that grams are dealt to; by default as the session's shuffles, or more where the input is large.
+    parts: int | None = None
 
     def __post_init__(self) -> None:
         if self.max_words < 2 or self.min_count < 1:
@@ -39,8 +42,10 @@ def _cols(n: int, first: int = 1) -> list[str]:
     return [f"w{i}" for i in range(first, first + n)]
 
 
+#: Bytes of input a part, and the most parts that follow from it.
+PART_BYTES, MOST_PARTS = 32_000_000, 20_000
 #: Bytes of text that a task counts at once; a longer piece is counted whole.
-SLICE = 4_000_000
+SLICE = 8_000_000
 #: What ends a piece, and what parts words.
 PIECE_ENDS, SPACES = b".,;:!?\x0A\x0B\x0C\x0D", b"\x20\x09"
 
@@ -63,8 +68,8 @@ def _slices(offsets: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
         begin = end
 
 
-def _counted(keys: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(first place, number) of each distinct row of the columns ``keys``, whose values lie under ``sizes``."""
+def _added_up(keys: list[np.ndarray], sizes: list[int], number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, sum of ``number``) of each distinct row of the columns ``keys``, whose values lie under ``sizes``."""
     key, bound = keys[0].astype(np.int64), sizes[0]
     for more, size in zip(keys[1:], sizes[1:]):
         if bound * size >= 1 << 62:  # closer numbers for what is joined so far
@@ -73,15 +78,100 @@ def _counted(keys: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.n
         key, bound = key * size + more, bound * size
     order = np.argsort(key, kind="stable")
     first = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
-    return order[first], np.diff(np.concatenate((first, [len(key)])))
-
-
-def _grams(langs: pa.Array, texts: pa.Array, n: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """(lang, w1 .. wn, c) of a batch, each row once a slice."""
+    return order[first], np.add.reduceat(number[order], first)
+
+
+@dataclass
+class _Grams:
+    """Distinct grams of one language: a column of word numbers for each place, 0 for none, with the words and counts."""
+
+    lang: str
+    words: pa.Array
+    columns: list[np.ndarray]
+    counts: np.ndarray
+
+    def shorter(self, k: int) -> _Grams:
+        """The first ``k`` words of each, added up."""
+        columns = self.columns[:k]
+        first, counts = _added_up(columns, [len(self.words) + 1] * k, self.counts)
+        return _Grams(self.lang, self.words, [c[first] for c in columns], counts)
+
+    def where(self, rows: np.ndarray) -> _Grams:
+        return _Grams(self.lang, self.words, [c[rows] for c in self.columns], self.counts[rows])
+
+    def packed(self, part: int) -> tuple:
+        """A row of PACKED: only words in use, their numbers in two or four bytes."""
+        used, numbers = np.unique(np.concatenate(self.columns), return_inverse=True)
+        if not len(used) or used[0]:
+            used, numbers = np.concatenate(([0], used)), numbers + 1
+        kind = "<u2" if len(used) <= 1 << 16 else "<u4"
+        words = "\n".join(self.words.take(pa.array(used[1:] - 1)).to_pylist()).encode()
+        return part, self.lang, words, numbers.astype(kind).tobytes(), self.counts.astype("<i8").tobytes()
+
+    def dealt(self, parts: int) -> Iterator[tuple]:
+        """Rows of PACKED, a row a part; a gram's part follows from its words alone."""
+        own = np.array([0, *[xxhash.xxh3_64_intdigest(w) for w in self.words.to_pylist()]], np.uint64)
+        h = np.zeros(len(self.counts), np.uint64)
+        for c in self.columns:
+            h = (h ^ own[c]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        part = (h >> np.uint64(20)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        edge = np.flatnonzero(np.concatenate(([True], np.diff(part[order]) != 0, [True]))) if len(order) else []
+        for a, b in zip(edge, edge[1:]):
+            yield self.where(order[a:b]).packed(int(part[order[a]]))
+
+
+PACKED = "part int, lang string, words binary, numbers binary, counts binary"
+#: Rows of grams that a task holds before it adds up what it has.
+HELD = 3_000_000
+
+
+def _strings(joined: bytes) -> pa.Array:
+    """Words, each with a line feed after it."""
+    data = np.frombuffer(joined, np.uint8)
+    ends = np.flatnonzero(data == 10)
+    at = np.concatenate(([0], ends - np.arange(len(ends)))).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(at), pa.py_buffer(data[data != 10]))
+
+
+def _unpacked(lang: str, rows: list[tuple[bytes, bytes, bytes]], k: int) -> _Grams:
+    """Packed rows (words, numbers, counts) of one language with one numbering of words, equal grams added up."""
+    coded = _strings(b"".join(w + b"\n" for w, _, _ in rows)).dictionary_encode()
+    number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    columns, counts, base = [[] for _ in range(k)], [], 0
+    for words, numbers, own in rows:
+        counts.append(np.frombuffer(own, "<i8"))
+        n = len(counts[-1])
+        table = np.frombuffer(numbers, "<u2" if len(numbers) == 2 * k * n else "<u4").reshape(k, n)
+        size = words.count(b"\n") + 1
+        to = np.concatenate(([0], number[base : base + size]))
+        base += size
+        for column, c in zip(columns, table):
+            column.append(to[c])
+    return _Grams(lang, coded.dictionary, [np.concatenate(c) for c in columns], np.concatenate(counts)).shorter(k)
+
+
+def _rows(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Record batches of rows of PACKED, of some megabytes each."""
+    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("words", pa.binary()), ("numbers", pa.binary()), ("counts", pa.binary())])
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(map(len, row[2:]))
+        if size > 8_000_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+
+
+def _grams(langs: pa.Array, texts: pa.Array, n: int) -> Iterator[_Grams]:
+    """Grams of ``n`` words of a batch of texts, by language and slice."""
     lower, kinds = _byte_classes()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     langs = pc.fill_null(langs.cast(pa.string()), "und").dictionary_encode()
-    lang_of = langs.indices.to_numpy(zero_copy_only=False)
+    lang_of, names = langs.indices.to_numpy(zero_copy_only=False), langs.dictionary.to_pylist()
     _, where, buffer = texts.buffers()
     if not len(texts) or buffer is None:
         return
@@ -101,43 +191,106 @@ def _grams(langs: pa.Array, texts: pa.Array, n: int, schema: pa.Schema) -> Itera
         doc = np.searchsorted(offsets, start + begin, "right") - 1
         piece = np.cumsum(kind == 2)[start] + doc
         held = lower[data[begin:end][inside]]
-        at = np.concatenate((np.cumsum(inside)[start] - 1, [len(held)])).astype(np.int32)
-        coded = pa.StringArray.from_buffers(len(start), pa.py_buffer(at), pa.py_buffer(held)).dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        size = len(coded.dictionary) + 1
-        columns = [code]
+        at = np.concatenate((np.cumsum(inside)[start] - 1, [len(held)])).astype(np.int64)
+        coded = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(at), pa.py_buffer(held)).dictionary_encode()
+        columns = [coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1]
         for k in range(1, n):  # the word k places on, or 0 beyond the piece's end
-            later = np.zeros(len(code), np.int64)
-            later[:-k] = np.where(piece[k:] == piece[:-k], code[k:], 0)
+            later = np.zeros(len(start), np.int64)
+            later[:-k] = np.where(piece[k:] == piece[:-k], columns[0][k:], 0)
             columns.append(later)
         lang = lang_of[doc]
-        first, number = _counted([lang, *columns], [len(langs.dictionary), *[size] * n])
-        words = [coded.dictionary.take(pa.array(c[first] - 1, mask=c[first] == 0)) for c in columns]
-        for a in range(0, len(first), 200_000):
-            own = [x.slice(a, 200_000) for x in (langs.dictionary.take(pa.array(lang[first])), *words, pa.array(number))]
-            yield pa.RecordBatch.from_arrays(own, schema=schema)
-
+        for i in np.unique(lang):
+            own = np.flatnonzero(lang == i)
+            yield _Grams(names[i], coded.dictionary, [c[own] for c in columns], np.ones(len(own), np.int64)).shorter(n)
 
-def edges(docs: DataFrame, settings: CollocationSettings) -> DataFrame:
-    """(lang, w1 .. wn, c): how often each n-gram stands in pieces of ``docs`` (text, lang), with n = max_words; those that
-    a piece's end cuts short have nulls for the words they lack. A null text is empty, a null lang is ``und``.
 
-    A task counts its texts by slices, in arrays of word numbers; equal grams of its slices are added up before the shuffle."""
+def edges(docs: DataFrame, settings: CollocationSettings, parts: int) -> DataFrame:
+    """PACKED rows of how often each n-gram stands in pieces of ``docs`` (text, lang), with n = max_words; those that a piece's
+    end cuts short lack words. A null text is empty, a null lang is ``und``. A task counts its texts by slices."""
     n = settings.max_words
-    schema = pa.schema([("lang", pa.string()), *[(w, pa.string()) for w in _cols(n)], ("c", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _rows(row for batch in batches for grams in _grams(batch.column(0), batch.column(1), n) for row in grams.dealt(parts))
+
+    return docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, PACKED)
+
+
+#: Parts that aren't dealt further: grams that occur often enough, and the number of all words.
+OFTEN, TOTAL = -1, -2
+
+
+def added_up(packed: DataFrame, k: int, settings: CollocationSettings, parts: int) -> DataFrame:
+    """PACKED rows of grams of ``k`` words added up over all tasks: those that occur often enough under OFTEN, and what leaves
+    each node of one word less, dealt by these nodes for the next such step (at one word: under TOTAL).
+
+    Each gram has one part, so a task has all of it; a gram in every text is a row a slice before. A task holds the
+    distinct grams of its part.
+    """
+    least = settings.min_count
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple]] = {}
+        waiting: dict[str, int] = {}
         for batch in batches:
-            yield from _grams(batch.column(0), batch.column(1), n, schema)
+            for lang, *row in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+                held.setdefault(lang, []).append(tuple(row))
+                waiting[lang] = waiting.get(lang, 0) + len(row[2]) // 8
+                if waiting[lang] > HELD:
+                    held[lang], waiting[lang] = [_unpacked(lang, held[lang], k).packed(OFTEN)[2:]], 0
 
-    grams = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, ", ".join(["lang string", *[f"{w} string" for w in _cols(n)], "c long"]))
-    return grams.groupBy("lang", *_cols(n)).agg(F.sum("c").alias("c"))
+        def rows() -> Iterator[tuple]:
+            for lang in list(held):
+                all_of = _unpacked(lang, held.pop(lang), k)
+                often = np.flatnonzero((all_of.counts >= least) & (all_of.columns[-1] > 0))
+                if len(often):
+                    yield all_of.where(often).packed(OFTEN)
+                if k > 1:
+                    yield from all_of.shorter(k - 1).dealt(parts)
+                else:
+                    yield TOTAL, lang, b"", b"", np.array([all_of.counts.sum()], "<i8").tobytes()
 
+        yield from _rows(rows())
+
+    return packed.filter("part >= 0").repartitionById(parts, F.col("part")).mapInArrow(run, PACKED)
+
+
+def rows_of(packed: DataFrame, k: int) -> DataFrame:
+    """(lang, w1 .. wk, c) of the grams under OFTEN."""
+    schema = pa.schema([("lang", pa.string()), *[(w, pa.string()) for w in _cols(k)], ("c", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, *row in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+                g = _unpacked(lang, [tuple(row)], k)
+                words = [g.words.take(pa.array(c - 1)).cast(pa.string()) for c in g.columns]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g.counts)), *words, pa.array(g.counts)], schema=schema)
+
+    return packed.filter(F.col("part") == OFTEN).mapInArrow(run, ", ".join(["lang string", *[f"{w} string" for w in _cols(k)], "c long"]))
+
+
+def counts(docs: DataFrame, settings: CollocationSettings) -> tuple[dict[int, DataFrame], DataFrame]:
+    """(lang, w1 .. wk, c) of phrases that occur often enough, for each length k, and (lang, n) of all words.
+
+    Only edges are counted from texts: a node occurs as often as edges leave it, by whatever word or none.
+    """
+    spark, n = docs.sparkSession, settings.max_words
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0  # sources that can't tell their size say more than any has
+    parts = settings.parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(known // PART_BYTES, MOST_PARTS))
+    packed, path, often = edges(docs, settings, parts), None, {}
+    for k in range(n, 0, -1):
+        last, path = path, new_path(spark)
+        packed = materialize(added_up(packed, k, settings, parts), path)
+        often[k] = materialize(rows_of(packed, k))
+        if last:
+            discard(spark, last)
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([int.from_bytes(x, "little") for x in batch.column(1).to_pylist()], pa.int64())], names=["lang", "n"])
 
-def node_counts(counts: DataFrame, words: int) -> DataFrame:
-    """(lang, w1 .. wn, c) of phrases of ``words`` words, from such counts of one word more: what leaves a node by any edge,
-    and what ends in it. Null words stand for ends as before."""
-    return counts.groupBy("lang", *_cols(words)).agg(F.sum("c").alias("c"))
+    totals = packed.filter(F.col("part") == TOTAL).select("lang", "counts").mapInArrow(numbers, "lang string, n long")
+    return often, totals.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def paths(often: DataFrame, nodes: DataFrame, words: int) -> tuple[DataFrame, list[str]]:
@@ -202,18 +355,13 @@ def collocations(docs: DataFrame, settings: CollocationSettings | None = None) -
     s = settings or CollocationSettings()
     n = s.max_words
     spark = docs.sparkSession
-    at = {k: new_path(spark) for k in range(1, n + 1)}
-    counts = {n: materialize(edges(docs, s), at[n])}
-    for k in range(n - 1, 0, -1):
-        counts[k] = materialize(node_counts(counts[k + 1], k), at[k])
-    total = counts[1].groupBy("lang").agg(F.sum("c").alias("n"))
-    often = {k: counts[k].filter((F.col("c") >= s.min_count) & F.col(f"w{k}").isNotNull()) for k in range(1, n + 1)}
+    often, total = counts(docs, s)
     placed, written = paths(often[n], often[n - 1], n)
     placed_at = new_path(spark)
     placed = materialize(placed, placed_at)
     known = {k: small(often[k], often[k].count()) for k in range(1, n)}
     found = materialize(reduce(DataFrame.unionByName, _candidates(often, known, placed, s)))
-    for path in [*written, placed_at, *[at[k] for k in range(2, n + 1)]]:
+    for path in [*written, placed_at]:
         discard(spark, path)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     top = found.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= s.per_language)
