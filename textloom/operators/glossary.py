@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.spans import find_spans, greedy_disjoint, let
+from textloom.operators import matching
 from textloom.operators.text import term_key
+from textloom.sources.scratch import materialize
 
 WORD = r"[\p{L}\p{N}_]+"
 # Words that neither begin nor end a mined phrase.
@@ -19,40 +21,53 @@ TECHNICAL = (
     r"(?U)(?<![\w])(?:[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+|[a-z]+(?:[A-Z][A-Za-z0-9]*)+|[A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+"
     r"|[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+|[A-Z]{2,}[A-Z0-9]*)(?:\(\))?(?![\w])"
 )
-#: Characters of terms, all together, up to which they are broadcast; more are joined by shuffle.
-BROADCAST_CHARS = 8_000_000
 
 
 def find_terms(segments: DataFrame, terms: DataFrame, case_sensitive: bool = True, whole_word: bool = True) -> DataFrame:
     """(seg_id, term_id, start, end): every occurrence of terms (term_id, source_term), overlapping ones too, anywhere or,
-    with ``whole_word``, where it begins with a word and ends with one.
+    with ``whole_word``, where no letter, number or low line stands right before or after it.
 
-    Segments' words meet terms by their first word, or first two where a term has as many, and third words are compared as
-    well; only what then isn't a single word is compared with the text. Terms are counted and broadcast within a bound:
-    texts stay where they are. Beyond it words and terms are shuffled, and texts meet only what was found. Terms without a
-    word never match; null texts have no words; repeated terms count once.
+    Terms are counted: within a bound tasks walk their texts with one automaton of all, and nothing is shuffled. Beyond
+    it words of texts meet terms by shuffle. With ``whole_word`` terms without a word never match; null texts have no
+    words; repeated terms count once.
     """
+    return _matches(segments, terms, case_sensitive, whole_word, False)
+
+
+def resolved_terms(segments: DataFrame, terms: DataFrame, case_sensitive: bool = True) -> DataFrame:
+    """``resolve_overlaps`` of ``find_terms``, made where the texts are: a segment's matches are all found by one task.
+    A seg_id has one row."""
+    return _matches(segments, terms, case_sensitive, True, True)
+
+
+def _matches(segments: DataFrame, terms: DataFrame, case_sensitive: bool, whole_word: bool, resolve: bool) -> DataFrame:
     fold = (lambda c: c) if case_sensitive else F.lower
-    t = terms.select("term_id", fold(F.col("source_term")).alias("term")).distinct()
-    s = segments.select("seg_id", fold(F.col("text")).alias("text"))
-    if not whole_word:
-        return _find_anywhere(s, t)
+    t = terms.select(F.col("term_id").cast("long"), fold(F.col("source_term")).alias("term")).distinct()
+    t = materialize(t.filter(F.col("term").rlike(WORD) if whole_word else F.col("term") != ""))
+    s = segments.select(F.col("seg_id").cast("long"), fold(F.col("text")).alias("text"))
+    if t.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0] <= matching.AUTOMATON_CHARS:
+        rows = t.groupBy("term").agg(F.array_sort(F.collect_list("term_id")).alias("ids")).orderBy("term").toArrow()
+        return matching.find_in_tasks(s, rows["term"].to_pylist(), rows["ids"].to_pylist(), whole_word, resolve)
+    found = _find_words(s, t) if whole_word else _find_anywhere(s, t)
+    return resolve_overlaps(found) if resolve else found
+
+
+def _find_words(s: DataFrame, t: DataFrame) -> DataFrame:
+    """Occurrences of more terms ``t`` (term_id, term) than go into one automaton in ``s`` (seg_id, text).
+
+    Words meet terms by their first word, or first two where a term has as many, and third words are compared as well;
+    texts meet only what then isn't a single word.
+    """
     word = lambda i: F.get("w", F.lit(i))
-    t = t.withColumn("w", F.slice(F.regexp_extract_all("term", F.lit(WORD), F.lit(0)), 1, 3)).filter(F.size("w") > 0)
+    t = t.withColumn("w", F.slice(F.regexp_extract_all("term", F.lit(WORD), F.lit(0)), 1, 3))
     t = t.select(
         "term_id", "term", F.when(F.size("w") > 1, _pair(word(0), word(1))).otherwise(word(0)).alias("key"), word(2).alias("t_third"),
         (F.instr("term", word(0)) - 1).alias("skip"), (F.col("term") == word(0)).alias("single"),
     )
-    small = t.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0] <= BROADCAST_CHARS
     follow = lambda w: F.transform(w, lambda x, i: F.struct(x["start"].alias("start"), x["value"].alias("first"), F.get(w, i + 1)["value"].alias("second"), F.get(w, i + 2)["value"].alias("third")))
-    # the words are a column of their own, so that the steps after it are compiled and carry texts by reference; without
-    # "outer" the optimizer would find all words twice, first to see whether there is one
-    words = s.select("seg_id", "text", let(find_spans(F.col("text"), WORD), follow).alias("words"))
-    words = words.select("seg_id", *(["text"] if small else []), F.inline_outer("words"))
+    words = s.select("seg_id", let(find_spans(F.col("text"), WORD), follow).alias("words")).select("seg_id", F.inline_outer("words"))
     words = words.withColumn("key", F.explode(F.array("first", _pair(F.col("first"), F.col("second"))))).drop("first", "second")
-    found = words.join(F.broadcast(t) if small else t, "key").filter(F.col("t_third").isNull() | (F.col("t_third") == F.col("third")))
-    if not small:
-        found = found.join(s, "seg_id")
+    found = words.join(t, "key").filter(F.col("t_third").isNull() | (F.col("t_third") == F.col("third"))).join(s, "seg_id")
     at, n = F.col("start") - F.col("skip"), F.length("term")
     is_word = lambda c: c.rlike(r"\A[\p{L}\p{N}_]")
     same = (at >= 0) & (F.substring(F.col("text"), at + 1, n) == F.col("term")) & ~is_word(F.substring(F.col("text"), at + n + 1, F.lit(1)))
@@ -68,15 +83,14 @@ def _pair(first: Column, second: Column) -> Column:
 def _find_anywhere(segments: DataFrame, terms: DataFrame, reach: int = 24) -> DataFrame:
     """Occurrences of ``terms`` (term_id, term) at any place of ``segments`` (seg_id, text): places meet terms by as many
     first letters as the shortest has, up to 6, and are compared over ``reach`` letters; the few longer ones in full."""
-    t = terms.filter("term <> ''")
-    size = t.agg(F.coalesce(F.min(F.length("term")), F.lit(1)).alias("shortest"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars")).first()
-    k = min(size["shortest"], 6)
+    t = terms
+    k = min(t.agg(F.coalesce(F.min(F.length("term")), F.lit(1))).first()[0], 6)
     t = t.withColumn("lead", F.substring("term", 1, k))
     letters = segments.select("seg_id", F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)).alias("c"))
     near = lambda i, m: F.array_join(F.slice("c", i + 1, m), "")
     places = F.transform(F.sequence(F.lit(0), F.size("c") - k), lambda i: F.struct(i.alias("start"), near(i, k).alias("lead"), near(i, reach).alias("near")))
     places = letters.filter(F.size("c") >= k).select("seg_id", F.inline(places))
-    found = places.join(F.broadcast(t) if size["chars"] <= BROADCAST_CHARS else t, "lead").filter(F.col("near").startswith(F.substring("term", 1, reach)))
+    found = places.join(t, "lead").filter(F.col("near").startswith(F.substring("term", 1, reach)))
     short = found.filter(F.length("term") <= reach)
     long = found.filter(F.length("term") > reach).select("seg_id", "start", "term_id", "term").join(segments, "seg_id")
     long = long.filter(F.substring(F.col("text"), F.col("start") + 1, F.length("term")) == F.col("term"))

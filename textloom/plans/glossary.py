@@ -67,7 +67,7 @@ _GREEDY = """, clash AS (SELECT DISTINCT a.seg_id FROM (SELECT seg_id, s, max(e)
 @query("t06_resolved_matches", f"""WITH RECURSIVE occ AS ({_occ("lower")}){_GREEDY} SELECT seg_id, x.t AS term_id, x.s AS "start", x.e AS "end" FROM kept
     UNION ALL SELECT seg_id, term_id, s, e FROM occ WHERE seg_id NOT IN (SELECT seg_id FROM clash)""", "v_segments", "v_glossary")
 def _(spark, d):
-    return g.resolve_overlaps(occurrences(spark, d, False))
+    return g.resolved_terms(v.segments(spark, d), v.glossary(spark, d), case_sensitive=False)
 
 
 _APPLY = """SELECT s.seg_id, r.rule_id, r.scope_rank, r.priority, r.rule_type, r.target, r.term FROM v_segments s JOIN v_rules r ON
