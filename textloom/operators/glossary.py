@@ -42,12 +42,11 @@ def resolved_terms(segments: DataFrame, terms: DataFrame, case_sensitive: bool =
 
 def _matches(segments: DataFrame, terms: DataFrame, case_sensitive: bool, whole_word: bool, resolve: bool) -> DataFrame:
     fold = (lambda c: c) if case_sensitive else F.lower
-    t = terms.select(F.col("term_id").cast("long"), fold(F.col("source_term")).alias("term")).distinct()
+    t = terms.select("term_id", fold(F.col("source_term")).alias("term")).distinct()
     t = materialize(t.filter(F.col("term").rlike(WORD) if whole_word else F.col("term") != ""))
-    s = segments.select(F.col("seg_id").cast("long"), fold(F.col("text")).alias("text"))
+    s = segments.select("seg_id", fold(F.col("text")).alias("text"))
     if t.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0] <= matching.AUTOMATON_CHARS:
-        rows = t.groupBy("term").agg(F.array_sort(F.collect_list("term_id")).alias("ids")).orderBy("term").toArrow()
-        return matching.find_in_tasks(s, rows["term"].to_pylist(), rows["ids"].to_pylist(), whole_word, resolve)
+        return matching.find_in_tasks(s, t, whole_word, resolve)
     found = _find_words(s, t) if whole_word else _find_anywhere(s, t)
     return resolve_overlaps(found) if resolve else found
 

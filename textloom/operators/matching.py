@@ -28,6 +28,7 @@ class Matcher:
     _word: np.ndarray | None = None
 
     def __init__(self, terms: list[str], ids: list[list[int]]) -> None:
+        """``ids`` are places in the sorted ids of terms, several where terms say the same."""
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -101,34 +102,46 @@ def disjoint(start: np.ndarray, end: np.ndarray, term: np.ndarray) -> np.ndarray
     return np.sort(np.concatenate(kept))
 
 
-def _chunks(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[list, list[str]]]:
-    held_ids, held, size = [], [], 0
-    for i, t in zip(ids.to_pylist(), texts):
+def _chunks(texts: pa.Array) -> Iterator[tuple[list[int], list[str]]]:
+    """Rows and their texts, of about CHUNK_CHARS letters; rows without a text are left out."""
+    rows, held, size = [], [], 0
+    for i, t in enumerate(texts):
         t = t.as_py()
         if t:
-            held_ids.append(i)
+            rows.append(i)
             held.append(t)
             size += len(t)
         if size > CHUNK_CHARS:
-            yield held_ids, held
-            held_ids, held, size = [], [], 0
+            yield rows, held
+            rows, held, size = [], [], 0
     if held:
-        yield held_ids, held
-
-
-def find_in_tasks(segments: DataFrame, terms: list[str], ids: list[list[int]], whole_word: bool, resolve: bool) -> DataFrame:
-    """(seg_id, term_id, start, end) of ``terms`` in ``segments`` (seg_id, text); texts stay in their tasks."""
-    given = segments.sparkSession.sparkContext.broadcast((terms, ids))
-    key = hashlib.sha256(repr((terms, ids)).encode("utf-8", "surrogatepass")).hexdigest()
-    schema = pa.schema([("seg_id", pa.int64()), ("term_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+        yield rows, held
+
+
+def find_in_tasks(segments: DataFrame, terms: DataFrame, whole_word: bool, resolve: bool) -> DataFrame:
+    """(seg_id, term_id, start, end) of ``terms`` (term_id, term), counted to be within AUTOMATON_CHARS, in ``segments``
+    (seg_id, text). Ids are of any type that sorts; texts stay in their tasks."""
+    rows = terms.select("term_id", "term").toArrow()
+    by_term: dict[str, list[int]] = {}
+    # terms in the order of their ids, so that a smaller place is a smaller id
+    order = sorted(zip(rows["term_id"].to_pylist(), rows["term"].to_pylist()))
+    for i, (_, term) in enumerate(order):
+        by_term.setdefault(term, []).append(i)
+    plan = sorted(by_term), [by_term[t] for t in sorted(by_term)]
+    ids = pa.array([i for i, _ in order], rows["term_id"].type)
+    given = segments.sparkSession.sparkContext.broadcast((*plan, ids))
+    key = hashlib.sha256(repr(plan).encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher.get(key, *given.value)
+        terms, places, ids = given.value
+        matcher = Matcher.get(key, terms, places)
         for batch in batches:
-            for own, texts in _chunks(batch.column(0), batch.column(1)):
+            for rows, texts in _chunks(batch.column(1)):
                 text, term, start, end = matcher.find(texts, whole_word, resolve)
-                seg = np.array(own, np.int64)[text] if len(text) else text
-                for a in range(0, len(seg), CHUNK_ROWS):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + CHUNK_ROWS]) for x in (seg, term, start, end)], schema=schema)
+                row = np.array(rows, np.int64)[text]
+                for a in range(0, len(row), CHUNK_ROWS):
+                    b = a + CHUNK_ROWS
+                    yield pa.record_batch([batch.column(0).take(pa.array(row[a:b])), ids.take(pa.array(term[a:b])), pa.array(start[a:b]), pa.array(end[a:b])], names=["seg_id", "term_id", "start", "end"])
 
-    return segments.select("seg_id", "text").mapInArrow(run, "seg_id long, term_id long, start long, `end` long")
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return segments.select("seg_id", "text").mapInArrow(run, f"seg_id {kind(segments, 'seg_id')}, term_id {kind(terms, 'term_id')}, start long, `end` long")

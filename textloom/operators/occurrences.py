@@ -13,13 +13,11 @@ from pyspark.sql import functions as F
 from textloom.operators.glossary import find_terms
 from textloom.sources import committed
 
-#: Share of rows that no longer hold from which on a refresh writes the table anew instead of reading around them is not
-#: needed: each refresh writes what holds.
 TABLES = ("texts", "terms", "found")
 
 
 def _key(text: Column) -> Column:
-    """Two 64-bit hashes as one number of 38 digits would be; here as text, the same on every machine."""
+    """128 bits of a digest, so that no two texts share it."""
     return F.substring(F.sha2(text, 256), 1, 32)
 
 
@@ -34,15 +32,9 @@ def _terms(terms: DataFrame) -> DataFrame:
 
 
 def _found(texts: DataFrame, terms: DataFrame, case_sensitive: bool) -> DataFrame:
-    """(text_key, term_key, start, end): find_terms by numbers that stand for the keys, and back."""
-    number = lambda c: F.xxhash64(c)
-    spans = find_terms(texts.select(number("text_key").alias("seg_id"), "text"), terms.select(number("term_key").alias("term_id"), "source_term"), case_sensitive)
-    # numbers of 64 bits may meet; the term's own text and the text's decide
-    by_text = texts.select(number("text_key").alias("seg_id"), "text_key", "text")
-    by_term = terms.select(number("term_key").alias("term_id"), "term_key", "source_term")
-    fold = (lambda c: c) if case_sensitive else F.lower
-    spans = spans.distinct().join(by_text, "seg_id").join(by_term, "term_id")
-    return spans.filter(F.substring(fold(F.col("text")), F.col("start") + 1, F.col("end") - F.col("start")) == fold(F.col("source_term"))).select("text_key", "term_key", "start", "end")
+    """(text_key, term_key, start, end): find_terms with the keys as ids."""
+    spans = find_terms(texts.select(F.col("text_key").alias("seg_id"), "text"), terms.select(F.col("term_key").alias("term_id"), "source_term"), case_sensitive)
+    return spans.select(F.col("seg_id").alias("text_key"), F.col("term_id").alias("term_key"), "start", "end")
 
 
 def refresh(spark: SparkSession, path: str, segments: DataFrame, terms: DataFrame, case_sensitive: bool = False) -> dict[str, int]:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.operators import glossary as g
+from textloom.operators import occurrences as kept
 from textloom.operators.text import term_key
 from textloom.plans.base import query
 from textloom.sources import views as v
+from textloom.sources.scratch import shared_dir
 from textloom.sources.tables import read
 
 _W = r"[\pL\pN_]"
@@ -25,6 +29,14 @@ def occurrences(spark, d, case_sensitive=True):
     return g.find_terms(v.segments(spark, d), v.glossary(spark, d), case_sensitive)
 
 
+def occurrence_table(spark, d):
+    """Folded occurrences from the table that is kept for ``d`` in the shared folder, after a refresh."""
+    path = f"{shared_dir(spark)}/occurrences-{hashlib.md5(d.encode()).hexdigest()}"
+    segments, terms = v.segments(spark, d), v.glossary(spark, d)
+    kept.refresh(spark, path, segments, terms)
+    return kept.occurrences(spark, path, segments, terms)
+
+
 @query("t01_phrase_match", f'SELECT seg_id, term_id, s AS "start", e AS "end" FROM ({_occ("")}) o', "v_segments", "v_glossary")
 def _(spark, d):
     return occurrences(spark, d)
@@ -243,7 +255,7 @@ def _(spark, d):
     count(DISTINCT CASE WHEN st.status = 'APPROVED' THEN o.seg_id END) AS approved, count(DISTINCT CASE WHEN st.status = 'LOCKED' THEN o.seg_id END) AS locked
     FROM v_glossary g LEFT JOIN ({_occ('lower')}) o ON o.term_id = g.term_id LEFT JOIN v_seg_state st ON st.seg_id = o.seg_id GROUP BY g.term_id""", "v_segments", "v_glossary", "v_seg_state")
 def _(spark, d):
-    hit = occurrences(spark, d, False).select("term_id", "seg_id").distinct().join(v.segment_state(spark, d).select("seg_id", "status"), "seg_id")
+    hit = occurrence_table(spark, d).select("term_id", "seg_id").distinct().join(v.segment_state(spark, d).select("seg_id", "status"), "seg_id")
     n = lambda c: F.count(F.when(c, 1))
     counts = hit.groupBy("term_id").agg(
         F.count("*").alias("affected"), n(~F.col("status").isin("APPROVED", "LOCKED")).alias("unreviewed"), n(F.col("status") == "APPROVED").alias("approved"), n(F.col("status") == "LOCKED").alias("locked"),
@@ -283,7 +295,7 @@ def _(spark, d):
 @query("t28_orphan_occurrences", f"SELECT o.term_id, count(*) AS n FROM ({_occ('lower')}) o WHERE NOT EXISTS (SELECT 1 FROM v_seg_state s WHERE s.seg_id = o.seg_id AND s.status <> 'TRANSLATION_FAILED') GROUP BY 1", "v_segments", "v_glossary", "v_seg_state")
 def _(spark, d):
     live = v.segment_state(spark, d).filter("status <> 'TRANSLATION_FAILED'").select("seg_id")
-    return occurrences(spark, d, False).join(live, "seg_id", "left_anti").groupBy("term_id").agg(F.count("*").alias("n"))
+    return occurrence_table(spark, d).join(live, "seg_id", "left_anti").groupBy("term_id").agg(F.count("*").alias("n"))
 
 
 @query("t29_search", r"SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%a\_%' ESCAPE '\' OR lower(p_name) LIKE '%e%'")
@@ -306,5 +318,5 @@ def _(spark, d):
 
 @query("t33_batch_terms", f"SELECT s.doc_id, string_agg(DISTINCT o.term_id::VARCHAR, ',' ORDER BY o.term_id::VARCHAR) AS terms FROM ({_occ('lower')}) o JOIN v_segments s ON s.seg_id = o.seg_id GROUP BY 1", "v_segments", "v_glossary")
 def _(spark, d):
-    o = occurrences(spark, d, False).withColumn("doc_id", F.floor(F.col("seg_id") / 100000).cast("long"))
+    o = occurrence_table(spark, d).withColumn("doc_id", F.floor(F.col("seg_id") / 100000).cast("long"))
     return o.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set(F.col("term_id").cast("string"))), ",").alias("terms"))
