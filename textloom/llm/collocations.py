@@ -30,7 +30,7 @@ class CollocationSettings:
     #: A phrase is dropped if a longer one that holds it has so many percent of its occurrences.
     covered_percent: int = 50
     per_language: int = 2000
-    #: Parts that grams are dealt to; by default as the session's shuffles, or more where the input is large.
+    #: Parts that grams are dealt to; by default so many that each holds those of some megabytes of text.
     parts: int | None = None
 
     def __post_init__(self) -> None:
@@ -42,8 +42,8 @@ def _cols(n: int, first: int = 1) -> list[str]:
     return [f"w{i}" for i in range(first, first + n)]
 
 
-#: Bytes of input a part, and the most parts that follow from it.
-PART_BYTES, MOST_PARTS = 32_000_000, 20_000
+#: Bytes of input, by the optimizer's estimate, for which there is a part, and the most parts.
+PART_BYTES, MOST_PARTS = 32_000_000, 1_000_000
 #: Bytes of text that a task counts at once; a longer piece is counted whole.
 SLICE = 8_000_000
 #: What ends a piece, and what parts words.
@@ -224,21 +224,15 @@ def added_up(packed: DataFrame, k: int, settings: CollocationSettings, parts: in
     each node of one word less, dealt by these nodes for the next such step (at one word: under TOTAL).
 
     Each gram has one part, so a task has all of it; a gram in every text is a row a slice before. A task holds the
-    distinct grams of its part.
+    distinct grams of one part at a time.
     """
     least = settings.min_count
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held: dict[str, list[tuple]] = {}
         waiting: dict[str, int] = {}
-        for batch in batches:
-            for lang, *row in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-                held.setdefault(lang, []).append(tuple(row))
-                waiting[lang] = waiting.get(lang, 0) + len(row[2]) // 8
-                if waiting[lang] > HELD:
-                    held[lang], waiting[lang] = [_unpacked(lang, held[lang], k).packed(OFTEN)[2:]], 0
 
-        def rows() -> Iterator[tuple]:
+        def through() -> Iterator[tuple]:
             for lang in list(held):
                 all_of = _unpacked(lang, held.pop(lang), k)
                 often = np.flatnonzero((all_of.counts >= least) & (all_of.columns[-1] > 0))
@@ -248,10 +242,27 @@ def added_up(packed: DataFrame, k: int, settings: CollocationSettings, parts: in
                     yield from all_of.shorter(k - 1).dealt(parts)
                 else:
                     yield TOTAL, lang, b"", b"", np.array([all_of.counts.sum()], "<i8").tobytes()
+            waiting.clear()
 
-        yield from _rows(rows())
+        now = None
+        for batch in batches:
+            for part, lang, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != now:
+                    yield from through()
+                    now = part
+                held.setdefault(lang, []).append(tuple(row))
+                waiting[lang] = waiting.get(lang, 0) + len(row[2]) // 8
+                if waiting[lang] > HELD:
+                    held[lang], waiting[lang] = [_unpacked(lang, held[lang], k).packed(OFTEN)[2:]], 0
+        yield from through()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _rows(rows(batches))
 
-    return packed.filter("part >= 0").repartitionById(parts, F.col("part")).mapInArrow(run, PACKED)
+    # parts follow the input's size, tasks the session; where parts are more, a task takes its own one after another
+    tasks = min(parts, int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = packed.filter("part >= 0").repartitionById(tasks, (F.col("part") % tasks).cast("int")).sortWithinPartitions("part")
+    return dealt.mapInArrow(run, PACKED)
 
 
 def rows_of(packed: DataFrame, k: int) -> DataFrame:
@@ -275,8 +286,9 @@ def counts(docs: DataFrame, settings: CollocationSettings) -> tuple[dict[int, Da
     """
     spark, n = docs.sparkSession, settings.max_words
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    known = size if size < 1 << 60 else 0  # sources that can't tell their size say more than any has
-    parts = settings.parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(known // PART_BYTES, MOST_PARTS))
+    if size >= 1 << 60:  # what sources say that can't tell their size
+        size = PART_BYTES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = settings.parts or min(max(spark.sparkContext.defaultParallelism, size // PART_BYTES), MOST_PARTS)
     packed, path, often = edges(docs, settings, parts), None, {}
     for k in range(n, 0, -1):
         last, path = path, new_path(spark)
