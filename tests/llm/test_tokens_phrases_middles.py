@@ -41,6 +41,7 @@ def test_bpe_equals_the_library(spark):
         want.append((i, np.array(ids, "<u4").tobytes(), t.decode(ids, skip_special_tokens=False)))
     key = lambda r: (r[0] is None, r[0], bytes(r[1]))
     assert sorted([(r.doc_id, bytes(r.ids), r.text) for r in got], key=key) == sorted(want, key=key)
+    assert sorted(bpe.encode_and_decode(frame(spark, [(i, t, "en") for i, t in rows])).collect(), key=key) == sorted(got, key=key)
 
 
 def test_bpe_of_every_character():

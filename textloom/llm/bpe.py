@@ -51,13 +51,14 @@ def _byte_letters() -> dict[str, int]:
 def _newer_letters(splitter) -> tuple[set[str], set[str]]:
     """Characters that are letters and numbers to the regex library but not to ``splitter``, whose Unicode is older."""
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    out = []
+    out: list[set[str]] = []
     for kind, beside in ((r"\p{L}", "a"), (r"\p{N}", "1")):
-        found = regex.findall(kind, every)
-        whole = {beside + c + beside for c in found}
-        joined = "".join(f" {beside}{c}{beside}" for c in found)
-        same = {joined[a + 1 : b] for _, (a, b) in splitter.pre_tokenize_str(joined)} & whole
-        out.append({w[1] for w in whole - same})
+        found, newer = regex.findall(kind, every), set()
+        for i in range(0, len(found), 5000):
+            joined = "".join(f" {beside}{c}{beside}" for c in found[i : i + 5000])
+            same = {joined[a + 2] for _, (a, b) in splitter.pre_tokenize_str(joined) if b - a == 4}
+            newer |= set(found[i : i + 5000]) - same
+        out.append(newer)
     return out[0], out[1]
 
 
@@ -265,21 +266,38 @@ def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return flat[places(start, length)]
 
 
-#: Bytes of results that a task holds before it hands them on.
-HELD = 16_000_000
-
-
-def _handed_on(rows: Iterator[tuple[list, int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Record batches of ``rows`` (values, bytes held)."""
-    held, size = [], 0
-    for values, n in rows:
-        held.append(values)
-        size += n
-        if size > HELD:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+#: Bytes of ids that a task holds before it hands them on.
+HELD = 4_000_000
+_CODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+_DECODED = pa.schema([*_CODED, ("text", pa.string())])
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], bpe: Bpe) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) of batches (doc_id, text), in batches of about HELD bytes."""
+    for batch in batches:
+        begin, held, size = 0, [], 0
+        for ids in bpe.encode(x.as_py() for x in batch.column(1)):
+            held.append(ids)
+            size += len(ids)
+            if size > HELD:
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(held)), pa.array(held, pa.binary())], schema=_CODED)
+                begin, held, size = begin + len(held), [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(held)), pa.array(held, pa.binary())], schema=_CODED)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], tokens: Tokens) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids, text) of batches (doc_id, ids), by so many rows at once that their ids take about HELD bytes."""
+    for batch in batches:
+        begin, rows, size = 0, [], 0
+        last = len(batch) - 1
+        for i, x in enumerate(batch.column(1)):
+            rows.append(x.as_py())
+            size += len(rows[-1] or b"")
+            if size > HELD or i == last:
+                cut = batch.slice(begin, len(rows))
+                yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array(tokens.decode(rows), pa.string())], schema=_DECODED)
+                begin, rows, size = i + 1, [], 0
 
 
 def encode(docs: DataFrame, settings: BpeSettings | None = None) -> DataFrame:
@@ -292,41 +310,22 @@ def encode(docs: DataFrame, settings: BpeSettings | None = None) -> DataFrame:
     different pairs. Texts with tokens of the file's list of added ones give these tokens' ids.
     """
     s = settings or default_settings()
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe.get(s)
-        for batch in batches:
-            texts = (x.as_py() for x in batch.column(1))
-            yield from _handed_on((([doc.as_py(), ids], len(ids)) for doc, ids in zip(batch.column(0), bpe.encode(texts), strict=True)), schema)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: _encoded(batches, Bpe.get(s)), "doc_id long, ids binary")
 
 
 def decode(coded: DataFrame, settings: BpeSettings | None = None) -> DataFrame:
     """(doc_id, ids, text) for each row of ``coded`` (doc_id, ids as ``encode`` makes them). Null ids give an empty text and
     stay null."""
     s = settings or default_settings()
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens.get(s)
-        for batch in batches:
-            # so many rows at once that their bytes stay within what is handed on
-            lengths = batch.column(1).to_pylist()
-            begin = 0
-            while begin < len(lengths):
-                end, size = begin, 0
-                while end < len(lengths) and (end == begin or size < HELD):
-                    size += len(lengths[end] or b"")
-                    end += 1
-                ids = lengths[begin:end]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(ids, pa.binary()), pa.array(tokens.decode(ids), pa.string())], schema=schema)
-                begin = end
-
-    return coded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, ids binary, text string")
+    return coded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(lambda batches: _decoded(batches, Tokens.get(s)), "doc_id long, ids binary, text string")
+
+
+def encode_and_decode(docs: DataFrame, settings: BpeSettings | None = None) -> DataFrame:
+    """``decode(encode(docs))`` by one worker a task instead of two, to check an encoding where it is made."""
+    s = settings or default_settings()
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: _decoded(_encoded(batches, Bpe.get(s)), Bpe.get(s)), "doc_id long, ids binary, text string")
 
 
 def op11_merge_round_bpe(spark, sf_dir: str) -> DataFrame:
-    back = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    back = encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return back.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
