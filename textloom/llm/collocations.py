@@ -43,9 +43,9 @@ def _cols(n: int, first: int = 1) -> list[str]:
 
 
 #: Bytes of input, by the optimizer's estimate, for which there is a part, and the most parts.
-PART_BYTES, MOST_PARTS = 32_000_000, 1_000_000
+PART_BYTES, MOST_PARTS = 8_000_000, 1_000_000
 #: Bytes of text that a task counts at once; a longer piece is counted whole.
-SLICE = 8_000_000
+SLICE = 4_000_000
 #: What ends a piece, and what parts words.
 PIECE_ENDS, SPACES = b".,;:!?\x0A\x0B\x0C\x0D", b"\x20\x09"
 
@@ -159,7 +159,7 @@ def _rows(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     for row in rows:
         held.append(row)
         size += sum(map(len, row[2:]))
-        if size > 8_000_000:
+        if size > 2_000_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
             held, size = [], 0
     if held:
