@@ -206,24 +206,32 @@ def flat_blocks(page: str) -> list[Block]:
     return [b for b, _ in blocks]
 
 
-FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "boiler", "article", "heading")
+FEATURES = ("words", "links", "share", "before_words", "before_links", "after_words", "after_links", "boiler", "article", "heading")
+#: Word count and link density of a neighbour that isn't there.
+NONE = (-1.0, -1.0)
 
 
 def features(blocks: list[Block]) -> list[tuple[float, ...]]:
-    """For each block its word count and link density, its neighbours', and its element marks: boiler and heading are 0
-    or 1; article is 1 in one, -1 outside of a page's articles and 0 where a page has none."""
+    """For each block its word count, link density and share of the longest block's words, its neighbours' counts and
+    densities (NONE beyond either end), and its element marks: boiler and heading are 0 or 1; article is 1 in one, -1 outside of a
+    page's articles and 0 where a page has none. Blocks marked as boilerplate are no neighbours, nor the longest."""
     if not blocks:
         return []
     own = [(float(b.words), b.linked / b.words if b.words else 0.0) for b in blocks]
-    edge, none = [(0.0, 0.0)], -1.0 if any(b.article and not b.boiler for b in blocks) else 0.0
+    longest = max((b.words for b in blocks if not b.boiler), default=0) or 1
+    none = -1.0 if any(b.article and not b.boiler for b in blocks) else 0.0
+    plain = [i for i, b in enumerate(blocks) if not b.boiler]
+    before, after = dict(zip(plain[1:], plain)), dict(zip(plain, plain[1:]))
+    beside = lambda i, to: own[to[i]] if i in to else NONE
     rows = []
-    for b, x, y, z in zip(blocks, own, edge + own[:-1], own[1:] + edge, strict=True):
-        rows.append((*x, *y, *z, float(b.boiler), 1.0 if b.article and not b.boiler else none, float(b.heading and not b.boiler)))
+    for i, b in enumerate(blocks):
+        rows.append((*own[i], b.words / longest, *beside(i, before), *beside(i, after), float(b.boiler), 1.0 if b.article and not b.boiler else none, float(b.heading and not b.boiler)))
     return rows
 
 
 # The labelled table: blocks of pages in order, as "words linked element label", where element is nav, ad, side, form,
-# foot, note or comment (boilerplate), art (in an article) or head (a heading in one).
+# foot, note or comment (boilerplate), art (in an article) or head (a heading in one). Pages of many shapes: with and
+# without menus, footers, titles; one paragraph, lists of links, tables, code, talk in short lines, comments after the article.
 LABELLED = (
     "5 5 nav 0|4 4 nav 0|6 6 nav 0|9 0 ad 0|8 0 head 1|62 2 art 1|3 0 art 1|48 0 art 1|1 0 art 1|95 4 art 1|20 1 foot 0|7 2 foot 0",
     "1 1 nav 0|1 1 nav 0|2 2 nav 0|30 0 note 0|11 0 head 1|18 0 art 1|140 0 art 1|6 0 head 1|75 5 art 1|4 1 art 1|22 0 comment 0|45 0 comment 0|5 3 foot 0",
@@ -243,6 +251,34 @@ LABELLED = (
     "1 1 nav 0|5 0 head 1|1 0 art 1|14 0 art 1|4 0 art 1|1 0 art 1|8 0 art 1|14 0 art 1|10 0 art 1|11 0 art 1|2 0 art 1|1 0 art 1|4 1 art 1|3 3 art 1|12 0 foot 0",
     "4 4 nav 0|14 0 head 1|2 0 art 1|1 0 art 1|4 0 art 1|3 0 art 1|12 0 art 1|2 0 art 1|13 2 art 1|6 0 art 1|1 1 art 1|3 0 art 1|6 0 art 1|1 0 art 1|4 0 comment 0|3 0 foot 0",
     "12 0 form 0|4 0 form 0|40 2 ad 0|9 0 head 1|2 0 art 1|2 0 art 1|200 9 art 1|5 0 art 1|120 1 side 0|17 0 comment 0|80 0 comment 0|110 20 foot 0",
+    "30 0 art 1|30 0 comment 0|12 0 comment 0",
+    "120 0 art 1|150 0 art 1",
+    "200 0 art 1",
+    "4 0 art 1",
+    "7 0 head 1|60 0 art 1",
+    "2 2 nav 0|3 3 nav 0|6 0 head 1|40 0 art 1|60 0 art 1",
+    "40 0 art 1|55 0 art 1|12 0 art 1|70 0 art 1|33 0 art 1",
+    "2 2 nav 0|1 1 nav 0|1 1 nav 0|50 1 art 1|42 0 art 1|18 0 art 1",
+    "9 0 head 1|33 0 art 1|28 0 art 1|5 0 head 1|41 0 art 1|3 3 foot 0|2 2 foot 0",
+    "3 3 art 1|4 4 art 1|50 0 art 1",
+    "8 0 head 1|50 0 art 1|5 4 art 1|6 5 art 1|4 4 art 1|30 0 art 1|2 2 foot 0",
+    "5 0 head 1|3 0 art 1|2 0 art 1|4 0 art 1|2 0 art 1|3 0 art 1|25 0 art 1",
+    "2 0 art 1|24 0 art 1|31 0 art 1|16 0 art 1",
+    "6 0 head 1|9 0 art 1|12 0 art 1|7 0 art 1|11 0 art 1|8 0 art 1|14 0 art 1",
+    "1 1 nav 0|2 2 nav 0|1 1 nav 0|2 2 nav 0|10 0 head 1|20 0 art 1|17 0 art 1|23 1 art 1|5 4 foot 0|1 1 foot 0",
+    "3 3 nav 0|3 3 nav 0|80 2 art 1|3 0 art 1|44 0 art 1|6 4 foot 0",
+    "2 2 nav 0|1 1 nav 0|9 0 ad 0|11 0 head 1|45 0 art 1|39 0 art 1|9 0 foot 0",
+    "1 1 nav 0|1 1 nav 0|3 3 nav 0|6 0 note 0|8 0 head 1|64 0 art 1|6 0 art 1|70 0 art 1|12 0 foot 0",
+    "4 4 nav 0|3 3 nav 0|12 0 ad 0|5 0 head 1|52 0 art 1|58 0 art 1|7 0 foot 0",
+    "2 2 nav 0|2 2 nav 0|3 0 nav 0|14 0 head 1|88 2 art 1|47 0 art 1|61 1 art 1|14 0 foot 0",
+    "1 1 nav 0|1 1 nav 0|1 1 nav 0|8 0 head 1|35 0 art 1|26 0 art 1|30 0 comment 0|14 0 comment 0|6 3 foot 0",
+    "5 5 nav 0|6 6 nav 0|5 0 head 1|18 0 art 1|19 0 art 1|21 0 art 1|7 7 side 0|8 8 side 0|6 6 side 0",
+    "110 3 art 1|90 1 art 1|4 4 foot 0|3 3 foot 0|5 5 foot 0",
+    "2 2 nav 0|65 0 art 1|72 0 art 1|10 0 art 1",
+    "3 3 nav 0|4 4 nav 0|2 2 nav 0|3 3 nav 0|5 5 nav 0|16 0 art 1",
+    "4 4 nav 0|1 0 head 1|70 0 art 1|2 0 head 1|64 0 art 1|1 0 head 1|58 0 art 1",
+    "300 0 art 1|280 0 art 1|310 2 art 1|260 0 art 1|8 5 foot 0",
+    "2 2 nav 0|2 2 nav 0|12 0 head 1|300 4 art 1|12 0 art 1|280 3 art 1|6 0 art 1|200 0 art 1|40 0 comment 0|25 0 comment 0",
 )
 
 Tree = tuple  # (share of main text,) or (feature, threshold, tree at or below, tree above)
@@ -270,7 +306,7 @@ def labelled_rows(pages: tuple[str, ...] = LABELLED) -> list[tuple[tuple[float,
 LONG = 15
 
 
-def grow_tree(rows: list[tuple[tuple[float, ...], int]], depth: int = 9, least: int = 1) -> Tree:
+def grow_tree(rows: list[tuple[tuple[float, ...], int]], depth: int = 6, least: int = 10) -> Tree:
     """A binary tree by Gini impurity; ties go to the first feature and the lowest threshold."""
     ones = sum(y for _, y in rows)
     share = ones / len(rows)
