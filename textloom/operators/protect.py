@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,12 @@ PATTERNS = (
     ("CODE", r"(?U)(?<![\w])(?:[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+|[a-z]+[A-Z][A-Za-z0-9]*|[A-Za-z][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+)(?:\(\))?(?![\w])"),
     ("ACRONYM", r"(?U)(?<![\w])(?:[A-Z]{2,}[0-9]*|[A-Z][0-9][A-Z0-9]*)(?![\w])"),
 )
+#: What a text must hold for each of PATTERNS to match: any of these strings, or a match of this plain pattern. Most
+#: texts hold little of it, and a look for a string costs far less than a pattern that looks around itself.
+NEEDS: tuple[tuple[str, ...] | str, ...] = (
+    ("```",), ("`",), ("://", "www.", "WWW.", "Www.", "wWw.", "wwW.", "WWw.", "WwW.", "wWW."), ("@",), ("/",), ("/",), ("\\",), ("/",), ("/", "\\"), ("[",), ("(",),
+    r"[A-Za-z0-9]_[A-Za-z0-9_]|[a-z][A-Z]|[A-Za-z0-9_]\.[A-Za-z_]", r"[A-Z][A-Z0-9]",
+)
 KINDS = ("CODE", "URL", "EMAIL", "ENDPOINT", "FILE_PATH", "CITATION", "TERM", "ACRONYM")
 SPAN = "array<struct<n:int,start:int,rank:int,end:int,kind:string,value:string>>"
 MARK = "TLM"
@@ -31,6 +40,11 @@ TOKEN = rf"__{MARK}_(?:{'|'.join(KINDS)})_[0-9]{{4,}}_[0-9A-F]{{2}}__"
 _LIKE = rf"__{MARK}[A-Za-z0-9_]*"
 
 
+def may_match(text: Column, needs: tuple[str, ...] | str) -> Column:
+    """Whether ``text`` has what one of NEEDS asks for."""
+    return text.rlike(needs) if isinstance(needs, str) else reduce(or_, [text.contains(n) for n in needs])
+
+
 def trim_end(kind: Column, value: Column) -> Column:
     """``value`` without sentence punctuation at its end; of a URL also without closing brackets that nothing opens."""
     cut = F.regexp_replace(value, r"[.,;:!?]+$", "")
@@ -50,15 +64,15 @@ def trim_end(kind: Column, value: Column) -> Column:
 def protected_spans(text: Column, extra: Column | None = None) -> Column:
     """All pattern matches of ``text`` and ``extra`` spans of the same form, overlaps not yet resolved."""
 
-    def of(kind: str, pattern: str) -> Column:
+    def of(kind: str, pattern: str, needs: tuple[str, ...] | str) -> Column:
         def span(s: Column) -> Column:
             value = trim_end(F.lit(kind), s["value"])
             n = F.length(value)
             return F.struct((-n).alias("n"), s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (s["start"] + n).alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
 
-        return F.transform(find_spans(text, pattern), span).cast(SPAN)
+        return F.when(may_match(text, needs), F.transform(find_spans(text, pattern), span).cast(SPAN)).otherwise(F.array().cast(SPAN))
 
-    spans = [of(k, p) for k, p in PATTERNS] + ([extra] if extra is not None else [])
+    spans = [of(k, p, n) for (k, p), n in zip(PATTERNS, NEEDS, strict=True)] + ([extra] if extra is not None else [])
     return F.filter(F.concat(*spans), lambda s: s["end"] > s["start"])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators import text as t
-from textloom.operators.protect import PATTERNS, TOKEN
+from textloom.operators.protect import MARK, NEEDS, PATTERNS, TOKEN, may_match
 
 # Words that mark a language, and words of negation.
 MARKERS = {
@@ -23,18 +23,33 @@ NUMBER = r"(?iU)(?<![\w])(?:(?:USD|IDR|EUR|GBP|JPY|Rp|[$€£¥])\s*)?[+-]?(?:\d
 _MONEY = r"(?i)^(?:USD|IDR|EUR|GBP|JPY|Rp|[$€£¥])"
 LABELLED = r"(?i)\b(?:fig(?:ure)?|table|eq(?:uation)?)\.?\s+\d+(?:\.\d+)*\b"
 
-URL = next(x for k, x in PATTERNS if k == "URL")
-CITATIONS = (*[x for k, x in PATTERNS if k == "CITATION"], LABELLED)
-CODE = tuple(x for k, x in PATTERNS if k in ("CODE", "ENDPOINT", "FILE_PATH"))
+#: Patterns, each with what a text must hold for a match.
+_NEEDED = tuple((k, x, n) for (k, x), n in zip(PATTERNS, NEEDS, strict=True))
+URL, URL_NEEDS = next((x, n) for k, x, n in _NEEDED if k == "URL")
+CITATIONS = (*[(x, n) for k, x, n in _NEEDED if k == "CITATION"], (LABELLED, "[0-9]"))
+CODE = tuple((x, n) for k, x, n in _NEEDED if k in ("CODE", "ENDPOINT", "FILE_PATH"))
 
 
 def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def _any_of(text: Column, patterns: tuple) -> Column:
+    """All matches of all patterns (pattern, needs), sorted; a pattern that can't match isn't tried."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.concat(*[F.when(may_match(text, needs), _all(text, p)).otherwise(none) for p, needs in patterns]))
+
+
+def without_placeholders(text: Column) -> Column:
+    return F.when(text.contains(f"__{MARK}"), t.mask_placeholders(text)).otherwise(text)
+
+
 def number_inventory(text: Column) -> Column:
     """All versions, dates, decades and numbers of ``text``, canonical and sorted: equal arrays are equal multisets."""
-    m = t.mask_placeholders(text)
+    return _numbers(t.mask_placeholders(text))
+
+
+def _numbers(m: Column) -> Column:
     versions, dates = _all(m, VERSION), _all(m, DATE)
     left = F.regexp_replace(F.regexp_replace(m, VERSION, " "), DATE, " ")
     decades = F.transform(F.regexp_extract_all(left, F.lit(DECADE), F.lit(1)), lambda x: F.concat(F.lit("NUMBER::"), x, F.lit(":")))
@@ -46,21 +61,33 @@ def number_inventory(text: Column) -> Column:
         return F.concat(F.lit("NUMBER:"), F.lower(money), F.lit(":"), t.canonical_number(number), F.lit(":"), F.regexp_extract(x, "%$", 0))
 
     tag = lambda k, a: F.transform(a, lambda x: F.concat(F.lit(k), F.lower(x)))
-    return F.array_sort(F.concat(tag("VERSION:", versions), tag("DATE:", dates), decades, F.transform(_all(left, NUMBER), one)))
+    found = F.array_sort(F.concat(tag("VERSION:", versions), tag("DATE:", dates), decades, F.transform(_all(left, NUMBER), one)))
+    return F.when(m.rlike(r"(?U)\d"), found).otherwise(F.array().cast("array<string>"))
 
 
 def url_inventory(text: Column) -> Column:
-    return F.array_sort(F.transform(_all(t.mask_placeholders(text), URL), lambda u: F.regexp_replace(u, r"[.,;:!?]+$", "")))
+    return _urls(t.mask_placeholders(text))
+
+
+def _urls(m: Column) -> Column:
+    return F.array_sort(F.transform(_any_of(m, ((URL, URL_NEEDS),)), lambda u: F.regexp_replace(u, r"[.,;:!?]+$", "")))
 
 
 def citation_inventory(text: Column) -> Column:
-    return F.array_sort(F.concat(*[_all(t.mask_placeholders(text), p) for p in CITATIONS]))
+    return _citations(t.mask_placeholders(text))
+
+
+def _citations(m: Column) -> Column:
+    return _any_of(m, CITATIONS)
 
 
 def code_inventory(text: Column) -> Column:
     """Code, endpoints and paths of ``text`` besides what is part of an address."""
-    m = F.regexp_replace(t.mask_placeholders(text), URL, " ")
-    return F.array_sort(F.concat(*[_all(m, p) for p in CODE]))
+    return _codes(t.mask_placeholders(text))
+
+
+def _codes(m: Column) -> Column:
+    return _any_of(F.when(may_match(m, URL_NEEDS), F.regexp_replace(m, URL, " ")).otherwise(m), CODE)
 
 
 def marker_score(words: Column, language: str) -> Column:
@@ -106,12 +133,14 @@ def issues(pairs: DataFrame, expected: str = "id", other: str = "en") -> DataFra
     d = pairs.select("pair_id", F.coalesce("source", F.lit("")).alias("s"), F.coalesce("target", F.lit("")).alias("g"))
     d = d.withColumns({"same": F.col("s") == F.col("g"), "sw": t.words(F.col("s"))})
     d = d.withColumn("gw", F.when(F.col("same"), F.col("sw")).otherwise(t.words(F.col("g"))))
-    s, g, sw, gw = (F.col(c) for c in ("s", "g", "sw", "gw"))
+    # placeholders are taken out once, for all inventories
+    d = d.withColumns({"sm": without_placeholders(F.col("s")), "gm": without_placeholders(F.col("g"))})
+    s, g, sw, gw, sm, gm = (F.col(c) for c in ("s", "g", "sw", "gw", "sm", "gm"))
     tokens = lambda c: _all(c, TOKEN)
-    differ = lambda inventory: F.when(F.col("same"), F.lit(False)).otherwise(inventory(s) != inventory(g))
+    differ = lambda inventory: F.when(F.col("same"), F.lit(False)).otherwise(inventory(sm) != inventory(gm))
     checks = (
-        ("PLACEHOLDER_MISMATCH", "CRITICAL", differ(tokens)), ("NUMBER_MISMATCH", "CRITICAL", differ(number_inventory)), ("URL_MISMATCH", "CRITICAL", differ(url_inventory)),
-        ("CODE_MISMATCH", "CRITICAL", differ(code_inventory)), ("CITATION_MISMATCH", "CRITICAL", differ(citation_inventory)), ("EMPTY_TRANSLATION", "CRITICAL", ~g.rlike(r"\S")),
+        ("PLACEHOLDER_MISMATCH", "CRITICAL", F.when(F.col("same"), F.lit(False)).otherwise(tokens(s) != tokens(g))), ("NUMBER_MISMATCH", "CRITICAL", differ(_numbers)), ("URL_MISMATCH", "CRITICAL", differ(_urls)),
+        ("CODE_MISMATCH", "CRITICAL", differ(_codes)), ("CITATION_MISMATCH", "CRITICAL", differ(_citations)), ("EMPTY_TRANSLATION", "CRITICAL", ~g.rlike(r"\S")),
         ("TARGET_LANGUAGE_MISMATCH", "WARNING", _wrong_words(gw, expected, other)), ("UNTRANSLATED_SOURCE_FRAGMENT", "WARNING", marker_score(F.array_intersect(sw, gw), other) > 0),
         ("SUSPICIOUS_LENGTH", "WARNING", F.when(F.col("same"), F.lit(False)).otherwise(suspicious_length(s, g))), ("NEGATION_MISMATCH", "WARNING", _negated_words(sw) != _negated_words(gw)),
     )
