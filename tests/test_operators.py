@@ -96,7 +96,7 @@ SENTENCES = [
 def test_sentences_native_and_exact(spark, text, parts):
     assert one(spark, text, layout.split_sentences) == parts
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    assert [r.text for r in layout.exact_sentences(df).orderBy("n").collect()] == parts
+    assert [r.text for r in layout.sentences(df).orderBy("n").collect()] == parts
 
 
 def test_protected_items_of_every_kind(spark):
@@ -267,3 +267,28 @@ def test_sinks_and_table_function(spark, tmp_path):
     assert len(list((tmp_path / "j").glob("part-*.json"))) == 1
     udtf.register(spark)
     assert [tuple(r) for r in spark.sql("SELECT * FROM find_spans('a1b22', '[0-9]+')").collect()] == [(1, 2, "1"), (3, 5, "22")]
+
+
+@pytest.mark.parametrize("tiles", [layout.TileSettings(), layout.TileSettings(7, 3, 30), layout.TileSettings(1000, 1000), layout.TileSettings(5, 5, 0)])
+def test_overlapping_pairs_against_all_pairs(spark, tiles):
+    """Tiles of any size, wide boxes, boxes that only touch, equal boxes and boxes without area."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(page, i, float(rng.randint(-20, 90)), float(rng.randint(-9, 60)), float(rng.choice([0, 1, 5, 5, 20, 300])), float(rng.choice([0, 1, 4, 9, 90]))) for page in (1, 2) for i in range(60)]
+    rows += [(3, 1, 0.0, 0.0, 10.0, 10.0), (3, 2, 10.0, 0.0, 10.0, 10.0), (3, 3, 0.0, 0.0, 10.0, 10.0), (3, 4, 9.5, 9.5, 0.25, 0.25)]
+    want = set()
+    for p in rows:
+        for q in rows:
+            across, down = min(p[2] + p[4], q[2] + q[4]) - max(p[2], q[2]), min(p[3] + p[5], q[3] + q[5]) - max(p[3], q[3])
+            if p[0] == q[0] and p[1] < q[1] and across > 0 and down > 0 and p[4] * p[5] > 0 and q[4] * q[5] > 0:
+                want.add((p[0], p[1], q[1]))
+    boxes = spark.createDataFrame(rows, "page long, idx long, x double, y double, w double, h double")
+    got = [tuple(r) for r in layout.overlapping_pairs(boxes, tiles).select("p.page", "p.idx", F.col("q.idx").alias("other")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_page_of_many_boxes_takes_time_in_proportion_to_its_hits(spark):
+    n = 50_000  # all pairs would be over a thousand million
+    boxes = spark.range(n).select(F.lit(1).alias("page"), F.col("id").alias("idx"), ((F.col("id") % 250) * 30.0).alias("x"), (F.floor(F.col("id") / 250) * 12.0).alias("y"), F.lit(33.0).alias("w"), F.lit(11.0).alias("h"))
+    assert layout.overlapping_pairs(boxes).count() == 200 * 249

@@ -29,7 +29,7 @@ def _(spark, d):
 
 @query("g01_sentences_exact")
 def _(spark, d):
-    return y.exact_sentences(read(spark, d, "documents"))
+    return y.sentences(read(spark, d, "documents"))
 
 
 def _blocks(spark, d):
@@ -248,7 +248,7 @@ def _(spark, d):
 
 @query("g30_overlap_warnings", f"SELECT p.page, string_agg(p.idx::VARCHAR || '-' || q.idx::VARCHAR, ',' ORDER BY p.idx, q.idx) AS overlaps FROM v_boxes p JOIN v_boxes q ON p.page = q.page AND p.idx < q.idx WHERE {_AREA} >= 0.25 * least(p.w * p.h, q.w * q.h) GROUP BY p.page", "v_boxes")
 def _(spark, d):
-    hit = y.page_pairs(v.boxes(spark, d)).filter(y.intersection_area("p", "q") >= 0.25 * F.least(F.col("p.w") * F.col("p.h"), F.col("q.w") * F.col("q.h")))
+    hit = y.overlapping_pairs(v.boxes(spark, d)).filter(y.intersection_area("p", "q") >= 0.25 * F.least(F.col("p.w") * F.col("p.h"), F.col("q.w") * F.col("q.h")))
     pair = F.struct(F.col("p.idx").alias("a"), F.col("q.idx").alias("b"))
     text = F.transform(F.array_sort(F.collect_list(pair)), lambda s: F.concat(s["a"].cast("string"), F.lit("-"), s["b"].cast("string")))
     return hit.groupBy(F.col("p.page").alias("page")).agg(F.array_join(text, ",").alias("overlaps"))
