@@ -489,6 +489,19 @@ def test_licenses(spark):
     assert {(1, "mit"), (2, "apache"), (6, "cc-by-nc")} <= found and not {d for d, _ in found} & {3, 4, 7}
 
 
+def test_licenses_of_rows_without_or_with_one_id(spark):
+    """Rows of null and of equal ids are judged each by its own text."""
+    isc = next(t for label, t in licenses.TEMPLATES if label == "isc" and "WARRANTIES" in t)
+    zlib_ = next(t for label, t in licenses.TEMPLATES if label == "zlib")
+    half = " ".join(isc.split()[: len(isc.split()) // 2])
+    rows = [(None, isc), (None, "nothing here " * 90), (None, half), (None, half + " x"), (7, zlib_), (7, "plain words"), (None, isc)]
+    base, spans = licenses.scan_licenses(frame(spark, rows))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.label) for r in spans.collect() if r.end - r.first > 40)
+    assert got == [(False, 7, "zlib"), (True, 0, "isc")] and base.count() == len(rows)
+    both = base.join(spans.filter("end - first > 40").select("__id", "__row", "label"), ["__id", "__row"], "left").collect()
+    assert sorted(((r.doc_id or 0, r.n_words, r.label or "") for r in both)) == sorted((i or 0, len(ALNUM.findall((t or "").translate(LOWER))), label) for (i, t), label in zip(rows, ["isc", "", "", "", "zlib", "", "isc"]))
+
+
 def test_license_spans_with_inserted_dropped_and_repeated_words(spark):
     body = next(t for label, t in licenses.TEMPLATES if label == "isc" and "WARRANTIES" in t).split()
     lead = [f"lead{i}" for i in range(7)]

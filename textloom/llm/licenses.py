@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ascii_lower, materialize, small, table
+from textloom.llm.common import ascii_lower, materialize, NO_ID, row_keys, same_row, small, table
 
 
 @dataclass(frozen=True)
@@ -81,6 +81,9 @@ TEMPLATES = (
 # Base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
+#: Score of a base phrase that stands in no span of a template; a span's is its similarity.
+MENTION = 0.5
+
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -115,59 +118,62 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     The first: doc_id, n_words, starts (first words of base phrases, in order) and base (labels, sorted). The second:
     doc_id, label, first, end (words from the first to the last that meet the template), similarity; one row for each
     place of a template in a text. Null and blank texts
-    have no words; rows of one doc_id must have one text, and each gets the same; other columns aren't read.
+    have no words. Rows are told apart by doc_id, null or repeated, and text (columns __id and __row of both results);
+    of rows equal in both each gets the same, spans stand once. Other columns aren't read.
     """
     spark, s = docs.sparkSession, settings
-    worded = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), words_of(F.col("text")).alias("words"))
+    worded = docs.select(*row_keys("text"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), words_of(F.col("text")).alias("words"))
     found = lambda i: F.array_compact(F.array(*[F.when(_phrase_at(F.col("words"), i, p), F.struct(i.alias("at"), F.lit(label).alias("label"))) for p, label in PHRASES]))
     none = F.array().cast("array<struct<at:int,label:string>>")
     places = F.when(F.lower("text").contains("license"), F.flatten(F.transform(F.sequence(F.lit(0), F.size("words")), found))).otherwise(none)
-    base = worded.select("doc_id", F.size("words").cast("long").alias("n_words"), places.alias("places"))
-    base = base.select("doc_id", "n_words", F.transform("places", lambda p: p["at"].cast("long")).alias("starts"), F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"]))).alias("base"))
+    base = worded.select(*same_row, "doc_id", F.size("words").cast("long").alias("n_words"), places.alias("places"))
+    base = base.select(*same_row, "doc_id", "n_words", F.transform("places", lambda p: p["at"].cast("long")).alias("starts"), F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"]))).alias("base"))
 
     known = template_table(spark, templates, s.k)  # a table of the program, a few dozen rows
     positions = known.select("template", F.posexplode("t_grams").alias("t_pos", "gram"))
-    rolling = worded.select("doc_id", F.posexplode(_grams(F.col("words"), s.k)).alias("pos", "gram"))
+    rolling = worded.select(*same_row, F.posexplode(_grams(F.col("words"), s.k)).alias("pos", "gram"))
     hits = rolling.join(F.broadcast(positions), "gram")
     diagonal = (F.col("pos") - F.col("t_pos")).alias("diagonal")
-    votes = hits.groupBy("doc_id", "template", diagonal).agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    order = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    votes = hits.groupBy(*same_row, "template", diagonal).agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    order = Window.partitionBy(*same_row, "template").orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > s.slack).cast("int"), F.lit(1))
     runs = votes.withColumn("run", F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # a run is cut into cells as wide as a span may be, twice, half a cell apart, so that every span is whole in one of them
     width = F.greatest(F.lit(s.slack + 1), F.ceil(F.size("t_words") * s.spread)).cast("int")
     runs = runs.join(F.broadcast(known.select("template", width.alias("width"))), "template")
-    runs = runs.withColumn("off", F.col("diagonal") - F.min("diagonal").over(Window.partitionBy("doc_id", "template", "run")))
+    runs = runs.withColumn("off", F.col("diagonal") - F.min("diagonal").over(Window.partitionBy(*same_row, "template", "run")))
     cells = F.array(F.floor(F.col("off") / F.col("width")) * 2, F.floor((F.col("off") + F.floor(F.col("width") / 2)) / F.col("width")) * 2 + 1)
-    spans = runs.withColumn("cell", F.explode(cells)).groupBy("doc_id", "template", "run", "cell").agg(
+    spans = runs.withColumn("cell", F.explode(cells)).groupBy(*same_row, "template", "run", "cell").agg(
         F.min("first").alias("first"), (F.max("last") + s.k).alias("end"), F.sum("votes").alias("votes")
     )
     spans = spans.join(F.broadcast(known), "template").filter(F.col("votes") >= s.similarity * F.size("t_grams"))
     spans = materialize(spans)
-    ids = spans.select("doc_id").distinct()
-    texts = docs.join(small(ids, ids.count()), "doc_id", "left_semi").select("doc_id", words_of(F.col("text")).alias("words")).dropDuplicates(["doc_id"])
-    checked = spans.join(texts, "doc_id").withColumn("own", F.slice("words", F.col("first") + 1, F.col("end") - F.col("first")))
+    ids = spans.select(*same_row).distinct()
+    texts = docs.select(*row_keys("text"), "text").join(small(ids, ids.count()), same_row, "left_semi").dropDuplicates(same_row)
+    texts = texts.select(*same_row, words_of(F.col("text")).alias("words"))
+    checked = spans.join(texts, same_row).withColumn("own", F.slice("words", F.col("first") + 1, F.col("end") - F.col("first")))
     triples = lambda w: F.when(F.size(w) >= s.k, F.transform(F.sequence(F.lit(0), F.size(w) - s.k), lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(s.k)]))).otherwise(F.array().cast("array<string>"))
     own, theirs = triples(F.col("own")), triples(F.col("t_words"))
     similar = F.size(F.array_intersect(own, theirs)) / F.size(F.array_distinct(theirs))
     checked = checked.withColumn("similarity", similar).filter(F.col("similarity") >= s.similarity)
     # of cells that share words the one most like the template stays, the first of equals
-    place = Window.partitionBy("doc_id", "template", "run").orderBy("first", "end")
+    place = Window.partitionBy(*same_row, "template", "run").orderBy("first", "end")
     reach = F.max("end").over(place.rowsBetween(Window.unboundedPreceding, -1))
     found = checked.withColumn("part", F.coalesce((F.col("first") >= reach).cast("int"), F.lit(1))).withColumn("part", F.sum("part").over(place.rowsBetween(Window.unboundedPreceding, 0)))
-    best = F.row_number().over(Window.partitionBy("doc_id", "template", "run", "part").orderBy(F.desc("similarity"), "first", "end"))
+    best = F.row_number().over(Window.partitionBy(*same_row, "template", "run", "part").orderBy(F.desc("similarity"), "first", "end"))
     found = found.withColumn("place", best).filter("place = 1")
-    return base, found.select("doc_id", "label", F.col("first").cast("long").alias("first"), F.col("end").cast("long").alias("end"), "similarity")
+    doc_id = F.when(F.col("__id") != NO_ID, F.col("__id")).alias("doc_id")
+    return base, found.select(*same_row, doc_id, "label", F.col("first").cast("long").alias("first"), F.col("end").cast("long").alias("end"), "similarity")
 
 
 def op4_diagonal_license_scan(spark, sf_dir: str) -> DataFrame:
     base, spans = scan_licenses(table(spark, sf_dir, "documents"))
-    by_doc = spans.groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("similarity").alias("similarity"), F.count("*").alias("n_spans"))
-    d = base.join(small(by_doc, by_doc.count()), "doc_id", "left")
+    by_doc = spans.groupBy(*same_row).agg(F.collect_set("label").alias("more"), F.max("similarity").alias("similarity"), F.count("*").alias("n_spans"))
+    d = base.join(small(by_doc, by_doc.count()), same_row, "left")
     both = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     n = F.size("starts")
     return d.select(
         "doc_id", "n_words", n.cast("long").alias("n_base"), F.array_min("starts").alias("first_word"), F.array_max("starts").alias("last_word"),
         F.array_join("base", ",").alias("base_labels"), F.array_join(both, ",").alias("labels"),
-        F.when(n > 0, F.lit(1.0)).otherwise(F.coalesce("similarity", F.lit(0.0))).alias("score"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
+        F.greatest(F.coalesce("similarity", F.lit(0.0)), F.when(n > 0, F.lit(MENTION)).otherwise(0.0)).alias("score"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
     )
