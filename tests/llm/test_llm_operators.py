@@ -385,6 +385,20 @@ def test_sharding_of_groups(spark):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
 
+def test_sharding_of_many_equal_texts_below_the_planned_share(spark):
+    """Empty texts too light to be planned as a group are numbered by parts, and are still in one shard."""
+    n = 5_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN '' END AS text")
+    heavy = spark.range(400).selectExpr(f"id + {n} AS doc_id", "repeat(sha2(cast(id AS string), 512), 2500) AS text")
+    s = sharding.ShardSettings(rows_per_cell=100)
+    got = sharding.placed_records(docs.unionAll(heavy), s).cache()
+    assert got.filter("size = 8").count() == n and got.filter("size = 8").select("shard").distinct().count() == 1
+    assert got.groupBy("range", "cell", "unit", "part").count().agg(F.max("count")).first()[0] < 300
+    slots = got.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("d"), F.min("slot").alias("a"), F.max("slot").alias("z")).collect()
+    assert all(r.n == r.d == r.z + 1 and r.a == 0 for r in slots) and len(slots) == s.shards
+    got.unpersist()
+
+
 def test_ranges_and_overfull_ones(spark):
     bounds = [(-5, -(1 << 63)), (3, -(1 << 63)), (3, 10), (3, 90), (4, -(1 << 63))]
     h, d = np.array([-9, -5, 2, 3, 3, 3, 3, 4, 9]), np.array([0, 0, 0, -4, 10, 11, 95, 0, 0])

@@ -129,7 +129,13 @@ def plan_shards(sizes: list[int], records: list[int], group_of: list[int | None]
 
 
 def shard_by_bytes(docs: DataFrame, settings: ShardSettings = ShardSettings()) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) of each record of ``docs`` (doc_id, text).
+    """(doc_id, size, text_crc32, shard, slot) of each record of ``docs`` (doc_id, text), as ``placed_records`` has them."""
+    return placed_records(docs, settings).select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
+def placed_records(docs: DataFrame, settings: ShardSettings = ShardSettings()) -> DataFrame:
+    """(doc_id, size, text_crc32, range, cell, unit, part, shard, slot, ...) of each record of ``docs`` (doc_id, text): no task
+    numbers more than about ``rows_per_cell`` records, however many have one text.
 
     size is the text's UTF-8 bytes (null: none) plus ``record_bytes``. Shards' bytes differ by at most about one record
     or one small group of equal texts at each end. Equal texts, null as empty, are in one shard unless their group has
@@ -185,28 +191,46 @@ def shard_by_bytes(docs: DataFrame, settings: ShardSettings = ShardSettings()) -
 
     place = F.when(F.col("by_record"), F.col("d")).otherwise(F.col("h")).cast("double") - F.col("lo")
     cell = F.greatest(F.lit(0), F.least(F.col("cells") - 1, F.floor(place / F.col("width") * F.col("cells")).cast("int")))
-    celled = ranged.join(cuts_df, "range").withColumn("cell", cell).drop("lo", "width", "cells")
-    cells = materialize(celled.groupBy("range", "cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
+    # a record by itself where a group has to be split, else all equal texts: what is placed as one
+    unit = F.when(F.col("by_record"), F.col("d")).otherwise(F.col("h"))
+    celled = ranged.join(cuts_df, "range").withColumn("cell", cell).withColumn("unit", unit).drop("lo", "width", "cells")
+    units = materialize(celled.groupBy("range", "cell", "unit").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
+    cells = materialize(units.groupBy("range", "cell").agg(F.sum("bytes").alias("bytes")))
     before = F.coalesce(F.sum("bytes").over(Window.partitionBy("range").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = cells.select("range", "cell", before.alias("cell_start"))
-    in_cell = Window.partitionBy("range", "cell").orderBy("h", "d")
-    group = Window.partitionBy("range", "cell", "h")
-    summed = (
-        celled.join(small(starts, cells.count()), ["range", "cell"])
-        .withColumn("upto", F.col("cell_start") + F.sum("size").over(in_cell.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("group_upto", F.max("upto").over(group))
-        .withColumn("group_bytes", F.sum("size").over(group))
-    )
-    middle = F.when(F.col("by_record"), F.col("upto") - F.col("size") / 2).otherwise(F.col("group_upto") - F.col("group_bytes") / 2)
+    in_cell = Window.partitionBy("range", "cell").orderBy("unit").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("cell_start") + F.sum("bytes").over(in_cell)
+    summed = units.join(small(starts, cells.count()), ["range", "cell"]).withColumn("middle", upto - F.col("bytes") / 2)
     on = (F.col("range") == F.col("at_range")) & (F.col("middle") >= F.col("first")) & (F.col("middle") < F.col("last"))
-    placed = summed.withColumn("middle", middle).join(plan_df, on).select("doc_id", "size", "text_crc32", "h", "d", "range", "cell", "shard")
-    placed = materialize(placed)
-    counts = materialize(placed.groupBy("shard", "range", "cell").agg(F.count("*").alias("n")))
-    earlier = Window.partitionBy("shard").orderBy("range", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("shard", "range", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    within = Window.partitionBy("shard", "range", "cell").orderBy("h", "d")
-    out = placed.join(small(bases, counts.count()), ["shard", "range", "cell"]).withColumn("n", F.row_number().over(within) - 1)
-    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("n")).cast("long").alias("slot"))
+    placed = materialize(summed.join(plan_df, on).select("range", "cell", "unit", "n", "shard"))
+    counts = materialize(placed.groupBy("shard", "range", "cell").agg(F.sum("n").alias("n")))
+    earlier = lambda by, *order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.select("shard", "range", "cell", earlier(["shard"], "range", "cell").alias("base"))
+    first = earlier(["shard", "range", "cell"], "unit")
+    placed = placed.withColumn("first", first).join(small(bases, counts.count()), ["shard", "range", "cell"])
+    placed = materialize(placed.select("range", "cell", "unit", "n", "shard", (F.col("base") + F.col("first")).alias("base")))
+    return _numbered(celled, placed, s)
+
+
+_UNIT = ["range", "cell", "unit"]
+
+
+def _numbered(rows: DataFrame, placed: DataFrame, s: ShardSettings) -> DataFrame:
+    """``rows`` with shard, slot and part: a unit of more rows than a cell should have is dealt to parts by record hash, so
+    that no task numbers all of it; parts follow one another by their counts."""
+    parts = F.ceil(F.col("n") / s.rows_per_cell).cast("long")
+    large = placed.filter(F.col("n") > s.rows_per_cell).select(*_UNIT, parts.alias("parts"))
+    n_large = large.count()
+    # within small()'s bound this is one row for every rows_per_cell records of large units
+    parted = rows.join(small(large, n_large), _UNIT, "left").withColumn("part", F.coalesce(F.pmod(F.col("d"), F.col("parts")), F.lit(0).cast("long"))).drop("parts")
+    own = parted.filter("part IS NOT NULL")
+    sizes = materialize(own.join(small(large.select(*_UNIT), n_large), _UNIT, "left_semi").groupBy(*_UNIT, "part").agg(F.count("*").alias("n")))
+    before = F.sum("n").over(Window.partitionBy(*_UNIT).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*_UNIT, "part", F.coalesce(before, F.lit(0)).alias("before"))
+    # a row for each part of a unit, so that parts are keys of their own in the join
+    places = placed.join(starts, _UNIT, "left").select(*_UNIT, F.coalesce("part", F.lit(0).cast("long")).alias("part"), "shard", (F.col("base") + F.coalesce("before", F.lit(0))).alias("base"))
+    within = F.row_number().over(Window.partitionBy(*_UNIT, "part").orderBy("d")) - 1
+    return own.join(places, [*_UNIT, "part"]).withColumn("slot", (F.col("base") + within).cast("long"))
 
 
 def write_shards(docs: DataFrame, path: str, settings: ShardSettings = ShardSettings()) -> None:
