@@ -14,7 +14,7 @@ from textloom.operators import text as t
 from textloom.plans.base import query
 from textloom.plans.glossary import _CONFLICTS, _GREEDY, _HELD
 from textloom.plans.layout import _COMPONENTS
-from textloom.plans.translation import _PACK, _TOKEN_SQL, _coded, _masked, _numbers
+from textloom.plans.translation import _PACK, _TOKEN_SQL, _cited, _coded, _masked, _numbers
 from textloom.sources import sinks
 from textloom.sources import views as v
 from textloom.sources.scratch import materialize, new_path
@@ -50,7 +50,10 @@ def _(spark, d):
     return v.pairs(spark, d).filter(qa.code_inventory(F.col("source")) != qa.code_inventory(F.col("target"))).select("pair_id")
 
 
-@query("q06_citation_mismatch", "SELECT pair_id FROM v_pairs WHERE len(string_split(source, ' ')) % 10 <> len(string_split(target, ' ')) % 10", "v_pairs")
+_CITING = "SELECT pair_id, source || ' [' || (len(string_split(source, ' ')) % 10)::VARCHAR || ']' AS s, target || ' [' || (len(string_split(target, ' ')) % 10)::VARCHAR || ']' AS g FROM v_pairs"
+
+
+@query("q06_citation_mismatch", f"SELECT pair_id FROM ({_CITING}) c WHERE {_cited('s')} <> {_cited('g')}", "v_pairs")
 def _(spark, d):
     # each text cites by its number of words
     cited = lambda c: F.concat(F.col(c), F.lit(" ["), (F.size(F.split(c, " ")) % 10).cast("string"), F.lit("]"))
@@ -96,14 +99,20 @@ def _(spark, d):
 _FILES = ("nation", "orders", "part", "region", "supplier")
 
 
-@query("k05_file_integrity", """SELECT coalesce(a.name, b.name) AS name, a.n AS n_stored, b.n AS n_found, CASE WHEN b.n IS NULL THEN 'MISSING' WHEN a.n IS NULL THEN 'EXTRA' WHEN a.n = b.n THEN 'SAME' ELSE 'CHANGED' END AS outcome
+_TOUCHED = "SELECT * REPLACE (CASE WHEN n_nationkey = 3 THEN n_name || '!' ELSE n_name END AS n_name) FROM nation"
+
+
+@query("k05_file_integrity", f"""SELECT coalesce(a.name, b.name) AS name, a.n AS n_stored, b.n AS n_found, CASE WHEN b.n IS NULL THEN 'MISSING' WHEN a.n IS NULL THEN 'EXTRA' WHEN b.other > 0 THEN 'CHANGED' ELSE 'SAME' END AS outcome
     FROM (SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'region', count(*) FROM region) a
-    FULL JOIN (SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'supplier', count(*) FROM supplier) b ON b.name = a.name""")
+    FULL JOIN (SELECT 'nation' AS name, count(*) AS n, (SELECT count(*) FROM (({_TOUCHED}) EXCEPT ALL SELECT * FROM nation) x) AS other FROM nation
+        UNION ALL SELECT 'orders', count(*), (SELECT count(*) FROM (SELECT * FROM orders EXCEPT ALL SELECT * FROM orders WHERE o_orderstatus <> 'P') x) FROM orders WHERE o_orderstatus <> 'P'
+        UNION ALL SELECT 'region', count(*), 0 FROM region UNION ALL SELECT 'supplier', count(*), 0 FROM supplier) b ON b.name = a.name""")
 def _(spark, d):
-    # a catalogue is written, then a table goes, one loses rows and one is new
+    # a catalogue is written, then a table goes, one loses rows, one has another value in a row and one is new
     stored = materialize(r.catalogue({x: read(spark, d, x) for x in _FILES[:4]}))
     left = {x: read(spark, d, x) for x in _FILES if x != "part"}
     left["orders"] = left["orders"].filter("o_orderstatus <> 'P'")
+    left["nation"] = left["nation"].withColumn("n_name", F.when(F.col("n_nationkey") == 3, F.concat("n_name", F.lit("!"))).otherwise(F.col("n_name")))
     now = r.catalogue(left)
     n = stored.select("name", F.col("n").alias("n_stored")).join(now.select("name", F.col("n").alias("n_found")), "name", "full")
     return r.compare_catalogues(stored, now, "name", "h").join(n, "name")
