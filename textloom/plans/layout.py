@@ -113,7 +113,13 @@ def _(spark, d):
     return y.sweep_maximum(v.boxes(spark, d).withColumn("r", F.col("x") + F.col("w")), "page", "x", "r")
 
 
-@query("g09_visual_rows")
+# the folds look back to what they kept, so SQL walks a page's boxes one by one; {order} is theirs
+_WALK = "WITH RECURSIVE s AS (SELECT *, {more} row_number() OVER (PARTITION BY page ORDER BY {order}) AS n FROM v_boxes)"
+
+
+@query("g09_visual_rows", _WALK.format(order="y, x, idx", more="") + """, r AS (SELECT page, idx, n, y AS anchor, 1 AS line FROM s WHERE n = 1
+    UNION ALL SELECT s.page, s.idx, s.n, CASE WHEN abs(s.y - r.anchor) > 3 THEN s.y ELSE r.anchor END, r.line + (abs(s.y - r.anchor) > 3)::INT FROM r JOIN s ON s.page = r.page AND s.n = r.n + 1)
+    SELECT page, idx, line AS row FROM r""", "v_boxes")
 def _(spark, d):
     return y.anchored_rows(v.boxes(spark, d))
 
@@ -125,7 +131,17 @@ def _(spark, d):
     return y.islands(b, ["page"], ["x", "idx"], F.col("new")).select("page", "idx", F.col("island").alias("fragment"))
 
 
-@query("g11_line_blocks")
+_BLOCK = "{'bottom': y + h, 'h': h, 'font': font, 'l': x, 'r': x + w}"
+
+
+@query("g11_line_blocks", _WALK.format(order="y, x, idx", more="") + f""", r AS (SELECT page, idx, n, 0 AS block, [{_BLOCK}] AS kept FROM s WHERE n = 1
+    UNION ALL SELECT page, idx, n, coalesce(k - 1, len(kept))::INT, CASE WHEN k IS NULL THEN list_append(kept, {_BLOCK})
+        ELSE list_transform(kept, lambda e, i: CASE WHEN i = k THEN {{'bottom': y + h, 'h': h, 'font': e.font, 'l': least(e.l, x), 'r': greatest(e.r, x + w)}} ELSE e END) END
+    FROM (SELECT *, CASE WHEN list_min(gaps) IS NOT NULL THEN list_position(gaps, list_min(gaps)) END AS k FROM (
+        SELECT s.*, r.kept, list_transform(r.kept, lambda e: CASE WHEN s.y - e.bottom BETWEEN -1 AND 1.5 * greatest(s.h, e.h) AND abs(s.font - e.font) <= 0.15 * greatest(s.font, e.font)
+            AND (least(s.x + s.w, e.r) > greatest(s.x, e.l) OR abs(s.x - e.l) <= 24) THEN s.y - e.bottom END) AS gaps
+        FROM r JOIN s ON s.page = r.page AND s.n = r.n + 1) q) q)
+    SELECT page, idx, block FROM r""", "v_boxes")
 def _(spark, d):
     return y.joined_blocks(v.boxes(spark, d))
 
@@ -188,7 +204,10 @@ def _(spark, d):
     return _coverage(spark, d).filter(_page_type() != "DIGITAL").select("doc_id").distinct()
 
 
-@query("g21_column_positions")
+@query("g21_column_positions", _WALK.format(order="x, idx", more="median(h) OVER (PARTITION BY page) AS mid,") + """, r AS (SELECT page, idx, n, 0 AS c, x AS total, 1 AS held FROM s WHERE n = 1
+    UNION ALL SELECT page, idx, n, c + away::INT, CASE WHEN away THEN x ELSE total + x END, CASE WHEN away THEN 1 ELSE held + 1 END
+    FROM (SELECT s.*, r.c, r.total, r.held, abs(s.x - r.total / r.held) > 1.5 * s.mid AS away FROM r JOIN s ON s.page = r.page AND s.n = r.n + 1) q)
+    SELECT page, idx, c AS column FROM r""", "v_boxes")
 def _(spark, d):
     return y.running_mean_columns(v.boxes(spark, d))
 

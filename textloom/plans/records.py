@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.operators import records as r
 from textloom.operators import text as t
 from textloom.plans.base import query
+from textloom.sources import files
 from textloom.sources import views as v
 from textloom.sources.tables import read
 
@@ -41,8 +42,7 @@ def _(spark, d):
 
 @query("a07_file_catalogue")
 def _(spark, d):
-    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(d)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.digests(spark, d, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", "sha256")
 
 
 @query("w01_confidence_warnings", """SELECT doc_id, code FROM (SELECT doc_id, CASE WHEN (doc_id % 7) / 7.0 < 0.5 THEN 'CRITICAL_CONFIDENCE' WHEN (doc_id % 7) / 7.0 < 0.75 THEN 'LOW_CONFIDENCE' END AS code FROM documents UNION ALL SELECT doc_id, CASE WHEN doc_id % 10 >= 8 THEN 'TEXT_IN_IMAGE' END FROM documents) q WHERE code IS NOT NULL""")
