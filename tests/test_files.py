@@ -76,7 +76,7 @@ def test_rows_a_file(spark, tmp_path):
     spark.range(1000).select("id", (F.col("id") % 3).alias("a.b")).repartition(3, "`a.b`").write.parquet(at)
     got = {r.path: (r.n, r.digest) for r in files.file_rows(spark.read.parquet(at)).collect()}
     assert sum(n for n, _ in got.values()) == 1000
-    assert {p.removeprefix("file://") for p in got} <= {r.path.removeprefix("file:") for r in files.listed(spark, at).collect()}
+    assert set(got) <= {r.path for r in files.listed(spark, at).collect()}
     # the same rows in another order, in one file: the digests add up
     spark.read.parquet(at).orderBy(F.desc("id")).coalesce(1).write.parquet(at + "2")
     assert [r.digest for r in files.file_rows(spark.read.parquet(at + "2")).collect()] == [str(sum(int(d) for _, d in got.values()))]

@@ -18,7 +18,12 @@ def _(spark, d):
     return v.segment_state(spark, d).join(read(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select("seg_id", "n_chars", "status")
 
 
-@query("a02_document_json")
+# fields in the order of the record; a null one is left out
+_JSON = """'{' || concat_ws(',', '"doc_id":' || doc_id, '"lang":' || CASE WHEN lang IS NOT NULL THEN to_json(lang) END, '"n_chars":' || n_chars,
+    '"source":' || CASE WHEN source IS NOT NULL THEN to_json(source) END, '"text":' || CASE WHEN text IS NOT NULL THEN to_json(text) END) || '}'"""
+
+
+@query("a02_document_json", f"SELECT doc_id, sha256(json) AS checksum, json FROM (SELECT doc_id, {_JSON} AS json FROM documents) q")
 def _(spark, d):
     j = F.to_json(F.struct("doc_id", "lang", "n_chars", "source", "text"))
     return read(spark, d, "documents").select("doc_id", F.sha2(j, 256).alias("checksum"), j.alias("json"))

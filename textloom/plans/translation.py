@@ -219,7 +219,8 @@ def _(spark, d):
     return _packed(spark, d).groupBy("doc_id", "batch").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_segments"), (F.sum("tokens") > 300).alias("over"))
 
 
-@query("b10_request_envelopes")
+@query("b10_request_envelopes", f"""{_PACK} SELECT w.doc_id, batch, '{{"version":1,"segments":[' || string_agg('{{"seg_order":' || seg_order || ',"seg_id":' || seg_id || ',"text":' || to_json(text) || '}}', ',' ORDER BY seg_order, seg_id) || ']}}' AS request
+    FROM w JOIN v_segments USING (seg_id) GROUP BY w.doc_id, batch""", "v_segments")
 def _(spark, d):
     rows = F.array_sort(F.collect_list(F.struct("seg_order", "seg_id", "text")))
     return _packed(spark, d).groupBy("doc_id", "batch").agg(F.to_json(F.struct(F.lit(1).alias("version"), rows.alias("segments"))).alias("request"))
