@@ -263,7 +263,7 @@ def test_quality_rules_reject_copies_that_hold_a_third_of_a_group(spark):
 
 def test_least_determinant_against_many_starts(spark):
     rng = np.random.default_rng(3)
-    s = quality_rules.QualitySettings(min_rows=10)
+    s = quality_rules.QualitySettings()
     names, floors = [n for n, _ in s.floors], np.array([f for _, f in s.floors])
     groups = {}
     for g in range(3):
@@ -291,6 +291,49 @@ def test_least_determinant_against_many_starts(spark):
         assert got[g] <= best + 0.3
 
 
+@pytest.mark.parametrize("sizes", [(1, 2, 5, 30, 400), (1,), (3, 3)])
+def test_every_group_has_an_estimate_of_its_own(spark, sizes):
+    """Of any size, and mixed with its language's as in numpy."""
+    rng, s = np.random.default_rng(7), quality_rules.QualitySettings(max_steps=1)
+    names, floors = [n for n, _ in s.floors], np.array([f for _, f in s.floors])
+    rows = [(*map(float, rng.normal(size=len(names)) * floors + 3 * g * floors), f"l{g % 2}", f"s{g}") for g, n in enumerate(sizes) for _ in range(n)]
+    est = quality_rules._estimate(spark.createDataFrame(rows, [*names, "g_lang", "g_source"]), s).collect()
+    p = range(len(names))
+
+    def read(r):
+        c = np.array([[r[f"c_{max(i, j)}_{min(i, j)}"] for j in p] for i in p])
+        return np.array([r[f"m_{i}"] for i in p]), c * quality_rules._core_factor(s), r["group_rows"]
+
+    def mix(child, parent):
+        (m, c, n), (pm, pc, _) = child, parent
+        a = n / (n + s.prior_rows)
+        return a * m + (1 - a) * pm, a * c + (1 - a) * pc + a * (1 - a) * np.outer(m - pm, m - pm), n
+
+    top = read(next(r for r in est if r.level == 2))
+    languages = {r.g_lang: mix(read(r), top) for r in est if r.level == 1}
+    want = {r.g_source: mix(read(r), languages[r.g_lang]) for r in est if r.level == 0}
+    got = quality_rules._shrunk(spark.createDataFrame(est), s).collect()
+    assert {r.g_source for r in got} == {f"s{g}" for g in range(len(sizes))}
+    for r in got:
+        m, c, _ = want[r.g_source]
+        w = np.array([[r[f"w_{i}_{j}"] if j <= i else 0.0 for j in p] for i in p])
+        assert np.allclose([r[f"m_{i}"] for i in p], m) and np.allclose(w @ (c + np.diag(floors**2)) @ w.T, np.eye(len(names)))
+
+
+def test_small_groups_are_judged_by_their_own_rows(spark):
+    """Twelve clean rows of a source, a language of three rows and single rows stay, unlike junk among them."""
+    rng = random.Random(6)
+    text = lambda n, short=2, long=9: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(short, long))) for _ in range(n))
+    rows = [(i, text(rng.randint(60, 300)), "en", "web") for i in range(200)]
+    rows += [(300 + i, text(rng.randint(60, 300)), "en", "notes") for i in range(12)] + [(400 + i, text(rng.randint(60, 300)), "xx", "web") for i in range(3)]
+    rows += [(500, text(100), "yy", "only"), (501, text(100), None, None)]
+    junk = [(600, " ".join(f"w{k}###" for k in range(100)), "en", "notes"), (601, " ".join(f"w{k}###" for k in range(100)), "en", "web")]
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.judge_quality(docs).collect()}
+    assert len(got) == len(rows) + 2 and all(r.distance is not None for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {600, 601}
+
+
 def test_chi_square():
     assert abs(quality_rules.chi2_quantile(0.95, 6) - 12.5916) < 1e-3 and abs(quality_rules._chi2_cdf(quality_rules.chi2_quantile(0.75, 4), 4) - 0.75) < 1e-9
 

@@ -3,7 +3,9 @@
 Every document has a vector of transformed statistics. Per language and source, concentration steps look for the
 subset of ``core`` of the documents whose covariance has the least determinant: from each of two starts, medians with
 median absolute deviations and the mean and covariance of all rows, estimate mean and covariance on the rows of smallest
-distance until the determinant falls no more; the start that ends at the lesser determinant is taken. A document goes if its Mahalanobis distance from its group's estimate is over the cutoff. All of it is DataFrame expressions.
+distance until the determinant falls no more; the start that ends at the lesser determinant is taken. A group's estimate is
+shrunk to its language's, and a language's to that of all rows, by one rule for groups of any size. A document goes if its
+Mahalanobis distance from its group's estimate is over the cutoff. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ class QualitySettings:
     #: A group's steps end when the logarithm of its determinant falls by no more than this; no group takes over ``max_steps``.
     settled: float = 1e-4
     max_steps: int = 100
-    #: A group of fewer rows takes the estimate of its language, and a language of fewer that of all rows.
-    min_rows: int = 100
+    #: Every group has an estimate of its own, to which its language's adds as much as so many rows do, as all rows' adds to
+    #: a language's.
+    prior_rows: int = 20
     #: Chance that a clean document of a normal group goes.
     tail: float = 1e-9
     #: The least standard deviation of each statistic; differences below it are no sign of anything.
@@ -136,13 +139,42 @@ def _with_inverse(moments: DataFrame, names: list[str], factor: float, floors: d
             for k in range(j, i):
                 v = v - F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}")
             d = d.withColumn(f"w_{i}_{j}", v / F.col(f"l_{i}_{i}"))
-    keep = [c for c in moments.columns if not c.startswith("c_")]
-    return d.select(*keep, *[f"w_{i}_{j}" for i in range(p) for j in range(i + 1)])
+    return d.select(*moments.columns, *[f"w_{i}_{j}" for i in range(p) for j in range(i + 1)])
+
+
+def _core_factor(s: QualitySettings) -> float:
+    """Makes the covariance of a normal group's core that of the whole group."""
+    p = len(s.floors)
+    return s.core / _chi2_cdf(chi2_quantile(s.core, p), p + 2)
+
+
+def _shrunk(estimates: DataFrame, s: QualitySettings) -> DataFrame:
+    """(g_lang, g_source, m_*, w_*) of each language and source. An estimate of n rows and its parent's are mixed with
+    weights n and ``prior_rows``: means are averaged, and the covariance is that of such a mixture, so a small group that
+    lies apart from its language is given room and not rejected."""
+    names, floors = [n for n, _ in s.floors], dict(s.floors)
+    p = len(names)
+    cells = [(i, j) for i in range(p) for j in range(i + 1)]
+    own = [f"m_{i}" for i in range(p)] + [f"c_{i}_{j}" for i, j in cells]
+    level = lambda n: estimates.filter(F.col("level") == n)
+
+    def mixed(child: DataFrame, parent: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
+        up = parent.select(*by, *[F.col(c).alias(f"p_{c}") for c in own])
+        d = child.join(up, by).withColumn("a", F.col("group_rows") / (F.col("group_rows") + s.prior_rows))
+        a, off = F.col("a"), [F.col(f"m_{i}") - F.col(f"p_m_{i}") for i in range(p)]
+        mean = [(F.col(f"p_m_{i}") + a * off[i]).alias(f"m_{i}") for i in range(p)]
+        return d.select(*keys, "group_rows", *mean, *[(a * F.col(f"c_{i}_{j}") + (1 - a) * F.col(f"p_c_{i}_{j}") + a * (1 - a) * off[i] * off[j]).alias(f"c_{i}_{j}") for i, j in cells])
+
+    factor = _core_factor(s)
+    whole = lambda d: d.withColumns({f"c_{i}_{j}": factor * F.col(f"c_{i}_{j}") for i, j in cells})
+    languages = mixed(whole(level(1)).withColumn("g_all", F.lit("all")), whole(level(2)).withColumn("g_all", F.lit("all")), ["g_all"], ["g_lang"])
+    groups = mixed(whole(level(0)), languages, ["g_lang"], ["g_lang", "g_source"])
+    return _with_inverse(groups, names, 1.0, floors).drop("group_rows", *[f"c_{i}_{j}" for i, j in cells])
 
 
 def _estimate(rows: DataFrame, s: QualitySettings) -> DataFrame:
-    """(level, g_lang, g_source, group_rows, m_*, w_*, log_det): the estimate of each group of at least ``min_rows`` rows,
-    of all levels; log_det is the logarithm of the least determinant found."""
+    """(level, g_lang, g_source, group_rows, m_*, c_*, w_*, log_det): the estimate of each group of all levels from its own
+    rows; log_det is the logarithm of the least determinant found, c_* the core's covariance as it is."""
     names, floors = [n for n, _ in s.floors], dict(s.floors)
     p = len(names)
     keys = ["level", "g_lang", "g_source"]
@@ -154,7 +186,7 @@ def _estimate(rows: DataFrame, s: QualitySettings) -> DataFrame:
         return rows.join(small(params, 2 * groups), keys)
 
     medians = rows.groupBy(*keys).agg(F.count("*").alias("group_rows"), *[F.percentile_approx(n, 0.5, 2000).alias(f"m_{i}") for i, n in enumerate(names)])
-    medians = materialize(medians.filter((F.col("group_rows") >= s.min_rows) | (F.col("level") == len(_LEVELS) - 1)))
+    medians = materialize(medians)
     groups = medians.count()
     spread = joined(medians).groupBy(*keys).agg(
         F.first("group_rows").alias("group_rows"), *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(p)],
@@ -162,6 +194,7 @@ def _estimate(rows: DataFrame, s: QualitySettings) -> DataFrame:
     )
     robust = spread.select(
         *keys, F.lit(0).alias("start"), "group_rows", *[f"m_{i}" for i in range(p)],
+        *[F.lit(0.0).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)],
         *[(1 / F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(floors[names[i]])) if i == j else F.lit(0.0)).alias(f"w_{i}_{j}") for i in range(p) for j in range(i + 1)],
     )
 
@@ -175,12 +208,11 @@ def _estimate(rows: DataFrame, s: QualitySettings) -> DataFrame:
     # a start isn't the estimate of a core, so nothing is settled by the first step
     params = robust.unionByName(whole).withColumns({"log_det": F.lit(float("inf")), "done": F.lit(False)})
     started = [*keys, "start"]
-    quantile = chi2_quantile(s.core, p)
-    factor = s.core / _chi2_cdf(quantile, p + 2)  # makes the core's covariance that of a whole normal group
+    factor = _core_factor(s)
     params = materialize(params)
     for _ in range(s.max_steps):
         moving = params.filter(~F.col("done"))
-        near = joined(moving.drop("done")).withColumn("d", _distance(names)).select(*started, "group_rows", "log_det", *names, "d")
+        near = joined(moving.select([c for c in moving.columns if c != "done" and not c.startswith("c_")])).withColumn("d", _distance(names)).select(*started, "group_rows", "log_det", *names, "d")
         limit = near.groupBy(*started).agg(F.percentile_approx("d", s.core, 2000).alias("limit"))
         core = near.join(small(limit, 2 * groups), started).filter("d <= limit")
         moments = moments_of(core, started, F.first("log_det").alias("log_det_before"))
@@ -199,25 +231,19 @@ def judge_quality(docs: DataFrame, settings: QualitySettings = QualitySettings()
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept) and the columns
     ``keep`` of each row.
 
-    Null language or source is a group of its own; null and blank texts have no words and fail the base rule. Small
-    groups take the estimate of their language, small languages that of all rows. Repeated rows are judged alike;
+    Null language or source is a group of its own; null and blank texts have no words and fail the base rule. A group of
+    any size, of one row too, has its own estimate, shrunk to its language's. Repeated rows are judged alike;
     other columns of ``docs`` aren't read; an empty table gives no rows.
     """
     s = settings
     names = [n for n, _ in s.floors]
     rows = with_statistics(docs, s, keep)
     rows = rows.withColumns({"g_lang": F.concat(F.lit("="), F.coalesce("lang", F.lit(""))), "g_source": F.concat(F.lit("="), F.coalesce("source", F.lit("")))})
-    rows = rows.withColumns({"g_lang": F.when(F.col("lang").isNull(), "").otherwise(F.col("g_lang")), "g_source": F.when(F.col("source").isNull(), "").otherwise(F.col("g_source")), "g_all": F.lit("all")})
+    rows = rows.withColumns({"g_lang": F.when(F.col("lang").isNull(), "").otherwise(F.col("g_lang")), "g_source": F.when(F.col("source").isNull(), "").otherwise(F.col("g_source"))})
     rows = materialize(rows.drop("lang", "source"))
     cutoff = chi2_quantile(1 - s.tail, len(names))
-    judged = rows
-    estimates = _estimate(rows, s)
-    for n, keys in enumerate(_LEVELS):
-        est = estimates.filter(F.col("level") == n).withColumn("g_all", F.lit("all"))
-        own = [c for c in est.columns if c not in ("level", "g_lang", "g_source", "g_all", "log_det")]
-        renamed = est.select(*keys, F.struct(*own).alias(f"e{n}"))
-        judged = judged.join(small(renamed, est.count()), list(keys), "left")
-    judged = judged.withColumn("e", F.coalesce("e0", "e1", "e2")).select(*rows.columns, "e.*")
+    estimates = materialize(_shrunk(_estimate(rows, s), s))
+    judged = rows.join(small(estimates, estimates.count()), ["g_lang", "g_source"])
     judged = judged.withColumn("distance", _distance(names))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= F.lit(cutoff))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"), *keep)
