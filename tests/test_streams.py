@@ -98,3 +98,15 @@ def test_checks_of_a_killed_stream_come_once(spark, tmp_path):
     got = sorted((r.pair_id, r.code) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     want = sorted((r.pair_id, r.code) for r in qa.issues(spark.createDataFrame([r for f in pairs for r in f], schema)).collect())
     assert got == want and want
+
+
+def test_incremental_checks_of_a_table_of_many_files_and_of_none(spark, tmp_path):
+    import __spark_entry__
+
+    run = __spark_entry__.queries()["x04_incremental_checks"]
+    turns = [(1, 0, "user", "see 5 and 7"), (1, 1, "assistant", "see 5"), (2, 0, "user", "no"), (2, 1, "assistant", " ")]
+    table = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    table.repartition(3, "turn", "conv_id").write.parquet(f"{tmp_path}/many/conversations.parquet")
+    assert {(r.pair_id, r.code) for r in run(spark, f"{tmp_path}/many").collect()} >= {(-1001, "NUMBER_MISMATCH"), (-2001, "EMPTY_TRANSLATION")}
+    table.limit(0).write.parquet(f"{tmp_path}/none/conversations.parquet")
+    assert run(spark, f"{tmp_path}/none").collect() == []

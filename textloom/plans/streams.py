@@ -39,11 +39,14 @@ _TALK = _ISSUES.replace("FROM v_pairs", "FROM (SELECT * FROM v_pairs WHERE pair_
 
 @query("x04_incremental_checks", _TALK, "v_pairs")
 def _(spark, d):
-    # turns arrive as a stream; each batch of answered turns is checked and its rows are kept under the batch's number
-    turns = spark.readStream.schema(read(spark, d, "conversations").schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    # turns arrive as a stream; each batch of answered turns is checked and its rows are kept under the batch's number;
+    # a stream reads a folder or what a pattern names, so the pattern stands for a table of one file or of many
+    turns = spark.readStream.schema(read(spark, d, "conversations").schema).parquet(f"{d}/conversations.parque[t]")
     user = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("source"))
     answer = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
     answered = user.join(answer, ["conv_id", "turn"]).select((-(F.col("conv_id") * 1000 + F.col("turn")) - 1).alias("pair_id"), "source", "target")
-    path = new_path(spark)
+    path, found = new_path(spark), "pair_id bigint, code string, severity string"
+    # a stream without rows has no batch, so its folder begins with one of none
+    spark.createDataFrame([], found).write.parquet(f"{path}/batch=-1")
     jobs.each_batch(answered, qa.issues, path, new_path(spark)).awaitTermination()
-    return spark.read.schema("pair_id bigint, code string, severity string, batch int").parquet(path).drop("batch")
+    return spark.read.schema(f"{found}, batch int").parquet(path).drop("batch")
