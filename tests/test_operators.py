@@ -292,3 +292,11 @@ def test_a_page_of_many_boxes_takes_time_in_proportion_to_its_hits(spark):
     n = 50_000  # all pairs would be over a thousand million
     boxes = spark.range(n).select(F.lit(1).alias("page"), F.col("id").alias("idx"), ((F.col("id") % 250) * 30.0).alias("x"), (F.floor(F.col("id") / 250) * 12.0).alias("y"), F.lit(33.0).alias("w"), F.lit(11.0).alias("h"))
     assert layout.overlapping_pairs(boxes).count() == 200 * 249
+
+
+def test_ledger_gives_a_line_break_one_kind(spark):
+    d = spark.createDataFrame([(1, "wo-  \nrd"), (2, "wo-\na. b"), (3, "Wo-\nRd"), (4, "wo-\n\nrd"), (5, "x\n-"), (6, "x\n-\ny"), (7, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.kind.split("_")[0], r.start, r.end) for r in t.normalization_ledger(d).collect() if "BREAK" in r.kind)
+    assert got == [
+        (1, "HYPHENATED", 2, 6), (2, "HYPHENATED", 2, 4), (3, "VISUAL", 3, 4), (4, "VISUAL", 3, 4), (4, "VISUAL", 4, 5), (5, "PRESERVED", 1, 2), (6, "PRESERVED", 1, 2), (6, "VISUAL", 3, 4),
+    ]

@@ -26,15 +26,25 @@ def normalize_lines(text: Column) -> Column:
     return F.replace(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit("\u0001"), F.lit("\n"))
 
 
+#: A word broken at a line's end; a mark of a list item, as it is seen from the break before it.
+_BROKEN = r"(?<=\p{L})-[ \t]*\n(?=[ \t\r\f]*\p{Ll})"
+_ITEM = r"(?:[-*•]|\d+[.)]|[A-Za-z][.)])(?:[ \t\n\r\f]|\z)"
+
+
 def normalization_ledger(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, start, end): one row for each change that normalisation makes, by place in the source."""
+    """(doc_id, kind, start, end): one row for each change that normalisation makes, by place in the source. A line break is
+    of one kind: inside a broken word, else before a list item, else any other."""
     kinds = {
-        "LIGATURE": "[ﬀ-ﬆ]", "SOFT_HYPHEN": "­", "WHITESPACE": r"[ \t\r\f]{2,}|[\t\r\f]", "HYPHENATED_LINE_BREAK": r"(?<=\p{L})-[ \t]*\n(?=\s*\p{Ll})",
-        "PRESERVED_LINE_BREAK": rf"\n(?={LIST_MARK})", "VISUAL_LINE_BREAK": rf"(?<!\p{{L}}-)\n(?!{LIST_MARK})",
+        "LIGATURE": "[ﬀ-ﬆ]", "SOFT_HYPHEN": "­", "WHITESPACE": r"[ \t\r\f]{2,}|[\t\r\f]", "HYPHENATED_LINE_BREAK": _BROKEN,
+        "PRESERVED_LINE_BREAK": rf"{_BROKEN}|\n(?={_ITEM})", "VISUAL_LINE_BREAK": rf"{_BROKEN}|\n(?!{_ITEM})",
     }
 
     def of(kind: str, pattern: str) -> Column:
-        return F.transform(find_spans(F.col("text"), pattern), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+        spans = find_spans(F.col("text"), pattern)
+        if kind in ("PRESERVED_LINE_BREAK", "VISUAL_LINE_BREAK"):
+            # what else their patterns take is the break of a word
+            spans = F.filter(spans, lambda s: s["value"] == "\n")
+        return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
     found = F.concat(*[of(k, p) for k, p in kinds.items()])
     return docs.select("doc_id", F.inline(found))
