@@ -108,3 +108,30 @@ def test_a_writer_that_dies_leaves_the_version_before(spark, tmp_path):
     assert committed.commit(spark, path, {"models": spark.range(1)}) == 3
     committed.drop_old_versions(spark, path, keep=1)
     assert committed.read_committed(spark, path, "models").count() == 1 and len([x for x in (tmp_path / "catalogue").iterdir() if x.name.startswith("v-")]) == 1
+
+
+def test_phrases_against_a_loop_and_in_one_long_line(spark):
+    import random
+
+    import regex
+
+    from textloom.operators import glossary, phrases
+
+    rng, word = random.Random(3), r"[\p{L}\p{N}_]+(?:['’][\p{L}\p{N}_]+)*"
+    texts = ["".join(rng.choices(["a", "the", "The", "é", "x1", "_", "𝒳", "'", "’", " ", " ", "-", ".", "\t"], k=rng.randint(0, 25))) for _ in range(400)]
+
+    def loop(text, common):
+        w = list(regex.finditer(word, text))
+        for n in (2, 3):
+            for i in range(len(w) - n + 1):
+                run = w[i : i + n]
+                if all(regex.fullmatch(r"[ \t\n\x0b\f\r-]+", text[x.end() : y.start()]) for x, y in zip(run, run[1:])) and not {run[0][0].lower(), run[-1][0].lower()} & common:
+                    yield run[0].start(), run[-1].end(), text[run[0].start() : run[-1].end()]
+
+    s = spark.createDataFrame([*enumerate(texts), (-1, None)], "seg_id long, text string")
+    for common, table in ((("a", "the"), None), ((), spark.createDataFrame([("a",), ("the",)], "word string"))):
+        found = glossary.phrase_candidates(s, glossary.MiningSettings(max_words=3, common=common), table)
+        assert sorted(map(tuple, found.collect())) == sorted((i, *x) for i, t in enumerate(texts) for x in loop(t, {"a", "the"}))
+    # places come from arrays: a line of many words isn't walked again for each
+    joined, _, found = phrases.word_runs(["ab " * 200_000], 2, 4, frozenset(("of",)))
+    assert len(found[0]) == 3 * 200_000 - 6 and joined[found[0][-1] : found[3][-1]] == "ab ab ab ab"
