@@ -135,3 +135,17 @@ def test_phrases_against_a_loop_and_in_one_long_line(spark):
     # places come from arrays: a line of many words isn't walked again for each
     joined, _, found = phrases.word_runs(["ab " * 200_000], 2, 4, frozenset(("of",)))
     assert len(found[0]) == 3 * 200_000 - 6 and joined[found[0][-1] : found[3][-1]] == "ab ab ab ab"
+
+
+def test_ranks_of_places_compared_in_tasks_are_those_of_rows(spark):
+    from textloom.operators import glossary as g
+
+    texts = ["The Blue House of Java, the Blue House; fooBar fooBar red car", "red car and Red car. The Blue House", None, "", "red-car HTTP HTTP x_y", "𝒳 Blue House fooBar red car"]
+    s = spark.createDataFrame([*enumerate(texts * 3)], "seg_id long, text string")
+    rows = g.rank_candidates({"TECHNICAL_IDENTIFIER": g.technical_candidates(s), "NAMED_ENTITY": g.entity_candidates(s), "REPEATED_PHRASE": g.phrase_candidates(s)})
+    columns = ["term", "kind", "variant", "n", "confidence"]
+    got = g.rank_mined(s)
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, rows.select(columns).collect())) and {r.kind for r in got.collect()} == {"TECHNICAL_IDENTIFIER", "NAMED_ENTITY", "REPEATED_PHRASE"}
+    # one shuffle, of counted spellings: no place of a text leaves its task
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1 and "seg_id" not in plan.split("Exchange hashpartitioning")[1].split("\n")[0]
