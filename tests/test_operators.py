@@ -300,3 +300,17 @@ def test_ledger_gives_a_line_break_one_kind(spark):
     assert got == [
         (1, "HYPHENATED", 2, 6), (2, "HYPHENATED", 2, 4), (3, "VISUAL", 3, 4), (4, "VISUAL", 3, 4), (4, "VISUAL", 4, 5), (5, "PRESERVED", 1, 2), (6, "PRESERVED", 1, 2), (6, "VISUAL", 3, 4),
     ]
+
+
+def test_pairs_differ_without_a_shuffle(spark):
+    from textloom.plans.more import _differing
+
+    token = "__TLM_CODE_0001_00__"
+    rows = [(1, "see ABC", "see ABC"), (2, "see ABC", "see DEF"), (3, "no item", "none"), (4, "a@b.org ABC", "ABC a@b.org"), (5, token, "x"), (6, "ABC 1", "ABC 2"), (7, None, "ABC"), (8, f"{token} ABC", f"{token}  ABC")]
+    pairs = spark.createDataFrame(rows, "pair_id int, source string, target string")
+    found = _differing(pairs.na.fill("", ["source", "target"]), protect.placeholders_left)
+    assert {r.pair_id for r in found.collect()} == {2, 4, 5, 7}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    masked = protect.mask(pairs.select(F.col("source").alias("text")).filter("text IS NOT NULL"))
+    kept = masked.select(F.regexp_extract_all("masked", F.lit(protect.TOKEN), F.lit(0)).alias("a"), protect.placeholders_left(F.col("text")).alias("b")).collect()
+    assert kept and all(r.a == r.b for r in kept)

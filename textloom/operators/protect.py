@@ -133,6 +133,19 @@ def mask(docs: DataFrame, extra: Column | None = None) -> DataFrame:
     return d.withColumn("masked", replace_spans(F.col("text"), F.col("spans"), lambda s, i: F.get("items", i)["placeholder"])).drop("spans")
 
 
+def placeholders_left(text: Column) -> Column:
+    """The placeholders that ``text`` holds once it is masked, by place, those that it has by nature included."""
+
+    def held(spans: Column) -> Column:
+        def found(tokens: Column) -> Column:
+            masked = replace_spans(text, spans, lambda s, i: F.get(tokens, i))
+            return F.when(text.contains(f"__{MARK}_"), F.regexp_extract_all(masked, F.lit(TOKEN), F.lit(0))).otherwise(tokens)
+
+        return let(numbered_placeholders(spans, text), found)
+
+    return let(resolved_spans(protected_spans(text)), held)
+
+
 def restore(masked: Column, items: Column) -> Column:
     """``masked`` with each placeholder replaced by its value; other tokens stay."""
 

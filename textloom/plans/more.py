@@ -24,16 +24,18 @@ def _tokens(text):
     return F.regexp_extract_all(text, F.lit(p.TOKEN), F.lit(0))
 
 
-def _masked_pairs(spark, d):
-    """Pairs with both texts masked, each numbered for itself."""
-    side = lambda c: p.mask(v.pairs(spark, d).select("pair_id", F.coalesce(c, F.lit("")).alias("text"))).select("pair_id", F.col("masked").alias(c))
-    return side("source").join(side("target"), "pair_id")
+def _differing(pairs, found):
+    """pair_id of those ``pairs`` (pair_id, source, target) of whose texts ``found`` makes different arrays. Equal texts have
+    equal ones, so only others are looked at, both in their row; a pair without one of its texts isn't taken."""
+    # an array that is exploded is worked out once, before anything is compared
+    both = pairs.filter("source <> target").select("pair_id", F.explode(F.array(F.transform(F.array("source", "target"), found))).alias("f"))
+    return both.filter(F.get("f", F.lit(0)) != F.get("f", F.lit(1))).select("pair_id")
 
 
 @query("q02_placeholder_mismatch", f"SELECT a.pair_id FROM ({_masked('v_pairs', 'pair_id', 'source')}) a JOIN ({_masked('v_pairs', 'pair_id', 'target')}) b USING (pair_id) WHERE a.items <> b.items", "v_pairs")
 def _(spark, d):
-    # null-safe, as a plain comparison would have masks worked out again to see that they aren't null
-    return _masked_pairs(spark, d).filter(~_tokens(F.col("source")).eqNullSafe(_tokens(F.col("target")))).select("pair_id")
+    # a text that is missing has no placeholders
+    return _differing(v.pairs(spark, d).na.fill("", ["source", "target"]), p.placeholders_left)
 
 
 @query("m03_placeholder_multiset", f"""WITH m AS ({_masked('documents', 'doc_id')}) SELECT doc_id, list_sort(items) = list_sort(regexp_extract_all(array_to_string(list_reverse(string_split(masked, chr(10))), chr(10)), '{_TOKEN_SQL}')) AS turned, list_sort(items) = list_sort(regexp_extract_all(string_split(masked, chr(10))[1], '{_TOKEN_SQL}')) AS first_line FROM m""")
@@ -47,7 +49,7 @@ def _(spark, d):
 
 @query("q05_code_mismatch", f"SELECT pair_id FROM v_pairs WHERE {_coded('source')} <> {_coded('target')}", "v_pairs")
 def _(spark, d):
-    return v.pairs(spark, d).filter(qa.code_inventory(F.col("source")) != qa.code_inventory(F.col("target"))).select("pair_id")
+    return _differing(v.pairs(spark, d), qa.code_inventory)
 
 
 _CITING = "SELECT pair_id, source || ' [' || (len(string_split(source, ' ')) % 10)::VARCHAR || ']' AS s, target || ' [' || (len(string_split(target, ' ')) % 10)::VARCHAR || ']' AS g FROM v_pairs"
@@ -57,7 +59,7 @@ _CITING = "SELECT pair_id, source || ' [' || (len(string_split(source, ' ')) % 1
 def _(spark, d):
     # each text cites by its number of words
     cited = lambda c: F.concat(F.col(c), F.lit(" ["), (F.size(F.split(c, " ")) % 10).cast("string"), F.lit("]"))
-    return v.pairs(spark, d).filter(qa.citation_inventory(cited("source")) != qa.citation_inventory(cited("target"))).select("pair_id")
+    return _differing(v.pairs(spark, d).select("pair_id", cited("source").alias("source"), cited("target").alias("target")), qa.citation_inventory)
 
 
 @query("q15_literal_safe", f"SELECT pair_id FROM v_pairs WHERE {_numbers('source')} = {_numbers('target')}", "v_pairs")
