@@ -314,3 +314,10 @@ def test_pairs_differ_without_a_shuffle(spark):
     masked = protect.mask(pairs.select(F.col("source").alias("text")).filter("text IS NOT NULL"))
     kept = masked.select(F.regexp_extract_all("masked", F.lit(protect.TOKEN), F.lit(0)).alias("a"), protect.placeholders_left(F.col("text")).alias("b")).collect()
     assert kept and all(r.a == r.b for r in kept)
+
+
+def test_code_of_pairs_is_sought_in_a_text_computed_once(spark):
+    d = spark.createDataFrame([("see a_b, www.x.org/a_c and `q`",)], "text string").select(qa.code_inventory(F.col("text")).alias("c"))
+    assert d.first().c == ["`q`", "a_b"]
+    # the text without its addresses is made at one place of the plan
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("https?") == 1

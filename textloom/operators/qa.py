@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.spans import let
 from textloom.operators import text as t
 from textloom.operators.protect import MARK, NEEDS, PATTERNS, TOKEN, may_match
 
@@ -37,7 +38,8 @@ def _all(text: Column, pattern: str) -> Column:
 def _any_of(text: Column, patterns: tuple) -> Column:
     """All matches of all patterns (pattern, needs), sorted; a pattern that can't match isn't tried."""
     none = F.array().cast("array<string>")
-    return F.array_sort(F.concat(*[F.when(may_match(text, needs), _all(text, p)).otherwise(none) for p, needs in patterns]))
+    # the text is computed once and not for each pattern
+    return let(text, lambda x: F.array_sort(F.concat(*[F.when(may_match(x, needs), _all(x, p)).otherwise(none) for p, needs in patterns])))
 
 
 def without_placeholders(text: Column) -> Column:
@@ -87,7 +89,7 @@ def code_inventory(text: Column) -> Column:
 
 
 def _codes(m: Column) -> Column:
-    return _any_of(F.when(may_match(m, URL_NEEDS), F.regexp_replace(m, URL, " ")).otherwise(m), CODE)
+    return let(m, lambda x: _any_of(F.when(may_match(x, URL_NEEDS), F.regexp_replace(x, URL, " ")).otherwise(x), CODE))
 
 
 def marker_score(words: Column, language: str) -> Column:
