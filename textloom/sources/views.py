@@ -34,9 +34,19 @@ def segment_state(spark: SparkSession, d: str) -> DataFrame:
     })
 
 
+#: Lines that a task should sort and group.
+TASK_LINES = 250_000
+
+
+def line_tasks(spark: SparkSession, d: str) -> int:
+    """How many tasks order lines are dealt to: more of them the more lines, so that a task's memory doesn't grow with the table."""
+    return max(spark.sparkContext.defaultParallelism, -(-read(spark, d, "lineitem").count() // TASK_LINES))
+
+
 def lines(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return read(spark, d, "lineitem").withColumn("idx", F.row_number().over(w).cast("long"))
+    dealt = read(spark, d, "lineitem").repartition(line_tasks(spark, d), "l_orderkey")
+    return dealt.withColumn("idx", F.row_number().over(w).cast("long"))
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
