@@ -149,3 +149,13 @@ def test_ranks_of_places_compared_in_tasks_are_those_of_rows(spark):
     # one shuffle, of counted spellings: no place of a text leaves its task
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1 and "seg_id" not in plan.split("Exchange hashpartitioning")[1].split("\n")[0]
+
+
+def test_held_terms_once_a_text(spark):
+    texts = spark.createDataFrame([(1, "red red\nRED fox"), (1, "red"), (2, "redder fox fox"), (3, None), (4, "")], "seg_id long, text string")
+    terms = spark.createDataFrame([(7, "red"), (8, "fox"), (9, "Red Fox")], "term_id long, source_term string")
+    held = glossary.held_terms(texts, terms, False)
+    assert sorted(tuple(r) for r in held.collect()) == [(1, 7), (1, 8), (1, 9), (2, 8)]
+    # a text's repeats are left in its task
+    rows = glossary._matches(texts, terms, False, True, False, True)
+    assert sorted((r.seg_id, r.term_id) for r in rows.collect()) == [(1, 7), (1, 7), (1, 8), (1, 9), (2, 8)]

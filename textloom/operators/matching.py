@@ -118,9 +118,10 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[list[int], list[str]]]:
         yield rows, held
 
 
-def find_in_tasks(segments: DataFrame, terms: DataFrame, whole_word: bool, resolve: bool) -> DataFrame:
+def find_in_tasks(segments: DataFrame, terms: DataFrame, whole_word: bool, resolve: bool, once: bool = False) -> DataFrame:
     """(seg_id, term_id, start, end) of ``terms`` (term_id, term), counted to be within AUTOMATON_CHARS, in ``segments``
-    (seg_id, text). Ids are of any type that sorts; texts stay in their tasks."""
+    (seg_id, text). Ids are of any type that sorts; texts stay in their tasks. With ``once`` a term has its first place in a
+    row only."""
     rows = terms.select("term_id", "term").toArrow()
     by_term: dict[str, list[int]] = {}
     # terms in the order of their ids, so that a smaller place is a smaller id
@@ -138,6 +139,11 @@ def find_in_tasks(segments: DataFrame, terms: DataFrame, whole_word: bool, resol
         for batch in batches:
             for rows, texts in _chunks(batch.column(1)):
                 text, term, start, end = matcher.find(texts, whole_word, resolve)
+                if once:
+                    first = np.lexsort((start, term, text))
+                    new = np.ones(len(first), bool)
+                    new[1:] = (np.diff(text[first]) != 0) | (np.diff(term[first]) != 0)
+                    text, term, start, end = (x[first[new]] for x in (text, term, start, end))
                 row = np.array(rows, np.int64)[text]
                 for a in range(0, len(row), CHUNK_ROWS):
                     b = a + CHUNK_ROWS

@@ -28,9 +28,13 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def status_of(seg_id: Column) -> Column:
+    return pick(STATUSES, seg_id % 6)
+
+
 def segment_state(spark: SparkSession, d: str) -> DataFrame:
     return segments(spark, d).withColumns({
-        "status": pick(STATUSES, F.col("seg_id") % 6), "section": F.floor(F.col("seg_order") / 10).cast("long"), "revision": (F.col("seg_id") % 4).cast("long"),
+        "status": status_of(F.col("seg_id")), "section": F.floor(F.col("seg_order") / 10).cast("long"), "revision": (F.col("seg_id") % 4).cast("long"),
     })
 
 
