@@ -413,7 +413,7 @@ def _(spark, d):
     # one table has two decimals and grouped thousands, the other one decimal: cells agree where nothing was lost
     cell = lambda c, form: t.numeric_signature(F.format_string(form, c))
     both = [cell(c, "%.2f") == cell(c, "%.1f") for c in ("l_discount", "l_tax")]
-    return v.lines(spark, d).groupBy("l_orderkey").agg(F.bool_and((cell("l_extendedprice", "%,.2f") == cell("l_extendedprice", "%.2f")) & both[0] & both[1]).alias("intact"))
+    return read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bool_and((cell("l_extendedprice", "%,.2f") == cell("l_extendedprice", "%.2f")) & both[0] & both[1]).alias("intact"))
 
 
 @query("q17_rectangular_table", "SELECT l_orderkey, max(l_linenumber)::BIGINT AS width, max(l_linenumber) - count(DISTINCT l_linenumber) AS n_filled FROM lineitem GROUP BY 1")
