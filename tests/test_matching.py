@@ -159,3 +159,14 @@ def test_held_terms_once_a_text(spark):
     # a text's repeats are left in its task
     rows = glossary._matches(texts, terms, False, True, False, True)
     assert sorted((r.seg_id, r.term_id) for r in rows.collect()) == [(1, 7), (1, 7), (1, 8), (1, 9), (2, 8)]
+
+
+def test_words_are_looked_up_where_an_automaton_has_no_room(spark, monkeypatch):
+    monkeypatch.setattr(matching, "AUTOMATON_CHARS", 8)
+    texts = [(1, "Alpha beta alphabet beta-alpha"), (2, "gamma_x gamma"), (3, None)]
+    terms = [(i, t) for i, t in enumerate(["alpha", "beta", "gamma", "delta", "alphabet", "a-b"])]
+    s, t = frames(spark, texts, terms)
+    found = glossary.find_terms(s, t, False)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
+    assert {tuple(r) for r in found.collect()} == brute(texts, terms, False, True)

@@ -1,20 +1,22 @@
-"""All occurrences of many terms by one automaton over each text, and their resolution, without a shuffle.
+"""All occurrences of many terms in each text, and their resolution, without a shuffle.
 
-The terms, counted to be within a bound, go to the tasks once; a task builds one Aho-Corasick automaton of them and
-walks texts by chunks of letters. What it finds is checked for word ends in arrays, so only true matches become rows.
+The terms, counted to be within a bound, go to the tasks once. Where whole words are asked for, terms of one word are
+looked up by the words of a text; a task builds one Aho-Corasick automaton of all other terms and walks texts by chunks
+of letters. What it finds is checked for word ends in arrays, so only true matches become rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Letters of terms, all together, up to which tasks get an automaton of all.
-AUTOMATON_CHARS = 2_000_000
+#: Letters of terms, all together, up to which tasks get an automaton of all, and of terms that are looked up as words.
+AUTOMATON_CHARS, WORD_CHARS = 2_000_000, 5_000_000
 #: Letters of texts that are walked at once, and rows that are handed on at once.
 CHUNK_CHARS, CHUNK_ROWS = 400_000, 200_000
 #: Stands between texts; no character, so terms with it never match.
@@ -22,29 +24,36 @@ APART = "\U0010ffff"
 
 
 class Matcher:
-    """An automaton of terms with the ids of each."""
+    """Terms with the ids of each: an automaton and, for whole words, a look-up of those of one word."""
 
-    _last: tuple[str, Matcher] | None = None
+    _last: tuple[tuple, Matcher] | None = None
     _word: np.ndarray | None = None
 
-    def __init__(self, terms: list[str], ids: list[list[int]]) -> None:
-        """``ids`` are places in the sorted ids of terms, several where terms say the same."""
+    def __init__(self, terms: pa.Array, first_id: np.ndarray, ids: np.ndarray, whole_word: bool) -> None:
+        """``ids`` from one ``first_id`` to the next are a term's places in the sorted ids, several where terms say the same."""
         import ahocorasick
 
+        self.first_id, self.n_ids, self.ids, self.whole_word = first_id[:-1], np.diff(first_id), ids, whole_word
+        self.length = np.zeros(len(terms), np.int64)
+        self.words: dict[str, int] = {}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, t in enumerate(terms):
-            self.automaton.add_word(t, i)
-        self.automaton.make_automaton()
-        self.length = np.fromiter(map(len, terms), np.int64, len(terms))
-        self.n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.first_id = np.cumsum(self.n_ids) - self.n_ids
-        self.ids = np.array([i for own in ids for i in own], np.int64)
+        word = self.word_letters()
+        for i, x in enumerate(terms):
+            term = x.as_py()
+            self.length[i] = len(term)
+            if whole_word and word[_codes(term)].all():
+                self.words[term] = i
+            else:
+                self.automaton.add_word(term, i)
+        if len(self.automaton):
+            self.automaton.make_automaton()
 
     @classmethod
-    def get(cls, key: str, terms: list[str], ids: list[list[int]]) -> Matcher:
+    def get(cls, key: tuple, *given) -> Matcher:
         """The one of the last call in this worker process, if it is of the same terms."""
         if cls._last is None or cls._last[0] != key:
-            cls._last = key, cls(terms, ids)
+            cls._last = None
+            cls._last = key, cls(*given)
         return cls._last[1]
 
     @classmethod
@@ -53,35 +62,56 @@ class Matcher:
         if cls._word is None:
             import regex
 
-            cls._word = np.zeros(0x110000, bool)
-            every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-            cls._word[[ord(c) for c in regex.findall(r"[\p{L}\p{N}_]", every)]] = True
+            word, one = np.zeros(0x110000, bool), regex.compile(r"[\p{L}\p{N}_]")
+            # by blocks, so that a worker never holds a string for each code point
+            for a in range(0, 0x110000, 0x800):
+                if not 0xD800 <= a < 0xE000:
+                    word[[ord(c) for c in one.findall("".join(map(chr, range(a, a + 0x800))))]] = True
+            cls._word = word
         return cls._word
 
-    def find(self, texts: list[str], whole_word: bool, resolve: bool) -> tuple[np.ndarray, ...]:
-        """(text, term, start, end) of all matches in ``texts``; with ``resolve`` the longest, then the earliest, then the
-        smallest term of those that overlap."""
+    def walk(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """(text, number of the term, start, end, whole) of all places of terms, of whole words only if the matcher is of
+        those; ``whole`` tells whether no word goes on at either end."""
         joined = APART + APART.join(texts) + APART
         begins = np.cumsum([1, *(len(t) + 1 for t in texts)])
-        if not len(self.length):
-            return (np.zeros(0, np.int64),) * 4
-        hits = np.array(list(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
-        term = hits[:, 1]
-        end = hits[:, 0] + 1
+        word = self.word_letters()[_codes(joined)]
+        term = end = np.zeros(0, np.int64)
+        if len(self.automaton):
+            hits = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
+            term, end = hits[:, 1], hits[:, 0] + 1
         start = end - self.length[term]
-        if whole_word and len(hits):
-            word = self.word_letters()[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
-            true = ~word[start - 1] & ~word[end]
-            term, start, end = term[true], start[true], end[true]
+        whole = ~word[start - 1] & ~word[end]
+        if self.whole_word:
+            term, start, end = term[whole], start[whole], end[whole]
+        if self.words:
+            edge = np.flatnonzero(np.diff(word.view(np.int8))) + 1
+            own = np.fromiter((self.words.get(joined[a:b], -1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())), np.int64, len(edge) // 2)
+            kept = own >= 0
+            term, start, end = (np.concatenate(x) for x in ((term, own[kept]), (start, edge[::2][kept]), (end, edge[1::2][kept])))
+        if self.whole_word:
+            whole = np.ones(len(term), bool)
+        text = np.searchsorted(begins, start, "right") - 1
+        return text, term, start - begins[text], end - begins[text], whole
+
+    def find(self, texts: list[str], resolve: bool) -> tuple[np.ndarray, ...]:
+        """(text, id, start, end) of all matches in ``texts``; with ``resolve`` the longest, then the earliest, then the
+        smallest id of those that overlap."""
+        text, term, start, end, _ = self.walk(texts)
         n = self.n_ids[term]
         each = np.repeat(np.arange(len(term)), n)
         ids = self.ids[np.arange(int(n.sum())) + np.repeat(self.first_id[term] - (np.cumsum(n) - n), n)]
-        start, end = start[each], end[each]
+        text, start, end = text[each], start[each], end[each]
         if resolve and len(ids):
-            kept = disjoint(start, end, ids)
-            ids, start, end = ids[kept], start[kept], end[kept]
-        text = np.searchsorted(begins, start, "right") - 1
-        return text, ids, start - begins[text], end - begins[text]
+            # places of one text lie apart from those of the next
+            at = np.cumsum([0, *(len(t) + 1 for t in texts)])[text]
+            kept = disjoint(start + at, end + at, ids)
+            text, ids, start, end = text[kept], ids[kept], start[kept], end[kept]
+        return text, ids, start, end
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def disjoint(start: np.ndarray, end: np.ndarray, term: np.ndarray) -> np.ndarray:
@@ -118,27 +148,36 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[list[int], list[str]]]:
         yield rows, held
 
 
+def _given(terms: DataFrame, whole_word: bool) -> tuple[Callable[[], Matcher], pa.Array]:
+    """How tasks get a matcher of ``terms`` (term_id, term), and the ids, each once, in order: a smaller place is a smaller id."""
+    rows = terms.select("term_id", "term").toArrow()
+    each = sorted(set(zip(rows["term"].to_pylist(), rows["term_id"].to_pylist())))
+    ids = sorted({i for _, i in each})
+    place = {x: i for i, x in enumerate(ids)}
+    said = sorted({t for t, _ in each})
+    own = np.fromiter((place[i] for _, i in each), np.int64, len(each))
+    number = {t: i for i, t in enumerate(said)}
+    first = np.searchsorted(np.fromiter((number[t] for t, _ in each), np.int64, len(each)), np.arange(len(said) + 1))
+    key = hashlib.sha256(repr(each).encode("utf-8", "surrogatepass")).hexdigest(), whole_word
+    given = terms.sparkSession.sparkContext.broadcast((pa.array(said, pa.string()), first, own, whole_word))
+    return (lambda: Matcher.get(key, *given.value)), pa.array(ids, rows["term_id"].type)
+
+
+def _kind(df: DataFrame, c: str) -> str:
+    return df.schema[c].dataType.simpleString()
+
+
 def find_in_tasks(segments: DataFrame, terms: DataFrame, whole_word: bool, resolve: bool, once: bool = False) -> DataFrame:
-    """(seg_id, term_id, start, end) of ``terms`` (term_id, term), counted to be within AUTOMATON_CHARS, in ``segments``
+    """(seg_id, term_id, start, end) of ``terms`` (term_id, term), counted to be within bounds, in ``segments``
     (seg_id, text). Ids are of any type that sorts; texts stay in their tasks. With ``once`` a term has its first place in a
     row only."""
-    rows = terms.select("term_id", "term").toArrow()
-    by_term: dict[str, list[int]] = {}
-    # terms in the order of their ids, so that a smaller place is a smaller id
-    order = sorted(zip(rows["term_id"].to_pylist(), rows["term"].to_pylist()))
-    for i, (_, term) in enumerate(order):
-        by_term.setdefault(term, []).append(i)
-    plan = sorted(by_term), [by_term[t] for t in sorted(by_term)]
-    ids = pa.array([i for i, _ in order], rows["term_id"].type)
-    given = segments.sparkSession.sparkContext.broadcast((*plan, ids))
-    key = hashlib.sha256(repr(plan).encode("utf-8", "surrogatepass")).hexdigest()
+    get, ids = _given(terms, whole_word)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, places, ids = given.value
-        matcher = Matcher.get(key, terms, places)
+        matcher = get()
         for batch in batches:
             for rows, texts in _chunks(batch.column(1)):
-                text, term, start, end = matcher.find(texts, whole_word, resolve)
+                text, term, start, end = matcher.find(texts, resolve)
                 if once:
                     first = np.lexsort((start, term, text))
                     new = np.ones(len(first), bool)
@@ -149,5 +188,4 @@ def find_in_tasks(segments: DataFrame, terms: DataFrame, whole_word: bool, resol
                     b = a + CHUNK_ROWS
                     yield pa.record_batch([batch.column(0).take(pa.array(row[a:b])), ids.take(pa.array(term[a:b])), pa.array(start[a:b]), pa.array(end[a:b])], names=["seg_id", "term_id", "start", "end"])
 
-    kind = lambda df, c: df.schema[c].dataType.simpleString()
-    return segments.select("seg_id", "text").mapInArrow(run, f"seg_id {kind(segments, 'seg_id')}, term_id {kind(terms, 'term_id')}, start long, `end` long")
+    return segments.select("seg_id", "text").mapInArrow(run, f"seg_id {_kind(segments, 'seg_id')}, term_id {_kind(terms, 'term_id')}, start long, `end` long")
