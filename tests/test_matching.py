@@ -170,3 +170,24 @@ def test_words_are_looked_up_where_an_automaton_has_no_room(spark, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "MapInArrow" in plan
     assert {tuple(r) for r in found.collect()} == brute(texts, terms, False, True)
+
+
+@pytest.mark.parametrize("chars", [2_000_000, 60])
+@pytest.mark.parametrize("again", [False, True])
+def test_segments_are_counted_in_tasks(spark, monkeypatch, chars, again):
+    """By one automaton and by blocks; a repeated segment is a row of its own anywhere, and one segment for whole words."""
+    monkeypatch.setattr(matching, "AUTOMATON_CHARS", chars)
+    texts, terms = made(4)
+    terms = sorted({(i, t) for i, t in terms if t})
+    texts = texts + texts[:5] * again
+    s, t = frames(spark, texts, terms)
+    found = glossary.segment_counts(s, t)
+    if not again:
+        assert "seg_id" not in found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    word = lambda c: c.isalnum() or c == "_"
+    want = {}
+    for i, term in terms:
+        rows = [(seg, x) for seg, x in texts if x and term in x]
+        if rows:
+            want[i] = len(rows), len({m[0] for m in brute(rows, [(i, term)], True, True)}) if any(map(word, term)) else 0
+    assert {r.term_id: (r.n_anywhere, r.n_whole) for r in found.collect()} == want

@@ -163,6 +163,28 @@ def _given(terms: DataFrame, whole_word: bool) -> tuple[Callable[[], Matcher], p
     return (lambda: Matcher.get(key, *given.value)), pa.array(ids, rows["term_id"].type)
 
 
+def counts_in_tasks(segments: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term_id, n_anywhere, n_whole): in how many of ``segments`` (text) each of ``terms`` (term_id, term) stands at all and
+    as whole words, in parts to be added up. One walk finds both; a task hands on a row a term."""
+    get, ids = _given(terms, False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = get()
+        n = len(matcher.length)
+        anywhere, whole = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for batch in batches:
+            for _, texts in _chunks(batch.column(0)):
+                text, term, _, _, ends = matcher.walk(texts)
+                pair = text * n + term
+                anywhere += np.bincount(np.unique(pair) % n, minlength=n)
+                whole += np.bincount(np.unique(pair[ends]) % n, minlength=n)
+        each = np.repeat(np.arange(n), matcher.n_ids)
+        found = np.flatnonzero(anywhere[each])
+        yield pa.record_batch([ids.take(pa.array(matcher.ids[found])), pa.array(anywhere[each[found]]), pa.array(whole[each[found]])], names=["term_id", "n_anywhere", "n_whole"])
+
+    return segments.select("text").mapInArrow(run, f"term_id {_kind(terms, 'term_id')}, n_anywhere long, n_whole long")
+
+
 def _kind(df: DataFrame, c: str) -> str:
     return df.schema[c].dataType.simpleString()
 
