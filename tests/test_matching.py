@@ -191,3 +191,21 @@ def test_segments_are_counted_in_tasks(spark, monkeypatch, chars, again):
         if rows:
             want[i] = len(rows), len({m[0] for m in brute(rows, [(i, term)], True, True)}) if any(map(word, term)) else 0
     assert {r.term_id: (r.n_anywhere, r.n_whole) for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_candidates_are_numbered_where_their_texts_are(spark, again):
+    """Also where folding moves places (a capital dotted I becomes two letters) and where a segment has two rows."""
+    texts, terms = made(6)
+    texts = texts + [(200, "\u0130 AB ab \u0130\u0130 ab"), (201, "\u00c9 ab \u00e9"), (202, "\u03a3\u03a3 \u03a3. ab")] + [(5, "ab AB")] * again
+    terms = sorted({(i, t) for i, t in terms if t}) + [(300, "\u00c9"), (301, "\u0130"), (302, "\u03a3\u03a3")]
+    s, t = frames(spark, texts, terms)
+    found = glossary.numbered_candidates(s, t)
+    assert again or "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    each = {tuple(r) for x in (True, False) for r in glossary.find_terms(s, t, x).collect()}
+    want, last, place = set(), None, 0
+    for r in sorted(each, key=lambda r: (r[0], r[2], r[3], r[1])):
+        place, last = (place + 1 if r[0] == last else 1), r[0]
+        want.add((*r, place))
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want

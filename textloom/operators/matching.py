@@ -14,6 +14,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Letters of terms, all together, up to which tasks get an automaton of all, and of terms that are looked up as words.
 AUTOMATON_CHARS, WORD_CHARS = 2_000_000, 5_000_000
@@ -26,8 +27,9 @@ APART = "\U0010ffff"
 class Matcher:
     """Terms with the ids of each: an automaton and, for whole words, a look-up of those of one word."""
 
-    _last: tuple[tuple, Matcher] | None = None
+    _last: dict[tuple, Matcher] = {}
     _word: np.ndarray | None = None
+    _lower: np.ndarray | None = None
 
     def __init__(self, terms: pa.Array, first_id: np.ndarray, ids: np.ndarray, whole_word: bool) -> None:
         """``ids`` from one ``first_id`` to the next are a term's places in the sorted ids, several where terms say the same."""
@@ -50,11 +52,12 @@ class Matcher:
 
     @classmethod
     def get(cls, key: tuple, *given) -> Matcher:
-        """The one of the last call in this worker process, if it is of the same terms."""
-        if cls._last is None or cls._last[0] != key:
-            cls._last = None
-            cls._last = key, cls(*given)
-        return cls._last[1]
+        """One of the last two in this worker process, if it is of the same terms."""
+        if key not in cls._last:
+            while len(cls._last) > 1:
+                del cls._last[next(iter(cls._last))]
+            cls._last[key] = cls(*given)
+        return cls._last[key]
 
     @classmethod
     def word_letters(cls) -> np.ndarray:
@@ -70,6 +73,15 @@ class Matcher:
             cls._word = word
         return cls._word
 
+    @classmethod
+    def lower_letters(cls) -> np.ndarray:
+        """The small letter of each code point, or no code point where it isn't one of the same kind."""
+        if cls._lower is None:
+            small = np.fromiter((ord(x) if len(x) == 1 else 0 for x in map(str.lower, map(chr, range(0x110000)))), np.uint32, 0x110000)
+            small[cls.word_letters()[small] != cls.word_letters()] = 0xFFFFFFFF
+            cls._lower = small
+        return cls._lower
+
     def walk(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """(text, number of the term, start, end, whole) of all places of terms, of whole words only if the matcher is of
         those; ``whole`` tells whether no word goes on at either end."""
@@ -110,6 +122,13 @@ class Matcher:
         return text, ids, start, end
 
 
+def _letter_by_letter(text: str, folded: str) -> bool:
+    """Whether ``folded`` is ``text`` with each letter made small by itself, so that equal places of texts stay equal."""
+    if text.isascii() and folded.isascii():
+        return True
+    return len(text) == len(folded) and bool((Matcher.lower_letters()[_codes(text)] == _codes(folded)).all())
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -185,6 +204,42 @@ def counts_in_tasks(segments: DataFrame, terms: DataFrame) -> DataFrame:
     return segments.select("text").mapInArrow(run, f"term_id {_kind(terms, 'term_id')}, n_anywhere long, n_whole long")
 
 
+def candidates_in_tasks(segments: DataFrame, terms: DataFrame) -> DataFrame:
+    """(seg_id, term_id, start, end, place): whole-word matches of ``terms`` (term_id, term, folded) in ``segments`` (seg_id,
+    text, folded), each as written or folded, once and numbered by place in its row.
+
+    Where folding goes letter by letter what matches as written matches folded too; only other texts are walked for both.
+    """
+    exact, ids = _given(terms.select("term_id", "term"), True)
+    low, _ = _given(terms.select("term_id", F.col("folded").alias("term")), True)
+    pairs = terms.filter(F.col("term") != F.col("folded")).select("term", "folded").toArrow()
+    plain = all(_letter_by_letter(a, b) for a, b in zip(pairs["term"].to_pylist(), pairs["folded"].to_pylist()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = low()
+        for batch in batches:
+            for rows, texts in _chunks(batch.column(1)):
+                folded = [batch.column(2)[i].as_py() for i in rows]
+                found = matcher.find(folded, False)
+                odd = [i for i, (a, b) in enumerate(zip(texts, folded)) if not (plain and _letter_by_letter(a, b))]
+                if odd:
+                    text, *others = exact().find([texts[i] for i in odd], False)
+                    found = tuple(np.concatenate(x) for x in zip(found, (np.array(odd, np.int64)[text], *others)))
+                order = np.lexsort((found[1], found[3], found[2], found[0]))
+                text, term, start, end = (x[order] for x in found)
+                new = np.ones(len(text), bool)
+                new[1:] = np.any([np.diff(x) != 0 for x in (text, term, start, end)], axis=0)
+                text, term, start, end = (x[new] for x in (text, term, start, end))
+                place = np.arange(len(text)) - np.searchsorted(text, text) + 1
+                row = np.array(rows, np.int64)[text]
+                for a in range(0, len(row), CHUNK_ROWS):
+                    own = slice(a, a + CHUNK_ROWS)
+                    yield pa.record_batch([batch.column(0).take(pa.array(row[own])), ids.take(pa.array(term[own])), *(pa.array(x[own]) for x in (start, end, place))], names=["seg_id", "term_id", "start", "end", "place"])
+
+    shape = f"seg_id {_kind(segments, 'seg_id')}, term_id {_kind(terms, 'term_id')}, start long, `end` long, place long"
+    return segments.select("seg_id", "text", "folded").mapInArrow(run, shape)
+
+
 def _kind(df: DataFrame, c: str) -> str:
     return df.schema[c].dataType.simpleString()
 
