@@ -209,3 +209,21 @@ def test_candidates_are_numbered_where_their_texts_are(spark, again):
         want.add((*r, place))
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("many", [100_000, 0])
+@pytest.mark.parametrize("again", [False, True])
+def test_phrases_are_counted_in_tasks(spark, monkeypatch, many, again):
+    monkeypatch.setattr(glossary, "MANY_WORDS", many)
+    docs = [(1, "en", "The red fox\n \nthe Red  fox ran"), (2, "en", "a red fox"), (3, "en", "a dog"), (4, "en", "a cat"), (5, "en", "a a a"), (6, "de", " \n "), (7, None, "x y"), (8, "en", None)]
+    docs = docs + [(1, "en", "dog dog"), (1, "en", "dog")] * again
+    d = spark.createDataFrame(docs, "doc_id long, lang string, text string")
+    stop = glossary.words_of_share(d, 2)
+    # two of five documents of the language hold red and fox, four hold a
+    assert {r.word for r in stop.collect()} == {"a"}
+    words = stop if again else stop.unionByName(spark.createDataFrame([("the",)], "word string"))
+    found = glossary.phrase_counts(d.select(F.explode(F.split("text", "\n")).alias("text"), F.monotonically_increasing_id().alias("seg_id")), glossary.MiningSettings(max_words=2), words)
+    want = {"red fox": 2, "red  fox": 1, "fox ran": 1, "x y": 1} | ({"the red": 2, "dog dog": 1} if again else {})
+    assert {r.phrase: r.n for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert many == 0 or "Join" not in plan
