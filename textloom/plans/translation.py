@@ -67,17 +67,21 @@ def _(spark, d):
 
 
 def _benchmark_spans(spark, d):
-    """Spans of benchmark lines in segments, as array ``extra`` a segment: what a glossary adds to the patterns."""
+    """Segments with the spans of benchmark lines in them, one a term and place, as array ``extra``: what a glossary adds to the patterns."""
     from textloom.operators import glossary as g
 
-    s = v.segments(spark, d)
+    # rows that share a seg_id, or have none, are told apart by their texts
+    s = v.segments(spark, d).withColumn("row", F.concat_ws(":", "seg_id", F.sha2("text", 256)))
     terms = v.glossary(spark, d).filter("term_id < 1000000000")
-    found = g.find_terms(s, terms).join(s.select("seg_id", "text"), "seg_id")
-    n, rank = F.col("end") - F.col("start"), p.KINDS.index("TERM")
-    span = F.struct((-n).cast("int").alias("n"), F.col("start").cast("int").alias("start"), F.lit(rank).alias("rank"), F.col("end").cast("int").alias("end"), F.lit("TERM").alias("kind"),
-                    F.expr("substring(text, cast(start AS int) + 1, cast(end - start AS int))").alias("value"))
-    spans = found.groupBy("seg_id").agg(F.collect_set(span).alias("extra"))
-    return s.join(spans, "seg_id", "left").withColumn("extra", F.coalesce("extra", F.array().cast(p.SPAN)))
+    found = g.find_terms(s.select(F.col("row").alias("seg_id"), "text"), terms).groupBy(F.col("seg_id").alias("row")).agg(F.collect_set(F.struct("start", "end", "term_id")).alias("found"))
+    rank = p.KINDS.index("TERM")
+
+    def span(x):
+        n, start = (x["end"] - x["start"]).cast("int"), x["start"].cast("int")
+        return F.struct((-n).alias("n"), start.alias("start"), F.lit(rank).alias("rank"), x["end"].cast("int").alias("end"), F.lit("TERM").alias("kind"), F.substring(F.col("text"), start + 1, n).alias("value"))
+
+    spans = F.coalesce(F.transform("found", span).cast(p.SPAN), F.array().cast(p.SPAN))
+    return s.join(found, "row", "left").withColumn("extra", spans).drop("row", "found")
 
 
 _MERGED = f"""SELECT seg_id, 'TERM' AS kind, s, e FROM (SELECT s.seg_id, instr(s.text, g.source_term) - 1 AS s, instr(s.text, g.source_term) - 1 + length(g.source_term) AS e FROM v_segments s JOIN v_glossary g ON g.term_id < 1000000000 AND contains(s.text, g.source_term)) t
