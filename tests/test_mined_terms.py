@@ -1,4 +1,4 @@
-"""Candidates for terms, counted by windows of words (t18): against candidates in rows, and what is shuffled."""
+"""Candidates for terms, counted by windows of words (t18, t19): against candidates in rows, and what is shuffled."""
 
 import random
 
@@ -45,7 +45,7 @@ def documents(spark, tmp_path_factory):
     return d, sum(map(len, texts))
 
 
-@pytest.mark.parametrize("name", ("t18_ranked_candidates",))
+@pytest.mark.parametrize("name", ("t18_ranked_candidates", "t19_top_candidates"))
 def test_shuffled_bytes_are_a_small_multiple_of_the_texts(spark, documents, name):
     """A window of words is handed on once, not each phrase in it with its key (over 20 bytes a letter)."""
     d, letters = documents
