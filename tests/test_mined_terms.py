@@ -2,11 +2,14 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as e
 from textloom.operators import glossary as g
 from textloom.operators import phrases
+from textloom.operators.text import term_key
 
 COLUMNS = ["term", "kind", "variant", "n", "confidence"]
 
@@ -35,6 +38,17 @@ def test_ranks_by_windows_are_those_of_rows(spark, monkeypatch, many):
     assert g.rank_mined(none).collect() == []
 
 
+def test_letters_of_one_key_have_one_fold(spark):
+    """Words are dealt by a fold of their letters, so it must not tell apart what Spark's lower case makes equal."""
+    letters = [chr(i) for i in range(0x21, 0x110000) if not 0xD800 <= i < 0xE000 and chr(i) != "\u0307" and chr(i) not in phrases.BETWEEN]
+    s = spark.createDataFrame([(x,) for x in letters], "x string")
+    rows = s.select("x", term_key(F.col("x")).alias("key"), term_key(F.concat(F.lit("a"), "x")).alias("last")).filter("key <> x OR last <> 'a' || x").collect()
+    fold = lambda xs: phrases._folded(pa.array(xs, pa.large_string())).to_pylist()
+    assert len(rows) > 1400 and fold([r.x for r in rows]) == fold([r.key for r in rows]) and fold(["a" + r.x for r in rows]) == fold([r.last for r in rows])
+    words = pa.array(["Straße", "STRASSE", "The", "thé", "ΟΔΟΣ", " the", "-of"], pa.large_string())
+    assert phrases._common(words, frozenset(("straße", "the", "of", "οδος"))).tolist() == [True, False, True, False, True, True, True]
+
+
 @pytest.fixture(scope="module")
 def documents(spark, tmp_path_factory):
     """A folder with documents of words that rarely meet twice, and the letters of their texts."""
